@@ -26,18 +26,20 @@ from favora.llm.shared import pieces, read, store, word_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 10
+#: ... and no further than this many code points.
+REACH = 400
 SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.95
 #: Words of the corpus are counted if they fall on a set bit of a filter of this many bits, whatever the number of terms.
 FILTER_BITS = 1 << 23
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^ \t-\r]+")
 _TRIM = re.compile(r"^\W+|\W+$")
+_AZ = {c: c + 32 for c in range(65, 91)}
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -86,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _term(word: str) -> str:
     """The term that a word stands for; empty for words of less than three letters."""
-    term = _TRIM.sub("", word).lower()
+    term = _TRIM.sub("", word).translate(_AZ)
     return term if sum(map(str.isalpha, term)) >= 3 else ""
 
 
@@ -104,21 +106,13 @@ def _contexts(text: str, found: list[tuple[int, int, int]]) -> list[dict]:
     """Of each finding its entity, a key of the words around it and their terms; the words of findings don't count."""
     out = []
     for start, kind, end in found:
-        lo, hi = start, end
-        before: list[str] = []
-        while len(before) < WINDOW and lo > 0:
-            # Words backwards, a stretch at a time.
-            stretch = max(0, lo - 40 * WINDOW)
-            before = [m.group() for m in _WORD.finditer(text, stretch, start)][-WINDOW:]
-            lo = stretch
-        after: list[str] = []
-        for m in _WORD.finditer(text, hi):
-            if len(after) == WINDOW:
-                break
-            after.append(m.group())
-        words = [w for w in before + after if not base_spans(w)]
+        # Words that the reach cuts don't count.
+        lo, hi = max(0, start - REACH), min(len(text), end + REACH)
+        before = [m.group() for m in _WORD.finditer(text, lo, start) if m.start() > lo or not lo]
+        after = [m.group() for m in _WORD.finditer(text, end, hi) if m.end() < hi or hi == len(text)]
+        words = [w for w in before[-WINDOW:] + after[:WINDOW] if not base_spans(w)]
         key = int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "little", signed=True)
-        value = text[start:end].lower() if kind == 0 else _NOT_DIGIT.sub(".", text[start:end]) if kind == 1 else _NOT_DIGIT.sub("", text[start:end])
+        value = text[start:end].lower() if kind == 0 else text[start:end] if kind == 1 else _NOT_DIGIT.sub("", text[start:end])
         out.append({"entity": f"{KINDS[kind]}:{value}", "context": key, "terms": sorted({t for t in map(_term, words) if t})})
     return out
 
@@ -173,14 +167,12 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
 
     pairs = store(pairs.mapInArrow(hashed, "entity string, term string, n_te long, h long"), "pairs")
     # The filter has FILTER_BITS bits at any size of the corpus; what passes by accident goes in the join below.
-    words = pairs.select(F.pmod("h", F.lit(64)).alias("_")).limit(1).count()
-    if not words:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    unsigned = F.expr(f"cast(pmod(cast(h as decimal(20,0)), {FILTER_BITS}) as int)")
-    marked = pairs.select(unsigned.alias("bit")).groupBy((F.col("bit") / 8).cast("int").alias("byte")).agg(F.expr("bit_or(shiftright(128, bit % 8))").alias("v"))
+    marked = pairs.select(F.expr(f"cast(pmod(h, {FILTER_BITS}) as int)").alias("bit")).groupBy(F.expr("bit div 8").alias("byte")).agg(F.expr("bit_or(shiftright(128, bit % 8))").alias("v"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in marked.toLocalIterator():
+    for r in marked.collect():
         bits[r.byte] = r.v
+    if not bits.any():
+        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     total = found.agg(F.sum("n_words")).first()[0]
     told = pairs.join(_occurrences(docs, bits.tobytes()), "h").join(entities, "entity")
     n_t = F.greatest("n", "n_te")
@@ -229,13 +221,12 @@ def find(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.size(F.coalesce("told", F.array())).cast("long").alias("n_term"), F.col("all").alias("found"))
 
 
-def sanitise(docs: DataFrame, text: str = "text") -> Column:
-    """`docs` (which has `found` of find()) with findings replaced: base kinds and generalised terms by a label, others by nothing."""
+def sanitised(text: str = "text") -> Column:
+    """`text` with the spans in the column `found` replaced: base kinds and generalised terms by a label, others by nothing."""
     labels = "array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]', '[TERM]', '')"
     # Spans may overlap: what an earlier one covers isn't replaced again.
-    step = f"""aggregate(found, named_struct('out', cast('' as string), 'at', 0), (s, x) -> if(x.end <= s.at, s, named_struct(
-        'out', concat(s.out, if(x.start > s.at, substring({text}, s.at + 1, x.start - s.at), ''), if(x.start >= s.at, {labels}[x.rank], '')), 'at', x.end)))"""
-    return F.expr(f"with_tail({step})") if False else F.expr(f"transform(array({step}), s -> concat(s.out, substring({text}, s.at + 1)))[0]")
+    step = f"concat(s.out, if(x.start > s.at, substring({text}, s.at + 1, x.start - s.at), ''), if(x.start >= s.at, {labels}[x.rank], ''))"
+    return F.expr(f"aggregate(found, named_struct('out', '', 'at', 0), (s, x) -> if(x.end <= s.at, s, named_struct('out', {step}, 'at', x.end)), s -> concat(s.out, substring({text}, s.at + 1)))")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,5 +238,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: findings are replaced in the text, and n_chars follows; all documents stay."""
     dirty = find(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "found").dropDuplicates(["_id", "_key"])
     both = docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    clean = both.withColumn("text", F.when(F.col("found").isNotNull(), sanitise(both)).otherwise(F.col("text")))
+    clean = both.withColumn("text", F.when(F.col("found").isNotNull(), sanitised()).otherwise(F.col("text")))
     return (clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean).select(docs.columns)
