@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from favora.llm.minhash_dedup import op6_minhash_dedup
+from favora.llm.pii import op1_pii
+from favora.llm.quality import op10_quality_classifier
+from favora.llm.token_blocks import op3_token_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op3_token_blocks": op3_token_blocks,
+    "op10_quality_classifier": op10_quality_classifier,
     "op6_minhash_dedup": op6_minhash_dedup,
 }
 
