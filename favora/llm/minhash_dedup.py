@@ -1,12 +1,13 @@
 """MinHash near-duplicate groups by min-max hashing.
 
 Each document's set of distinct word shingles is reduced under `PERMUTATIONS` permutations to both its minimum and its
-maximum (Ji et al., 2013), so 160 values cost 80 hash evaluations.  Bands of `ROWS` values from different permutations
-become bucket keys: two sets of similarity 0.8 miss all 32 buckets with a chance of 3 in a million.  Candidates are then
-confirmed on the full sets, so the links returned are exact.
+maximum (Ji et al., 2013), so 320 values cost 160 hash evaluations.  Bands of `ROWS` values from different permutations
+become bucket keys: two sets of similarity 0.8 miss all 32 buckets with a chance of 3 in a million.  Four bits of every
+value form a sketch; pairs whose sketches agree five standard deviations less than those of similarity 0.8 are left out.
+What remains is confirmed on the full sets, so the links returned are exact.
 
-Groups never meet in one task: equal sets are first folded into one class; in a bucket the classes are compared with one
-pivot, then with another, and only classes that are still in different components are compared with all others.
+Groups never meet in one task: equal sets are first folded into one class; in a bucket the classes are compared with its
+most connected one, then with another, and only classes that are still in different components are compared with all.
 """
 
 from __future__ import annotations
@@ -21,32 +22,48 @@ from pyspark.sql import functions as F
 
 from favora.llm.shared import components, mix, pieces, read, shingles, store
 
-PERMUTATIONS = 80
+PERMUTATIONS = 160
 ROWS = 5
-BANDS = 2 * PERMUTATIONS // ROWS
+BANDS = 32
+SKETCH_LONGS = 2 * PERMUTATIONS // 16
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
 
-def _bands(sets: list[np.ndarray]) -> np.ndarray:
-    """The bucket keys of non-empty sets, one row each."""
+def _bands(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys and sketches of non-empty sets, one row each."""
     every = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]]).astype(np.int64)
-    values = np.empty((len(sets), 2 * PERMUTATIONS), np.uint64)
+    values = np.empty((2 * PERMUTATIONS, len(sets)), np.uint64)
     for i, factor in enumerate(_FACTORS):
         image = every * factor
-        values[:, i] = np.minimum.reduceat(image, at)
-        values[:, PERMUTATIONS + i] = np.maximum.reduceat(image, at)
+        values[2 * i] = np.minimum.reduceat(image, at)
+        values[2 * i + 1] = np.maximum.reduceat(image, at)
     keys = np.empty((len(sets), BANDS), np.uint64)
     for j in range(BANDS):
+        # Minima or maxima only, so that a band has each permutation once.
         key = np.full(len(sets), j + 1, np.uint64)
-        for column in values[:, j * ROWS : (j + 1) * ROWS].T:
-            key = mix(key * np.uint64(0x9FB21C651E98DF25) + column)
+        for i in range(ROWS):
+            key = mix(key * np.uint64(0x9FB21C651E98DF25) + values[2 * (j // 2 * ROWS + i) + j % 2])
         keys[:, j] = key
-    return keys
+    bits = mix(values) >> np.uint64(60)
+    sketch = np.zeros((len(sets), SKETCH_LONGS), np.uint64)
+    for i in range(2 * PERMUTATIONS):
+        sketch[:, i // 16] |= bits[i] << np.uint64(4 * (i % 16))
+    return keys, sketch
+
+
+def alike(a: str, b: str, percent: int) -> str:
+    """SQL: whether two sketches agree as those of sets of at least this similarity do, five standard deviations allowed."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    most = 2 * PERMUTATIONS * (1 - p) + 5 * (2 * PERMUTATIONS * p * (1 - p)) ** 0.5
+    x = [f"({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_LONGS)]
+    y = [f"({v} | shiftrightunsigned({v}, 1))" for v in x]
+    # A set bit for each four that differ.
+    return " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 2)) & {0x1111111111111111}L)" for v in y) + f" <= {int(most)}"
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of each document; set_key and bands are null for documents without words."""
+    """(doc_id, n_shingles, set_key, bands, sketch) of each document; the last three are null for documents without words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches, 1):
@@ -54,21 +71,21 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             full = [i for i, x in enumerate(sets) if len(x)]
             keys: list = [None] * len(sets)
             digests: list = [None] * len(sets)
+            sketches: list = [None] * len(sets)
             if full:
-                for i, band in zip(full, _bands([sets[i] for i in full]).view(np.int64), strict=True):
-                    keys[i], digests[i] = band, hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+                for i, band, sketch in zip(full, *(x.view(np.int64) for x in _bands([sets[i] for i in full])), strict=True):
+                    keys[i], sketches[i], digests[i] = band, sketch, hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those (a, b) of `pairs` whose full sets have 100 * intersection >= percent * union."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, one_set = None, None
+        one, one_set = None, np.empty(0, np.uint64)
         for batch in batches:
-            left = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, data, offsets in pieces([batch], 3):
                 a_ids, b_ids = rows.column(0).to_pylist(), rows.column(1).to_pylist()
                 linked = []
@@ -80,7 +97,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     if 100 * common >= percent * (len(one_set) + len(b_set) - common):
                         linked.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in linked], pa.int64()), pa.array([b_ids[i] for i in linked], pa.int64())], names=["a", "b"])
-            del left
 
     sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
@@ -100,13 +116,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"))
     first = classes.join(found.select(F.col("doc_id").alias("doc"), "n_shingles", "bands"), "doc")
     spread = first.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    buckets = store(spread.join(shared, "band").select("band", "doc", "n", "pivot"), "buckets")
+    shared = spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    buckets = store(spread.join(shared, "band").select("band", "doc", "n", "c"), "buckets")
     texts = store(given.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-
-    pairs = buckets.where("doc != pivot").groupBy(F.col("doc").alias("b")).agg(F.min("pivot").alias("a"))
+    sketches = store(found.select(F.col("doc_id").alias("doc"), "sketch").join(buckets.select("doc").distinct(), "doc", "left_semi"), "sketches")
+    one, two = (sketches.select(F.col("doc").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    sizes = (F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100)
+
+    # The most connected class of a bucket is its pivot.
+    known = buckets.groupBy("doc").agg(F.sum("c").alias("mates"))
+    ranked = buckets.join(known, "doc")
+    pivots = ranked.groupBy("band").agg(F.max(F.struct("mates", (-F.col("doc")).alias("d"), "n")).alias("p"))
+    pairs = ranked.join(pivots, "band").where("doc != -p.d").groupBy("doc").agg(F.max(F.struct("p.mates", "p.d", F.col("p.n").alias("n2"), "n")).alias("p"))
+    pairs = pairs.select(F.least("doc", -F.col("p.d")).alias("a"), F.greatest("doc", -F.col("p.d")).alias("b"), "p.n", "p.n2").where(sizes).select("a", "b").distinct()
+    pairs = store(pairs.join(one, "a").join(two, "b").where(alike("sketch_a", "sketch_b", percent)).select("a", "b"), "pairs")
     links = store(confirm(pairs, texts, words, percent), "links")
-    done = store(pairs.select("a", "b"), "pairs")
+    done = pairs
     for last in (False, True):
         of = components(links)
         named = buckets.select("band", "doc", "n").join(of.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -115,12 +140,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         open_ = named.join(mixed.select("band", F.col("most.component").alias("main"), F.col("most.one.doc").alias("pivot"), F.col("most.one.n").alias("pivot_n")), "band")
         few = open_.where("component != main")
         if last:
-            other = open_.select("band", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("component").alias("component2"), (F.col("component") != F.col("main")).alias("few2"))
-            pairs = few.join(other, "band").where("component != component2 and (not few2 or doc < doc2)").select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"), "n", "n2")
+            few, open_ = (x.join(sketches, "doc") for x in (few, open_))
+            other = open_.select("band", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("component").alias("component2"), (F.col("component") != F.col("main")).alias("few2"), F.col("sketch").alias("sketch2"))
+            pairs = few.join(other, "band").where("component != component2 and (not few2 or doc < doc2)").where(sizes).where(alike("sketch", "sketch2", percent)).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
         else:
-            pairs = few.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"), "n", F.col("pivot_n").alias("n2"))
-        pairs = pairs.where(F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
+            pairs = few.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"), "n", F.col("pivot_n").alias("n2")).where(sizes).select("a", "b").distinct()
+            pairs = pairs.join(one, "a").join(two, "b").where(alike("sketch_a", "sketch_b", percent)).select("a", "b")
+        pairs = store(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         links = store(links.union(confirm(pairs, texts, words, percent)), "links")
         done = done.union(pairs)
     of = components(links)
