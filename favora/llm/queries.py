@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from favora.llm.chat_trees import OP9_SQL, op9_chat_trees
 from favora.llm.minhash_dedup import op6_minhash_dedup
 from favora.llm.pii import op1_pii
 from favora.llm.quality import op10_quality_classifier
+from favora.llm.sentencepiece_unigram import op7_sentencepiece
 from favora.llm.token_blocks import op3_token_blocks
+from favora.llm.url_filter import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_token_blocks": op3_token_blocks,
-    "op10_quality_classifier": op10_quality_classifier,
+    "op5_url_filter": op5_url_filter,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op9_chat_trees": op9_chat_trees,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat_trees": OP9_SQL,
+}

@@ -91,7 +91,7 @@ class _Encoder:
     """The tokenizer of a file, with the ids of words seen before.
 
     The tokenizer splits at white space and joins nothing across it, so a text's ids are those of its words one after
-    another; words are cut at ASCII white space only.
+    another.  U+001C to U+001F are white space to Python alone; texts that hold them are cut at ASCII white space.
     """
 
     def __init__(self, path: str):
