@@ -24,16 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import mix, pieces, read
+from favora.llm.shared import Words, pieces, read, word_hashes
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer words are searched one by one.
 LOCKSTEP = 60
-#: Words of which a worker keeps the ids.
-REMEMBERED = 500_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _seen: dict[str, Words] = {}
 
 
@@ -205,26 +201,6 @@ def segment(p: Pieces, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return ids[::-1][order], np.concatenate([[0], np.cumsum(np.bincount(words, minlength=len(sizes)))])
 
 
-class Words:
-    """The ids of words seen before, by the words' hashes; at most REMEMBERED words, then only new texts are searched."""
-
-    def __init__(self) -> None:
-        self.keys, self.at, self.n, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each key, and whether it is one's own."""
-        place = np.searchsorted(self.keys, keys)
-        return place, (self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool))
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, before: np.ndarray) -> None:
-        """Take sorted new keys with their ids."""
-        place = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, place, before[:-1] + len(self.ids))
-        self.n = np.insert(self.n, place, np.diff(before))
-        self.keys = np.insert(self.keys, place, keys)
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-
-
 def encode(p: Pieces, data: np.ndarray, offsets: np.ndarray, seen: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of whole texts, and the number of ids before each text; an empty text has none."""
     seen = Words() if seen is None else seen
@@ -239,29 +215,15 @@ def encode(p: Pieces, data: np.ndarray, offsets: np.ndarray, seen: Words | None
     new[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(data))
-    power, inverse = np.full(len(data), _BASE, np.uint64), np.full(len(data), _INVERSE, np.uint64)
-    power[0] = inverse[0] = 1
-    np.multiply.accumulate(power, out=power)
-    np.multiply.accumulate(inverse, out=inverse)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
-    keys = mix((sums[ends] - sums[starts]) * inverse[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    keys = word_hashes(data, starts, ends, fold=False)
     keys, one, which = np.unique(keys, return_index=True, return_inverse=True)
-    place, known = seen.find(keys)
-    n = np.empty(len(keys), np.int64)
-    at = np.empty(len(keys), np.int64)
-    n[known], at[known] = seen.n[place[known]], seen.at[place[known]]
-    one = one[~known]
-    sizes = (ends - starts)[one]
-    upto = np.concatenate([[0], np.cumsum(sizes)])
-    words = data[np.arange(upto[-1]) + np.repeat(starts[one] - upto[:-1], sizes)]
-    ids, before = segment(p, words, upto) if len(one) else (np.empty(0, np.int64), np.zeros(1, np.int64))
-    n[~known], at[~known] = np.diff(before), before[:-1] + len(seen.ids)
-    every = np.concatenate([seen.ids, ids])
-    if len(one) and len(seen.keys) + len(one) <= REMEMBERED:
-        seen.add(keys[~known], ids, before)
-    n = n[which]
-    upto = np.concatenate([[0], np.cumsum(n)])
-    out = every[np.arange(upto[-1]) + np.repeat(at[which] - upto[:-1], n)]
+    def search(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = one[new]
+        sizes = (ends - starts)[at]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return segment(p, data[np.arange(upto[-1]) + np.repeat(starts[at] - upto[:-1], sizes)], upto)
+
+    out, upto = seen.ids_of(keys, which, search)
     return out, upto[np.searchsorted(starts, offsets)]
 
 

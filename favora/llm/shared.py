@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
+_ASIS = np.arange(1, 257, dtype=np.uint64)
+#: Words of which a worker keeps the ids.
+REMEMBERED = 500_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -96,14 +99,52 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, with A-Z lower-cased if `fold`."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * _power(_BASE, len(data) + 1)[: len(data)], out=sums[1:])
+    np.cumsum((_LOWER if fold else _ASIS)[data] * _power(_BASE, len(data) + 1)[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts]
     return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
+class Words:
+    """The ids of words seen before, by the words' hashes; of at most REMEMBERED words, others are looked up again."""
+
+    def __init__(self) -> None:
+        self.keys, self.at, self.n, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether it is one's own."""
+        place = np.searchsorted(self.keys, keys)
+        return place, (self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool))
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, before: np.ndarray) -> None:
+        """Take sorted new keys with their ids."""
+        place = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, place, before[:-1] + len(self.ids))
+        self.n = np.insert(self.n, place, np.diff(before))
+        self.keys = np.insert(self.keys, place, keys)
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def ids_of(self, keys: np.ndarray, which: np.ndarray, search: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words keys[which], one after another, and the number of ids before each word.
+
+        `keys` are sorted and distinct.  search(i) gives the same for the new words keys[i].
+        """
+        place, known = self.find(keys)
+        n, at = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        n[known], at[known] = self.n[place[known]], self.at[place[known]]
+        new = np.flatnonzero(~known)
+        ids, before = search(new) if len(new) else (np.empty(0, np.int64), np.zeros(1, np.int64))
+        n[new], at[new] = np.diff(before), before[:-1] + len(self.ids)
+        every = np.concatenate([self.ids, ids])
+        if len(new) and len(self.keys) + len(new) <= REMEMBERED:
+            self.add(keys[new], ids, before)
+        n = n[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return every[np.arange(upto[-1]) + np.repeat(at[which] - upto[:-1], n)], upto
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Each document's sorted distinct hashes of its runs of `k` words; with fewer words, of all its words as one run."""
     starts, ends, at = word_spans(data, offsets)

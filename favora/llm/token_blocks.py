@@ -3,11 +3,12 @@
 A file is a row group of the Parquet table that holds the output: one row is one page of whole documents in ascending
 doc_id order.  Its ids are cut into blocks of BLOCK values; of each block the minimum is subtracted, the rest is packed at
 the width that holds PERCENTILE of the values, and the values that need more are kept in an exception list (position in
-the page, high part).  `block_bits` says at which bit of `packed` each block starts, so any block can be decoded alone.
+the page, high part).  `block_start` says at which byte of `packed` each block starts, so any block can be decoded alone.
 
     shard int, page int            place in ascending order
     doc_ids, doc_tokens array      the page's documents and their number of ids
-    block_min, block_width, block_bits array
+    ids_before long                ids of the shard's pages before this one
+    block_min, block_width, block_start array
     exc_at, exc_high array         exceptions: position in the page, value >> width
     packed binary                  little-endian bit stream
 
@@ -17,108 +18,126 @@ run again.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import pieces, read, shared_dir
+from favora.llm.shared import Words, pieces, read, shared_dir, word_hashes, word_spans
 
 BLOCK = 256
 PERCENTILE = 90
 END = 1
-#: Words whose ids a worker remembers; the rest is encoded again.
-REMEMBERED = 400_000
-_NO_SPACE = re.compile("[\x1c-\x1f]")
-_ASCII_SPACE = re.compile("[ \t\n\v\f\r]+")
-SCHEMA = "shard int, page int, doc_ids array<long>, doc_tokens array<int>, block_min array<int>, block_width array<int>, block_bits array<long>, exc_at array<int>, exc_high array<int>, packed binary"
-_ARROW = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("doc_ids", pa.list_(pa.int64())), *((x, pa.list_(pa.int32())) for x in ("doc_tokens", "block_min", "block_width")), ("block_bits", pa.list_(pa.int64())), ("exc_at", pa.list_(pa.int32())), ("exc_high", pa.list_(pa.int32())), ("packed", pa.binary())])
+SCHEMA = "shard int, page int, ids_before long, doc_ids array<long>, doc_tokens array<int>, block_min array<int>, block_width array<int>, block_start array<long>, exc_at array<int>, exc_high array<int>, packed binary"
+_ARROW = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("ids_before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((x, pa.list_(pa.int32())) for x in ("doc_tokens", "block_min", "block_width")), ("block_start", pa.list_(pa.int64())), ("exc_at", pa.list_(pa.int32())), ("exc_high", pa.list_(pa.int32())), ("packed", pa.binary())])
 _encoders: dict[str, _Encoder] = {}
 
 
+def _lay(values: np.ndarray, w: int) -> np.ndarray:
+    """Values (one row for each block) of `w` bits as little-endian bit streams, one row of 64-bit words for each block."""
+    turned = np.ascontiguousarray(values.T).astype(np.uint64)
+    out = np.zeros((BLOCK * w // 64 + 1, values.shape[0]), np.uint64)
+    for i, v in enumerate(turned):
+        word, shift = divmod(i * w, 64)
+        out[word] |= v << np.uint64(shift)
+        if shift + w > 64:
+            out[word + 1] |= v >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out[:-1].T)
+
+
+def _lift(words: np.ndarray, w: int) -> np.ndarray:
+    """What _lay() was given."""
+    turned = np.vstack([np.ascontiguousarray(words.T), np.zeros((1, words.shape[0]), np.uint64)])
+    out = np.empty((BLOCK, words.shape[0]), np.uint64)
+    mask = np.uint64((1 << w) - 1)
+    for i in range(BLOCK):
+        word, shift = divmod(i * w, 64)
+        v = turned[word] >> np.uint64(shift)
+        if shift + w > 64:
+            v = v | turned[word + 1] << np.uint64(64 - shift)
+        out[i] = v & mask
+    return out.T
+
+
 def pack(ids: np.ndarray) -> dict:
-    """One page of ids (uint32) as the block columns of SCHEMA."""
+    """One page of ids (uint32) as the block columns of SCHEMA; the last block is filled up with its minimum."""
     n = len(ids)
     blocks = -(-n // BLOCK)
-    full = np.zeros(blocks * BLOCK, np.int64)
-    full[:n] = ids
-    if n:
-        full[n:] = ids[-1]
-    grid = full.reshape(blocks, BLOCK)
+    grid = np.full(blocks * BLOCK, ids.max(initial=0), np.int64)
+    grid[:n] = ids
+    grid = grid.reshape(blocks, BLOCK)
     low = grid.min(axis=1)
     rest = grid - low[:, None]
-    chosen = np.sort(rest, axis=1)[:, BLOCK * PERCENTILE // 100 - 1] if blocks else np.empty(0, np.int64)
+    rest.ravel()[n:] = 0
+    chosen = np.partition(rest, BLOCK * PERCENTILE // 100 - 1, axis=1)[:, BLOCK * PERCENTILE // 100 - 1]
     width = np.ceil(np.log2(chosen + 1)).astype(np.int64)
-    flat, wide = rest.ravel()[:n], np.repeat(width, BLOCK)[:n]
-    over = np.flatnonzero(flat >> wide)
-    counts = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
-    bits = np.concatenate([[0], np.cumsum(counts * width)])
-    out = np.zeros(int(bits[-1]), np.uint8)
-    for w in np.unique(width[width > 0]):
-        # All blocks of one width at once.
-        of = np.flatnonzero(np.repeat(width == w, BLOCK)[:n])
-        at = bits[of // BLOCK] + (of % BLOCK) * w
-        for j in range(w):
-            out[at + j] = (flat[of] >> j) & 1
-    packed = np.packbits(out, bitorder="little").tobytes()
-    return {"block_min": low.astype(np.int32), "block_width": width.astype(np.int32), "block_bits": bits[:-1], "exc_at": over.astype(np.int32), "exc_high": (flat[over] >> wide[over]).astype(np.int32), "packed": packed}
-
-
-def unpack(n: int, block_min: np.ndarray, block_width: np.ndarray, block_bits: np.ndarray, exc_at: np.ndarray, exc_high: np.ndarray, packed: bytes) -> np.ndarray:
+    over = np.flatnonzero(rest > ((1 << width) - 1)[:, None])
+    starts = np.concatenate([[0], np.cumsum(width * (BLOCK // 64))])
+    packed = np.zeros(int(starts[-1]), "<u8")
+    for w in np.unique(width[width > 0]).tolist():
+        of = np.flatnonzero(width == w)
+        packed[starts[of][:, None] + np.arange(BLOCK * w // 64)] = _lay(rest[of] & ((1 << w) - 1), w)
+    return {"block_min": low.astype(np.int32), "block_width": width.astype(np.int32), "block_start": starts[:-1] * 8, "exc_at": over.astype(np.int32), "exc_high": (rest.ravel()[over] >> width[over // BLOCK]).astype(np.int32), "packed": packed.tobytes()}
+
+
+def unpack(n: int, block_min: np.ndarray, block_width: np.ndarray, block_start: np.ndarray, exc_at: np.ndarray, exc_high: np.ndarray, packed: bytes) -> np.ndarray:
     """The `n` ids of a page, as uint32."""
-    bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")
-    wide = np.repeat(block_width, BLOCK)[:n].astype(np.int64)
-    out = np.zeros(n, np.int64)
-    for w in np.unique(block_width[block_width > 0]):
-        of = np.flatnonzero(wide == w)
-        at = block_bits[of // BLOCK] + (of % BLOCK) * w
-        value = np.zeros(len(of), np.int64)
-        for j in range(w):
-            value |= bits[at + j].astype(np.int64) << j
-        out[of] = value
-    out[exc_at] |= exc_high.astype(np.int64) << wide[exc_at]
-    return (out + np.repeat(block_min, BLOCK)[:n]).astype(np.uint32)
+    words = np.frombuffer(packed, "<u8")
+    out = np.zeros((len(block_min), BLOCK), np.int64)
+    for w in np.unique(block_width[block_width > 0]).tolist():
+        of = np.flatnonzero(block_width == w)
+        out[of] = _lift(words[(block_start[of] // 8)[:, None] + np.arange(BLOCK * w // 64)], w)
+    out.ravel()[exc_at] |= exc_high << block_width[exc_at // BLOCK]
+    return (out + block_min[:, None]).ravel()[:n].astype(np.uint32)
 
 
 class _Encoder:
     """The tokenizer of a file, with the ids of words seen before.
 
     The tokenizer splits at white space and joins nothing across it, so a text's ids are those of its words one after
-    another.  U+001C to U+001F are white space to Python alone; texts that hold them are cut at ASCII white space.
+    another.  New words are encoded together, with a special token between them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_ASCII_SPACE.split(t) if _NO_SPACE.search(t) else t.split() for t in texts]
-        known = self.known
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(w for ws in words for w in ws))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = tuple(e.ids)
-        out = []
-        for ws in words:
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            ids.append(END)
-            out.append(np.array(ids, np.uint32))
-        return out
+        self.seen = Words()
+        self.mark, self.mark_id = min((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized)
+
+    def _search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [self.mark in w for w in words]
+        together = f" {self.mark} ".join("" if o else w for w, o in zip(words, odd, strict=True))
+        ids = np.array(self.tokenizer.encode(together, add_special_tokens=False).ids, np.int64)
+        marks = np.flatnonzero(ids == self.mark_id)
+        before = np.concatenate([[0], marks - np.arange(len(marks)), [len(ids) - len(marks)]])
+        ids = np.delete(ids, marks)
+        if any(odd):
+            parts = np.split(ids, before[1:-1])
+            for i in np.flatnonzero(odd):
+                parts[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.int64)
+            ids, before = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, before
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text with the end id, one after another, and the number of ids before each text."""
+        starts, ends, at = word_spans(data, offsets)
+        keys, one, which = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+
+        def search(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found = [self._search([raw[a:b].decode() for a, b in zip(starts[one[part]].tolist(), ends[one[part]].tolist(), strict=True)]) for part in np.array_split(new, -(-len(new) // 2000))]
+            sizes = np.concatenate([np.diff(b) for _, b in found])
+            return np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(sizes)])
+
+        ids, upto = self.seen.ids_of(keys, which, search)
+        upto = upto[at]
+        return np.insert(ids, upto[1:], END), upto + np.arange(len(upto))
 
 
 def _encoder(path: str) -> _Encoder:
@@ -135,11 +154,11 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, page = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for rows, _, _ in pieces(batches, 1):
-            ids = encoder.encode(pc.fill_null(rows.column(1), "").to_pylist())
-            out = {"shard": shard, "page": page, "doc_ids": rows.column(0).to_pylist(), "doc_tokens": [len(x) for x in ids]} | pack(np.concatenate(ids))
-            page += 1
+        encoder, shard, page, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        for rows, data, offsets in pieces(batches, 1):
+            ids, upto = encoder.encode(data, offsets)
+            out = {"shard": shard, "page": page, "ids_before": before, "doc_ids": rows.column(0).to_pylist(), "doc_tokens": np.diff(upto)} | pack(ids)
+            page, before = page + 1, before + len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([out[f.name]], f.type) for f in _ARROW], schema=_ARROW)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -148,41 +167,34 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
     ordered.mapInArrow(task, SCHEMA).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of each document, decoded from the files; start counts the ids of all before it."""
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of each document, decoded from the files; start counts the ids of all before it.
+
+    With `digest`, ids_crc32 (the CRC-32 of the ids as little-endian unsigned 32-bit integers) comes instead of ids.
+    """
     pages = spark.read.schema(SCHEMA).parquet(path)
-    sizes = pages.select("shard", "page", F.expr("aggregate(doc_tokens, 0L, (a, x) -> a + x)").alias("n"))
     # One number for each shard.
     before, done = {}, 0
-    for shard, n in sorted(sizes.groupBy("shard").agg(F.sum("n")).collect()):
+    for shard, n in sorted(pages.groupBy("shard").agg(F.sum(F.expr("aggregate(doc_tokens, 0L, (a, x) -> a + x)"))).collect()):
         before[shard] = done
         done += n
-    starts = sizes.select("shard", "page", F.sum("n").over(Window.partitionBy("shard").orderBy("page")).alias("upto"), "n").select("shard", "page", (F.col("upto") - F.col("n")).alias("into"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                n = np.array(r["doc_tokens"], np.int64)
-                columns = [np.array(r[x], np.int64) for x in ("block_min", "block_width", "block_bits", "exc_at", "exc_high")]
-                ids = unpack(int(n.sum()), *columns, r["packed"])
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                start = before[r["shard"]] + r["into"] + offsets[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(start), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int64)))], names=["doc_id", "start", "n_tokens", "ids"])
-
-    return pages.join(starts, ["shard", "page"]).mapInArrow(task, "doc_id long, start long, n_tokens long, ids array<long>")
-
-
-def checksums(ids: DataFrame) -> DataFrame:
-    """read_ids() with ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit integers, instead of ids."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(3)
-            flat, at = np.asarray(column.flatten()).astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return ids.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for i in range(batch.num_rows):
+                r = {f: batch.column(j)[i] for j, f in enumerate(_ARROW.names)}
+                n = r["doc_tokens"].values.to_numpy().astype(np.int64)
+                columns = [r[x].values.to_numpy().astype(np.int64) for x in ("block_min", "block_width", "block_start", "exc_at", "exc_high")]
+                ids = unpack(int(n.sum()), *columns, r["packed"].as_py())
+                at = np.concatenate([[0], np.cumsum(n)])
+                start = before[r["shard"].as_py()] + r["ids_before"].as_py() + at[:-1]
+                if digest:
+                    last = pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([r["doc_ids"].values, pa.array(start), pa.array(n), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+
+    return pages.mapInArrow(task, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,4 +203,4 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
     write_ids(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
-    return checksums(read_ids(spark, path))
+    return read_ids(spark, path, digest=True)
