@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from favora.llm.chat_trees import OP9_SQL, op9_chat_trees
+from favora.llm.decontaminate import op2_decontaminate
 from favora.llm.minhash_dedup import op6_minhash_dedup
 from favora.llm.pii import op1_pii
 from favora.llm.quality import op10_quality_classifier
@@ -16,6 +17,7 @@ from favora.llm.url_filter import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_blocks": op3_token_blocks,
     "op5_url_filter": op5_url_filter,
     "op6_minhash_dedup": op6_minhash_dedup,
