@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from favora.llm.chat_trees import OP9_SQL, op9_chat_trees
 from favora.llm.decontaminate import op2_decontaminate
+from favora.llm.language_id import op8_language_id
 from favora.llm.minhash_dedup import op6_minhash_dedup
 from favora.llm.pii import op1_pii
 from favora.llm.quality import op10_quality_classifier
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_language_id": op8_language_id,
     "op9_chat_trees": op9_chat_trees,
     "op10_quality_classifier": op10_quality_classifier,
 }
