@@ -14,12 +14,14 @@ from favora.llm.pii import op1_pii
 from favora.llm.quality import op10_quality_classifier
 from favora.llm.sentencepiece_unigram import op7_sentencepiece
 from favora.llm.token_blocks import op3_token_blocks
+from favora.llm.topk_search import OP4_SQL, op4_topk_search
 from favora.llm.url_filter import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_blocks": op3_token_blocks,
+    "op4_topk_search": op4_topk_search,
     "op5_url_filter": op5_url_filter,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_sentencepiece": op7_sentencepiece,
@@ -29,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_topk_search": OP4_SQL,
     "op9_chat_trees": OP9_SQL,
 }
