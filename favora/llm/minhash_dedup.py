@@ -7,7 +7,8 @@ value form a sketch; pairs whose sketches agree five standard deviations less th
 What remains is confirmed on the full sets, so the links returned are exact.
 
 Groups never meet in one task: equal sets are first folded into one class; in a bucket the classes are compared with its
-most connected one, then with another, and only classes that are still in different components are compared with all.
+most connected one, then with another.  Classes that are still in other components than most of a bucket are compared with
+all of that component and with each other, in tasks of two blocks of PAIR_BLOCK sets at most; pairs are never listed.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from favora.llm.shared import components, mix, pieces, read, shingles, store
 PERMUTATIONS = 160
 ROWS = 5
 BANDS = 32
+PAIR_BLOCK = 400
 SKETCH_LONGS = 2 * PERMUTATIONS // 16
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
@@ -102,6 +104,59 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
 
 
+def _undecided(buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The buckets' classes with their components, and of each bucket with several its largest one and a class of that."""
+    of = components(links)
+    named = buckets.select("band", "doc", "n").join(of.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    kinds = named.groupBy("band", "component").agg(F.count("*").alias("c"), F.max(F.struct(F.xxhash64("band", "doc"), "doc", "n")).alias("one"))
+    mixed = kinds.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "component", "one")).alias("most")).where("kinds > 1")
+    return named, mixed.select("band", F.col("most.component").alias("main"), F.col("most.one.doc").alias("pivot"), F.col("most.one.n").alias("pivot_n"))
+
+
+def _linked(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """The places of linked sets, through an index of the second list's elements."""
+    size = np.array([len(x) for x in two])
+    every, of = np.concatenate(two), np.repeat(np.arange(len(two)), size)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    for i, x in enumerate(one):
+        lo, hi = np.searchsorted(every, x), np.searchsorted(every, x, "right")
+        n = hi - lo
+        upto = np.concatenate([[0], np.cumsum(n)])
+        common = np.bincount(of[np.arange(upto[-1]) + np.repeat(lo - upto[:-1], n)], minlength=len(two))
+        for j in np.flatnonzero(100 * common >= percent * (len(x) + size - common)):
+            yield i, int(j)
+
+
+def _confirm_blocks(sides: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links (a, b) of the `few` documents of each group `main` of `sides` (main, doc, few) with all of the group."""
+    sizes = sides.groupBy("main").agg(F.ceil(F.count_if("few") / PAIR_BLOCK).alias("rows"), F.ceil(F.count("*") / PAIR_BLOCK).alias("cols")).where("rows > 0")
+    full = sides.join(sizes, "main").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    row, col = (F.pmod(F.xxhash64("doc"), F.col(x)) for x in ("rows", "cols"))
+    asks = full.where("few").select("main", row.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "doc", "text")
+    asked = full.select("main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), col.alias("j"), F.lit(1).alias("side"), "doc", "text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, sets = None, ([], []), ([], [])
+
+        def found() -> pa.RecordBatch:
+            out = [sorted((docs[0][i], docs[1][j])) for i, j in _linked(*sets, percent)] if sets[0] and sets[1] else []
+            out = [x for x in out if x[0] != x[1]]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+        for rows, data, offsets in pieces(batches, 5):
+            keys = zip(*(rows.column(c).to_pylist() for c in range(3)), strict=True)
+            for key, side, doc, of in zip(keys, rows.column(3).to_pylist(), rows.column(4).to_pylist(), shingles(data, offsets, words), strict=True):
+                if key != now:
+                    yield found()
+                    now, docs, sets = key, ([], []), ([], [])
+                docs[side].append(doc)
+                sets[side].append(of)
+        yield found()
+
+    return asks.union(asked).repartition("main", "i", "j").sortWithinPartitions("main", "i", "j").mapInArrow(task, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per doc_id: n_shingles, component_id and kept.
 
@@ -132,23 +187,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = store(pairs.join(one, "a").join(two, "b").where(alike("sketch_a", "sketch_b", percent)).select("a", "b"), "pairs")
     links = store(confirm(pairs, texts, words, percent), "links")
     done = pairs
-    for last in (False, True):
-        of = components(links)
-        named = buckets.select("band", "doc", "n").join(of.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        kinds = named.groupBy("band", "component").agg(F.count("*").alias("c"), F.max(F.struct(F.xxhash64("band", "doc"), "doc", "n")).alias("one"))
-        mixed = kinds.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "component", "one")).alias("most")).where("kinds > 1")
-        open_ = named.join(mixed.select("band", F.col("most.component").alias("main"), F.col("most.one.doc").alias("pivot"), F.col("most.one.n").alias("pivot_n")), "band")
-        few = open_.where("component != main")
-        if last:
-            few, open_ = (x.join(sketches, "doc") for x in (few, open_))
-            other = open_.select("band", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("component").alias("component2"), (F.col("component") != F.col("main")).alias("few2"), F.col("sketch").alias("sketch2"))
-            pairs = few.join(other, "band").where("component != component2 and (not few2 or doc < doc2)").where(sizes).where(alike("sketch", "sketch2", percent)).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-        else:
-            pairs = few.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"), "n", F.col("pivot_n").alias("n2")).where(sizes).select("a", "b").distinct()
-            pairs = pairs.join(one, "a").join(two, "b").where(alike("sketch_a", "sketch_b", percent)).select("a", "b")
-        pairs = store(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = store(links.union(confirm(pairs, texts, words, percent)), "links")
-        done = done.union(pairs)
+    named, mixed = _undecided(buckets, links)
+    few = named.join(mixed, "band").where("component != main")
+    pairs = few.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"), "n", F.col("pivot_n").alias("n2")).where(sizes).select("a", "b").distinct()
+    pairs = pairs.join(one, "a").join(two, "b").where(alike("sketch_a", "sketch_b", percent)).select("a", "b")
+    pairs = store(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    links = store(links.union(confirm(pairs, texts, words, percent)), "links")
+
+    named, mixed = _undecided(buckets, links)
+    sides = named.join(mixed, "band").groupBy("main", "doc").agg(F.bool_or(F.col("component") != F.col("main")).alias("few"))
+    links = store(links.union(_confirm_blocks(store(sides, "sides"), texts, words, percent)), "links")
     of = components(links)
     member = classes.join(of.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component"))
     out = found.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left")
