@@ -1,6 +1,774 @@
-"""Registered queries of the spatial operators."""
+"""Registered queries of the spatial operators over views of the driver's tables, with their SQL.
+
+Computed doubles are rounded to 6 digits on both sides, as the order of sums differs between engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from favora.functions import crs, geometry, stats, transforms
+from favora.operators import clean, combine, density, distance, exclude, grid, interpolate, structure
+from favora.operators.grid import Extent
+from favora.plans.fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+FULL = Extent(0.0, 0.0, 1000.0, 1000.0)
+FULL3 = Extent(0.0, 0.0, 500.0, 500.0, -700.0, 0.0)
+#: A lattice of 21 by 21 nodes on FULL, as fx_grid2d; a coarser one in 3D.
+N, N3 = 21, (6, 6, 4)
+Q = Callable[[SparkSession, str], DataFrame]
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Q], Q]:
+    """Register a query under its function's name, with its SQL."""
+
+    def take(f: Q) -> Q:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = with_views(sql.strip())
+        return f
+
+    return take
+
+
+def r6(c: Column | str, name: str | None = None) -> Column:
+    """Rounded to 6 digits; minus zero becomes zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.round(c, 6) + F.lit(0.0)
+    return out.alias(name) if name else out
+
+
+def grid2(spark: SparkSession) -> DataFrame:
+    """The 21 by 21 lattice."""
+    return grid.lattice(spark, FULL, N, N)
+
+
+def grid3(spark: SparkSession) -> DataFrame:
+    """The lattice in 3D."""
+    return grid.lattice(spark, FULL3, *N3)
+
+
+G2 = "g as (select i % 21 as ix, i // 21 as iy, (i % 21) * 50.0::double as x, (i // 21) * 50.0::double as y from range(441) t(i))"
+G3 = "g as (select i % 6 as ix, (i // 6) % 6 as iy, i // 36 as iz, (i % 6) * 100.0::double as x, ((i // 6) % 6) * 100.0::double as y, case when i // 36 = 3 then 0.0 else -700.0 + (i // 36) * (700.0::double / 3) end as z from range(144) t(i))"
+#: Distance of (x, y) from the segment (x0, y0, x1, y1).
+SEG = "sqrt(power(x - (x0 + t * (x1 - x0)), 2) + power(y - (y0 + t * (y1 - y0)), 2))"
+T = "case when x0 = x1 and y0 = y1 then 0 else greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) end"
+DLINE = f"dl as (select ix, iy, min({SEG}) as d_line from (select *, {T} as t from g, fx_lines) group by ix, iy)"
+MEETS = """mp as (select a.gid as a, b.gid as b, a.x0 as ax, a.y0 as ay, a.x1 - a.x0 as rx, a.y1 - a.y0 as ry, b.x0 as cx, b.y0 as cy, b.x1 - b.x0 as sx, b.y1 - b.y0 as sy
+  from fx_lines a join fx_lines b on a.gid < b.gid),
+mt as (select *, ((cx - ax) * sy - (cy - ay) * sx) / (rx * sy - ry * sx) as t, ((cx - ax) * ry - (cy - ay) * rx) / (rx * sy - ry * sx) as u from mp where rx * sy - ry * sx <> 0),
+m as (select a, b, ax + t * rx as x, ay + t * ry as y from mt where t between 0 and 1 and u between 0 and 1)"""
+DMEET = "di as (select g.ix, g.iy, coalesce(min(sqrt(power(g.x - m.x, 2) + power(g.y - m.y, 2))), 'infinity'::double) as d_int from g left join m on true group by all)"
+INSIDE = "select distinct ix, iy from g, fx_rects where x > xmin and x < xmax and y > ymin and y < ymax"
+DRECT = "sqrt(power(greatest(xmin - x, x - xmax, 0), 2) + power(greatest(ymin - y, y - ymax, 0), 2))"
+
+
+# Sources and cleaning
+
+
+@query("select gid, dn, value from fx_rects where dn > 0")
+def s9_exclusion_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exclusion polygons with a positive mark."""
+    from favora.sources.catalog import positive_marks
+
+    return positive_marks(view(spark, sf_dir, "fx_rects"), "dn").select("gid", "dn", "value")
+
+
+@query("select seq, x, y, z, value from (select row_number() over (order by seq) as seq, x, y, z, value from (select *, lag(x) over (order by seq) as px, lag(y) over (order by seq) as py, lag(z) over (order by seq) as pz from fx_well) where px is null or px <> x or py <> y or pz <> z)")
+def s6_well_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A well path without consecutive equal points."""
+    return structure.well_path(view(spark, sf_dir, "fx_well")).select("seq", "x", "y", "z", "value")
+
+
+@query("select gid, round(radians(lon) * 6378137, 4) as x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 4) as y from (select gid, x * 0.1 - 50 as lon, y * 0.1 - 40 as lat from fx_points2d)")
+def c1_set_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees to Web Mercator."""
+    given = view(spark, sf_dir, "fx_points2d").select("gid", (F.col("x") * 0.1 - 50).alias("x"), (F.col("y") * 0.1 - 40).alias("y"))
+    return crs.reproject(given, 4326, "EPSG:3857").select("gid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("select gid, x, y from fx_points2d")
+def c2_clean_unnamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns without a name dropped."""
+    return clean.clean_unnamed_columns(view(spark, sf_dir, "fx_points2d").select("gid", F.lit(1).alias("Unnamed: 0"), "x", "y"))
+
+
+@query("select gid, round(z * 3.28084, 6) as z from fx_points3d")
+def c3_convert_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metres to feet."""
+    return clean.convert_z(view(spark, sf_dir, "fx_points3d"), "m-msl", "ft-msl").select("gid", r6("z", "z"))
+
+
+WINSOR = "select gid, round(case when value > q then q else value end, 6) as value from fx_points2d, (select quantile_cont(value, {0}) as q from fx_points2d)"
+
+
+@query(WINSOR.format(0.9))
+def c4_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values cut at the 0.9 quantile."""
+    return clean.winsorise(view(spark, sf_dir, "fx_points2d"), "value").select("gid", r6("value", "value"))
+
+
+@query(WINSOR.format(0.75))
+def c5_filter_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values cut at another quantile."""
+    return clean.winsorise(view(spark, sf_dir, "fx_points2d"), "value", 0.75).select("gid", r6("value", "value"))
+
+
+@query("select gid, value from fx_points2d")
+def c6_filter_absent_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An absent column changes nothing."""
+    return clean.winsorise(view(spark, sf_dir, "fx_points2d"), "none").select("gid", "value")
+
+
+@query("select min(x) as xmin, min(y) as ymin, max(x) as xmax, max(y) as ymax from fx_points2d")
+def c7_get_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds in 2D."""
+    e = clean.extent(view(spark, sf_dir, "fx_points2d"))
+    return spark.createDataFrame([e[:4]], "xmin double, ymin double, xmax double, ymax double")
+
+
+@query("select min(x) as xmin, min(y) as ymin, min(z) as zmin, max(x) as xmax, max(y) as ymax, max(z) as zmax from fx_points3d")
+def c8_get_extent_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds in 3D."""
+    e = clean.extent(view(spark, sf_dir, "fx_points3d"), z=True)
+    return spark.createDataFrame([tuple(e)], "xmin double, ymin double, xmax double, ymax double, zmin double, zmax double")
+
+
+@query("select gid, x, y from fx_points2d where x between 200 and 700 and y between 100 and 600")
+def c9_set_extent_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in a box."""
+    return clean.clip_points(view(spark, sf_dir, "fx_points2d"), Extent(200.0, 100.0, 700.0, 600.0)).select("gid", "x", "y")
+
+
+@query("""
+with d as (select *, x1 - x0 as dx, y1 - y0 as dy from fx_lines),
+t as (select *, greatest(0, case when dx > 0 then (200 - x0) / dx when dx < 0 then (700 - x0) / dx else 0 end, case when dy > 0 then (100 - y0) / dy when dy < 0 then (600 - y0) / dy else 0 end) as a,
+  least(1, case when dx > 0 then (700 - x0) / dx when dx < 0 then (200 - x0) / dx else 1 end, case when dy > 0 then (600 - y0) / dy when dy < 0 then (100 - y0) / dy else 1 end) as b from d
+  where not (dx = 0 and (x0 < 200 or x0 > 700)) and not (dy = 0 and (y0 < 100 or y0 > 600)))
+select gid, round(x0 + a * dx, 6) as x0, round(y0 + a * dy, 6) as y0, round(x0 + b * dx, 6) as x1, round(y0 + b * dy, 6) as y1 from t where a <= b""")
+def c9_set_extent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut at a box."""
+    cut = clean.clip_segments(view(spark, sf_dir, "fx_lines"), Extent(200.0, 100.0, 700.0, 600.0))
+    return cut.select("gid", *(r6(c, c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("select gid, x, y, z from fx_points3d where x between 100 and 300 and y between 50 and 400 and z between -500 and -200")
+def c10_set_extent_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in a box in 3D."""
+    return clean.clip_points(view(spark, sf_dir, "fx_points3d"), Extent(100.0, 50.0, 300.0, 400.0, -500.0, -200.0)).select("gid", "x", "y", "z")
+
+
+@query("select gid from fx_rects where xmin >= 100 and xmax <= 800 and ymin >= 0 and ymax <= 700")
+def c10_set_extent_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons whose bounds are inside."""
+    return clean.keep_inside(view(spark, sf_dir, "fx_rects"), Extent(100.0, 0.0, 800.0, 700.0)).select("gid")
+
+
+@query("select gid, x, y from fx_points3d")
+def c11_drop_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points without z."""
+    return clean.drop_z(view(spark, sf_dir, "fx_points3d")).select("gid", "x", "y")
+
+
+@query("select x, y, value from fx_points3d where abs(z + 300) <= 0.01")
+def c12_prepare_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A level of z."""
+    return clean.prepare_slice(view(spark, sf_dir, "fx_points3d"), "value", -300.0)
+
+
+@query("select gid, x, y, z, value from fx_points3d where x <= 300 and z <= -200 and value >= 100000")
+def c13_plot_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a 3D plot shows."""
+    return clean.plot_slice(view(spark, sf_dir, "fx_points3d"), x=300.0, z=-200.0, value=100000.0).select("gid", "x", "y", "z", "value")
+
+
+@query("select seq, x, y, z from fx_well where (seq - 1) % 5 = 0")
+def c14_well_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth point of a path."""
+    return clean.thin(view(spark, sf_dir, "fx_well"), 5).select(F.col("seq").cast("long"), "x", "y", "z")
+
+
+@query("select least(floor((value - lo) / ((hi - lo) / 30)), 29)::bigint as bin, count(*) as n from fx_points2d, (select min(value) as lo, max(value) as hi from fx_points2d) group by 1")
+def p_residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 bins of equal width."""
+    return clean.histogram(view(spark, sf_dir, "fx_points2d"), "value")
+
+
+@query("select least(min(a), min(b)) as low, greatest(max(a), max(b)) as high from fx_lattice")
+def p_colour_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A colour range shared by two layers."""
+    given = view(spark, sf_dir, "fx_lattice")
+    return clean.colour_range([given.select(F.col("a").alias("v")), given.select(F.col("b").alias("v"))], "v")
+
+
+# Geometry text
+
+
+@query("select gid, x0, y0, x1, y1, 2 as n from fx_lines")
+def s2_read_csv_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines parsed from WKT."""
+    given = view(spark, sf_dir, "fx_lines").withColumn("w", F.concat(F.lit("LINESTRING ("), F.col("x0"), F.lit(" "), F.col("y0"), F.lit(", "), F.col("x1"), F.lit(" "), F.col("y1"), F.lit(")")))
+    again = given.withColumn("g", geometry.from_wkt(F.col("w")))
+    at = lambda i, c: F.expr(f"g.parts[0][0][{i}].{c}")
+    return again.select("gid", at(0, "x").alias("x0"), at(0, "y").alias("y0"), at(1, "x").alias("x1"), at(1, "y").alias("y1"), F.size(F.expr("g.parts[0][0]")).alias("n"))
+
+
+# Exclusions, overlays and joins
+
+
+@query("select p.gid, case when exists (select 1 from fx_rects r where p.x > r.xmin and p.x < r.xmax and p.y > r.ymin and p.y < r.ymax) then 0 else value end as value from fx_points2d p")
+def j1_mask_exclusion_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values inside polygons set to 0."""
+    return exclude.mask_exclusion_areas(view(spark, sf_dir, "fx_points2d"), view(spark, sf_dir, "fx_edges"), "value", ["gid"]).select("gid", "value")
+
+
+@query("select p.gid, value as favorability, case when exists (select 1 from fx_rects r where r.dn = 2 and p.x > r.xmin and p.x < r.xmax and p.y > r.ymin and p.y < r.ymax) then 7 when exists (select 1 from fx_rects r where r.dn = 1 and p.x > r.xmin and p.x < r.xmax and p.y > r.ymin and p.y < r.ymax) then 0 else value end as pr_excl from fx_points2d p")
+def j2_add_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two exclusion layers, one after the other."""
+    edges = view(spark, sf_dir, "fx_edges").withColumn("dn", F.col("gid") % 3)
+    model = view(spark, sf_dir, "fx_points2d").select("gid", "x", "y", F.col("value").alias("favorability"))
+    return exclude.add_exclusions(model, [(edges.where("dn = 1"), 0.0), (edges.where("dn = 2"), 7.0)], ["gid"]).select("gid", "favorability", "pr_excl")
+
+
+@query(f"select p.gid, case when exists (select 1 from fx_rects r where {DRECT.replace('x -', 'p.x -').replace('- x', '- p.x').replace('y -', 'p.y -').replace('- y', '- p.y')} < 30) then 0 else value end as value from fx_points2d p".replace("p.xmin", "xmin").replace("p.xmax", "xmax").replace("p.ymin", "ymin").replace("p.ymax", "ymax"))
+def j3_buffer_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values closer than 30 to polygons set to 0."""
+    return exclude.buffer_distance(view(spark, sf_dir, "fx_points2d"), view(spark, sf_dir, "fx_edges"), "value", ["gid"], 30.0).select("gid", "value")
+
+
+@query("""
+with g as (select i % 12 as ix, i // 12 as iy, (i % 12 + 0.5) * (1000.0::double / 12) as x, (i // 12 + 0.5) * (1000.0::double / 12) as y from range(144) t(i)),
+o as (select ix, iy, value, greatest(0, least(x + 1000.0 / 24, xmax) - greatest(x - 1000.0 / 24, xmin)) * greatest(0, least(y + 1000.0 / 24, ymax) - greatest(y - 1000.0 / 24, ymin)) as a from g, fx_rects)
+select ix, iy, round(case when sum(a) > 0 then sum(a * value) / sum(a) else 0 end, 6) as value from o group by ix, iy""")
+def j4_polygons_to_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area-weighted values of polygons per cell."""
+    edges = view(spark, sf_dir, "fx_edges").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("edge", "x0", "y0"))).alias("e"))
+    rings = edges.select("gid", F.array(F.transform("e", lambda v: F.struct(v["x0"].alias("x"), v["y0"].alias("y")))).alias("rings"))
+    polygons = view(spark, sf_dir, "fx_rects").select("gid", "value").join(rings, "gid")
+    cells = grid.centres(spark, FULL, 12, 12)
+    return exclude.polygons_to_points(cells, polygons, 1000 / 12, 1000 / 12).select("ix", "iy", r6("value", "value"))
+
+
+@query(f"""
+with {G2}, c as (select ix, iy, gid, case when x > xmin and x < xmax and y > ymin and y < ymax then 0.0 else 0.5 end as v from g, fx_rects where (x > xmin and x < xmax and y > ymin and y < ymax) or {DRECT} < 40)
+select g.ix, g.iy, coalesce(min_by(v, gid), 1.0)::double as classification from g left join c using (ix, iy) group by g.ix, g.iy""")
+def j5_classify_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes by the first polygon whose area or buffer holds a node."""
+    return exclude.classify_points(grid2(spark), view(spark, sf_dir, "fx_edges"), ["ix", "iy"], 40.0, 0.0, 0.5).select("ix", "iy", "classification")
+
+
+@query(f"""
+with {G2} select ix, iy, (case when bool_or(x > xmin and x < xmax and y > ymin and y < ymax) then 0.0 when min({DRECT}) < 40 then 0.5 else 1.0 end)::double as classification from g, fx_rects group by ix, iy""")
+def j6_mark_buffer_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes of nodes."""
+    return exclude.mark_buffer_areas(grid2(spark), view(spark, sf_dir, "fx_edges"), 40.0).select("ix", "iy", "classification")
+
+
+@query(f"with {MEETS} select a, b, round(x, 6) as x, round(y, 6) as y from m")
+def j7_calculate_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where lines meet."""
+    return distance.intersections(view(spark, sf_dir, "fx_lines")).select("a", "b", r6("x", "x"), r6("y", "y"))
+
+
+# Grids
+
+
+@query(f"with {G2} select ix, iy, x, y from g")
+def g1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes from bound to bound."""
+    return grid2(spark)
+
+
+@query("select i % 7 as ix, i // 7 as iy, round((i % 7 + 0.5) * (1000.0::double / 7), 6) as x, round((i // 7 + 0.5) * 200.0, 6) as y from range(35) t(i)")
+def g2_cell_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of cells."""
+    return grid.centres(spark, FULL, 7, 5).select("ix", "iy", r6("x", "x"), r6("y", "y"))
+
+
+FULL_LATTICE = "xs as (select x, row_number() over (order by x) - 1 as ix from (select distinct x from {0})), ys as (select y, row_number() over (order by y) - 1 as iy from (select distinct y from {0}))"
+
+
+@query(f"with p as (select x, y, avg(value) as v from (select floor(x / 50) as x, floor(y / 50) as y, value from fx_points2d) group by all), {FULL_LATTICE.format('p')} select ix, iy, x, y, round(v, 6) as value from xs cross join ys left join p using (x, y)")
+def g3_grid_from_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means on the full lattice of coarse coordinates."""
+    given = view(spark, sf_dir, "fx_points2d").select(F.floor(F.col("x") / 50).cast("double").alias("x"), F.floor(F.col("y") / 50).cast("double").alias("y"), "value")
+    return grid.grid_from_tidy(given).select("ix", "iy", "x", "y", r6("value", "value"))
+
+
+RASTER = f"with {FULL_LATTICE.format('fx_lattice')} select ix, iy, x, y, round(a, 6) as a from xs cross join ys left join fx_lattice using (x, y)"
+
+
+@query(RASTER)
+def g4_rasterize_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer on its full lattice."""
+    return grid.rasterize(view(spark, sf_dir, "fx_lattice"), "a").select("ix", "iy", "x", "y", r6("a", "a"))
+
+
+@query(RASTER.replace("as a from", "as favorability from"))
+def g5_derasterize_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster on another layer's coordinates."""
+    given = view(spark, sf_dir, "fx_lattice")
+    return grid.derasterize(grid.rasterize(given, "a"), "a", given.select("x", "y")).select("ix", "iy", "x", "y", r6("favorability", "favorability"))
+
+
+POINTS3 = "p as (select floor(x / 100) as x, floor(y / 100) as y, z, max(value) as v from fx_points3d group by all)"
+LATTICE3 = FULL_LATTICE.format("p") + ", zs as (select z, row_number() over (order by z) - 1 as iz from (select distinct z from p))"
+
+
+def _coarse3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "fx_points3d").select(F.floor(F.col("x") / 100).cast("double").alias("x"), F.floor(F.col("y") / 100).cast("double").alias("y"), "z", "value")
+
+
+@query(f"with {POINTS3}, {LATTICE3} select ix, iy, iz, x, y, z, v as value from xs cross join ys cross join zs left join p using (x, y, z)")
+def g6_rasterize_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer on its full lattice in 3D."""
+    return grid.rasterize(_coarse3(spark, sf_dir), "value", ("x", "y", "z"))
+
+
+@query(f"with {POINTS3}, {LATTICE3} select ix, iy, iz, x, y, z, v as favorability from xs cross join ys cross join zs left join p using (x, y, z)")
+def g7_derasterize_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 3D raster on a layer's coordinates."""
+    given = _coarse3(spark, sf_dir)
+    axes = ("x", "y", "z")
+    return grid.derasterize(grid.rasterize(given, "value", axes), "value", given.select(*axes), axes)
+
+
+# Interpolation
+
+
+@query(f"with {G2} select ix, iy, g.x, g.y, arg_min(value, row(sqrt(power(g.x - p.x, 2) + power(g.y - p.y, 2)), gid)) as value_interpolated from g, fx_points2d p group by all")
+def i1_interpolate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest values."""
+    return interpolate.nearest(grid2(spark), view(spark, sf_dir, "fx_points2d")).select("ix", "iy", "x", "y", "value_interpolated")
+
+
+@query(f"with {G2} select ix, iy, round(2 * x - 3 * y + 5, 4) as value_interpolated from g")
+def i1_interpolate_linear_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A planar field, which linear interpolation gives back."""
+    points = view(spark, sf_dir, "fx_points2d").where("gid <= 150").select("x", "y").union(spark.createDataFrame([(-1.0, -2.0), (1001.5, -1.0), (-2.0, 1001.0), (1001.0, 1002.0)], "x double, y double"))
+    out = interpolate.linear(grid2(spark), points.withColumn("value", 2 * F.col("x") - 3 * F.col("y") + 5))
+    return out.select("ix", "iy", F.round("value_interpolated", 4).alias("value_interpolated"))
+
+
+NEAR3 = f"with {G3} select ix, iy, iz, arg_min(value, row(sqrt(power(g.x - p.x, 2) + power(g.y - p.y, 2) + power(g.z - p.z, 2)), gid)) as value_interpolated from g, fx_points3d p group by all"
+
+
+@query(NEAR3)
+def i2_interpolate_3d_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest values in 3D."""
+    return interpolate.nearest(grid3(spark), view(spark, sf_dir, "fx_points3d")).select("ix", "iy", "iz", "value_interpolated")
+
+
+@query(NEAR3)
+def i3_fast_interpolate_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search; partitions take the place of chunks."""
+    return interpolate.nearest(grid3(spark).repartition(4), view(spark, sf_dir, "fx_points3d")).select("ix", "iy", "iz", "value_interpolated")
+
+
+@query()
+def i4_kriging_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinary kriging in 3D."""
+    return interpolate.kriging(grid3(spark), view(spark, sf_dir, "fx_points3d").where("gid <= 600")).select("ix", "iy", "iz", r6("value_interpolated", "value_interpolated"))
+
+
+@query("""
+with c as (select row_number() over (order by x, y) as gid, x, y, 0.0 as z, a from fx_lattice),
+f as (select row_number() over (order by x) - 1 as ix, x, y, a as v from fx_lattice where a is not null)
+select c.gid, round(coalesce(c.a, arg_min(f.v, row(sqrt(power(c.x - f.x, 2) + power(c.y - f.y, 2)), f.y, f.x))), 6) as a from c left join f on c.a is null group by c.gid, c.a""")
+def i5_backfill_at_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes filled from the nearest cell."""
+    from pyspark.sql import Window
+
+    cells = view(spark, sf_dir, "fx_lattice").select(F.row_number().over(Window.orderBy("x", "y")).cast("long").alias("gid"), "x", "y", F.lit(0.0).alias("z"), "a")
+    known = cells.where("a is not null").select(F.col("x").alias("ix"), F.col("y").alias("iy"), "x", "y", F.col("a").alias("v"))
+    return interpolate.backfill_nearest(cells, known, "a", 0.0).select("gid", r6("a", "a"))
+
+
+@query("select p.gid, p.x, p.y, b.value as value_extrapolated from fx_points2d p left join (select x, y, min(gid) as gid, min(value) as value from fx_points2d where gid % 2 = 0 group by x, y) b on p.x = b.x and p.y = b.y")
+def i6_update_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions joined by rounded coordinates."""
+    given = view(spark, sf_dir, "fx_points2d")
+    predictions = given.where("gid % 2 = 0").groupBy("x", "y").agg(F.min("value").alias("prediction"))
+    moved = predictions.withColumn("x", F.col("x") + 1e-8)
+    return interpolate.join_predictions(given, moved).select("gid", "x", "y", "value_extrapolated")
+
+
+@query("select i % 500 as ix, i // 500 as iy, round(2 * ((i % 500) * (1000.0::double / 499)) + (i // 500) * (1000.0::double / 499), 4) as value_interpolated from range(250000) t(i)")
+def i8_raster_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane resampled to 500 by 500."""
+    corners = spark.createDataFrame([(0.0, 0.0), (1000.0, 0.0), (0.0, 1000.0), (1000.0, 1000.0), (400.0, 300.0)], "x double, y double").withColumn("value", 2 * F.col("x") + F.col("y"))
+    out = interpolate.linear(grid.lattice(spark, FULL, 500, 500), corners)
+    return out.select("ix", "iy", F.round("value_interpolated", 4).alias("value_interpolated"))
+
+
+# Distances
+
+
+@query(f"with {G2} select ix, iy, round(min(sqrt(power(g.x - p.x, 2) + power(g.y - p.y, 2))), 6) as distance from g, fx_points2d p group by all")
+def d1_distance_from_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest point."""
+    return distance.distance_from_points(grid2(spark), view(spark, sf_dir, "fx_points2d")).select("ix", "iy", r6("distance", "distance"))
+
+
+@query(f"with {G2}, {DLINE} select ix, iy, round(d_line, 6) as distance from dl")
+def d2_distance_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest line."""
+    return distance.distance_from_lines(grid2(spark), view(spark, sf_dir, "fx_lines")).select("ix", "iy", r6("distance", "distance"))
+
+
+@query(f"with {G2} select ix, iy, round(min({DRECT}), 6) as distance from g, fx_rects group by ix, iy")
+def d3_distance_from_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest polygon, 0 inside."""
+    return distance.distance_from_polygons(grid2(spark), view(spark, sf_dir, "fx_edges")).select("ix", "iy", r6("distance", "distance"))
+
+
+@query(f"with {G3} select ix, iy, iz, round(min({SEG}), 6) as distance from (select *, {T} as t from g, fx_lines) group by ix, iy, iz")
+def d4_distance_from_lines_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planar distance on a 3D grid."""
+    return distance.distance_from_lines(grid3(spark), view(spark, sf_dir, "fx_lines")).select("ix", "iy", "iz", r6("distance", "distance"))
+
+
+SOLIDS = "s as (select *, -100.0 * (gid % 4) - 60 as zmin, -100.0 * (gid % 4) + 60 as zmax from fx_rects)"
+
+
+def _solids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("gid") % 4
+    return view(spark, sf_dir, "fx_rects").select("gid", (-100.0 * k - 60).alias("zmin"), (-100.0 * k + 60).alias("zmax"))
+
+
+@query(f"with {SOLIDS} select gid from s where zmin - 1 <= -130 and zmax + 1 >= -130")
+def d5_slice_geometry_at_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solids at a level."""
+    return distance.slice_at_z(_solids(spark, sf_dir), -130.0, 1.0).select("gid")
+
+
+LEVELS = [-600.0, -400.0, -200.0, 0.0]
+
+
+@query(f"""
+with {SOLIDS}, l as (select i as iz, -600.0 + 200 * i as z from range(4) t(i)),
+g as (select i % 6 as ix, i // 6 as iy, (i % 6) * 200.0::double as x, (i // 6) * 200.0::double as y from range(36) t(i)),
+v as (select l.iz, l.z, s.gid from l join s on s.zmin - (100 + 1e-9) <= l.z and s.zmax + (100 + 1e-9) >= l.z),
+u as (select l.iz, arg_min(w.iz, row(abs(w.iz - l.iz), w.iz)) as use, l.z from l, (select distinct iz from v) w group by l.iz, l.z),
+d as (select g.ix, g.iy, v.iz, min({DRECT}) as d from g, v join fx_rects using (gid) group by all)
+select d.ix, d.iy, u.iz, round(d.d + abs(u.z - (-600.0 + 200 * u.use)), 6) as distance from u join d on d.iz = u.use""")
+def d6_distance_from_3d_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solids level by level."""
+    nodes = grid.lattice(spark, Extent(0.0, 0.0, 1000.0, 1000.0, -600.0, 0.0), 6, 6, 4)
+    return distance.distance_from_solids(nodes, view(spark, sf_dir, "fx_edges"), _solids(spark, sf_dir), LEVELS).select("ix", "iy", "iz", r6("distance", "distance"))
+
+
+@query(f"with {G2}, {DLINE}, {MEETS}, {DMEET} select ix, iy, round(d_line, 6) as d_line, case when isinf(d_int) then d_int else round(d_int, 6) end as d_int from dl join di using (ix, iy)")
+def d7_vectorized_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest line and nearest intersection."""
+    out = distance.line_and_intersection_distances(grid2(spark), view(spark, sf_dir, "fx_lines"))
+    return out.select("ix", "iy", r6("d_line", "d_line"), F.when(F.col("d_int") == distance.INF, F.col("d_int")).otherwise(r6("d_int")).alias("d_int"))
+
+
+@query(f"with {G2}, {DLINE}, {MEETS}, {DMEET} select ix, iy, case when isinf(d_int) then d_int else round(d_line + 0.5 * d_int, 6) end as distance from dl join di using (ix, iy)")
+def d8_distance_with_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted sum of both."""
+    out = distance.distance_from_lines_with_intersections(grid2(spark), view(spark, sf_dir, "fx_lines"))
+    return out.select("ix", "iy", F.when(F.col("distance") == distance.INF, F.col("distance")).otherwise(r6("distance")).alias("distance"))
+
+
+W = "w as (select p.*, 1 + (value - lo) / (hi - lo) as w from fx_points2d p, (select min(value) as lo, max(value) as hi from fx_points2d))"
+W3 = "w as (select p.*, 1 + (value - lo) / (hi - lo) as w from fx_points3d p, (select min(value) as lo, max(value) as hi from fx_points3d))"
+
+
+@query(f"with {G2}, {W} select ix, iy, round(sum(w * exp(-sqrt(power(g.x - w.x, 2) + power(g.y - w.y, 2)) / 1000)), 6) as weighted_point_score from g, w group by ix, iy")
+def d9_weighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decayed influence of weighted points."""
+    return distance.weighted_distance_from_points(grid2(spark), view(spark, sf_dir, "fx_points2d")).select("ix", "iy", r6("weighted_point_score", "weighted_point_score"))
+
+
+@query(f"with {G2} select ix, iy, round(sum(exp(-sqrt(power(g.x - p.x, 2) + power(g.y - p.y, 2)) / 200)), 6) as weighted_point_score from g, fx_points2d p group by ix, iy")
+def d9_unweighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without weights."""
+    return distance.weighted_distance_from_points(grid2(spark), view(spark, sf_dir, "fx_points2d"), None, 200).select("ix", "iy", r6("weighted_point_score", "weighted_point_score"))
+
+
+D3 = "sqrt(power(g.x - w.x, 2) + power(g.y - w.y, 2) + power(g.z - w.z, 2))"
+
+
+def _influence3(spark: SparkSession, sf_dir: str, mode: str, k: int | None = None) -> DataFrame:
+    out = distance.weighted_distance_from_points(grid3(spark), view(spark, sf_dir, "fx_points3d"), mode=mode, k_nearest=k)
+    return out.select("ix", "iy", "iz", r6("weighted_point_score", "weighted_point_score"))
+
+
+@query(f"with {G3}, {W3} select ix, iy, iz, round(max(w * exp(-{D3} / 1000)), 6) as weighted_point_score from g, w group by ix, iy, iz")
+def d10_weighted_distance_3d_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greatest influence."""
+    return _influence3(spark, sf_dir, "max")
+
+
+@query(f"with {G3}, {W3} select ix, iy, iz, round(avg(w * exp(-{D3} / 1000)), 6) as weighted_point_score from g, w group by ix, iy, iz")
+def d10_weighted_distance_3d_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean influence."""
+    return _influence3(spark, sf_dir, "mean")
+
+
+@query(f"with {G3}, {W3}, r as (select ix, iy, iz, w * exp(-{D3} / 1000) as s, row_number() over (partition by ix, iy, iz order by {D3}, gid) as k from g, w) select ix, iy, iz, round(sum(s), 6) as weighted_point_score from r where k <= 5 group by ix, iy, iz")
+def d10_weighted_distance_3d_knearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Influence of the five nearest."""
+    return _influence3(spark, sf_dir, "knearest", 5)
+
+
+@query(f"with {G2}, {DLINE}, {MEETS}, {DMEET} select ix, iy, round(d_line, 6) as distance, round(0.7 * exp(-d_line / 1000) + 0.3 * case when isinf(d_int) then 0 else exp(-d_int / 500) end, 6) as \"fault score\" from dl join di using (ix, iy)")
+def d11_process_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Influence of faults and their intersections."""
+    out = distance.process_faults(grid2(spark), view(spark, sf_dir, "fx_lines"))
+    return out.select("ix", "iy", r6("distance", "distance"), r6(F.col("fault score"), "fault score"))
+
+
+# Density and structure
+
+FINE = "f as (select i % 30 as ix, i // 30 as iy from range(900) t(i))"
+PROJECTED = "select f.ix, f.iy, coalesce(max(n), 0)::bigint as density from f left join c on f.ix >= trunc(cx * 90.0::double / (1000.0::double / 30))::bigint and f.ix < trunc((cx + 1) * 90.0::double / (1000.0::double / 30))::bigint and f.iy >= trunc(cy * 90.0::double / (1000.0::double / 30))::bigint and f.iy < trunc((cy + 1) * 90.0::double / (1000.0::double / 30))::bigint group by f.ix, f.iy"
+
+
+@query(f"with {FINE}, c as (select trunc(x / 90)::bigint as cx, trunc(y / 90)::bigint as cy, count(*) as n from fx_points2d where x < 990 and y < 990 group by all) {PROJECTED}")
+def a1_point_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points per coarse cell on a fine grid."""
+    return density.point_density(view(spark, sf_dir, "fx_points2d"), FULL, 90.0, 30, 30).select("ix", "iy", "density")
+
+
+@query(f"with {FINE}, c as (select cx, cy, count(*) as n from fx_rects, (select i as cx from range(11) t(i)), (select i as cy from range(11) t(i)) where cx between trunc(xmin / 90) and trunc(xmax / 90) and cy between trunc(ymin / 90) and trunc(ymax / 90) group by all) {PROJECTED}")
+def a2_polygon_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons per coarse cell on a fine grid."""
+    return density.polygon_density(view(spark, sf_dir, "fx_rects"), FULL, 90.0, 30, 30).select("ix", "iy", "density")
+
+
+VOXELS = "c as (select trunc(x / 70)::bigint as cx, trunc(y / 70)::bigint as cy, trunc((z + 700) / 200)::bigint as cz, count(*) as n from fx_points3d where trunc(x / 70) < 7 and trunc(y / 70) < 7 and trunc((z + 700) / 200) < 3 group by all)"
+
+
+@query(f"with {VOXELS}, v as (select i % 7 as ix, (i // 7) % 7 as iy, i // 49 as iz from range(147) t(i)) select ix, iy, iz, coalesce(n, 0)::bigint as density from v left join c on cx = ix and cy = iy and cz = iz")
+def a3_point_density_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points per voxel."""
+    return density.point_density_3d(view(spark, sf_dir, "fx_points3d"), FULL3, 70.0, 70.0, 200.0).select("ix", "iy", "iz", "density")
+
+
+@query(f"with {VOXELS}, v as (select i % 10 as ix, (i // 10) % 10 as iy, i // 100 as iz from range(500) t(i)) select ix, iy, iz, coalesce(n, 0)::bigint as density from v left join c on cx = trunc((ix + 0.5) * 50 / 70)::bigint and cy = trunc((iy + 0.5) * 50 / 70)::bigint and cz = trunc((iz + 0.5) * 140 / 200)::bigint")
+def a4_point_density_3d_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxel counts at fine centres."""
+    return density.point_density_3d_projected(view(spark, sf_dir, "fx_points3d"), FULL3, 70.0, 70.0, 200.0, 10, 10, 5).select("ix", "iy", "iz", "density")
+
+
+@query("select x, y, round(sum(value), 4) as value, min(z) as z_min from fx_points3d group by x, y")
+def a5_convert_3d_to_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums per place."""
+    return structure.convert_3d_to_2d(view(spark, sf_dir, "fx_points3d"), "value").select("x", "y", F.round("value", 4).alias("value"), "z_min")
+
+
+@query("with o as (select 500 / tan(radians(60)) as h, radians(30 + 90) as a) select gid, 5 as n, round(x1 + h * sin(a), 6) as x2, round(y1 + h * cos(a), 6) as y2, -500.0::double as z2 from fx_lines, o")
+def a6_extrude_2d_to_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dipping walls below lines; the first bottom corner."""
+    out = structure.extrude_lines(view(spark, sf_dir, "fx_lines"), 0.0, -500.0, 30.0, 60.0)
+    return out.select("gid", F.size("ring").alias("n"), r6(F.expr("ring[2].x"), "x2"), r6(F.expr("ring[2].y"), "y2"), F.expr("ring[2].z").alias("z2"))
+
+
+@query()
+def a7_fault_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convex hulls of faults."""
+    return structure.fault_surfaces(view(spark, sf_dir, "fx_points3d")).select("fault", "n_corners", r6("area", "area"))
+
+
+TRACE = "select fault_id as fault, count(*) as n, md5(string_agg(x::bigint || ' ' || y::bigint, ',' order by {0})) as trace from fx_points3d {1} group by fault_id"
+
+
+def _digest(df: DataFrame) -> DataFrame:
+    point = lambda v: F.concat(v["x"].cast("long"), F.lit(" "), v["y"].cast("long"))
+    return df.select("fault", "n", F.md5(F.array_join(F.transform("trace", point), ",")).alias("trace"))
+
+
+@query(TRACE.format("z desc, gid", ""))
+def a8_fault_traces_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fault lines from the top."""
+    return _digest(structure.fault_traces_top(view(spark, sf_dir, "fx_points3d")))
+
+
+@query(TRACE.format("x, y, z", "where abs(z + 700) <= 150") + " having count(*) > 1")
+def a9_fault_traces_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fault lines near the bottom."""
+    return _digest(structure.fault_traces_bottom(view(spark, sf_dir, "fx_points3d"), 150.0))
+
+
+@query(TRACE.format("x, y, z", "where abs(z + 700) <= 1e6") + " having count(*) > 1")
+def a10_fault_traces_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the default tolerance all points count."""
+    return _digest(structure.fault_traces_bottom(view(spark, sf_dir, "fx_points3d")))
+
+
+# Transformations and normalisations
+
+
+def _layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "fx_lattice").select("x", "y", "a", (F.col("b") - 1).alias("b"))
+
+
+LAYER = "l as (select x, y, a, b - 1 as b from fx_lattice)"
+MAD = "s as (select med, median(abs({0} - med)) as mad from l, (select median({0}) as med from l) group by med)"
+
+
+def _transform(key: str, method: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return transforms.transform_layer(_layer(spark, sf_dir), "b", method).select("x", "y", F.when(F.abs("b") == distance.INF, F.col("b")).otherwise(r6("b")).alias("b"))
+
+    query(sql, key)(run)
+
+
+_transform("t1_transform_inverse", "inverse", f"with {LAYER} select x, y, case when b = 0 then 'infinity'::double else round(1 / b, 6) end as b from l")
+_transform("t2_transform_negate", "negate", f"with {LAYER} select x, y, round(-b, 6) + 0.0 as b from l")
+_transform("t3_transform_ln", "ln", f"with {LAYER} select x, y, case when b = 0 then '-infinity'::double else round(ln(b), 6) end as b from l")
+_transform("t4_transform_none", "none", f"with {LAYER} select x, y, b from l")
+HILL = f"with {LAYER}, {MAD.format('b')} select x, y, round({{0}}exp(-power(b - med, 2) / (2 * power(case when mad = 0 then 1e-6 else mad end, 2))), 6) as b from l, s"
+_transform("t5_transform_hill", "hill", HILL.format(""))
+_transform("t6_transform_valley", "valley", HILL.format("1 - "))
+
+
+@query(f"with {LAYER} select x, y, round((a - lo) / (hi - lo), 6) as a from l, (select min(a) as lo, max(a) as hi from l)")
+def n1_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled to [0, 1]."""
+    return transforms.normalize_layer(_layer(spark, sf_dir), "a").select("x", "y", r6("a", "a"))
+
+
+@query(f"with {LAYER} select x, y, 0.0::double as a from l")
+def n1_minmax_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constant layer gives zeros, missing cells too."""
+    given = _layer(spark, sf_dir).withColumn("a", F.when(F.col("a").isNotNull(), F.lit(5.0)))
+    return transforms.normalize_layer(given, "a").select("x", "y", "a")
+
+
+@query(f"with {LAYER}, {MAD.format('a')} select x, y, round((a - med) / (1.482 * mad), 6) as a from l, s")
+def n2_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robust scores."""
+    return transforms.normalize_layer(_layer(spark, sf_dir), "a", "mad").select("x", "y", r6("a", "a"))
+
+
+@query(f"with {LAYER} select x, y, case when a is null then null when x = 0 and y = 1 then 1.0 else 0.0 end::double as a from l")
+def n2_mad_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A MAD of 0 falls back to minmax."""
+    one = F.when((F.col("x") == 0) & (F.col("y") == 1), 3.0).otherwise(2.0)
+    given = _layer(spark, sf_dir).withColumn("a", F.when(F.col("a").isNotNull(), one))
+    return transforms.normalize_layer(given, "a", "mad").select("x", "y", "a")
+
+
+@query(f"with {LAYER} select x, y, round((a - lo) / (hi - lo) * 5, 6) as a from l, (select min(a) as lo, max(a) as hi from l)")
+def n3_normalize_gdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled to [0, 5]."""
+    return transforms.scale_column(_layer(spark, sf_dir), "a", 5).select("x", "y", r6("a", "a"))
+
+
+# Combination
+
+STACK = "k as (select x, y, 0 as ord, 0.4 as w, a / 400000 as v from fx_lattice union all select x, y, 1, 0.6, b / 200 from fx_lattice)"
+
+
+def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = view(spark, sf_dir, "fx_lattice")
+    return given.select("x", "y", F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(w).alias("w"), v.alias("v")) for i, w, v in ((0, 0.4, F.col("a") / 400000), (1, 0.6, F.col("b") / 200))))).alias("s")).select("x", "y", "s.*")
+
+
+@query("select p, round(ln(p / (1 - p)), 9) as w0 from (select (i + 1) / 10.0::double as p from range(9) t(i))")
+def v3_get_w0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prior logits."""
+    rows = [((i + 1) / 10, round(combine.prior_logit((i + 1) / 10), 9)) for i in range(9)]
+    return spark.createDataFrame(rows, "p double, w0 double")
+
+
+@query(f"with {STACK} select x, y, round(1 / (1 + exp(-ln(0.4 / 0.6) - coalesce(sum(w * v), 0))), 9) as pr from k group by x, y")
+def v4_voter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic of weighted sums."""
+    return combine.voter(_stack(spark, sf_dir), ["x", "y"], combine.prior_logit(0.4)).select("x", "y", F.round("pr", 9).alias("pr"))
+
+
+@query("select x, y, round((a / 400000) * (b / 200), 9) as pr from fx_lattice")
+def v5_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products; missing if one item is."""
+    return combine.veto(_stack(spark, sf_dir), ["x", "y"]).select("x", "y", F.round("pr", 9).alias("pr"))
+
+
+FOLD = "f as (select x, y, a / 400000 as c0, case when (x + 2 * y) % 5 = 0 then 0 else b / 200 end as c1, case when (3 * x + y) % 4 = 0 then 0 else 0.5 end as c2 from fx_lattice)"
+SCALED = "select x, y, round(case when hs > 0 then s / hs * hp else s end, 9) as pr from m, (select max(s) as hs, max(p) as hp from m)"
+
+
+def _folded(spark: SparkSession, sf_dir: str, vetoing: bool) -> DataFrame:
+    given = view(spark, sf_dir, "fx_lattice")
+    items = ((0, 0.5, F.col("a") / 400000), (1, 0.3, F.when((F.col("x") + 2 * F.col("y")) % 5 == 0, 0.0).otherwise(F.col("b") / 200)), (2, 0.2, F.when((3 * F.col("x") + F.col("y")) % 4 == 0, 0.0).otherwise(0.5)))
+    rows = given.select("x", "y", F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(w).alias("w"), v.alias("v")) for i, w, v in items))).alias("s")).select("x", "y", "s.*")
+    return combine.modified_veto(rows, ["x", "y"], vetoing=vetoing).select("x", "y", F.round("pr", 9).alias("pr"))
+
+
+@query(f"with {FOLD}, m as (select x, y, case when c2 = 0 then 0 when c1 = 0 then 0.2 * c2 when c0 = 0 then 0.3 * c1 + 0.2 * c2 else 0.5 * c0 + 0.3 * c1 + 0.2 * c2 end as s, c0 * c1 * c2 as p from f) {SCALED}")
+def v6_modified_veto_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zeros reset the fold at their place."""
+    return _folded(spark, sf_dir, True)
+
+
+@query(f"with {FOLD}, m as (select x, y, 0.5 * c0 + 0.3 * c1 + 0.2 * c2 as s, c0 * c1 * c2 as p from f) {SCALED}")
+def v6_modified_veto_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a veto."""
+    return _folded(spark, sf_dir, False)
+
+
+PREPARED = f"with {STACK}, m as (select ord, median(v) as med from k group by ord), n as (select x, y, count(v) as n from k group by x, y) select x, y, ord, round(case when v is null and n > 0 then coalesce(med, 0) else v end, 9) as v, {{0}} as masked from k join m using (ord) join n using (x, y)"
+
+
+def _prepared(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return combine.prepare(_stack(spark, sf_dir), ["ord"], ["x", "y"], mode).select("x", "y", "ord", F.round("v", 9).alias("v"), "masked")
+
+
+@query(PREPARED.format("n = 0"))
+def v7_prepare_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled where another layer has data; masked where none has."""
+    return _prepared(spark, sf_dir, "propagate_shared")
+
+
+@query(PREPARED.format("n < 2"))
+def v7_prepare_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked where any layer has no data."""
+    return _prepared(spark, sf_dir, "propagate_any")
+
+
+@query("""
+with l as (select x, y, a, case when b is null then null else -b end as b from fx_lattice),
+s as (select min(a) as la, max(a) as ha, min(b) as lb, max(b) as hb from l),
+z as (select x, y, (a - la) / (ha - la) as a, (b - lb) / (hb - lb) as b from l, s),
+lat as (select x, y from (select distinct x from z) cross join (select distinct y from z)),
+zz as (select lat.x, lat.y, a, b from lat left join z using (x, y)),
+m as (select median(a) as ma, median(b) as mb from zz),
+v as (select x, y, case when a is null and b is null then null else 1 / (1 + exp(-ln(0.4 / 0.6) - 0.204 * coalesce(a, ma) - 0.112 * coalesce(b, mb))) end as pr from zz, m),
+t as (select median(pr) as med, max(pr) as hi, min(pr) as lo from v)
+select x, y, round(pr, 9) as pr, round(case when hi = lo then 5 else (pr - lo) / (hi - lo) * 5 end, 6) as pr_norm from v, t""")
+def v8_do_voter_veto_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers to one favourability map."""
+    given = view(spark, sf_dir, "fx_lattice")
+    layers = [combine.Layer("c", "heat", "a", given.select("x", "y", F.col("a").alias("value")), weight=0.204), combine.Layer("c", "heat", "b", given.select("x", "y", F.col("b").alias("value")), weight=0.112, method="negate")]
+    out = combine.do_voter_veto(layers, combine.Weights({("c", "heat"): (1.0, 0.4)}, {"c": 1.0})).final
+    return out.select("x", "y", F.round("pr", 9).alias("pr"), r6("pr_norm", "pr_norm"))
+
+
+@query(f"""
+with {POINTS3}, xs as (select distinct x from p), ys as (select distinct y from p), zs as (select distinct z from p),
+l as (select x, y, z, v from xs cross join ys cross join zs left join p using (x, y, z)),
+s as (select min(v) as lo, max(v) as hi from l),
+c as (select x, y, z, case when v is null then null else 1 / (1 + exp(-ln(0.3 / 0.7) - 0.5 * (v - lo) / (hi - lo))) end as pr from l, s),
+t as (select max(pr) as hi, min(pr) as lo from c)
+select x, y, z, round(pr, 9) as pr, round((pr - lo) / (hi - lo) * 5, 6) as pr_norm from c, t""")
+def v8_do_voter_veto_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One layer in 3D."""
+    given = _coarse3(spark, sf_dir)
+    out = combine.do_voter_veto([combine.Layer("c", "k", "l", given, weight=0.5)], combine.Weights({("c", "k"): (1.0, 0.3)}, {"c": 1.0})).final
+    return out.select("x", "y", "z", F.round("pr", 9).alias("pr"), r6("pr_norm", "pr_norm"))
+
+
+@query("select quantile_cont(value, 0.37) as quantile from fx_points3d")
+def f_exact_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quantile without sorting the whole column."""
+    return stats.exact_quantile(view(spark, sf_dir, "fx_points3d"), "value", 0.37)
