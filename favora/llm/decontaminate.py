@@ -8,7 +8,8 @@ that the basis holds,
 
     <V'p, V'b> |b| / (|p| |V'b|^2)
 
-reaches COSINE.  Passages whose words in the benchmark's vocabulary hold too little of |p| for that are skipped first.
+reaches COSINE.  First those are skipped that can't reach it: the words that p and b share weigh no more than p's words in
+the benchmark's vocabulary, each taken as often as any b has it, which must be COSINE |p| times the least |b|.
 Candidates are confirmed by the longest common subsequence of words and by the share of answer words, so that paraphrases
 are found and chance likeness is not.  Benchmarks are searched in blocks of BLOCK items, each of a size that can be sent
 to the tasks; documents are never shuffled.
@@ -156,6 +157,8 @@ class Block(NamedTuple):
     passage_first: np.ndarray
     latent: np.ndarray
     item_ids: list[int]
+    most: np.ndarray
+    least: float
     words: list[list[str]]
     answers: list[list[str]]
 
@@ -186,12 +189,16 @@ def _block(rows: list, passages: list, idf: np.ndarray, basis: Basis) -> Block:
             given = [one[i] for i in np.argsort(-np.asarray(weight), kind="stable")[:ANSWER_WORDS]]
         answers.append(given)
     latent = np.zeros((len(passages), basis.rows.shape[1]), np.float32)
+    most, norms = np.zeros(FEATURES, np.float32), [np.inf]
     for k, p in enumerate(passages):
         f = np.array(p.features, np.int64)
         image = (idf[f][:, None] * basis.rows[np.searchsorted(basis.features, f)]).sum(axis=0)
+        one, times = np.unique(f, return_counts=True)
+        most[one] = np.maximum(most[one], times)
+        norms.append(float(np.sqrt((idf[f] ** 2).sum())))
         # Latent vector times |b| / |V'b|^2.
         latent[k] = image * np.sqrt((idf[f] ** 2).sum()) / max(float(image @ image), 1e-9)
-    return Block(np.array([number[p.item_id] for p in passages], np.int64), np.array([p.first for p in passages], np.int64), latent, list(number), words, answers)
+    return Block(np.array([number[p.item_id] for p in passages], np.int64), np.array([p.first for p in passages], np.int64), latent, list(number), most, min(norms), words, answers)
 
 
 def _confirmed(block: Block, item: int, first: int, words: list[str], start: int) -> tuple[float, float] | None:
@@ -220,19 +227,18 @@ def _search(docs: DataFrame, idf: np.ndarray, basis: Basis, block: Block) -> Dat
         weight, v, b = sent.value
         place = np.full(FEATURES, len(v.features), np.int64)
         place[v.features] = np.arange(len(v.features))
-        known = place < len(v.features)
         matrix = np.vstack([v.rows, np.zeros((1, v.rows.shape[1]), np.float32)])
         for rows, data, offsets in pieces(batches, 1):
             starts, ends, at = word_spans(data, offsets)
             f = (word_hashes(data, starts, ends) % np.uint64(FEATURES)).astype(np.int64)
             energy = weight[f].astype(np.float64) ** 2
-            whole, inside = (np.concatenate([[0], np.cumsum(x)]) for x in (energy, energy * known[f]))
+            whole, inside = (np.concatenate([[0], np.cumsum(x)]) for x in (energy, energy * b.most[f]))
             windows = [_starts(lo, hi) for lo, hi in zip(at[:-1], at[1:], strict=True)]
             doc = np.repeat(np.arange(len(windows)), [len(x) for x in windows])
             first = np.concatenate(windows) if windows else np.empty(0, np.int64)
             last = np.minimum(first + WINDOW, at[1:][doc]) if len(first) else first
             norm = whole[last] - whole[first]
-            live = np.flatnonzero((inside[last] - inside[first] >= COSINE**2 * norm) & (norm > 0))
+            live = np.flatnonzero((inside[last] - inside[first] >= COSINE * b.least * np.sqrt(norm)) & (norm > 0))
             hits: dict[tuple[int, int], list] = {}
             for lo in range(0, len(live), 2048):
                 some = live[lo : lo + 2048]
