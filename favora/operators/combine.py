@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from favora.functions.stats import exact_quantile, medians_and_mads
+from favora.functions.tables import store
 from favora.functions.transforms import check_method, minmax, robust, transformed
 from favora.operators.grid import rasterize
 
@@ -168,6 +169,8 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
         part = raster.select(F.lit(layer.criteria).alias("criteria"), F.lit(layer.component).alias("component"), F.lit(at).alias("ord"), F.lit(float(layer.weight)).alias("w"), F.lit(method).alias("method"), *cell, F.col(layer.column).cast("double").alias("v"))
         rows = part if rows is None else rows.unionAll(part)
         last = raster.select(*cell, *axes)
+    last = store(last, "cells")
+    rows = store(rows, "rasters")
     keys = ["ord"]
     if any(check_method(x.method) in ("hill", "valley") for x in layers):
         rows = rows.join(medians_and_mads(rows, "v", keys), keys, "left")
@@ -177,7 +180,7 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
     for method in sorted({check_method(x.method) for x in layers}):
         one = transformed(F.col("v"), method, F.col("med"), F.col("mad"))
         value = one if value is None else F.when(F.col("method") == method, one).otherwise(value)
-    rows = rows.withColumn("v", value).drop("med", "mad", "method")
+    rows = store(rows.withColumn("v", value).drop("med", "mad", "method"), "layers")
     bounds = rows.groupBy("ord").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     if normalize_method == "minmax":
         rows = rows.join(bounds, "ord").withColumn("v", minmax(F.col("v"), F.col("lo"), F.col("hi")))
@@ -186,16 +189,18 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
     else:
         raise ValueError(f"unknown normalisation method: {normalize_method}")
 
+    rows = store(rows, "layers")
     ready = prepare(rows.select("criteria", "component", "ord", "w", *cell, "v"), ["ord"], ["criteria", "component", *cell], nan_mode)
     order = [(c, k) for c, k in weights.components]
     table = rows.sparkSession.createDataFrame([(c, k, i, float(weights.components[c, k][0]), prior_logit(weights.components[c, k][1])) for i, (c, k) in enumerate(order)], "criteria string, component string, k_ord int, k_w double, w0 double")
     components = ready.groupBy("criteria", "component", *cell).agg(F.collect_list(F.struct("ord", "w", "v")).alias("_i"), F.bool_or("masked").alias("masked"))
     components = components.join(table, ["criteria", "component"]).select("criteria", "component", *cell, F.when(~F.col("masked"), logistic(F.col("w0"), weighted_sum(F.col("_i")))).alias("pr"), "k_ord", "k_w")
+    components = store(components, "components")
     ready = prepare(components.select("criteria", F.col("k_ord").alias("ord"), F.col("k_w").alias("w"), *cell, F.col("pr").alias("v")), ["criteria", "ord"], ["criteria", *cell], nan_mode)
-    criteria = _masked_veto(ready, ["criteria", *cell], ["criteria"], component_veto)
+    criteria = store(_masked_veto(ready, ["criteria", *cell], ["criteria"], component_veto), "criteria")
     table = rows.sparkSession.createDataFrame([(c, i, float(w)) for i, (c, w) in enumerate(weights.criteria.items())], "criteria string, ord int, w double")
     ready = prepare(criteria.join(table, "criteria").select("ord", "w", *cell, F.col("pr").alias("v")), ["ord"], cell, nan_mode)
-    final = _masked_veto(ready, cell, [], criteria_veto)
+    final = store(_masked_veto(ready, cell, [], criteria_veto), "final")
     placed = lambda df, by: _scaled(df, by, norm_to).join(last, cell).select(*by, *axes, "pr", "pr_norm")
     return Favorability(placed(components.drop("k_ord", "k_w"), ["criteria", "component"]), placed(criteria, ["criteria"]), placed(final, []))
 

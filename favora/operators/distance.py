@@ -96,17 +96,20 @@ def distance_from_solids(grid: DataFrame, edges: DataFrame, solids: DataFrame, l
     """
     step = abs(levels[1] - levels[0]) if len(levels) > 1 else 0.0
     tolerance = step / 2 + 1e-9
-    given = {i: slice_at_z(solids, z, tolerance) for i, z in enumerate(levels)}
-    valid = [i for i, s in given.items() if s.limit(1).count()]
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(z)).alias("z")) for i, z in enumerate(levels)))
+    cut = solids.select(F.col("gid").alias("polygon"), F.explode(F.filter(table, lambda v: (F.col("zmin") - tolerance <= v["z"]) & (F.col("zmax") + tolerance >= v["z"]))).alias("v")).select("polygon", F.col("v.i").alias("level"))
+    valid = sorted(r.level for r in cut.select("level").distinct().collect())
     if not valid:
         return grid.withColumn("distance", F.lit(INF))
-    out = None
-    for i, z in enumerate(levels):
-        use = min(valid, key=lambda j: (abs(j - i), j))
-        one = distance_from_polygons(grid.where(F.col("iz") == i), edges.join(given[use].select("gid"), "gid", "left_semi"))
-        one = one if use == i else one.withColumn("distance", F.col("distance") + abs(z - levels[use]))
-        out = one if out is None else out.unionByName(one)
-    return out
+    plane = grid.select("x", "y").distinct()
+    edged = edges.select(F.col("gid").alias("polygon"), "x0", "y0", "x1", "y1").join(cut, "polygon").drop("polygon")
+    far = nearest_candidates(plane, edged, "level").groupBy("x", "y", "level").agg(F.min(_to_segment()).alias("d"))
+    within = inside(plane, edges, ["x", "y"]).join(cut, "polygon").select("x", "y", "level", F.lit(0.0).alias("d"))
+    planar = far.unionByName(within).groupBy("x", "y", "level").agg(F.min("d").alias("d"))
+    use = {i: min(valid, key=lambda j: (abs(j - i), j)) for i in range(len(levels))}
+    # One row for each level.
+    source = grid.sparkSession.createDataFrame([(i, j, abs(levels[i] - levels[j])) for i, j in use.items()], "iz long, level int, gap double")
+    return grid.join(source, "iz").join(planar, ["x", "y", "level"]).withColumn("distance", F.col("d") + F.col("gap")).drop("level", "gap", "d")
 
 
 def intersections(segments: DataFrame, all_points: bool = False) -> DataFrame:

@@ -51,41 +51,52 @@ class _Frame:
         return features.withColumn("fx", F.explode(F.sequence(lo[0], hi[0]))).withColumn("fy", F.explode(F.sequence(lo[1], hi[1])))
 
 
-def nearest_candidates(targets: DataFrame, features: DataFrame) -> DataFrame | None:
+def nearest_candidates(targets: DataFrame, features: DataFrame, plane: str | None = None) -> DataFrame | None:
     """Rows of targets (x, y) with features (columns of both) that hold the nearest of every target; None without features.
 
-    A feature that touches several buckets can come more than once.
+    A feature that touches several buckets can come more than once.  With `plane`, a column of the features of few values,
+    each target meets the nearest of every plane.
     """
     f = _Frame(features, targets)
     if not f.count:
         return None
-    spread = f.spread(features)
-    used = np.zeros((f.nx, f.ny), bool)
-    for r in spread.groupBy("fx", "fy").count().collect():
-        used[r.fx, r.fy] = True
+    spread = f.spread(features if plane else features.withColumn("_plane", F.lit(0)))
+    key = plane or "_plane"
+    kind = dict(spread.dtypes)[key]
+    used: dict = {}
+    for r in spread.groupBy(key, "fx", "fy").count().collect():
+        used.setdefault(r[0], np.zeros((f.nx, f.ny), bool))[r.fx, r.fy] = True
+    spark = targets.sparkSession
+    rows = [(p, x, y, r) for p, u in used.items() for x, y, r in _reach(u)]
+    full = [(p, int(x), int(y)) for p, u in used.items() for x, y in zip(*np.nonzero(u), strict=True)]
+    cells = spark.createDataFrame(rows, f"{key} {kind}, tx int, ty int, r int")
+    occupied = spark.createDataFrame(full, f"{key} {kind}, fx int, fy int")
+    clamp = lambda c, n: F.sequence(F.greatest(F.col(c) - F.col("r"), F.lit(0)), F.least(F.col(c) + F.col("r"), F.lit(n - 1)))
+    pairs = cells.withColumn("fx", F.explode(clamp("tx", f.nx))).withColumn("fy", F.explode(clamp("ty", f.ny))).drop("r").join(occupied, [key, "fx", "fy"], "left_semi")
+    tx, ty = f.bucket(F.col("x"), F.col("y"))
+    placed = targets.withColumn("tx", tx).withColumn("ty", ty)
+    out = placed.join(pairs, ["tx", "ty"]).join(_apart(spread, targets), [key, "fx", "fy"]).drop("tx", "ty", "fx", "fy")
+    return out if plane else out.drop("_plane")
+
+
+def _reach(used: np.ndarray) -> list[tuple[int, int, int]]:
+    """(x, y, r): how many buckets away the nearest features of targets in each bucket can be at most."""
+    nx, ny = used.shape
     sums = np.pad(used.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-    bx, by = np.meshgrid(np.arange(f.nx), np.arange(f.ny), indexing="ij")
+    bx, by = np.meshgrid(np.arange(nx), np.arange(ny), indexing="ij")
 
     def within(r: np.ndarray) -> np.ndarray:
-        x0, x1, y0, y1 = np.maximum(bx - r, 0), np.minimum(bx + r + 1, f.nx), np.maximum(by - r, 0), np.minimum(by + r + 1, f.ny)
+        x0, x1, y0, y1 = np.maximum(bx - r, 0), np.minimum(bx + r + 1, nx), np.maximum(by - r, 0), np.minimum(by + r + 1, ny)
         return sums[x1, y1] - sums[x0, y1] - sums[x1, y0] + sums[x0, y0] > 0
 
-    lo, hi = np.full(used.shape, -1), np.full(used.shape, max(f.nx, f.ny))
+    lo, hi = np.full(used.shape, -1), np.full(used.shape, max(nx, ny))
     while (hi - lo > 1).any():
         mid = (lo + hi) // 2
         good, going = within(np.maximum(mid, 0)), hi - lo > 1
         lo, hi = np.where(going & ~good, mid, lo), np.where(going & good, mid, hi)
     # Within r buckets there is a feature no further than the diagonal of r + 1 buckets.
     reach = np.ceil(np.sqrt(2.0) * (hi + 1)).astype(int)
-    spark = targets.sparkSession
-    rows = [(int(x), int(y), int(r)) for x, y, r in zip(bx.ravel(), by.ravel(), reach.ravel(), strict=True)]
-    cells = spark.createDataFrame(rows, "tx int, ty int, r int")
-    full = spark.createDataFrame([(int(x), int(y)) for x, y in zip(*np.nonzero(used), strict=True)], "fx int, fy int")
-    clamp = lambda c, n: F.sequence(F.greatest(F.col(c) - F.col("r"), F.lit(0)), F.least(F.col(c) + F.col("r"), F.lit(n - 1)))
-    pairs = cells.withColumn("fx", F.explode(clamp("tx", f.nx))).withColumn("fy", F.explode(clamp("ty", f.ny))).drop("r").join(full, ["fx", "fy"], "left_semi")
-    tx, ty = f.bucket(F.col("x"), F.col("y"))
-    placed = targets.withColumn("tx", tx).withColumn("ty", ty)
-    return placed.join(pairs, ["tx", "ty"]).join(_apart(spread, targets), ["fx", "fy"]).drop("tx", "ty", "fx", "fy")
+    return [(int(x), int(y), int(r)) for x, y, r in zip(bx.ravel(), by.ravel(), reach.ravel(), strict=True)]
 
 
 def _apart(features: DataFrame, targets: DataFrame) -> DataFrame:
