@@ -772,3 +772,57 @@ def v8_do_voter_veto_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f_exact_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quantile without sorting the whole column."""
     return stats.exact_quantile(view(spark, sf_dir, "fx_points3d"), "value", 0.37)
+
+
+# Gaussian-process statistics
+
+from favora.operators import gp  # noqa: E402
+
+
+@query("select gid, round((p.x - mx) / sx, 6) as x, round((p.y - my) / sy, 6) as y from fx_points2d p, (select avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, stddev_pop(y) as sy from fx_points2d where gid % 5 = 0)")
+def x1_standardize_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates standardised by a training part."""
+    given = view(spark, sf_dir, "fx_points2d").select("gid", "x", "y")
+    return gp.standardise(given.where("gid % 5 = 0"), given).select("gid", r6("x", "x"), r6("y", "y"))
+
+
+@query()
+def x2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded split."""
+    return gp.split(view(spark, sf_dir, "fx_points2d"), 0.8, 1).groupBy("test").agg(F.count("*").alias("n"))
+
+
+@query("select round(var_samp(value), 4) as v, round(0.01 * var_samp(value), 4) as init, round(0.1 * var_samp(value), 4) as upper from fx_points2d")
+def x3_x4_variance_and_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance, and the noise that it suggests."""
+    v = gp.variance(view(spark, sf_dir, "fx_points2d"), "value")
+    p = gp.likelihood_params(v)
+    return spark.createDataFrame([(round(v, 4), round(p["init"], 4), round(p["bounds"][1], 4))], "v double, init double, upper double")
+
+
+@query("select r as radius, round(0.02 * r, 6) as low, round(0.2 * r, 6) as high from (select greatest(max(x) - min(x), max(y) - min(y)) / 2 as r from fx_points2d)")
+def x5_x6_radius_and_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the longer side, and length scales from it."""
+    r = gp.global_radius(view(spark, sf_dir, "fx_points2d"))
+    low, high = gp.lengthscale_bounds(r)
+    return spark.createDataFrame([(r, round(low, 6), round(high, 6))], "radius double, low double, high double")
+
+
+@query("select count(*) as n, round(sqrt(avg(e * e)), 6) as rmse, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) as r2, round(avg(abs(e)), 6) as mae, round(avg(case when abs(e) <= 2 * s then 1.0 else 0.0 end), 6) as coverage from (select value as y, 0.9 * value + gid % 7 - value as e, abs(value) * 0.04 + 100 as s from fx_points2d)")
+def x14_assess_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of predictions."""
+    given = view(spark, sf_dir, "fx_points2d").select(F.col("value").alias("y"), (0.9 * F.col("value") + F.col("gid") % 7).alias("prediction"), (F.abs("value") * 0.04 + 100).alias("sigma"))
+    return gp.assess(given).select("n", *(r6(c, c) for c in ("rmse", "r2", "mae", "coverage")))
+
+
+@query()
+def x15_bootstrap_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests on resampled residuals."""
+    return gp.bootstrap_residuals(view(spark, sf_dir, "fx_points2d"), "value", n_boot=10, sample_size=200)
+
+
+@query()
+def x17_x18_extrapolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes of a lattice filled by a fitted model."""
+    given = view(spark, sf_dir, "fx_lattice").select("x", "y", "a")
+    return gp.extrapolate(given, "a", test_size=0.2).select("x", "y", r6("value_extrapolated", "value_extrapolated"))
