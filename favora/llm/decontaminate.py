@@ -8,7 +8,8 @@ that the basis holds,
 
     <V'p, V'b> |b| / (|p| |V'b|^2)
 
-reaches COSINE.  First those are skipped that can't reach it: the words that p and b share weigh no more than p's words in
+reaches COSINE.  Passages of less than half a window fill a document passage only in part; their cosines count by the root
+of their share of half a window.  First those are skipped that can't reach it: the words that p and b share weigh no more than p's words in
 the benchmark's vocabulary, each taken as often as any b has it, which must be COSINE |p| times the least |b|.
 Candidates are confirmed by the longest common subsequence of words and by the share of answer words, so that paraphrases
 are found and chance likeness is not.  Benchmarks are searched in blocks of BLOCK items, each of a size that can be sent
@@ -195,9 +196,10 @@ def _block(rows: list, passages: list, idf: np.ndarray, basis: Basis) -> Block:
         image = (idf[f][:, None] * basis.rows[np.searchsorted(basis.features, f)]).sum(axis=0)
         one, times = np.unique(f, return_counts=True)
         most[one] = np.maximum(most[one], times)
-        norms.append(float(np.sqrt((idf[f] ** 2).sum())))
+        part = min(1.0, (2 * len(f) / WINDOW) ** 0.5)
+        norms.append(float(np.sqrt((idf[f] ** 2).sum())) * part)
         # Latent vector times |b| / |V'b|^2.
-        latent[k] = image * np.sqrt((idf[f] ** 2).sum()) / max(float(image @ image), 1e-9)
+        latent[k] = image * np.sqrt((idf[f] ** 2).sum()) / max(float(image @ image), 1e-9) / part
     return Block(np.array([number[p.item_id] for p in passages], np.int64), np.array([p.first for p in passages], np.int64), latent, list(number), most, min(norms), words, answers)
 
 

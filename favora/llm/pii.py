@@ -221,12 +221,12 @@ def find(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.size(F.coalesce("told", F.array())).cast("long").alias("n_term"), F.col("all").alias("found"))
 
 
-def sanitised(text: str = "text") -> Column:
-    """`text` with the spans in the column `found` replaced: base kinds and generalised terms by a label, others by nothing."""
+def sanitised(text: str = "text", found: str = "found") -> Column:
+    """`text` with the spans in the column of find() replaced: base kinds and generalised terms by a label, others by nothing."""
     labels = "array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]', '[TERM]', '')"
     # Spans may overlap: what an earlier one covers isn't replaced again.
     step = f"concat(s.out, if(x.start > s.at, substring({text}, s.at + 1, x.start - s.at), ''), if(x.start >= s.at, {labels}[x.rank], ''))"
-    return F.expr(f"aggregate(found, named_struct('out', '', 'at', 0), (s, x) -> if(x.end <= s.at, s, named_struct('out', {step}, 'at', x.end)), s -> concat(s.out, substring({text}, s.at + 1)))")
+    return F.expr(f"aggregate({found}, named_struct('out', '', 'at', 0), (s, x) -> if(x.end <= s.at, s, named_struct('out', {step}, 'at', x.end)), s -> concat(s.out, substring({text}, s.at + 1)))")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +236,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: findings are replaced in the text, and n_chars follows; all documents stay."""
-    dirty = find(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "found").dropDuplicates(["_id", "_key"])
-    both = docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    clean = both.withColumn("text", F.when(F.col("found").isNotNull(), sanitised()).otherwise(F.col("text")))
+    dirty = find(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("found").alias("_pii_found")).dropDuplicates(["_pii_id", "_pii_key"])
+    both = docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_pii_id")) & (F.xxhash64("text") == F.col("_pii_key")), "left")
+    clean = both.withColumn("text", F.when(F.col("_pii_found").isNotNull(), sanitised("text", "_pii_found")).otherwise(F.col("text")))
     return (clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean).select(docs.columns)

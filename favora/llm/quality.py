@@ -174,7 +174,7 @@ def fit(found: DataFrame, labels: DataFrame) -> Model | None:
     given = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("long").alias("y"))
     learning = store(found.where(~held_out()).join(given, "doc_id").select("y", "x"), "learning")
     sums = _sums(learning)
-    return _calibrated(_discriminant(sums), learning) if set(sums) == {0, 1} else None
+    return _calibrated(_discriminant(sums), learning) if all(k in sums and sums[k][0] > 0 for k in (0, 1)) else None
 
 
 def held_out() -> Column:
