@@ -2,8 +2,8 @@
 
 URLs that a rule accepts or rejects are the two training classes.  For each class a variable-order Markov model over an
 alphabet of 32 symbols is smoothed by Witten-Bell interpolation from order ORDER down to order 0.  Both models become one
-dense table of log-likelihood ratios, whose size is fixed by the alphabet (32 ** (ORDER + 1) doubles), so URLs are scored
-row by row without a shuffle.  The mean ratio over a URL's symbols is compared with a threshold calibrated on a fifth of
+table of log-likelihood ratios, whose size is fixed by the alphabet (32 ** (ORDER + 1) rows), so it can be sent to all
+tasks; only one row for each URL is shuffled.  The mean ratio over a URL's symbols is compared with a threshold calibrated on a fifth of
 the classes' URLs, which the models don't learn from.
 
 DataFrame functions only.
@@ -91,15 +91,16 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     both = counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     if not both[0] or not both[1]:
         return ruled.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    table = store(ratios(counts).agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "v"))), lambda x: x["v"]).alias("t")), "url-ratios")
-    name = f"favora_url_ratios_{id(table)}"
-    table.createOrReplaceTempView(name)
-    runs = ruled.select("*", grams(symbols(F.col("host"), F.col("path"))).alias("g"), F.expr(f"(select t from {name})").alias("t"))
-    scored = runs.withColumn("score", F.expr("aggregate(g, 0D, (s, c) -> s + get(t, c)) / size(g)")).drop("g", "t")
-    bins = scored.where(F.col("r").isNotNull() & tested).groupBy(F.round(F.col("score") * 50).alias("bin")).agg(F.sum((F.col("r.verdict") == "allow").cast("long")).alias("a"), F.count("*").alias("n"))
+    # SYMBOLS ** (ORDER + 1) rows at any size of the input.
+    table = F.broadcast(store(ratios(counts), "url-ratios"))
+    keys = [F.col(c) for c in ("page_id", "host", "path")] + [F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given")]
+    runs = ruled.withColumn("row", F.monotonically_increasing_id()).select("row", *keys, F.explode(grams(symbols(F.col("host"), F.col("path")))).alias("code"))
+    scored = runs.join(table, "code").groupBy("row", "page_id", "host", "path", "rule", "given").agg(F.avg("v").alias("score"))
+    scored = store(scored.drop("row"), "url-scores")
+    bins = scored.where(F.col("given").isNotNull() & tested).groupBy(F.round(F.col("score") * 50).alias("bin")).agg(F.sum((F.col("given") == "allow").cast("long")).alias("a"), F.count("*").alias("n"))
     cut = threshold([(r.bin, r.a, r.n - r.a) for r in bins.collect()]) / 50
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return scored.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "score")
+    verdict = F.coalesce(F.col("given"), F.when(F.col("score") >= cut, "allow").otherwise("block"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def threshold(bins: list[tuple[float, int, int]]) -> float:

@@ -78,8 +78,9 @@ def test_urls(spark):
     urls = [f"https://{r.choice(['a', 'bb', 'c-c'])}.example.{r.choice(['org', 'com', 'net'])}{r.choice(['', '/en/', '/es/', '/fr/', '/de/'])}{r.choice(['', '1x', 'page?q=/a', '#t'])}" for _ in range(300)]
     urls += [None, "", "no-scheme.org/x", "://", "http://EXAMPLE.org/en/1", "http://x.org?u=http://y.com/de/", "http://worg/en/", "http://é.net/ñ", "http://x.net/" + "p" * 3000, urls[0]]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(None, "http://a.org/", None)], "page_id long, url string, host string")
-    got = {x.page_id: x for x in url_filter.judge(df).collect()}
-    assert len(got) == len(urls) + 1
+    rows = url_filter.judge(df).collect()
+    got = {x.page_id: x for x in rows}
+    assert len(rows) == len(got) == len(urls) + 1
     counts = {"allow": {}, "block": {}}
     runs = lambda s: [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
     import zlib
