@@ -51,7 +51,7 @@ def symbols(host: Column, path: Column) -> Column:
 
 
 def grams(codes: Column) -> Column:
-    """The runs of ORDER + 1 symbols, each as one number."""
+    """The runs of ORDER + 1 symbols, each as one number; `codes` should be a column, as it is read at every place."""
     number = lambda i: sum((F.get(codes, i + j) * SYMBOLS ** (ORDER - j) for j in range(1, ORDER + 1)), F.get(codes, i) * SYMBOLS**ORDER)
     return F.transform(F.sequence(F.lit(0), F.size(codes) - ORDER - 1), number)
 
@@ -83,10 +83,10 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", host.alias("host"), path.alias("path"))
-    ruled = named.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules))
+    ruled = named.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("row", F.monotonically_increasing_id()).withColumn("codes", symbols(F.col("host"), F.col("path")))
     tested = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(5)) == 0
     learning = ruled.where(F.col("r").isNotNull() & ~F.coalesce(tested, F.lit(True)))
-    runs = learning.select(F.explode(grams(symbols(F.col("host"), F.col("path")))).alias("code"), (F.col("r.verdict") == "allow").cast("long").alias("a"))
+    runs = learning.select(F.explode(grams(F.col("codes"))).alias("code"), (F.col("r.verdict") == "allow").cast("long").alias("a"))
     counts = store(runs.groupBy("code").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b")), "url-grams")
     both = counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     if not both[0] or not both[1]:
@@ -94,7 +94,7 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     # SYMBOLS ** (ORDER + 1) rows at any size of the input.
     table = F.broadcast(store(ratios(counts), "url-ratios"))
     keys = [F.col(c) for c in ("page_id", "host", "path")] + [F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given")]
-    runs = ruled.withColumn("row", F.monotonically_increasing_id()).select("row", *keys, F.explode(grams(symbols(F.col("host"), F.col("path")))).alias("code"))
+    runs = ruled.select("row", *keys, F.explode(grams(F.col("codes"))).alias("code"))
     scored = runs.join(table, "code").groupBy("row", "page_id", "host", "path", "rule", "given").agg(F.avg("v").alias("score"))
     scored = store(scored.drop("row"), "url-scores")
     bins = scored.where(F.col("given").isNotNull() & tested).groupBy(F.round(F.col("score") * 50).alias("bin")).agg(F.sum((F.col("given") == "allow").cast("long")).alias("a"), F.count("*").alias("n"))
