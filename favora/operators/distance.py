@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from favora.functions.geometry import crosses, on_segment, point_distance, segment_distance, segment_intersection
+from favora.functions.tables import store
 from favora.operators.near import nearest_candidates, within_candidates
 
 BLOCK = 20_000
@@ -136,7 +137,7 @@ def intersections(segments: DataFrame, all_points: bool = False) -> DataFrame:
 def line_and_intersection_distances(grid: DataFrame, segments: DataFrame) -> DataFrame:
     """`grid` with d_line and d_int, the distances of the nearest line and the nearest intersection; infinite without any."""
     line = _least(grid, segments.select("x0", "y0", "x1", "y1"), _to_segment(), "d_line")
-    meets = intersections(segments).select("x", "y")
+    meets = store(intersections(segments).select("x", "y"), "meets")
     return _least(line, meets, point_distance(F.col("x"), F.col("y"), F.col("f_x"), F.col("f_y")), "d_int")
 
 
