@@ -9,8 +9,16 @@ that the basis holds,
     <V'p, V'b> |b| / (|p| |V'b|^2)
 
 reaches COSINE.  Passages of less than half a window fill a document passage only in part; their cosines count by the root
-of their share of half a window.  First those are skipped that can't reach it: the words that p and b share weigh no more than p's words in
-the benchmark's vocabulary, each taken as often as any b has it, which must be COSINE |p| times the least |b|.
+of their share of half a window.  Frequent words amid rare foreign ones weigh little of |p|, so p is a candidate as well where
+its part in b's words alone would reach COSINE: that part's square is at most <p, b>, so
+
+    <V'p, V'b> / |V'b|^2 >= COSINE^2
+
+and, as the basis is noisy for such b, <p, b> >= COSINE^2 |b|^2 itself.  Any window that holds a fifth of b's weight has that.  Lastly p is a candidate for b wherever it holds the
+heaviest run of RUN words of b: what stands there word by word is found even where the basis hardly holds b.
+First those p are skipped that can't reach either bound: the words that p and b share weigh no more than p's words in
+the benchmark's vocabulary, each taken as often as any b has it, which must be COSINE |p| times the least |b|; and
+<p, b> / |b|^2 is no more than the sum of the greatest share that each word of p has in any b.
 Candidates are confirmed by the longest common subsequence of words and by the share of answer words, so that paraphrases
 are found and chance likeness is not.  Benchmarks are searched in blocks of BLOCK items, each of a size that can be sent
 to the tasks; documents are never shuffled.
@@ -43,6 +51,8 @@ ANSWER_WORDS = 4
 ANSWER_SHARE = 0.5
 #: Items of fewer words must stand in the document word by word.
 SHORT = 8
+#: Words of the run of a passage that makes a document a candidate by itself.
+RUN = 8
 BLOCK = 5000
 MOST_ITEM_BYTES = 1 << 16
 _WORD = re.compile("[^ \t-\r]+")
@@ -160,6 +170,11 @@ class Block(NamedTuple):
     item_ids: list[int]
     most: np.ndarray
     least: float
+    shares: np.ndarray
+    enough: np.ndarray
+    squares: np.ndarray
+    features: np.ndarray
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     words: list[list[str]]
     answers: list[list[str]]
 
@@ -176,6 +191,33 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    """The hashes of words, which are lower-cased and hold no space."""
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+    return word_hashes(data, starts, ends)
+
+
+def _run_hashes(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of `k` words from the places `at` of the words' hashes."""
+    out = h[at]
+    for j in range(1, k):
+        out = mix(out * np.uint64(0x9FB21C651E98DF25) + h[at + j])
+    return out
+
+
+def _runs(passages: list, number: dict[int, int], words: list[list[str]], idf: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: sorted hashes of the heaviest run of each passage, the number of the passage, and the run's place in it."""
+    found: dict[int, list] = {}
+    for j, p in enumerate(passages):
+        h = _hashes(words[number[p.item_id]][p.first : p.first + WINDOW])
+        k = min(RUN, len(h))
+        weight = np.convolve(idf[(h % np.uint64(FEATURES)).astype(np.int64)] ** 2, np.ones(k), "valid")
+        place = int(weight.argmax())
+        found.setdefault(k, []).append((int(_run_hashes(h, np.array([place]), k)[0]), j, place))
+    return {k: (np.array([x[0] for x in sorted(f)], np.uint64), *(np.array([x[i] for x in sorted(f)], np.int64) for i in (1, 2))) for k, f in found.items()}
+
+
 def _block(rows: list, passages: list, idf: np.ndarray, basis: Basis) -> Block:
     number = {r.item_id: k for k, r in enumerate(rows)}
     words = [_words(r.text) for r in rows]
@@ -184,23 +226,28 @@ def _block(rows: list, passages: list, idf: np.ndarray, basis: Basis) -> Block:
         given = _words(r.answer) if "answer" in r else []
         if not given:
             one = list(dict.fromkeys(ws))
-            data = " ".join(one).encode()
-            starts, ends, _ = word_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-            weight = idf[(word_hashes(np.frombuffer(data, np.uint8), starts, ends) % np.uint64(FEATURES)).astype(np.int64)] if one else []
+            weight = idf[(_hashes(one) % np.uint64(FEATURES)).astype(np.int64)] if one else []
             given = [one[i] for i in np.argsort(-np.asarray(weight), kind="stable")[:ANSWER_WORDS]]
         answers.append(given)
     latent = np.zeros((len(passages), basis.rows.shape[1]), np.float32)
     most, norms = np.zeros(FEATURES, np.float32), [np.inf]
+    shares, enough = np.zeros(FEATURES), np.zeros(len(passages), np.float32)
+    squares, features = np.zeros(len(passages)), np.full((len(passages), WINDOW), -1, np.int32)
     for k, p in enumerate(passages):
         f = np.array(p.features, np.int64)
         image = (idf[f][:, None] * basis.rows[np.searchsorted(basis.features, f)]).sum(axis=0)
         one, times = np.unique(f, return_counts=True)
         most[one] = np.maximum(most[one], times)
         part = min(1.0, (2 * len(f) / WINDOW) ** 0.5)
-        norms.append(float(np.sqrt((idf[f] ** 2).sum())) * part)
+        norm = float(np.sqrt((idf[f] ** 2).sum()))
+        norms.append(norm * part)
+        shares[one] = np.maximum(shares[one], times * idf[one] ** 2 / norm**2)
+        enough[k] = COSINE**2 * norm / part
+        squares[k] = norm**2
+        features[k, : len(f)] = f
         # Latent vector times |b| / |V'b|^2.
-        latent[k] = image * np.sqrt((idf[f] ** 2).sum()) / max(float(image @ image), 1e-9) / part
-    return Block(np.array([number[p.item_id] for p in passages], np.int64), np.array([p.first for p in passages], np.int64), latent, list(number), most, min(norms), words, answers)
+        latent[k] = image * norm / max(float(image @ image), 1e-9) / part
+    return Block(np.array([number[p.item_id] for p in passages], np.int64), np.array([p.first for p in passages], np.int64), latent, list(number), most, min(norms), shares, enough, squares, features, _runs(passages, number, words, idf), words, answers)
 
 
 def _confirmed(block: Block, item: int, first: int, words: list[str], start: int) -> tuple[float, float] | None:
@@ -212,12 +259,12 @@ def _confirmed(block: Block, item: int, first: int, words: list[str], start: int
         return (1.0, 1.0) if any(region[i : i + n] == mine for i in range(len(region) - n + 1)) else None
     here = set(region)
     share = sum(w in here for w in answer) / max(1, len(answer))
-    common = lcs(mine, region) / n
-    if common >= ITEM_LCS and share >= ANSWER_SHARE:
+    # No subsequence has more words than stand there at all.
+    if share >= ANSWER_SHARE and sum(w in here for w in mine) / n >= ITEM_LCS and (common := lcs(mine, region) / n) >= ITEM_LCS:
         return common, share
     part = mine[first : first + WINDOW]
-    if len(part) == WINDOW and lcs(part, words[max(0, start - WINDOW) : start + 2 * WINDOW]) >= PASSAGE_LCS * WINDOW:
-        return common, share
+    if len(part) == WINDOW and sum(w in here for w in part) >= PASSAGE_LCS * WINDOW and lcs(part, words[max(0, start - WINDOW) : start + 2 * WINDOW]) >= PASSAGE_LCS * WINDOW:
+        return lcs(mine, region) / n, share
     return None
 
 
@@ -232,15 +279,29 @@ def _search(docs: DataFrame, idf: np.ndarray, basis: Basis, block: Block) -> Dat
         matrix = np.vstack([v.rows, np.zeros((1, v.rows.shape[1]), np.float32)])
         for rows, data, offsets in pieces(batches, 1):
             starts, ends, at = word_spans(data, offsets)
-            f = (word_hashes(data, starts, ends) % np.uint64(FEATURES)).astype(np.int64)
+            h = word_hashes(data, starts, ends)
+            f = (h % np.uint64(FEATURES)).astype(np.int64)
             energy = weight[f].astype(np.float64) ** 2
-            whole, inside = (np.concatenate([[0], np.cumsum(x)]) for x in (energy, energy * b.most[f]))
+            known = b.most[f] > 0
+            whole, inside, share, run = (np.concatenate([[0], np.cumsum(x)]) for x in (energy, energy * b.most[f], b.shares[f], known))
             windows = [_starts(lo, hi) for lo, hi in zip(at[:-1], at[1:], strict=True)]
             doc = np.repeat(np.arange(len(windows)), [len(x) for x in windows])
             first = np.concatenate(windows) if windows else np.empty(0, np.int64)
             last = np.minimum(first + WINDOW, at[1:][doc]) if len(first) else first
             norm = whole[last] - whole[first]
-            live = np.flatnonzero((inside[last] - inside[first] >= COSINE * b.least * np.sqrt(norm)) & (norm > 0))
+            reach = (inside[last] - inside[first] >= COSINE * b.least * np.sqrt(norm)) | (share[last] - share[first] >= COSINE**2 * (1 - 1e-6))
+            # Where the runs stand: (word, passage, place in the passage), under the last window that starts no later.
+            held: dict[int, list[tuple[int, int, int]]] = {}
+            for k, (sought, passage, place_in) in b.runs.items():
+                from_ = np.flatnonzero(run[k:] - run[:-k] == k)
+                from_ = from_[np.searchsorted(at, from_, "right") == np.searchsorted(at, from_ + k - 1, "right")]
+                mine = _run_hashes(h, from_, k)
+                lo, hi = np.searchsorted(sought, mine), np.searchsorted(sought, mine, "right")
+                for i in np.flatnonzero(lo < hi):
+                    window = int(np.searchsorted(first, from_[i], "right")) - 1
+                    held.setdefault(window, []).extend((int(from_[i]), int(passage[j]), int(place_in[j])) for j in range(lo[i], hi[i]))
+            reach[list(held)] = True
+            live = np.flatnonzero(reach & (norm > 0))
             hits: dict[tuple[int, int], list] = {}
             for lo in range(0, len(live), 2048):
                 some = live[lo : lo + 2048]
@@ -248,10 +309,21 @@ def _search(docs: DataFrame, idf: np.ndarray, basis: Basis, block: Block) -> Dat
                 fits = span < last[some][:, None]
                 g = f[np.minimum(span, len(f) - 1)]
                 image = np.einsum("ij,ijk->ik", weight[g] * fits, matrix[place[g]], optimize=True)
-                cosine = (image @ b.latent.T) / np.sqrt(norm[some])[:, None]
-                for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                along = image @ b.latent.T
+                cosine = along / np.sqrt(norm[some])[:, None]
+                near = cosine >= COSINE
+                i, j = np.nonzero((along >= b.enough) & ~near)
+                g, power = g.astype(np.int32), weight[g].astype(np.float64) ** 2 * fits
+                for at_pair in range(0, len(i), 8192):
+                    p, q = i[at_pair : at_pair + 8192], j[at_pair : at_pair + 8192]
+                    common = ((g[p][:, :, None] == b.features[q][:, None, :]).sum(axis=2) * power[p]).sum(axis=1)
+                    near[p, q] = common >= COSINE**2 * (1 - 1e-6) * b.squares[q]
+                for i, j in zip(*np.nonzero(near), strict=True):
                     k = some[i]
                     hits.setdefault((int(doc[k]), int(b.passage_item[j])), []).append((-float(cosine[i, j]), int(first[k] - at[doc[k]]), int(b.passage_first[j])))
+                for i, k in enumerate(some.tolist()):
+                    for word, j, place_of in held.get(k, ()):
+                        hits.setdefault((int(doc[k]), int(b.passage_item[j])), []).append((-float(cosine[i, j]), max(0, int(word - at[doc[k]]) - place_of), int(b.passage_first[j])))
             out, texts, ids = [], {}, rows.column(0).to_pylist()
             for (d, item), found in sorted(hits.items()):
                 if d not in texts:

@@ -252,3 +252,44 @@ def test_quality_on_held_out_rows(spark):
     assert sum(x.predicted == truth[x.doc_id] for x in tested) / len(tested) > 0.95
     none = quality.quality_scores(docs(spark, rows), labels.where(F.col("quality") == 1)).collect()
     assert {x.score for x in none} == {0.5}
+
+
+def test_frequent_items_amid_unique_words_are_found(spark):
+    r = random.Random(12)
+    fresh = (f"u{i}" for i in itertools.count())
+    unique = lambda n: [next(fresh) for _ in range(n)]
+    rare = [f"b{i}" for i in range(400)]
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(3, 31)}
+    held = {}
+    texts = []
+    for d in range(300):
+        # Each item stands in a third of the documents, at every offset to the windows.
+        mine = [n for n in items if (d + n) % 3 == 0]
+        words = []
+        for n in mine:
+            words += unique(24 + r.randrange(8)) + items[n]
+        texts.append((d, " ".join([*words, *unique(24)])))
+        held[d] = set(mine)
+    others = [(100 + k, " ".join(r.sample(rare, 20))) for k in range(60)]
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + others, "item_id long, text string")
+    got = {d: set() for d in held}
+    for x in decontaminate.find_leaks(docs(spark, texts), benchmark).collect():
+        got[x.doc_id].add(x.item_id)
+    assert got == held
+
+
+def test_changed_frequent_items_amid_unique_words_are_found(spark):
+    r = random.Random(13)
+    item = [f"w{k}" for k in range(20)]
+    texts = []
+    for d in range(90):
+        words = [f"u{d}x{k}" for k in range(80)]
+        if d % 3 == 0:
+            changed = list(item)
+            for k in r.sample(range(2, 20), 3):
+                changed[k] = f"c{d}x{k}"
+            start = r.randrange(30)
+            words[start:start] = changed
+        texts.append((d, " ".join(words)))
+    got = decontaminate.find_leaks(docs(spark, texts), spark.createDataFrame([(1, " ".join(item), "w0 w1")], "item_id long, text string, answer string")).collect()
+    assert {x.doc_id for x in got} == {d for d, _ in texts if d % 3 == 0}
