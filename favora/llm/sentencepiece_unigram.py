@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import Words, pieces, read, word_hashes
+from favora.llm.shared import Words, pieces, read
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -215,15 +215,13 @@ def encode(p: Pieces, data: np.ndarray, offsets: np.ndarray, seen: Words | None
     new[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(data))
-    keys = word_hashes(data, starts, ends, fold=False)
-    keys, one, which = np.unique(keys, return_index=True, return_inverse=True)
-    def search(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = one[new]
+
+    def search(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = (ends - starts)[at]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         return segment(p, data[np.arange(upto[-1]) + np.repeat(starts[at] - upto[:-1], sizes)], upto)
 
-    out, upto = seen.ids_of(keys, which, search)
+    out, upto = seen.ids_of(data, starts, ends, search)
     return out, upto[np.searchsorted(starts, offsets)]
 
 

@@ -6,7 +6,7 @@ the space and U+0009 to U+000D; all of these are single bytes in UTF-8, so bytes
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,16 +19,15 @@ from pyspark.sql import functions as F
 #: Texts are worked on in pieces of whole documents of about this many bytes, which bounds a task's memory.
 CHUNK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(1, 257, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_ASIS = np.arange(1, 257, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Longer words, which are few, are hashed one by one.
+LANED = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 #: Words of which a worker keeps the ids.
 REMEMBERED = 500_000
-_powers: dict[str, np.ndarray] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +36,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    Where that is unset the warehouse folder serves if Spark runs in one process; on a cluster it's an error, as each
+    machine would write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="favora-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/favora-scratch"
     return found.rstrip("/")
 
 
@@ -59,16 +63,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        _powers[key] = np.multiply.accumulate(steps)
-    return _powers[key][:n]
-
-
 def pieces(batches: Iterator[pa.RecordBatch], text: int | str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of whole documents, about `most` bytes at a time; a null text counts as empty."""
     for batch in batches:
@@ -99,47 +93,122 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte of `data` on, as little-endian numbers; there are zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, with A-Z lower-cased if `fold`."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if fold else _ASIS)[data] * _power(_BASE, len(data) + 1)[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    """A 64-bit hash of each word, with A-Z lower-cased if `fold`.
+
+    Eight bytes at a time go through mix(), whose steps are bijective; words of more than LANED bytes take BLAKE2b.
+    """
+    data = _LOWER[data] if fold else data
+    lanes = _lanes(data)
+    starts, n = np.asarray(starts, np.int64), np.asarray(ends - starts, np.int64)
+    h = (lanes[starts] & _KEEP[np.minimum(n, 8)]) * np.uint64(0x9FB21C651E98DF25) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = mix(h)
+    long = np.flatnonzero(n > 8)
+    for at in range(8, LANED, 8):
+        long = long[n[long] > at]
+        if not len(long):
+            break
+        lane = lanes[starts[long] + at] & _KEEP[np.minimum(n[long] - at, 8)]
+        h[long] = mix(h[long] * np.uint64(0xD1342543DE82EF95) + mix(lane + np.uint64(0x2545F4914F6CDD1D)))
+    for i in np.flatnonzero(n > LANED):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + n[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, n: np.ndarray, other: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the `n` bytes of `data` at `starts` are the `m` bytes of `other` at `at`, for each word."""
+    same = n == m
+    one, two = _lanes(data), _lanes(other)
+    left = np.flatnonzero(same)
+    for k in range(0, LANED, 8):
+        left = left[same[left] & (n[left] > k)]
+        if not len(left):
+            return same
+        same[left] = ((one[starts[left] + k] ^ two[at[left] + k]) & _KEEP[np.minimum(n[left] - k, 8)]) == 0
+    for i in left[same[left] & (n[left] > LANED)]:
+        same[i] = bool((data[starts[i] : starts[i] + n[i]] == other[at[i] : at[i] + n[i]]).all())
+    return same
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the distinct words, sorted; the place of one word of each key; and the key's place for each word.
+
+    Words are told apart by their bytes: of words that share a hash, all but one kind get keys of their own.
+    """
+    keys, one, which = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
+    n, rep = ends - starts, one[which]
+    odd = np.flatnonzero(~same_bytes(data, starts, n, data, starts[rep], n[rep]))
+    if not len(odd):
+        return keys, one, which
+    full = keys[which]
+    taken = set(keys.tolist())
+    named: dict[bytes, int] = {}
+    for i in odd.tolist():
+        word = data[starts[i] : ends[i]].tobytes()
+        if word not in named:
+            key = int(full[i])
+            while key in taken:
+                key = (key + 1) % (1 << 64)
+            taken.add(key)
+            named[word] = key
+        full[i] = named[word]
+    return np.unique(full, return_index=True, return_inverse=True)
 
 
 class Words:
-    """The ids of words seen before, by the words' hashes; of at most REMEMBERED words, others are looked up again."""
+    """The ids of words seen before, by the words' hashes and bytes; of at most REMEMBERED words, others are looked up again."""
 
     def __init__(self) -> None:
         self.keys, self.at, self.n, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.bytes, self.from_, self.size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each key, and whether it is one's own."""
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether the word there is the one that is asked for."""
         place = np.searchsorted(self.keys, keys)
-        return place, (self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool))
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, before: np.ndarray) -> None:
-        """Take sorted new keys with their ids."""
+        if not len(self.keys):
+            return place, np.zeros(len(keys), bool)
+        near = np.minimum(place, len(self.keys) - 1)
+        known = self.keys[near] == keys
+        which = np.flatnonzero(known)
+        known[which] = same_bytes(data, starts[which], sizes[which], self.bytes, self.from_[near[which]], self.size[near[which]])
+        return near, known
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, before: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Take sorted new keys with their ids and the words' bytes; a key that another word has is left to it."""
         place = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, place, before[:-1] + len(self.ids))
-        self.n = np.insert(self.n, place, np.diff(before))
-        self.keys = np.insert(self.keys, place, keys)
+        free = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool))
+        place, start = place[free], before[:-1] + len(self.ids)
+        upto = np.concatenate([[0], np.cumsum(sizes[free])])
+        self.from_ = np.insert(self.from_, place, upto[:-1] + len(self.bytes))
+        self.size = np.insert(self.size, place, sizes[free])
+        self.bytes = np.concatenate([self.bytes, data[np.arange(upto[-1]) + np.repeat(starts[free] - upto[:-1], sizes[free])]])
+        self.at = np.insert(self.at, place, start[free])
+        self.n = np.insert(self.n, place, np.diff(before)[free])
+        self.keys = np.insert(self.keys, place, keys[free])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
 
-    def ids_of(self, keys: np.ndarray, which: np.ndarray, search: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words keys[which], one after another, and the number of ids before each word.
+    def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, search: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after another, and the number of ids before each word.
 
-        `keys` are sorted and distinct.  search(i) gives the same for the new words keys[i].
+        search(i) gives the same for the new words at the places i.
         """
-        place, known = self.find(keys)
+        keys, one, which = distinct_words(data, starts, ends)
+        starts, sizes = starts[one], (ends - starts)[one]
+        place, known = self.find(keys, data, starts, sizes)
         n, at = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
         n[known], at[known] = self.n[place[known]], self.at[place[known]]
         new = np.flatnonzero(~known)
-        ids, before = search(new) if len(new) else (np.empty(0, np.int64), np.zeros(1, np.int64))
+        ids, before = search(one[new]) if len(new) else (np.empty(0, np.int64), np.zeros(1, np.int64))
         n[new], at[new] = np.diff(before), before[:-1] + len(self.ids)
         every = np.concatenate([self.ids, ids])
         if len(new) and len(self.keys) + len(new) <= REMEMBERED:
-            self.add(keys[new], ids, before)
+            self.add(keys[new], ids, before, data, starts[new], sizes[new])
         n = n[which]
         upto = np.concatenate([[0], np.cumsum(n)])
         return every[np.arange(upto[-1]) + np.repeat(at[which] - upto[:-1], n)], upto

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import Words, pieces, read, shared_dir, word_hashes, word_spans
+from favora.llm.shared import Words, pieces, read, shared_dir, word_spans
 
 BLOCK = 256
 PERCENTILE = 90
@@ -127,15 +127,14 @@ class _Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each text with the end id, one after another, and the number of ids before each text."""
         starts, ends, at = word_spans(data, offsets)
-        keys, one, which = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
         raw = data.tobytes()
 
         def search(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found = [self._search([raw[a:b].decode() for a, b in zip(starts[one[part]].tolist(), ends[one[part]].tolist(), strict=True)]) for part in np.array_split(new, -(-len(new) // 2000))]
+            found = [self._search([raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]) for part in np.array_split(new, -(-len(new) // 2000))]
             sizes = np.concatenate([np.diff(b) for _, b in found])
             return np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(sizes)])
 
-        ids, upto = self.seen.ids_of(keys, which, search)
+        ids, upto = self.seen.ids_of(data, starts, ends, search)
         upto = upto[at]
         return np.insert(ids, upto[1:], END), upto + np.arange(len(upto))
 

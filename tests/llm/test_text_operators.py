@@ -40,6 +40,53 @@ def test_word_hashes_follow_words():
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("same", [lambda h: h * 0, lambda h: h % np.uint64(3), lambda h: h])
+def test_words_with_equal_hashes_are_told_apart(monkeypatch, same):
+    """Ids follow the words' bytes, even if a hash can't tell words apart."""
+    from favora.llm import shared
+
+    plain = shared.word_hashes
+    monkeypatch.setattr(shared, "word_hashes", lambda *args, **more: same(plain(*args, **more)))
+    r = random.Random(20)
+    words = [*thue_morse(10), *thue_morse(4), "a", "b", "abcdefgh", "abcdefghi", "abcdefgh" * 8, "abcdefgh" * 8 + "x", "abcdefgh" * 8 + "y"]
+    seen, number = shared.Words(), {w: [i] * (i % 3 + 1) for i, w in enumerate(words)}
+    for _ in range(5):
+        texts = [" ".join(r.choice(words) for _ in range(30)) for _ in range(3)]
+        for _, data, offsets in arrow(texts):
+            starts, ends, at = word_spans(data, offsets)
+
+            def search(some, data=data, starts=starts, ends=ends):
+                parts = [number[bytes(data[starts[i] : ends[i]]).decode()] for i in some]
+                return np.array(sum(parts, [])), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+            ids, upto = seen.ids_of(data, starts, ends, search)
+            assert ids.tolist() == sum((number[w] for t in texts for w in t.split()), [])
+            assert len(upto) == len(starts) + 1
+
+
+def test_words_that_polynomial_hashes_confuse(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse(10)
+    rows = [(1, x), (2, y), (3, f"{x} {x} {y}"), (4, f"{y} {y} {x}")]
+    path = tokenizer_files.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    token_blocks.write_ids(docs(spark, rows), path, str(tmp_path / "t"))
+    for got in token_blocks.read_ids(spark, str(tmp_path / "t")).collect():
+        assert got.ids == [*plain.encode(dict(rows)[got.doc_id], add_special_tokens=False).ids, 1]
+    model = tokenizer_files.path("piece_bpe_32k.model")
+    assert {z.doc_id: z.decoded for z in sentencepiece_unigram.encode_documents(docs(spark, rows), model).collect()} == dict(rows)
+    assert all(z.kept for z in minhash_dedup.near_duplicates(docs(spark, rows), 2).collect())
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1040)]
