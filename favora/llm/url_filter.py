@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from favora.llm.shared import read, store
 
 #: (verdict, host, path): a rule fits its host and all subdomains, if the URL's path starts with its path.
-RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MOST_RULES = 1000
 #: Symbol 0 stands for both ends, 31 for all characters not listed; digits are one symbol.
 ALPHABET = "^abcdefghijklmnopqrstuvwxyz0/.-"
@@ -42,9 +42,10 @@ def matching_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return F.array_max(F.filter(given, lambda r: ((host == r["h"]) | F.endswith(host, F.concat(F.lit("."), r["h"]))) & F.startswith(path, r["p"])))
 
 
-def symbols(host: Column, path: Column) -> Column:
-    """The symbols of host and path, between ORDER start symbols and an end symbol."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(F.concat(host, path)), "[0-9]", "0"), "[^a-z0/.-]", "?")
+def symbols(url: Column) -> Column:
+    """The symbols of a whole URL, with its query and fragment, between ORDER start symbols and an end symbol."""
+    lowered = F.translate(F.coalesce(url, F.lit("")), _UPPER, _LOWER)
+    text = F.regexp_replace(F.regexp_replace(lowered, "[0-9]", "0"), "[^a-z0/.-]", "?")
     padded = F.split(F.concat(F.lit("^" * ORDER), text, F.lit("^")), "")
     # An empty string at the end is no character.
     return F.transform(F.filter(padded, lambda c: c != ""), lambda c: F.when(c == "?", SYMBOLS - 1).otherwise(F.instr(F.lit(ALPHABET), c) - 1))
@@ -76,14 +77,14 @@ def ratios(counts: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """One row for each row of `pages`: page_id, host, path, rule, verdict and score (the mean log ratio of host and path).
+    """One row for each row of `pages`: page_id, host, path, rule, verdict and score (the mean log ratio of the whole URL).
 
-    A null URL counts as one without `://`: host and path are empty and the method judges the empty string.  Where a class
+    Of a URL without `://` host and path are empty, and the method judges all of it; a null one counts as empty.  Where a class
     has no URL every score is 0 and the threshold too, and the verdict `allow`.  Other columns are not read.
     """
     host, path = host_and_path(F.col("url"))
-    named = pages.select("page_id", host.alias("host"), path.alias("path"))
-    ruled = named.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("row", F.monotonically_increasing_id()).withColumn("codes", symbols(F.col("host"), F.col("path")))
+    named = pages.select("page_id", host.alias("host"), path.alias("path"), symbols(F.col("url")).alias("codes"))
+    ruled = named.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("row", F.monotonically_increasing_id())
     tested = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(5)) == 0
     learning = ruled.where(F.col("r").isNotNull() & ~F.coalesce(tested, F.lit(True)))
     runs = learning.select(F.explode(grams(F.col("codes"))).alias("code"), (F.col("r.verdict") == "allow").cast("long").alias("a"))
