@@ -1,27 +1,24 @@
 """Benchmark passages in documents, by latent semantic retrieval.
 
 Texts are cut into passages of WINDOW words, STRIDE words apart.  Passages are TF-IDF vectors over FEATURES hashed words;
-inverse frequencies come from all documents, and norms count each occurrence.  A randomised SVD of the benchmark's
-passages (Rademacher test matrix, power iterations, each a distributed product with A^T A) gives a latent basis of at most
-RANK dimensions.  A document passage p is a candidate for a benchmark passage b if its latent cosine, corrected for the part of b
-that the basis holds,
+inverse frequencies come from all documents.  A randomised SVD of the benchmark's passages (Rademacher test matrix, power
+iterations, each a distributed product with A^T A) gives a latent basis V of at most RANK dimensions.  A document passage p
+is a candidate for a benchmark passage b if the part of it that lies along b in the latent space,
 
-    <V'p, V'b> |b| / (|p| |V'b|^2)
+    y(p, b) = <V'p, V'b> / |V'b|^2 = cos(V'p, V'b) |V'p| / |V'b|
 
-reaches COSINE.  Passages of less than half a window fill a document passage only in part; their cosines count by the root
-of their share of half a window.  Frequent words amid rare foreign ones weigh little of |p|, so p is a candidate as well where
-its part in b's words alone would reach COSINE: that part's square is at most <p, b>, so
+reaches COSINE^2.  Unlike the cosine itself that is not diluted by what else stands in p: where p has the words of b and
+others, y is the squared cosine of b with p's part in b's words.  For a b of which the basis holds less than HELD, its own
+TF-IDF vector is used in place of V'b.
 
-    <V'p, V'b> / |V'b|^2 >= COSINE^2
+y is a sum over the words of p, which bounds it: alike benchmark passages form clusters of CLUSTER, a table holds the most
+that each word can add for any passage of a cluster, and only the clusters whose sum of these over p reaches the threshold
+are searched.  Nothing that reaches it is lost.  Passages that can't reach it for any cluster, most of all, are skipped by
+running sums over the text.
 
-and, as the basis is noisy for such b, <p, b> >= COSINE^2 |b|^2 itself.  Any window that holds a fifth of b's weight has that.  Lastly p is a candidate for b wherever it holds the
-heaviest run of RUN words of b: what stands there word by word is found even where the basis hardly holds b.
-First those p are skipped that can't reach either bound: the words that p and b share weigh no more than p's words in
-the benchmark's vocabulary, each taken as often as any b has it, which must be COSINE |p| times the least |b|; and
-<p, b> / |b|^2 is no more than the sum of the greatest share that each word of p has in any b.
 Candidates are confirmed by the longest common subsequence of words and by the share of answer words, so that paraphrases
-are found and chance likeness is not.  Benchmarks are searched in blocks of BLOCK items, each of a size that can be sent
-to the tasks; documents are never shuffled.
+are found and chance likeness is not.  Benchmarks are searched in blocks of BLOCK passages, whose size is bounded and which
+are sent to the tasks one after another; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -40,10 +37,13 @@ from favora.llm.shared import mix, pieces, read, store, word_hashes, word_spans
 WINDOW = 24
 STRIDE = 8
 FEATURES = 1 << 18
-RANK = 128
+RANK = 512
 OVERSAMPLING = 16
 POWER_STEPS = 2
-COSINE = 0.45
+COSINE = 0.63
+#: Share of a passage's square that the basis must hold.
+HELD = 0.7
+CLUSTER = 32
 #: Shares of an item's words, or of a full passage's, that must stand in the document in order.
 ITEM_LCS = 0.6
 PASSAGE_LCS = 0.85
@@ -51,10 +51,7 @@ ANSWER_WORDS = 4
 ANSWER_SHARE = 0.5
 #: Items of fewer words must stand in the document word by word.
 SHORT = 8
-#: Words of the run of a passage that makes a document a candidate by itself.
-RUN = 8
-BLOCK = 5000
-MOST_ITEM_BYTES = 1 << 16
+BLOCK = 4096
 _WORD = re.compile("[^ \t-\r]+")
 _AZ = {c: c + 32 for c in range(65, 91)}
 
@@ -162,19 +159,17 @@ def latent_basis(passages: DataFrame, idf: np.ndarray) -> Basis:
 
 
 class Block(NamedTuple):
-    """What a task needs of a block of items."""
+    """What a task needs of a block of benchmark passages."""
 
+    features: np.ndarray
+    rows: np.ndarray
+    bounds: np.ndarray
+    most: np.ndarray
+    latent: np.ndarray
+    own: dict[int, tuple[np.ndarray, np.ndarray]]
     passage_item: np.ndarray
     passage_first: np.ndarray
-    latent: np.ndarray
     item_ids: list[int]
-    most: np.ndarray
-    least: float
-    shares: np.ndarray
-    enough: np.ndarray
-    squares: np.ndarray
-    features: np.ndarray
-    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     words: list[list[str]]
     answers: list[list[str]]
 
@@ -198,26 +193,6 @@ def _hashes(words: list[str]) -> np.ndarray:
     return word_hashes(data, starts, ends)
 
 
-def _run_hashes(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of `k` words from the places `at` of the words' hashes."""
-    out = h[at]
-    for j in range(1, k):
-        out = mix(out * np.uint64(0x9FB21C651E98DF25) + h[at + j])
-    return out
-
-
-def _runs(passages: list, number: dict[int, int], words: list[list[str]], idf: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: sorted hashes of the heaviest run of each passage, the number of the passage, and the run's place in it."""
-    found: dict[int, list] = {}
-    for j, p in enumerate(passages):
-        h = _hashes(words[number[p.item_id]][p.first : p.first + WINDOW])
-        k = min(RUN, len(h))
-        weight = np.convolve(idf[(h % np.uint64(FEATURES)).astype(np.int64)] ** 2, np.ones(k), "valid")
-        place = int(weight.argmax())
-        found.setdefault(k, []).append((int(_run_hashes(h, np.array([place]), k)[0]), j, place))
-    return {k: (np.array([x[0] for x in sorted(f)], np.uint64), *(np.array([x[i] for x in sorted(f)], np.int64) for i in (1, 2))) for k, f in found.items()}
-
-
 def _block(rows: list, passages: list, idf: np.ndarray, basis: Basis) -> Block:
     number = {r.item_id: k for k, r in enumerate(rows)}
     words = [_words(r.text) for r in rows]
@@ -229,25 +204,29 @@ def _block(rows: list, passages: list, idf: np.ndarray, basis: Basis) -> Block:
             weight = idf[(_hashes(one) % np.uint64(FEATURES)).astype(np.int64)] if one else []
             given = [one[i] for i in np.argsort(-np.asarray(weight), kind="stable")[:ANSWER_WORDS]]
         answers.append(given)
-    latent = np.zeros((len(passages), basis.rows.shape[1]), np.float32)
-    most, norms = np.zeros(FEATURES, np.float32), [np.inf]
-    shares, enough = np.zeros(FEATURES), np.zeros(len(passages), np.float32)
-    squares, features = np.zeros(len(passages)), np.full((len(passages), WINDOW), -1, np.int32)
-    for k, p in enumerate(passages):
-        f = np.array(p.features, np.int64)
-        image = (idf[f][:, None] * basis.rows[np.searchsorted(basis.features, f)]).sum(axis=0)
-        one, times = np.unique(f, return_counts=True)
-        most[one] = np.maximum(most[one], times)
-        part = min(1.0, (2 * len(f) / WINDOW) ** 0.5)
-        norm = float(np.sqrt((idf[f] ** 2).sum()))
-        norms.append(norm * part)
-        shares[one] = np.maximum(shares[one], times * idf[one] ** 2 / norm**2)
-        enough[k] = COSINE**2 * norm / part
-        squares[k] = norm**2
-        features[k, : len(f)] = f
-        # Latent vector times |b| / |V'b|^2.
-        latent[k] = image * norm / max(float(image @ image), 1e-9) / part
-    return Block(np.array([number[p.item_id] for p in passages], np.int64), np.array([p.first for p in passages], np.int64), latent, list(number), most, min(norms), shares, enough, squares, features, _runs(passages, number, words, idf), words, answers)
+    features = np.unique(np.concatenate([p.features for p in passages])).astype(np.int64) if passages else np.empty(0, np.int64)
+    scaled = (idf[features][:, None] * basis.rows[np.searchsorted(basis.features, features)]).astype(np.float32)
+    # A passage's latent vector is the sum of its words' rows.
+    of = [np.searchsorted(features, p.features) for p in passages]
+    image = np.array([scaled[x].sum(axis=0) for x in of], np.float32).reshape(len(passages), scaled.shape[1])
+    square = np.array([((np.unique(x, return_counts=True)[1] * idf[features[np.unique(x)]]) ** 2).sum() for x in of])
+    held = (image.astype(np.float64) ** 2).sum(axis=1)
+    # Alike passages side by side: by the strongest of the leading directions, then the next one.
+    leading = np.abs(image[:, :16])
+    order = np.lexsort((leading.argsort(axis=1)[:, -2], leading.argmax(axis=1))) if leading.shape[1] > 1 else np.arange(len(passages))
+    passages, of, image, square, held = [passages[i] for i in order], [of[i] for i in order], image[order], square[order], held[order]
+    latent = np.where((held >= HELD * square)[:, None], image / np.maximum(held, 1e-9)[:, None], 0).astype(np.float32)
+    own = {}
+    for j in np.flatnonzero(held < HELD * square).tolist():
+        one, times = np.unique(of[j], return_counts=True)
+        own[j] = one, (times * idf[features[one]] ** 2 / square[j]).astype(np.float32)
+    bounds = np.zeros((len(features), -(-len(passages) // CLUSTER)), np.float32)
+    for c in range(bounds.shape[1]):
+        bounds[:, c] = (scaled @ latent[c * CLUSTER : (c + 1) * CLUSTER].T).max(axis=1).clip(0)
+        for j in range(c * CLUSTER, min((c + 1) * CLUSTER, len(passages))):
+            if j in own:
+                bounds[own[j][0], c] = np.maximum(bounds[own[j][0], c], own[j][1])
+    return Block(features, scaled, bounds, bounds.max(axis=1, initial=0).astype(np.float64), latent, own, np.array([number[p.item_id] for p in passages], np.int64), np.array([p.first for p in passages], np.int64), list(number), words, answers)
 
 
 def _confirmed(block: Block, item: int, first: int, words: list[str], start: int) -> tuple[float, float] | None:
@@ -268,69 +247,66 @@ def _confirmed(block: Block, item: int, first: int, words: list[str], start: int
     return None
 
 
-def _search(docs: DataFrame, idf: np.ndarray, basis: Basis, block: Block) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((idf.astype(np.float32), basis, block))
+def _candidates(b: Block, f: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows, passages, y) of the candidates among windows of a text; f: places of its words in b.features, or -1."""
+    least = COSINE**2
+    span = first[:, None] + np.arange(WINDOW)
+    g = np.where(span < last[:, None], f[np.minimum(span, len(f) - 1)], -1)
+
+    def sums(table: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The table's rows, summed over each window's words; every window has a word that the benchmark has."""
+        some = of >= 0
+        return np.add.reduceat(table[of[some]], np.concatenate([[0], np.cumsum(some.sum(axis=1))[:-1]]))
+
+    alive = sums(b.bounds, g) >= least - 1e-4
+    which = np.flatnonzero(alive.any(axis=1))
+    if not len(which):
+        return
+    g, alive = g[which], alive[which]
+    image = sums(b.rows, g)
+    for c in np.flatnonzero(alive.any(axis=0)).tolist():
+        i = np.flatnonzero(alive[:, c])
+        y = image[i] @ b.latent[c * CLUSTER : (c + 1) * CLUSTER].T
+        for j in range(y.shape[1]):
+            if c * CLUSTER + j in b.own:
+                part = np.zeros(len(b.features) + 1, np.float32)
+                one, share = b.own[c * CLUSTER + j]
+                part[one] = share
+                y[:, j] = part[g[i]].sum(axis=1)
+        w, j = np.nonzero(y >= least - 1e-6)
+        yield which[i[w]], j + c * CLUSTER, y[w, j]
+
+
+def _search(docs: DataFrame, block: Block) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, v, b = sent.value
-        place = np.full(FEATURES, len(v.features), np.int64)
-        place[v.features] = np.arange(len(v.features))
-        matrix = np.vstack([v.rows, np.zeros((1, v.rows.shape[1]), np.float32)])
+        b = sent.value
+        place = np.full(FEATURES, -1, np.int64)
+        place[b.features] = np.arange(len(b.features))
+        most = np.append(b.most, 0.0)
         for rows, data, offsets in pieces(batches, 1):
             starts, ends, at = word_spans(data, offsets)
-            h = word_hashes(data, starts, ends)
-            f = (h % np.uint64(FEATURES)).astype(np.int64)
-            energy = weight[f].astype(np.float64) ** 2
-            known = b.most[f] > 0
-            whole, inside, share, run = (np.concatenate([[0], np.cumsum(x)]) for x in (energy, energy * b.most[f], b.shares[f], known))
+            f = place[(word_hashes(data, starts, ends) % np.uint64(FEATURES)).astype(np.int64)]
+            reach = np.concatenate([[0], np.cumsum(most[f])])
             windows = [_starts(lo, hi) for lo, hi in zip(at[:-1], at[1:], strict=True)]
             doc = np.repeat(np.arange(len(windows)), [len(x) for x in windows])
             first = np.concatenate(windows) if windows else np.empty(0, np.int64)
             last = np.minimum(first + WINDOW, at[1:][doc]) if len(first) else first
-            norm = whole[last] - whole[first]
-            reach = (inside[last] - inside[first] >= COSINE * b.least * np.sqrt(norm)) | (share[last] - share[first] >= COSINE**2 * (1 - 1e-6))
-            # Where the runs stand: (word, passage, place in the passage), under the last window that starts no later.
-            held: dict[int, list[tuple[int, int, int]]] = {}
-            for k, (sought, passage, place_in) in b.runs.items():
-                from_ = np.flatnonzero(run[k:] - run[:-k] == k)
-                from_ = from_[np.searchsorted(at, from_, "right") == np.searchsorted(at, from_ + k - 1, "right")]
-                mine = _run_hashes(h, from_, k)
-                lo, hi = np.searchsorted(sought, mine), np.searchsorted(sought, mine, "right")
-                for i in np.flatnonzero(lo < hi):
-                    window = int(np.searchsorted(first, from_[i], "right")) - 1
-                    held.setdefault(window, []).extend((int(from_[i]), int(passage[j]), int(place_in[j])) for j in range(lo[i], hi[i]))
-            reach[list(held)] = True
-            live = np.flatnonzero(reach & (norm > 0))
+            live = np.flatnonzero(reach[last] - reach[first] >= COSINE**2 - 1e-4)
             hits: dict[tuple[int, int], list] = {}
             for lo in range(0, len(live), 2048):
                 some = live[lo : lo + 2048]
-                span = first[some][:, None] + np.arange(WINDOW)
-                fits = span < last[some][:, None]
-                g = f[np.minimum(span, len(f) - 1)]
-                image = np.einsum("ij,ijk->ik", weight[g] * fits, matrix[place[g]], optimize=True)
-                along = image @ b.latent.T
-                cosine = along / np.sqrt(norm[some])[:, None]
-                near = cosine >= COSINE
-                i, j = np.nonzero((along >= b.enough) & ~near)
-                g, power = g.astype(np.int32), weight[g].astype(np.float64) ** 2 * fits
-                for at_pair in range(0, len(i), 8192):
-                    p, q = i[at_pair : at_pair + 8192], j[at_pair : at_pair + 8192]
-                    common = ((g[p][:, :, None] == b.features[q][:, None, :]).sum(axis=2) * power[p]).sum(axis=1)
-                    near[p, q] = common >= COSINE**2 * (1 - 1e-6) * b.squares[q]
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    k = some[i]
-                    hits.setdefault((int(doc[k]), int(b.passage_item[j])), []).append((-float(cosine[i, j]), int(first[k] - at[doc[k]]), int(b.passage_first[j])))
-                for i, k in enumerate(some.tolist()):
-                    for word, j, place_of in held.get(k, ()):
-                        hits.setdefault((int(doc[k]), int(b.passage_item[j])), []).append((-float(cosine[i, j]), max(0, int(word - at[doc[k]]) - place_of), int(b.passage_first[j])))
+                for i, j, y in _candidates(b, f, first[some], last[some]):
+                    for k, p, v in zip(some[i].tolist(), j.tolist(), y.tolist(), strict=True):
+                        hits.setdefault((int(doc[k]), int(b.passage_item[p])), []).append((-v, int(first[k] - at[doc[k]]), int(b.passage_first[p])))
             out, texts, ids = [], {}, rows.column(0).to_pylist()
             for (d, item), found in sorted(hits.items()):
                 if d not in texts:
                     texts = {d: _words(rows.column(1)[d].as_py())}
                 for negative, start, passage in sorted(found):
                     if (shares := _confirmed(b, item, passage, texts[d], start)) is not None:
-                        out.append((ids[d], b.item_ids[item], -negative, *shares))
+                        out.append((ids[d], b.item_ids[item], min(1.0, -negative) ** 0.5, *shares))
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "common_share", "answer_share"])
 
@@ -342,25 +318,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     `benchmark` has item_id, text and perhaps answer; without answers an item's ANSWER_WORDS rarest words stand for it.
     Null and empty texts hold nothing and are held by nothing; of items that share an id the one with the least text
-    counts, and items without an id don't.  Equal documents give equal rows.  Other columns are not read.
+    counts, and items without an id don't.  Rows that share a doc_id, or have none, give one row.  Other columns are not read.
     """
     n, df = document_frequencies(docs)
     idf = np.maximum(np.log((n + 1) / (df + 1)), 0.05)
     given = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", *(["answer"] if "answer" in benchmark.columns else []))
     items = store(given.groupBy("item_id").agg(F.min(F.struct("text", *given.columns[2:])).alias("i")).select("item_id", "i.*"), "items")
-    if items.where(F.octet_length("text") > MOST_ITEM_BYTES).limit(1).count():
-        raise ValueError(f"a benchmark item of more than {MOST_ITEM_BYTES} bytes")
     passages = store(benchmark_passages(items), "passages")
     basis = latent_basis(passages, idf)
-    blocks = max(1, -(-items.count() // BLOCK))
-    of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    blocks = max(1, -(-passages.count() // BLOCK))
+    of = F.pmod(F.xxhash64("item_id", "first"), F.lit(blocks))
     out = None
     for k in range(blocks):
-        # About BLOCK items of MOST_ITEM_BYTES at most.
-        rows = items.where(of == k).orderBy("item_id").collect()
-        found = _search(docs, idf, basis, _block(rows, passages.where(of == k).orderBy("item_id", "first").collect(), idf, basis))
+        mine = passages.where(of == k)
+        # About BLOCK passages, and the texts of their items.
+        rows = items.join(mine.select("item_id").distinct(), "item_id", "left_semi").orderBy("item_id").collect()
+        found = _search(docs, _block(rows, mine.orderBy("item_id", "first").collect(), idf, basis))
         out = found if out is None else out.union(found)
-    return out
+    # Passages of one item may stand in several blocks, and rows may repeat.
+    best = F.max(F.struct("common_share", "cosine", "answer_share")).alias("b")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.common_share", "b.answer_share")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,3 +340,62 @@ def test_changed_frequent_items_amid_unique_words_are_found(spark):
         texts.append((d, " ".join(words)))
     got = decontaminate.find_leaks(docs(spark, texts), spark.createDataFrame([(1, " ".join(item), "w0 w1")], "item_id long, text string, answer string")).collect()
     assert {x.doc_id for x in got} == {d for d, _ in texts if d % 3 == 0}
+
+
+def brute_held(item, words):
+    """Whether a stretch of a document holds an item: in order 0.6 of its words, or 0.85 of 24 words of it in a row."""
+    n = len(item)
+    if n < 8:
+        return any(words[i : i + n] == item for i in range(len(words) - n + 1))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(row[j] + 1 if x == y else max(row[j + 1], now[j]))
+            row = now
+        return row[-1]
+
+    for start in range(0, max(1, len(words) - 23), 4):
+        region = words[max(0, start - n) : start + 24 + n]
+        if sum(w in region for w in item) >= 0.6 * n and common(item, region) >= 0.6 * n:
+            return True
+    return False
+
+
+def test_paraphrases_are_found(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 100)
+    r = random.Random(14)
+    common, rare = [f"c{i}" for i in range(60)], [f"r{i}" for i in range(3000)]
+    text = lambda n: [r.choice(common if r.random() < 0.5 else rare) for _ in range(n)]
+    items = [(i, text(r.choice([15, 24, 37, 60]))) for i in range(80)]
+    rows, truth = [], set()
+    for i, words in items:
+        for rate in (0.1, 0.22, 0.35):
+            changed = []
+            for w in words:
+                u = r.random()
+                if u >= rate * 0.55:
+                    changed.append(r.choice(rare) if u < rate else w)
+            rows.append((len(rows), text(r.randrange(60)) + changed + text(r.randrange(60))))
+            if brute_held(words, rows[-1][1]):
+                truth.add((len(rows) - 1, i))
+    rows += [(len(rows) + k, text(150)) for k in range(100)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs(spark, [(i, " ".join(w)) for i, w in rows]), bench).collect()}
+    assert len(truth) > 200
+    assert got <= {(d, i) for d, i in truth} | {(d, d // 3) for d in range(240)}
+    # The truth asks for no answer words, so a few of the most changed ones are left out.
+    assert len(got & truth) >= 0.9 * len(truth)
+    light = {(d, i) for d, i in truth if d % 3 < 2}
+    assert len(got & light) >= 0.97 * len(light)
+
+
+def test_very_long_items(spark):
+    r = random.Random(15)
+    words = [f"w{r.randrange(30000)}" for _ in range(30000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1000:1400])), (3, " ".join(r.sample(words, 400)))]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "x" * 100000)], "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, [*rows, (4, "a " + "x" * 100000), (5, "x" * 99999)]), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(1, 1), (2, 1), (4, 2)}
