@@ -18,6 +18,7 @@ run again.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ from favora.llm.shared import Words, pieces, read, shared_dir, word_spans
 BLOCK = 256
 PERCENTILE = 90
 END = 1
+MARK = "|"
+TOGETHER = 500
 SCHEMA = "shard int, page int, ids_before long, doc_ids array<long>, doc_tokens array<int>, block_min array<int>, block_width array<int>, block_start array<long>, exc_at array<int>, exc_high array<int>, packed binary"
 _ARROW = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("ids_before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((x, pa.list_(pa.int32())) for x in ("doc_tokens", "block_min", "block_width")), ("block_start", pa.list_(pa.int64())), ("exc_at", pa.list_(pa.int32())), ("exc_high", pa.list_(pa.int32())), ("packed", pa.binary())])
 _encoders: dict[str, _Encoder] = {}
@@ -100,20 +103,26 @@ class _Encoder:
     """The tokenizer of a file, with the ids of words seen before.
 
     The tokenizer splits at white space and joins nothing across it, so a text's ids are those of its words one after
-    another.  New words are encoded together, with a special token between them.
+    another.  New words are encoded together, with MARK between them; words that hold it are encoded alone.
     """
 
     def __init__(self, path: str):
+        # Spark has a task for each core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.seen = Words()
-        self.mark, self.mark_id = min((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized)
+        ids = self.tokenizer.encode(f"a {MARK} a", add_special_tokens=False).ids
+        if len(ids) != 3:
+            raise ValueError(f"the tokenizer has no id for {MARK} alone")
+        self.mark_id = ids[1]
 
     def _search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [self.mark in w for w in words]
-        together = f" {self.mark} ".join("" if o else w for w, o in zip(words, odd, strict=True))
-        ids = np.array(self.tokenizer.encode(together, add_special_tokens=False).ids, np.int64)
+        odd = [MARK in w for w in words]
+        together = f" {MARK} ".join("" if o else w for w, o in zip(words, odd, strict=True))
+        # This call leaves out the offsets of tokens.
+        ids = np.array(self.tokenizer.encode_batch_fast([together], add_special_tokens=False)[0].ids, np.int64)
         marks = np.flatnonzero(ids == self.mark_id)
         before = np.concatenate([[0], marks - np.arange(len(marks)), [len(ids) - len(marks)]])
         ids = np.delete(ids, marks)
@@ -130,7 +139,7 @@ class _Encoder:
         raw = data.tobytes()
 
         def search(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found = [self._search([raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]) for part in np.array_split(new, -(-len(new) // 2000))]
+            found = [self._search([raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]) for part in np.array_split(new, -(-len(new) // TOGETHER))]
             sizes = np.concatenate([np.diff(b) for _, b in found])
             return np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(sizes)])
 
