@@ -6,7 +6,11 @@ log P(l | page) = log-likelihood of the visible text + log P(declared markup lan
 The text model is a multinomial over hashed byte trigrams of each language, learned from all labelled documents.  The
 other three come from grouped sums of the pages' text posteriors: reliability of declarations, suffixes (the host's last
 label) with add-one smoothing, and host priors that are smoothed towards those of the domain (the host's last two labels),
-and those towards all pages.  A page's own posterior is taken out of its host's and domain's sums.
+and those towards all pages.  A page's own posterior is taken out of its host's and domain's sums.  A page without a host
+takes the prior of all pages.
+
+Hosts, domains and suffixes of more than a HOT-th of the pages, fewer than HOT of each, are sent to the tasks; the others
+are joined, so that no key of a join has more than that share of the rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ MOST_LANGUAGES = 200
 #: Trigrams of a text aren't independent; it counts as this many at most.
 EFFECTIVE = 60
 HOST_STRENGTH = 5.0
+HOT = 500
 _LETTER = np.arange(256, dtype=np.uint32)
 _LETTER[:65] = 32
 _LETTER[65:91] += 32
@@ -104,11 +109,25 @@ def _softmax(e: str) -> Column:
     return F.expr(f"transform({e}, x -> exp(x - array_max({e})) / aggregate(transform({e}, y -> exp(y - array_max({e}))), 0D, (s, y) -> s + y))")
 
 
+def _joined(rows: DataFrame, sums: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` with the columns of `sums` (key, n, more) but n, by the key; null for an empty key."""
+    more = [c for c in sums.columns if c not in (key, "n")]
+    hot = sums.where(F.col("n") * HOT > total).select(F.col(key).alias("_key"), *(F.col(c).alias(f"_hot_{c}") for c in more))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    # Rows that have found theirs, or ask for nothing, are dealt at random; no host holds a slash.
+    asked = F.when((F.col(key) == "") | F.col("_key").isNotNull(), F.concat(F.lit("/"), F.xxhash64("page_id", "row").cast("string"))).otherwise(F.col(key))
+    cold = sums.where(F.col("n") * HOT <= total).select(F.col(key).alias("_asked"), *(F.col(c).alias(f"_cold_{c}") for c in more))
+    rows = rows.withColumn("_ask", asked).drop("_key").join(cold, F.col("_ask") == F.col("_asked"), "left")
+    for c in more:
+        rows = rows.withColumn(c, F.coalesce(f"_hot_{c}", f"_cold_{c}"))
+    return rows.drop("_ask", "_asked", *(f"_{x}_{c}" for x in ("hot", "cold") for c in more))
+
+
 def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row for each row of `pages` (page_id, url, html): lang, confidence, text_lang, declared, host.
 
-    Missing evidence counts for nothing: null or empty pages have no text, null addresses neither host nor suffix.  Of
-    equal posteriors the first language in order wins.  Without labelled documents lang is null.  Other columns are not
+    Missing evidence counts for nothing: null or empty pages have no text, null addresses neither host, domain nor suffix.
+    Of equal posteriors the first language in order wins.  Without labelled documents lang is null.  Other columns are not
     read.
     """
     languages, model = learn(labelled)
@@ -119,16 +138,17 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     if not languages:
         none = F.lit(None).cast("string")
         return given.select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"), "declared", "host")
-    found = store(_text_evidence(given, model).withColumn("p", _softmax("e")), "evidence")
+    found = store(_text_evidence(given, model).withColumn("p", _softmax("e")).withColumn("row", F.monotonically_increasing_id()), "evidence")
     k = len(languages)
     summed = [F.sum(F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]
     array = F.array(*(F.col(f"s{i}") for i in range(k)))
 
     def sums(key: str) -> DataFrame:
-        return found.groupBy(key).agg(*summed).select(key, array.alias(f"by_{key}"))
+        named = found.where(F.col(key) != "").groupBy(key).agg(F.count("*").alias("n"), *summed)
+        return store(named.select(key, "n", array.alias(f"by_{key}")), f"by-{key}")
 
-    every = found.agg(*summed).select(array.alias("a")).first().a
-    every = [(x or 0.0) + 1.0 for x in every]
+    total_row = found.agg(F.count("*").alias("n"), *summed).first()
+    every = [(total_row[f"s{i}"] or 0.0) + 1.0 for i in range(k)]
     prior = F.array(*(F.lit(x / sum(every)) for x in every))
     total = F.array(*(F.lit(x) for x in every))
     # Declarations of a language count by how often they are right, others for nothing.
@@ -138,14 +158,15 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
         table[:, languages.index(r.declared)] += [r[f"s{i}"] for i in range(k)]
     table = np.log(table / table.sum(axis=1, keepdims=True))
     said = F.create_map(*(x for j, name in enumerate(languages) for x in (F.lit(name), F.array(*(F.lit(float(v)) for v in table[:, j])))))
-    suffixes = sums("suffix")
+    joined, suffixes = found, sums("suffix")
     kinds = suffixes.count()
-    joined = found.join(sums("host"), "host").join(sums("domain"), "domain").join(suffixes, "suffix")
-    joined = joined.withColumn("prior", prior).withColumn("total", total).withColumn("said", F.get(F.array(F.try_element_at(said, F.col("declared"))), F.lit(0)))
-    fused = F.expr(f"""transform(e, (x, i) -> x + coalesce(said[i], 0D)
-        + if(suffix = '', 0D, ln((greatest(by_suffix[i] - p[i], 0D) + 1) / (total[i] + {kinds})))
-        + ln((greatest(by_host[i] - p[i], 0D) + {HOST_STRENGTH} * (greatest(by_domain[i] - p[i], 0D) + {HOST_STRENGTH} * prior[i]) / (greatest(aggregate(by_domain, 0D, (s, y) -> s + y) - 1, 0D) + {HOST_STRENGTH}))
-             / (greatest(aggregate(by_host, 0D, (s, y) -> s + y) - 1, 0D) + {HOST_STRENGTH})))""")
+    for key, of in (("host", sums("host")), ("domain", sums("domain")), ("suffix", suffixes)):
+        joined = _joined(joined, of, key, total_row.n)
+    joined = joined.withColumn("prior", prior).withColumn("total", total).withColumn("said", F.try_element_at(said, F.col("declared")))
+    fused = F.expr(f"""transform(e, (x, i) -> x + coalesce(said[i], 0D) + if(host = '', ln(prior[i]),
+        if(suffix = '', 0D, ln((greatest(by_suffix[i] - p[i], 0D) + 1) / (total[i] + {kinds})))
+        + ln((greatest(by_host[i] - p[i], 0D) + {HOST_STRENGTH} * (if(domain = '', 0D, greatest(by_domain[i] - p[i], 0D)) + {HOST_STRENGTH} * prior[i]) / (if(domain = '', 0D, greatest(aggregate(by_domain, 0D, (s, y) -> s + y) - 1, 0D)) + {HOST_STRENGTH}))
+             / (greatest(aggregate(by_host, 0D, (s, y) -> s + y) - 1, 0D) + {HOST_STRENGTH}))))""")
     out = joined.withColumn("f", fused).withColumn("q", _softmax("f"))
     names = F.array(*(F.lit(x) for x in languages))
     top = lambda p: F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
