@@ -43,20 +43,47 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\/"), F.lit("\n")))
 
 
+def _links(nodes: DataFrame) -> DataFrame:
+    """(tree, node, up) of the nodes whose parent is a node of the tree."""
+    up = nodes.select("tree", F.col("node").alias("up"))
+    return nodes.select("tree", "node", F.col("parent").alias("up")).join(up, ["tree", "up"], "left_semi").select("tree", "node", "up")
+
+
+def _doubled(jumps: DataFrame, *more: Column) -> DataFrame:
+    """Each node with the ancestor of its ancestor."""
+    above = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), *(F.col(c).alias(f"{c}_2") for c in jumps.columns[3:]))
+    return jumps.join(above, ["tree", "up"]).select("tree", "node", F.col("top").alias("up"), *more)
+
+
+def without_cycles(nodes: DataFrame, most: int) -> DataFrame:
+    """`nodes` with the smallest node of each cycle of parents made a root; most: nodes of the largest tree."""
+    jumps, step = store(_links(nodes).withColumn("low", F.least("node", "up")), "cycles"), 1
+    while step < most:
+        jumps = store(_doubled(jumps, F.least("low", "low_2").alias("low")), "cycles")
+        step *= 2
+    # So far up there are cycles only.
+    on = jumps.select("tree", F.col("up").alias("node")).distinct()
+    cut = jumps.where(F.col("node") == F.col("low")).join(on, ["tree", "node"], "left_semi").select("tree", "node", F.lit(True).alias("_cut"))
+    cleared = nodes.join(cut, ["tree", "node"], "left").withColumn("parent", F.when(F.col("_cut").isNull(), F.col("parent")))
+    return store(cleared.select(nodes.columns), "nodes")
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, depth) for each node on the path of each leaf; depth counts upwards from the leaf, which has 0.
 
-    A parent that is no node of the tree makes its child a root.
+    A parent that is no node of the tree makes its child a root, and so is the smallest node of a cycle of parents.
     """
-    up = nodes.select("tree", F.col("node").alias("up"))
-    jumps = store(nodes.select("tree", "node", F.col("parent").alias("up")).join(up, ["tree", "up"], "left_semi").select("tree", "node", "up"), "jumps")
+    jumps = store(_links(nodes), "jumps")
     inner = jumps.select("tree", F.col("up").alias("node")).distinct()
     found = nodes.select("tree", F.col("node").alias("leaf"), "node").join(inner, ["tree", "node"], "left_anti").select("tree", "leaf", "node", F.lit(0).cast("long").alias("depth"))
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     step = 1
     while jumps.limit(1).count():
+        if step >= most:
+            return paths(without_cycles(nodes, most))
         above = found.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), F.col("depth") + step)
         found = store(found.union(above), "paths")
-        jumps = store(jumps.join(jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("top")), ["tree", "up"]).select("tree", "node", F.col("top").alias("up")), "jumps")
+        jumps = store(_doubled(jumps), "jumps")
         step *= 2
     return found
 
@@ -65,9 +92,14 @@ def format_trees(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, score, formatted, loss) of the `best` paths of each tree (None: of all).
 
     `loss` has the spans of `formatted` under the loss mask, start (from 0) and length: the texts of role `assistant`.
-    Null roles and texts count as empty, null scores as 0.  Of equal scores the smaller leaf comes first.
+    Null roles and texts count as empty, null scores as 0.  Of equal scores the smaller leaf comes first.  Rows without a
+    tree or node are left out; of rows that share both, the one with the least parent, role, text and score counts.  A
+    conversation is one value, so the rows of one come together in one task when it is put together.
     """
-    given = nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0)).cast("double").alias("score"))
+    given = nodes.where("tree is not null and node is not null")
+    given = given.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0)).cast("double").alias("score"))
+    if given.groupBy("tree", "node").count().where("count > 1").limit(1).count():
+        given = store(given.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("r")).select("tree", "node", "r.*"), "nodes")
     all_ = paths(given).join(given.select("tree", "node", "score"), ["tree", "node"])
     ranked = all_.groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
     if best == 1:
