@@ -2,8 +2,12 @@
 
 The pieces stand in a double-array trie over UTF-8 bytes.  Viterbi search takes the segmentation of greatest summed log
 score; of equal ones, at each end the longest last piece.  A code point that is no piece itself may also be written as its
-bytes, at a score below that of any piece.  A model of merge ranks has no probabilities, so scores follow Zipf's law over
-the order of its pieces, unless the model's own are asked for.
+bytes, at a score below that of any piece.
+
+A model of merge ranks has no probabilities, so the scores are learned from the corpus by expectation maximisation over
+its best segmentations: starting from Zipf's law over the order of the pieces, all texts are segmented, the pieces are
+counted, and the scores become the logarithms of their shares, ROUNDS times.  Tasks add up their own counts, so each round
+sends one number for each piece and task.
 
 The white-space marker U+2581 stands for a space; a space is put before the text.  In the trie the marker is the space
 itself, so a U+2581 of the text has no piece, is written as bytes, and decoding gives back every text exactly.  No piece
@@ -30,6 +34,7 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer words are searched one by one.
 LOCKSTEP = 60
+ROUNDS = 2
 _seen: dict[str, Words] = {}
 
 
@@ -117,6 +122,53 @@ def load(model: str, scores: str = "zipf") -> Pieces:
     return Pieces(base, check, piece, score, byte_ids, surface, max(map(len, surface)), float(score[normal].min()) - UNKNOWN_PENALTY)
 
 
+def piece_counts(docs: DataFrame, p: Pieces) -> np.ndarray:
+    """How often each piece stands in the best segmentations of all texts."""
+    sent, which = docs.sparkSession.sparkContext.broadcast(p), _name(p)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(len(sent.value.score), np.int64), _remembered(which)
+        for _, data, offsets in pieces(batches, 0):
+            total += np.bincount(encode(sent.value, data, offsets, seen)[0], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "n"])
+
+    out = np.zeros(len(p.score), np.int64)
+    # A number for each piece of the vocabulary.
+    for b in docs.select("text").mapInArrow(task, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    sent.unpersist()
+    return out
+
+
+def rescored(p: Pieces, counts: np.ndarray) -> Pieces:
+    """`p` with the logarithms of the pieces' shares in `counts`, half a count added to each; bytes don't count."""
+    normal = np.flatnonzero(p.score < 0)
+    n = counts[normal] + 0.5
+    score = np.zeros(len(p.score))
+    score[normal] = np.log(n) - np.log(n.sum())
+    return p._replace(score=score, unknown=float(score[normal].min()) - UNKNOWN_PENALTY)
+
+
+def fit(docs: DataFrame, model: str, rounds: int = ROUNDS) -> Pieces:
+    """The pieces of a model file with scores learned from all texts of `docs`."""
+    p = load(model)
+    for _ in range(rounds):
+        p = rescored(p, piece_counts(docs, p))
+    return p
+
+
+def _name(p: Pieces) -> str:
+    return hashlib.blake2b(p.score.tobytes() + b"".join(p.surface)).hexdigest()
+
+
+def _remembered(which: str) -> Words:
+    """The words that this worker has segmented with these scores; those of other scores are forgotten."""
+    if which not in _seen:
+        _seen.clear()
+    return _seen.setdefault(which, Words())
+
+
 def _edges(p: Pieces, data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, id, score) of every piece that occurs in `data`; left: bytes to the end of the word at each byte."""
     at = np.arange(len(data))
@@ -230,17 +282,17 @@ def decode(p: Pieces, ids: list[int]) -> str:
     return b"".join([p.surface[i] for i in ids]).decode(errors="replace")[1:]
 
 
-def encode_documents(docs: DataFrame, model: str, scores: str = "zipf") -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, scores: str = "corpus") -> DataFrame:
     """(doc_id, ids, decoded) of each row of `docs`: the ids of its whole text, and what they decode to.
 
-    Null texts count as empty: no ids.  Rows may repeat and ids may be null; other columns are not read.  The pieces are
-    sent to the tasks; their size is that of the vocabulary.
+    scores: "corpus" (learned from `docs`), "zipf" or "model".  Null texts count as empty: no ids.  Rows may repeat and ids
+    may be null; other columns are not read.  The pieces are sent to the tasks; their size is that of the vocabulary.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(load(model, scores))
-    which = f"{model}:{scores}"
+    chosen = fit(docs, model) if scores == "corpus" else load(model, scores)
+    sent, which = docs.sparkSession.sparkContext.broadcast(chosen), _name(chosen)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, seen = sent.value, _seen.setdefault(which, Words())
+        p, seen = sent.value, _remembered(which)
         for rows, data, offsets in pieces(batches, 1):
             ids, upto = encode(p, data, offsets, seen)
             flat = ids.tolist()
