@@ -23,6 +23,7 @@ SHRINKAGE = 0.15
 LEAST_VARIANCE = 4e-4
 THRESHOLD = 0.3
 BINS = 400
+STEP_BITS = 16
 _CLASS = np.zeros(256, np.uint8)
 for _chars, _code in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), ("abcdefghijklmnopqrstuvwxyz", 2), ("0123456789", 3), ("|", 4), ("!", 5), (".,;:?'\"-", 6), ("#$%&*+/<=>@\\^_`{}~[]()", 7), ("\n", 8)):
     _CLASS[[ord(c) for c in _chars]] = _code
@@ -106,24 +107,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sums(learning: DataFrame) -> dict[int, np.ndarray]:
-    """For each class the sums of 1, x and x xᵀ, as one flat array."""
+    """For each class the sums of 1, x and x xᵀ, as one flat array.
+
+    Statistics count in steps of 2 ** -STEP_BITS, so that the sums are whole numbers and don't depend on the order of rows.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {0: 0, 1: 0}
         for batch in batches:
             x, y = _matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            for k in total:
-                part = np.column_stack([np.ones((y == k).sum()), x[y == k]])
-                total[k] = total[k] + part.T @ part
-        for k, v in total.items():
-            if np.ndim(v):
-                yield pa.RecordBatch.from_arrays([pa.array([k] * v.size), pa.array(range(v.size)), pa.array(v.ravel())], names=["y", "at", "v"])
-
-    rows = learning.select(F.col("y").cast("long"), "x").mapInArrow(task, "y long, at long, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect()
+            for k in (0, 1):
+                part = np.rint(np.column_stack([np.ones((y == k).sum()), x[y == k]]) * (1 << STEP_BITS)).astype(np.int64)
+                v = (part.T @ part).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([k] * v.size), pa.array(range(v.size)), pa.array(v)], names=["y", "at", "v"])
+
+    rows = learning.select(F.col("y").cast("long"), "x").mapInArrow(task, "y long, at long, v long").groupBy("y", "at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
     out: dict[int, np.ndarray] = {}
     for r in rows:
-        out.setdefault(r.y, np.zeros((len(FEATURES) + 1) ** 2))[r.at] = r.v
-    return out
+        out.setdefault(r.y, np.zeros((len(FEATURES) + 1) ** 2))[r.at] = float(r.v) / (1 << 2 * STEP_BITS)
+    return {k: v for k, v in out.items() if v[0] > 0}
 
 
 def _discriminant(sums: dict[int, np.ndarray]) -> Model:
@@ -174,7 +175,7 @@ def fit(found: DataFrame, labels: DataFrame) -> Model | None:
     given = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("long").alias("y"))
     learning = store(found.where(~held_out()).join(given, "doc_id").select("y", "x"), "learning")
     sums = _sums(learning)
-    return _calibrated(_discriminant(sums), learning) if all(k in sums and sums[k][0] > 0 for k in (0, 1)) else None
+    return _calibrated(_discriminant(sums), learning) if len(sums) == 2 else None
 
 
 def held_out() -> Column:
