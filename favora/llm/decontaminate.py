@@ -47,8 +47,10 @@ CLUSTER = 32
 #: Shares of an item's words, or of a full passage's, that must stand in the document in order.
 ITEM_LCS = 0.6
 PASSAGE_LCS = 0.85
-ANSWER_WORDS = 4
 ANSWER_SHARE = 0.5
+#: Without an answer this many of the rarest words stand for it, and a share of them is enough, as changes hit any word.
+ANSWER_WORDS = 6
+RAREST_SHARE = 1 / 3
 #: Items of fewer words must stand in the document word by word.
 SHORT = 8
 BLOCK = 4096
@@ -171,7 +173,7 @@ class Block(NamedTuple):
     passage_first: np.ndarray
     item_ids: list[int]
     words: list[list[str]]
-    answers: list[list[str]]
+    answers: list[tuple[list[str], float]]
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -198,12 +200,12 @@ def _block(rows: list, passages: list, idf: np.ndarray, basis: Basis) -> Block:
     words = [_words(r.text) for r in rows]
     answers = []
     for r, ws in zip(rows, words, strict=True):
-        given = _words(r.answer) if "answer" in r else []
-        if not given:
-            one = list(dict.fromkeys(ws))
-            weight = idf[(_hashes(one) % np.uint64(FEATURES)).astype(np.int64)] if one else []
-            given = [one[i] for i in np.argsort(-np.asarray(weight), kind="stable")[:ANSWER_WORDS]]
-        answers.append(given)
+        if given := _words(r.answer) if "answer" in r else []:
+            answers.append((given, ANSWER_SHARE))
+            continue
+        one = list(dict.fromkeys(ws))
+        weight = idf[(_hashes(one) % np.uint64(FEATURES)).astype(np.int64)] if one else []
+        answers.append(([one[i] for i in np.argsort(-np.asarray(weight), kind="stable")[:ANSWER_WORDS]], RAREST_SHARE))
     features = np.unique(np.concatenate([p.features for p in passages])).astype(np.int64) if passages else np.empty(0, np.int64)
     scaled = (idf[features][:, None] * basis.rows[np.searchsorted(basis.features, features)]).astype(np.float32)
     # A passage's latent vector is the sum of its words' rows.
@@ -231,7 +233,7 @@ def _block(rows: list, passages: list, idf: np.ndarray, basis: Basis) -> Block:
 
 def _confirmed(block: Block, item: int, first: int, words: list[str], start: int) -> tuple[float, float] | None:
     """Shares of common words and of answer words, if the words around `start` hold the item or its passage."""
-    mine, answer = block.words[item], block.answers[item]
+    mine, (answer, enough) = block.words[item], block.answers[item]
     n = len(mine)
     region = words[max(0, start - n) : start + WINDOW + n]
     if n < SHORT:
@@ -239,7 +241,7 @@ def _confirmed(block: Block, item: int, first: int, words: list[str], start: int
     here = set(region)
     share = sum(w in here for w in answer) / max(1, len(answer))
     # No subsequence has more words than stand there at all.
-    if share >= ANSWER_SHARE and sum(w in here for w in mine) / n >= ITEM_LCS and (common := lcs(mine, region) / n) >= ITEM_LCS:
+    if share >= enough and sum(w in here for w in mine) / n >= ITEM_LCS and (common := lcs(mine, region) / n) >= ITEM_LCS:
         return common, share
     part = mine[first : first + WINDOW]
     if len(part) == WINDOW and sum(w in here for w in part) >= PASSAGE_LCS * WINDOW and lcs(part, words[max(0, start - WINDOW) : start + 2 * WINDOW]) >= PASSAGE_LCS * WINDOW:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -56,6 +57,16 @@ def test_branches_are_ranked(spark):
     assert [(x.tree, x.leaf, x.rank) for x in every] == [(1, 4, 1), (1, 5, 2), (2, 1, 1)]
 
 
+def test_cycles_and_repeated_nodes(spark):
+    nodes = [(1, 1, 2, "user", "a", 1.0), (1, 2, 1, "assistant", "b", 1.0), (1, 3, 2, "user", "c", 1.0), (2, 5, 5, "user", "self", 1.0)]
+    nodes += [(3, i, i + 1 if i < 9 else 4, "user", f"t{i}", 1.0) for i in range(1, 10)]
+    nodes += [(4, 1, None, "user", "first", 1.0), (4, 1, None, "user", "other", 1.0), (4, 2, 1, "assistant", "x", 1.0), (None, 1, None, "user", "no tree", 1.0), (5, None, None, "user", "no node", 1.0)]
+    df = spark.createDataFrame([(*x, 9, "clash") for x in nodes], "tree long, node long, parent long, role string, text string, score double, leaf long, depth string")
+    got = {(x.tree, x.leaf): [t.text for t in x.turns] for x in chat_trees.format_trees(df, best=None).select("tree", "leaf", chat_trees.turns(F.col("formatted")).alias("turns")).collect()}
+    # Of the cycle 1, 2 the smaller node is the root; below 2 there is 3.  In tree 3 the cycle is 4 to 9, and 1 leads there.
+    assert got == {(1, 3): ["a", "b", "c"], (2, 5): ["self"], (3, 1): ["t4", "t3", "t2", "t1"], (3, 5): ["t4", "t9", "t8", "t7", "t6", "t5"], (4, 2): ["first", "x"]}
+
+
 def brute_ratio(counts, run):
     p = 1 / 32
     for short in counts:
@@ -147,3 +158,80 @@ def test_languages(spark):
     assert (by[100].lang, by[101].lang, by[103].lang) == ("bb", "cc", "cc")
     assert all(0 < x.confidence <= 1 for x in got)
     assert {x.lang for x in language_id.identify(pages, labelled.limit(0)).collect()} == {None}
+
+
+def brute_languages(labelled, pages):
+    """The fused posteriors, one page at a time."""
+    def grams(text):
+        data = [c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c >= 128 else 32 for c in text.encode()]
+        out = []
+        for a, b, c in zip(data, data[1:], data[2:], strict=False):
+            if (a, b) != (32, 32) and (b, c) != (32, 32):
+                out.append(((((a * 0x9E3779B1 & M) ^ b) * 0x85EBCA6B & M ^ c) * 0xC2B2AE35 & M) >> 16)
+        return out
+
+    M = (1 << 32) - 1
+    names = sorted({x for _, x in labelled if x})
+    counts = {x: {} for x in names}
+    for text, lang in labelled:
+        for g in grams(text or "") if lang else []:
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    sums = {x: sum(counts[x].values()) + language_id.BUCKETS for x in names}
+    norm = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+    rows = []
+    for _, url, html in pages:
+        g = grams(language_id.visible(html))
+        e = [sum(math.log((counts[x].get(c, 0) + 1) / sums[x]) for c in g) * min(len(g), 60) / max(len(g), 1) for x in names]
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0].lower()
+        said = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", html or "")
+        rows.append((e, norm(e), host, ".".join(host.split(".")[-2:]), host.split(".")[-1], said[1].lower() if said else ""))
+    k = range(len(names))
+    total = [sum(r[1][i] for r in rows) + 1 for i in k]
+    prior = [x / sum(total) for x in total]
+    table = [[sum(r[1][i] for r in rows if r[5] == names[j]) + 1 + 8 * (i == j) for j in k] for i in k]
+    kinds = len({r[4] for r in rows if r[4]})
+    out = []
+    for n, (e, p, host, domain, suffix, said) in enumerate(rows):
+        f = []
+        for i in k:
+            v = e[i] + (math.log(table[i][names.index(said)] / sum(table[i])) if said in names else 0)
+            if host:
+                near = lambda at, i=i, n=n: (sum(r[1][i] for m, r in enumerate(rows) if r[at] == rows[n][at] and m != n), sum(r[at] == rows[n][at] for r in rows) - 1)
+                a, c = near(3)
+                a, c = (a + 5 * prior[i]) / (c + 5), 0
+                h, m = near(2)
+                v += math.log((near(4)[0] + 1) / (total[i] + kinds)) + math.log((h + 5 * a) / (m + 5))
+            else:
+                v += math.log(prior[i])
+            f.append(v)
+        q = norm(f)
+        out.append((names[q.index(max(q))], max(q), names[p.index(max(p))]))
+    return out
+
+
+def test_fusion_equals_brute_force_and_helps(spark, monkeypatch):
+    r = random.Random(6)
+    syllables = {"aa": ["ka", "to", "mi", "re"], "bb": ["ka", "to", "ein", "re"], "cc": ["eau", "to", "mi", "re"]}
+    text = lambda k, n: " ".join("".join(r.choice(syllables[k]) for _ in range(3)) for _ in range(n))
+    labelled = [(text(k, 40), k) for k in syllables for _ in range(10)]
+    hosts = {k: [f"{k}{i}.site{i}.{r.choice([k, 'com'])}" for i in range(4)] for k in syllables}
+    truth, pages = [], []
+    for i in range(300):
+        k = r.choice(list(syllables))
+        truth.append(k)
+        said = k if r.random() < 0.7 else r.choice(["aa", "bb", "zz"])
+        pages.append((i, f"https://{r.choice(hosts[k])}/p{i}", f"<html lang='{said}'><p>{text(k, r.choice([1, 1, 2, 12]))}</p>"))
+    # Pages without an address: German ones say nothing about an empty page without one.
+    pages += [(1000 + i, None, f"<p>{text('bb', 20)}</p>") for i in range(40)] + [(2000, None, ""), (2001, "https://aa0.site0.x/", None)]
+    schema = "page_id long, url string, html string"
+    for hot in (500, 3):
+        monkeypatch.setattr(language_id, "HOT", hot)
+        got = {x.page_id: x for x in language_id.identify(spark.createDataFrame(pages, schema), spark.createDataFrame(labelled, "text string, lang string")).collect()}
+        for (i, _, _), (lang, confidence, by_text) in zip(pages, brute_languages(labelled, pages), strict=True):
+            assert (got[i].lang, got[i].text_lang) == (lang, by_text)
+            assert got[i].confidence == pytest.approx(confidence, rel=1e-4)
+    by_text = sum(got[i].text_lang == k for i, k in enumerate(truth))
+    fused = sum(got[i].lang == k for i, k in enumerate(truth))
+    assert fused > 290 and fused > by_text + 30
+    assert got[2000].confidence < 0.6

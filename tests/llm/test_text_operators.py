@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -241,12 +242,24 @@ def brute_segment(p, text):
 
 def test_segmentation(spark):
     model = tokenizer_files.path("piece_bpe_32k.model")
-    p = sentencepiece_unigram.load(model)
     r = random.Random(6)
     parts = [*"abcdethe  \n▁éñ漢😀Z19", "the ", " of", "   ", "tion"]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.choice([0, 1, 5, 40, 90])))) for i in range(200)] + [(900, None), (901, "a" * 3000), (902, "  "), (None, "x")]
+    given = docs(spark, rows)
+    p = sentencepiece_unigram.fit(given, model)
     single = set(p.byte_ids.tolist())
-    for x in sentencepiece_unigram.encode_documents(docs(spark, rows), model).collect():
+    # The scores are those of the pieces' shares in the segmentation of the round before.
+    first = sentencepiece_unigram.fit(given, model, 1)
+    p0 = sentencepiece_unigram.load(model)
+    counts = {}
+    for x in sentencepiece_unigram.encode_documents(given, model, "zipf").collect():
+        for i in x.ids:
+            counts[i] = counts.get(i, 0) + 1
+    normal = [i for i in range(len(p0.score)) if p0.score[i] < 0]
+    total = sum(counts.get(i, 0) + 0.5 for i in normal)
+    assert all(first.score[i] == pytest.approx(math.log((counts.get(i, 0) + 0.5) / total)) for i in normal)
+    assert sentencepiece_unigram.fit(docs(spark, []), model).score[normal] == pytest.approx(-math.log(len(normal)))
+    for x in sentencepiece_unigram.encode_documents(given, model).collect():
         text = dict(rows)[x.doc_id] or ""
         assert x.decoded == text
         if text and len(text) < 100:
@@ -399,3 +412,121 @@ def test_very_long_items(spark):
     bench = spark.createDataFrame([(1, " ".join(words)), (2, "x" * 100000)], "item_id long, text string")
     got = decontaminate.find_leaks(docs(spark, [*rows, (4, "a " + "x" * 100000), (5, "x" * 99999)]), bench).collect()
     assert {(x.doc_id, x.item_id) for x in got} == {(1, 1), (2, 1), (4, 2)}
+
+
+def test_discriminant_equals_brute_force(spark):
+    """Scores from labelled statistics, by plain means, covariances and Gaussian densities."""
+    r = np.random.default_rng(16)
+    text = lambda good: " ".join(("abcdefgh"[r.integers(8)] * r.integers(1, 9)) + ("" if good or r.random() < 0.6 else "#|!7"[r.integers(4)]) for _ in range(r.integers(5, 120)))
+    truth = {i: int(r.random() < 0.6) for i in range(300)}
+    rows = [(i, text(y)) for i, y in truth.items()]
+    given = docs(spark, rows)
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")
+    x = {z.doc_id: np.array(z.x) for z in quality.document_statistics(given).collect()}
+    learn = {k: np.array([x[i] for i, y in truth.items() if y == k and zlib.crc32(str(i).encode()) % 5]) for k in (0, 1)}
+    n = {k: len(v) for k, v in learn.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in learn.items()}
+    pooled = np.diag(sum(n[k] * np.diag(cov[k]) for k in cov) / sum(n.values()))
+    density = {}
+    for k in (0, 1):
+        s = max(0.15, len(quality.FEATURES) / (len(quality.FEATURES) + n[k]))
+        c = (1 - s) * cov[k] + s * pooled + 4e-4 * np.eye(len(pooled))
+        d = np.array([x[i] for i in truth]) - learn[k].mean(axis=0)
+        density[k] = -0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1]
+    expected = density[1] - density[0]
+    got = {z.doc_id: z for z in quality.quality_scores(given, labels).collect()}
+    model = quality.fit(quality.document_statistics(given), labels)
+    for i, e in zip(truth, expected, strict=True):
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(model.slope * min(max(e, -100), 100) + model.shift))), abs=2e-3)
+    again = {z.doc_id: z.score for z in quality.quality_scores(given.repartition(7), labels.repartition(3)).collect()}
+    assert again == {i: z.score for i, z in got.items()}
+
+
+def brute_find(rows):
+    """All spans of each row, by counting every context and every word."""
+    marks = [chr(c) for c in [*range(128), *range(0x80, 0xC0), *range(0x2000, 0x2080), *range(0x3000, 0x3040)] if not (c < 128 and chr(c).isalnum())]
+
+    def stripped(text, a, b):
+        while a < b and text[a] in marks:
+            a += 1
+        while a < b and text[b - 1] in marks:
+            b -= 1
+        return a, b
+
+    def term(text, a, b):
+        a, b = stripped(text, a, b)
+        word = text[a:b].translate(AZ)
+        if brute_spans(text[a:b]):
+            return ""
+        return f"long {word}" if len(word) > 64 else word if sum(c.isalpha() for c in word) >= 3 else ""
+
+    total, occurrences, around, own = 0, {}, {}, []
+    for _, text in rows:
+        text = text or ""
+        words = [m.span() for m in WORD.finditer(text)]
+        total += len(words)
+        for a, b in words:
+            x, y = stripped(text, a, b)
+            w = text[x:y].translate(AZ)
+            occurrences[f"long {w}" if len(w) > 64 else w] = occurrences.get(f"long {w}" if len(w) > 64 else w, 0) + 1
+        found = brute_spans(text)
+        mine, pieces_ = {}, set(words)
+        for start, kind, end in found:
+            before = [(a, b) for a, b in words if a < start][-10:]
+            if before and before[-1][1] > start:
+                before[-1] = (max([before[-1][0], *(z for _, _, z in found if z <= start)]), start)
+            after = [(a, b) for a, b in words if a >= end]
+            inside = [b for a, b in words if a < end < b]
+            if inside:
+                after = [(end, min([inside[0], *(x for x, _, _ in found if x >= end)])), *after]
+            near = [x for x in before + after[:10] if x[0] < x[1]]
+            pieces_.update(x for x in before[-1:] + after[:1] if x[0] < x[1])
+            near = [x for x in near if not brute_spans(text[x[0] : x[1]])]
+            context = tuple(text[a:b] for a, b in near)
+            value = re.sub("[^0-9]", "", text[start:end]) if kind > 1 else text[start:end].lower()
+            for entity in ((kind, value), kind):
+                for t in {term(text, a, b) for a, b in near} - {""}:
+                    around.setdefault(entity, {}).setdefault(t, set()).add(context)
+                    mine.setdefault(t, set()).add(entity)
+                around.setdefault(entity, {}).setdefault("", set()).add(context)
+        own.append((text, found, mine, pieces_))
+    out = []
+    for text, found, mine, pieces_ in own:
+        spans = [(a, list(KINDS)[k], b) for a, k, b in found]
+        for t, entities in mine.items():
+            worst = 0
+            for e in entities:
+                n_te, n_e = len(around[e][t]), len(around[e][""])
+                if n_te >= 2:
+                    n_t = max(n_te, occurrences.get(t, 0))
+                    worst = max(worst, math.log(n_te * total / (n_t * n_e)) / math.log((total + 1) / n_e))
+            if worst >= 0.85:
+                spans += [(*stripped(text, a, b)[:1], "term", stripped(text, a, b)[1]) for a, b in pieces_ if term(text, a, b) == t]
+        order = [*KINDS, "term"]
+        out.append(",".join(f"{k}:{a}:{b}" for a, k, b in sorted(set(spans), key=lambda z: (z[0], order.index(z[1]), z[2]))))
+    return out
+
+
+def test_disclosures_equal_brute_force(spark):
+    r = random.Random(17)
+    common = [f"{a}{b}word" for a in "abcdefgh" for b in "klmnop"]
+    marked = lambda w: r.choice(["", "", "«", "(", "“", "...", "—"]) + w + r.choice(["", "", "»", ").", "”,", "!!!!!", "…"])
+    fill = lambda n: [marked(r.choice(common)) for _ in range(n)]
+    entities = ["zed@mail.org", "10.1.2.3", "+1 (386) 555-3733", "4111 1111 1111 1111", "amy@b.example.net", "8.8.8.8"]
+    rows = []
+    for i in range(150):
+        words = fill(r.randrange(40))
+        for _ in range(r.choice([0, 0, 1, 1, 3])):
+            k = r.randrange(len(entities))
+            clue = f"clue{'abcdef'[k]}x" if r.random() < 0.6 else "y" * 70 + "abcdef"[k] if r.random() < 0.2 else r.choice(common)
+            joined = r.choice([" ", " ", ";", "="])
+            words += [*fill(r.randrange(4)), marked(clue) + joined + entities[k], *fill(r.randrange(4)), *([f"Clue{'abcdef'[k]}x"] if r.random() < 0.3 else [])]
+        rows.append((i, " ".join(words + fill(r.randrange(30)))))
+    rows += [(None, rows[5][1]), (None, None), (900, ""), (5, rows[5][1]), (901, "a" * 5000 + " me@x.org;" * 300), (902, "cluea" + "x" * 300 + "@mail.org")]
+    expected = brute_find(rows)
+    got = [(x.doc_id, x.spans, x.n_term) for x in pii.find(docs(spark, rows)).collect()]
+    assert sorted((str(i), s, s.count("term:")) for i, s, _ in got) == sorted((str(i), s, s.count("term:")) for (i, _), s in zip(rows, expected, strict=True))
+    assert all(n == s.count("term:") for _, s, n in got)
+    assert sum(n for _, _, n in got) > 50
+    # A row without an id keeps its terms.
+    assert any(i is None and n for i, _, n in got) == any("term:" in s for (i, _), s in zip(rows, expected, strict=True) if i is None)
