@@ -36,6 +36,8 @@ GENERALISE = 0.85
 REMOVE = 0.95
 #: Words of the corpus are counted if they fall on a set bit of a filter of this many bits, whatever the number of terms.
 FILTER_BITS = 1 << 23
+#: Sums that a task holds at once.
+MOST_COUNTED = 1 << 20
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -206,11 +208,17 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(h, n): how often the corpus holds the terms whose hash is on the filter; summed over each task's pieces first."""
+    """(h, n): how often the corpus holds the terms whose hash is on the filter; each task adds up its own first."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(sent.value).astype(bool)
+        keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            one, of = np.unique(np.concatenate(keys), return_inverse=True)
+            return one, np.bincount(of, weights=np.concatenate(counts), minlength=len(one)).astype(np.int64)
+
         for _, data, offsets in pieces(batches, 0):
             words, ends, _ = word_spans(data, offsets)
             starts, ends = term_spans(data, words, ends)
@@ -220,9 +228,18 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             long = np.flatnonzero(ends - starts > LONGEST)
             h[long] = np.array(_hashes([_term(data[starts[i] : ends[i]].tobytes().decode()) or " " for i in long.tolist()]), np.int64).view(np.uint64)
             h = h[known[(h % np.uint64(FILTER_BITS)).astype(np.int64)]]
-            if len(h):
-                one, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], names=["h", "n"])
+            one, n = np.unique(h, return_counts=True)
+            keys.append(one)
+            counts.append(n)
+            if sum(map(len, keys)) > MOST_COUNTED:
+                one, n = added()
+                # Sums of few terms stay, as they come again; those of many go on.
+                if len(one) > MOST_COUNTED // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], names=["h", "n"])
+                    one, n = one[:0], n[:0]
+                keys, counts = [one], [n]
+        one, n = added()
+        yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     return docs.select("text").mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
