@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new temporary folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder in the warehouse if Spark runs in one process, else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="favora-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/favora-scratch"
     return found.rstrip("/")
 
 

@@ -6,6 +6,7 @@ Statistics are grouped sums; no step collects cells.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from favora.functions.stats import exact_quantile, medians_and_mads
 from favora.functions.tables import store
 from favora.functions.transforms import check_method, minmax, robust, transformed
-from favora.operators.grid import rasterize
+from favora.operators.grid import ranked
 
 NAN_MODES = ("propagate_shared", "propagate_any")
 
@@ -122,6 +123,8 @@ class Layer(NamedTuple):
     column: str = "value"
     weight: float = 1.0
     method: str | None = "none"
+    #: Of several rows in a cell the last by this column counts; without it, the greatest value.
+    order: str | None = None
 
 
 class Weights(NamedTuple):
@@ -153,24 +156,36 @@ def _scaled(df: DataFrame, by: Sequence[str], norm_to: float) -> DataFrame:
 def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: str = "minmax", component_veto: bool = False, criteria_veto: bool = True, norm_to: float = 5.0, nan_mode: str = "propagate_shared") -> Favorability:
     """Layers to components by the voter, components to criteria and criteria to the project by the modified veto.
 
-    Layers are aligned by lattice index; raises ValueError if their lattices differ in shape.  Coordinates are those of the
-    last layer.  `pr` is raw and `pr_norm` is scaled to norm_to.
+    Layers are aligned by lattice index; raises ValueError for a layer without rows, and if their lattices differ in
+    shape.  Coordinates are those of the last layer.  `pr` is raw and `pr_norm` is scaled to norm_to.
     """
     axes = ("x", "y") if project_dimension([x.model for x in layers]) == 2 else ("x", "y", "z")
     cell = [f"i{a}" for a in axes]
-    rows, shapes = None, set()
-    last = None
+    named = [(layer.criteria, layer.component, float(layer.weight), check_method(layer.method)) for layer in layers]
+    parts = []
     for at, layer in enumerate(layers):
-        method = check_method(layer.method)
-        raster = rasterize(layer.model, layer.column, axes)
-        shapes.add(tuple(raster.agg(*(F.max(c) for c in cell)).first()))
-        if len(shapes) > 1:
-            raise ValueError("Layer grid shape mismatch")
-        part = raster.select(F.lit(layer.criteria).alias("criteria"), F.lit(layer.component).alias("component"), F.lit(at).alias("ord"), F.lit(float(layer.weight)).alias("w"), F.lit(method).alias("method"), *cell, F.col(layer.column).cast("double").alias("v"))
-        rows = part if rows is None else rows.unionAll(part)
-        last = raster.select(*cell, *axes)
-    last = store(last, "cells")
-    rows = store(rows, "rasters")
+        value = F.max_by(layer.column, layer.order) if layer.order else F.max(layer.column)
+        parts.append(layer.model.groupBy(*axes).agg(value.cast("double").alias("v")).select(F.lit(at).alias("ord"), *axes, "v"))
+    given = store(functools.reduce(DataFrame.unionAll, parts), "layers")
+    spark = given.sparkSession
+    # One row for each layer, whatever the size of its lattice.
+    counts = functools.reduce(lambda a, b: a.join(b, "ord"), (given.where(F.col(a).isNotNull()).select("ord", a).distinct().groupBy("ord").agg(F.count("*").alias(f"n{a}")) for a in axes))
+    shapes = {r.ord: tuple(r[f"n{a}"] for a in axes) for r in counts.collect()}
+    if len(shapes) < len(layers):
+        raise ValueError("cannot rasterize an empty layer")
+    if len(set(shapes.values())) > 1:
+        raise ValueError("Layer grid shape mismatch")
+    sizes = shapes[0]
+    indexed = given
+    for a in axes:
+        indexed = indexed.join(ranked(given, a, ["ord"]), ["ord", a])
+    indexed = store(indexed, "rasters")
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(named)], "ord int, criteria string, component string, w double, method string")
+    nodes = spark.range(math.prod(sizes)).select(*(F.floor(F.col("id") / math.prod(sizes[:k]) % sizes[k]).cast("long").alias(c) for k, c in enumerate(cell)))
+    full = nodes.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(len(layers) - 1))))
+    rows = full.join(indexed.select("ord", *cell, "v"), ["ord", *cell], "left").join(F.broadcast(table), "ord")
+    last = indexed.where(F.col("ord") == len(layers) - 1)
+    placed_at = [last.select(f"i{a}", a).distinct() for a in axes]
     keys = ["ord"]
     if any(check_method(x.method) in ("hill", "valley") for x in layers):
         rows = rows.join(medians_and_mads(rows, "v", keys), keys, "left")
@@ -180,8 +195,9 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
     for method in sorted({check_method(x.method) for x in layers}):
         one = transformed(F.col("v"), method, F.col("med"), F.col("mad"))
         value = one if value is None else F.when(F.col("method") == method, one).otherwise(value)
-    rows = store(rows.withColumn("v", value).drop("med", "mad", "method"), "layers")
-    bounds = rows.groupBy("ord").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows = store(rows.withColumn("v", value).drop("med", "mad", "method"), "transformed")
+    # One row for each layer.
+    bounds = F.broadcast(rows.groupBy("ord").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
     if normalize_method == "minmax":
         rows = rows.join(bounds, "ord").withColumn("v", minmax(F.col("v"), F.col("lo"), F.col("hi")))
     elif normalize_method == "mad":
@@ -189,7 +205,6 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
     else:
         raise ValueError(f"unknown normalisation method: {normalize_method}")
 
-    rows = store(rows, "layers")
     ready = prepare(rows.select("criteria", "component", "ord", "w", *cell, "v"), ["ord"], ["criteria", "component", *cell], nan_mode)
     order = [(c, k) for c, k in weights.components]
     table = rows.sparkSession.createDataFrame([(c, k, i, float(weights.components[c, k][0]), prior_logit(weights.components[c, k][1])) for i, (c, k) in enumerate(order)], "criteria string, component string, k_ord int, k_w double, w0 double")
@@ -201,7 +216,13 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
     table = rows.sparkSession.createDataFrame([(c, i, float(w)) for i, (c, w) in enumerate(weights.criteria.items())], "criteria string, ord int, w double")
     ready = prepare(criteria.join(table, "criteria").select("ord", "w", *cell, F.col("pr").alias("v")), ["ord"], cell, nan_mode)
     final = store(_masked_veto(ready, cell, [], criteria_veto), "final")
-    placed = lambda df, by: _scaled(df, by, norm_to).join(last, cell).select(*by, *axes, "pr", "pr_norm")
+
+    def placed(df: DataFrame, by: list[str]) -> DataFrame:
+        df = _scaled(df, by, norm_to)
+        for at, a in zip(placed_at, axes, strict=True):
+            df = df.join(at, f"i{a}")
+        return df.select(*by, *axes, "pr", "pr_norm")
+
     return Favorability(placed(components.drop("k_ord", "k_w"), ["criteria", "component"]), placed(criteria, ["criteria"]), placed(final, []))
 
 

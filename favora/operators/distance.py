@@ -1,7 +1,7 @@
 """Distance and influence fields over the nodes of a grid.
 
-Nearest features come from bucket joins.  Sums over all features have no bound to prune by; they go through blocks of at
-most BLOCK features, which are sent to the tasks and summed there as arrays, so that no pairs are written out.
+Nearest features come from joins with leaves of bounded size.  Sums over all features go through packs of them, which meet
+packs of nodes in an equi-join and are summed there as arrays, so that no pairs are written out.
 """
 
 from __future__ import annotations
@@ -10,14 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from favora.functions.geometry import crosses, on_segment, point_distance, segment_distance, segment_intersection
 from favora.functions.tables import store
-from favora.operators.near import nearest_candidates, within_candidates
+from favora.operators.near import nearest_candidates, touching, within_candidates
 
+#: Points and nodes that a task multiplies at once.
 BLOCK = 20_000
+NODES = 8_192
 CHUNK = 1 << 21
 INF = float("inf")
 
@@ -29,7 +31,8 @@ def _keys(grid: DataFrame) -> list[str]:
 def _least(grid: DataFrame, features: DataFrame, distance: Column, name: str = "distance") -> DataFrame:
     keys = _keys(grid)
     plane = grid.select("x", "y").distinct() if "iz" in keys else grid
-    near = nearest_candidates(plane, features)
+    # Equal features are one.
+    near = nearest_candidates(plane, features.distinct())
     if near is None:
         return grid.withColumn(name, F.lit(INF))
     if "iz" in keys:
@@ -63,14 +66,14 @@ def distance_from_lines(grid: DataFrame, segments: DataFrame) -> DataFrame:
 def inside(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, polygon) of the points strictly inside polygons given by their edges (gid, x0, y0, x1, y1).
 
-    Polygons meet the points within their bounds through buckets; an odd number of edges to the right means inside.
+    Polygons meet the points within their bounds; an odd number of edges to the right means inside.
     """
     named = edges.select(F.col("gid").alias("polygon"), "x0", "y0", "x1", "y1")
     boxes = named.groupBy("polygon").agg(F.min(F.least("x0", "x1")).alias("xmin"), F.min(F.least("y0", "y1")).alias("ymin"), F.max(F.greatest("x0", "x1")).alias("xmax"), F.max(F.greatest("y0", "y1")).alias("ymax"))
-    near = within_candidates(points.select(*keys, "x", "y"), boxes, 0.0)
+    near = within_candidates(points.select(*dict.fromkeys([*keys, "x", "y"])), boxes, 0.0)
     if near is None:
         return points.select(*keys, F.lit(None).cast("long").alias("polygon")).limit(0)
-    near = near.where("x > xmin and x < xmax and y > ymin and y < ymax").select(*keys, "x", "y", "polygon").distinct()
+    near = near.where("x > xmin and x < xmax and y > ymin and y < ymax").select(*dict.fromkeys([*keys, "x", "y"]), "polygon").distinct()
     at = [F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")]
     tests = near.join(named, "polygon").groupBy(*keys, "polygon").agg(F.count_if(crosses(*at)).alias("n"), F.bool_or(on_segment(*at)).alias("on"))
     return tests.where("n % 2 = 1 and not on").select(*keys, "polygon")
@@ -104,7 +107,13 @@ def distance_from_solids(grid: DataFrame, edges: DataFrame, solids: DataFrame, l
         return grid.withColumn("distance", F.lit(INF))
     plane = grid.select("x", "y").distinct()
     edged = edges.select(F.col("gid").alias("polygon"), "x0", "y0", "x1", "y1").join(cut, "polygon").drop("polygon")
-    far = nearest_candidates(plane, edged, "level").groupBy("x", "y", "level").agg(F.min(_to_segment()).alias("d"))
+    # Levels lie so far apart in z that the nearest edge is one of the same level.
+    box = edged.agg(F.max(F.greatest(*(F.abs(c) for c in ("x0", "y0", "x1", "y1"))))).first()[0]
+    far_off = 8 * max(box, *(abs(v) for v in plane.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()), 1.0)
+    lifted = lambda df: df.withColumn("z", F.col("level") * F.lit(far_off))
+    asked = lifted(plane.withColumn("level", F.explode(F.array(*(F.lit(i) for i in valid)))))
+    both = lifted(edged).withColumns({"z0": F.col("z"), "z1": F.col("z")}).drop("z", "level").distinct()
+    far = nearest_candidates(asked, both, ("x", "y", "z")).groupBy("x", "y", "level").agg(F.min(_to_segment()).alias("d"))
     within = inside(plane, edges, ["x", "y"]).join(cut, "polygon").select("x", "y", "level", F.lit(0.0).alias("d"))
     planar = far.unionByName(within).groupBy("x", "y", "level").agg(F.min("d").alias("d"))
     use = {i: min(valid, key=lambda j: (abs(j - i), j)) for i in range(len(levels))}
@@ -116,18 +125,15 @@ def distance_from_solids(grid: DataFrame, edges: DataFrame, solids: DataFrame, l
 def intersections(segments: DataFrame, all_points: bool = False) -> DataFrame:
     """(a, b, x, y): points where lines (gid, x0, y0, x1, y1) meet, each pair once; overlaps give their middle.
 
-    Pairs of lines that meet in several points are left out, unless `all_points`.  Segments meet through shared buckets.
+    Pairs of lines that meet in several points are left out, unless `all_points`.  Only segments whose boxes touch are compared.
     """
-    from favora.operators.near import _Frame
-
     one = segments.select("gid", "x0", "y0", "x1", "y1")
-    f = _Frame(one, one.select(F.col("x0").alias("x"), F.col("y0").alias("y")))
-    if not f.count:
+    near = touching(one)
+    if near is None:
         return one.select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    spread = f.spread(one)
-    other = spread.select(F.col("gid").alias("g2"), *(F.col(c).alias(f"{c}_2") for c in ("x0", "y0", "x1", "y1")), "fx", "fy")
+    near = near.withColumnsRenamed({"f_gid": "g2", **{f"f_{c}": f"{c}_2" for c in ("x0", "y0", "x1", "y1")}})
     meet = segment_intersection(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"{c}_2") for c in ("x0", "y0", "x1", "y1")))
-    found = spread.join(other, ["fx", "fy"]).where("gid < g2").select(F.col("gid").alias("a"), F.col("g2").alias("b"), meet.alias("p")).where("p is not null")
+    found = near.where("gid < g2").select(F.col("gid").alias("a"), F.col("g2").alias("b"), meet.alias("p")).where("p is not null")
     found = found.select("a", "b", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
     if all_points:
         return found
@@ -168,10 +174,29 @@ def point_weights(points: DataFrame, column: str | None, low: float = 1.0, high:
     return points.withColumn("w", low + (v - least) / (most - least) * (high - low))
 
 
+def _packed(df: DataFrame, size: int, name: str) -> DataFrame:
+    """(name, items): the rows of `df` in packs of `size` at most, numbered; nothing is shuffled."""
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            rows = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+            for lo in range(0, len(rows), size):
+                part = rows[lo : lo + size]
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=[name, "items"])
+                n += 1
+
+    return df.mapInArrow(task, T.StructType([T.StructField(name, T.LongType()), T.StructField("items", T.ArrayType(df.schema))]))
+
+
 def influence(grid: DataFrame, weighted: DataFrame, alpha: float, mode: str = "sum", k: int | None = None) -> DataFrame:
     """`grid` with weighted_point_score of w * exp(-d / alpha) over all points (x, y[, z], w).
 
-    mode: sum, mean, max, or knearest (the sum over the k nearest points, of equally near ones by their order in gid).
+    mode: sum, mean, max, or knearest (the sum over the k nearest points, of equally near ones by their order in gid, or
+    else by their coordinates).  Sums over all points have no bound to prune by: packs of nodes meet packs of points in
+    lanes, an equi-join, and each pair of packs is summed in a task as arrays.
     """
     if mode not in ("sum", "mean", "max", "knearest"):
         raise ValueError(f"unknown mode: {mode}")
@@ -183,39 +208,40 @@ def influence(grid: DataFrame, weighted: DataFrame, alpha: float, mode: str = "s
     total = points.count()
     if not total:
         return grid.withColumn("weighted_point_score", F.lit(0.0))
-    blocks = -(-total // BLOCK)
     keys = _keys(grid)
-    k = min(k or 1, total)
-    parts = None
-    for b in range(blocks):
-        rows = (points if blocks == 1 else points.where(F.pmod(F.xxhash64(*order), F.lit(blocks)) == b)).orderBy(*order).toPandas()
-        at, w, gid = rows[axes].to_numpy(float), rows["w"].to_numpy(float), np.arange(len(rows))
-
-        def task(batches: Iterator[pa.RecordBatch], at: np.ndarray = at, w: np.ndarray = w, gid: np.ndarray = gid) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                nodes = np.column_stack([batch.column(batch.schema.get_field_index(a)).to_numpy(zero_copy_only=False) for a in axes])
-                out = []
-                for lo in range(0, len(nodes), max(1, CHUNK // max(1, len(at)))):
-                    some = nodes[lo : lo + max(1, CHUNK // max(1, len(at)))]
-                    d = np.sqrt(sum((some[:, j, None] - at[None, :, j]) ** 2 for j in range(len(axes))))
-                    s = w * np.exp(-d / alpha)
-                    if mode == "knearest":
-                        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                        out += [[{"d": float(p), "s": float(q)} for p, q in zip(x, y, strict=True)] for x, y in zip(np.take_along_axis(d, near, 1), np.take_along_axis(s, near, 1), strict=True)]
-                    else:
-                        out += (s.max(axis=1) if mode == "max" else s.sum(axis=1)).tolist() if len(at) else [0.0] * len(some)
-                kind = pa.list_(pa.struct([("d", pa.float64()), ("s", pa.float64())])) if mode == "knearest" else pa.float64()
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keys] + [pa.array(out, kind)], names=[*keys, "s"])
-
-        kinds = dict(grid.dtypes)
-        found = grid.select(*dict.fromkeys([*keys, *axes])).mapInArrow(task, ", ".join(f"{c} {kinds[c]}" for c in keys) + (", s array<struct<d:double,s:double>>" if mode == "knearest" else ", s double"))
-        parts = found if parts is None else parts.unionAll(found)
+    nodes = grid.select(*keys, *axes)
     if mode == "knearest":
-        best = F.slice(F.array_sort(F.flatten(F.collect_list("s")), lambda x, y: F.when(x["d"] < y["d"], -1).when(x["d"] > y["d"], 1).otherwise(0)), 1, k)
-        value = F.aggregate(best, F.lit(0.0), lambda s, x: s + x["s"])
-    else:
-        value = F.max("s") if mode == "max" else F.sum("s") / (total if mode == "mean" else 1)
-    return grid.join(parts.groupBy(*keys).agg(value.alias("weighted_point_score")), keys)
+        near = nearest_candidates(nodes, points, tuple(axes), min(k, total))
+        d = F.sqrt(sum(((F.col(a) - F.col(f"f_{a}")) * (F.col(a) - F.col(f"f_{a}")) for a in axes), F.lit(0.0)))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("d", *(c if c in near.columns and c not in axes else f"f_{c}" for c in order)))
+        found = near.withColumn("d", d).withColumn("place", place).where(F.col("place") <= min(k, total))
+        best = found.groupBy(*keys).agg(F.sum(F.col("w") * F.exp(-F.col("d") / alpha)).alias("weighted_point_score"))
+        return grid.join(best, keys, "left")
+    packs = store(_packed(points.select(*(F.col(c).cast("double") for c in (*axes, "w"))), BLOCK, "pack"), "points")
+    lanes = max(1, min(packs.count(), 4 * grid.sparkSession.sparkContext.defaultParallelism))
+    some = _packed(nodes, NODES, "nodes").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    dealt = packs.select(F.pmod(F.xxhash64("pack"), F.lit(lanes)).alias("lane"), F.col("items").alias("points"))
+    pairs = some.join(dealt, "lane").select("items", "points")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here, given = batch.column(0)[i].values, batch.column(1)[i].values
+                at = np.column_stack([here.field(a).to_numpy(zero_copy_only=False).astype(float) for a in axes])
+                of = np.column_stack([given.field(a).to_numpy(zero_copy_only=False) for a in axes])
+                w = given.field("w").to_numpy(zero_copy_only=False)
+                out = np.empty(len(at))
+                step = max(1, CHUNK // max(1, len(of)))
+                for lo in range(0, len(at), step):
+                    part = at[lo : lo + step]
+                    s = w * np.exp(-np.sqrt(sum((part[:, j, None] - of[None, :, j]) ** 2 for j in range(len(axes)))) / alpha)
+                    out[lo : lo + step] = s.max(axis=1) if mode == "max" else s.sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*(here.field(c) for c in keys), pa.array(out)], names=[*keys, "s"])
+
+    kinds = dict(grid.dtypes)
+    found = pairs.mapInArrow(task, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", s double")
+    value = F.max("s") if mode == "max" else F.sum("s") / (total if mode == "mean" else 1)
+    return grid.join(found.groupBy(*keys).agg(value.alias("weighted_point_score")), keys)
 
 
 def weighted_distance_from_points(grid: DataFrame, points: DataFrame, column: str | None = "value", alpha: float = 1000, weight_min: float = 1, weight_max: float = 2, mode: str = "sum", k_nearest: int | None = None) -> DataFrame:

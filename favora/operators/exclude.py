@@ -39,7 +39,7 @@ def add_exclusions(model: DataFrame, layers: Sequence[tuple[DataFrame, float]],
 
 def near_polygons(points: DataFrame, edges: DataFrame, keys: Sequence[str], distance: float) -> DataFrame:
     """(keys, polygon) of points inside polygons or closer than `distance` to them."""
-    near = within_candidates(points.select(*keys, "x", "y"), edges.select(F.col("gid").alias("polygon"), "x0", "y0", "x1", "y1"), distance)
+    near = within_candidates(points.select(*dict.fromkeys([*keys, "x", "y"])), edges.select(F.col("gid").alias("polygon"), "x0", "y0", "x1", "y1"), distance)
     within = inside(points, edges, list(keys))
     if near is None:
         return within

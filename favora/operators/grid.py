@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from favora.functions.tables import store
+
+#: Up to this many coordinates one task numbers them.
+SMALL = 100_000
+#: Cells of a full lattice for each row of a layer.
+MOST_EMPTY = 1_000
+
 
 class Extent(NamedTuple):
     """A box; zmin and zmax are None in two dimensions."""
@@ -47,45 +56,55 @@ def _indices(spark: SparkSession, nx: int, ny: int, nz: int | None) -> DataFrame
     return out.drop("iz") if nz is None else out
 
 
-def _ranked(df: DataFrame, axis: str) -> DataFrame:
-    """(axis, i): the distinct coordinates in order.
+def ranked(df: DataFrame, axis: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, axis, i): the distinct coordinates of each group in order, numbered from 0.
 
-    Ranks come from sorted partitions: counts of the coordinates before each partition are added to places inside it.
+    Many coordinates are written in sorted ranges, once; counts of the ranges before each are added to places inside it.
     """
-    from pyspark.sql import Window
-
-    sorted_ = df.select(axis).distinct().where(F.col(axis).isNotNull()).repartitionByRange(axis).withColumn("_p", F.spark_partition_id())
-    counts = sorted_.groupBy("_p").count().collect()
-    before, done = {}, 0
-    for r in sorted(counts):
-        before[r[0]] = done
-        done += r[1]
-    if not before:
-        return sorted_.select(axis, F.lit(0).cast("long").alias(f"i{axis}"))
-    start = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(axis)) - 1
-    return sorted_.select(axis, (place + F.element_at(start, F.col("_p"))).cast("long").alias(f"i{axis}"))
-
-
-def rasterize(df: DataFrame, column: str, axes: tuple[str, ...] = ("x", "y"), order: str | None = None) -> DataFrame:
+    keys = list(keys)
+    every = df.select(*keys, axis).where(F.col(axis).isNotNull()).distinct()
+    order = Window.partitionBy(*keys).orderBy(axis) if keys else Window.orderBy(axis)
+    if every.limit(SMALL + 1).count() <= SMALL:
+        return every.select(*keys, axis, (F.row_number().over(order) - 1).cast("long").alias(f"i{axis}"))
+    parts = store(every.repartitionByRange(*keys, axis).withColumn("_p", F.spark_partition_id()), "ranges")
+    # A number for each range and group.
+    counts = parts.groupBy("_p", *keys).count()
+    before = counts.withColumn("_before", F.sum("count").over((Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_p")) - F.col("count")).drop("count")
+    place = F.row_number().over(Window.partitionBy("_p", *keys).orderBy(axis)) - 1
+    return parts.join(before, ["_p", *keys]).select(*keys, axis, (place + F.col("_before")).cast("long").alias(f"i{axis}"))
+
+
+def rasterize(df: DataFrame, column: str, axes: tuple[str, ...] = ("x", "y"), order: str | None = None, sparse: bool = False) -> DataFrame:
     """The full lattice of the distinct coordinates: (i*, coordinates, column); missing cells are NULL.
 
-    Of rows in one cell the last by `order` counts (without it, the greatest value).  Raises ValueError for an empty layer.
+    Of rows in one cell the last by `order` counts (without it, the greatest value).  Raises ValueError for an empty layer,
+    and for scattered rows, of which the full lattice would have more than MOST_EMPTY cells to each; with `sparse` only
+    the cells that have rows are given.
     """
-    if not df.limit(1).count():
-        raise ValueError("cannot rasterize an empty layer")
     value = F.max_by(column, order) if order else F.max(column)
     cells = df.groupBy(*axes).agg(value.alias(column))
-    full = None
-    for axis in axes:
-        ranks = _ranked(df, axis)
-        full = ranks if full is None else full.crossJoin(ranks)
+    # Each axis is counted by itself, so that no task holds the distinct values of all.
+    sizes = [df.select(a).where(F.col(a).isNotNull()).distinct().count() for a in axes]
+    if not all(sizes):
+        raise ValueError("cannot rasterize an empty layer")
+    ranks = [ranked(df, a) for a in axes]
+    if sparse:
+        full = cells
+        for a, r in zip(axes, ranks, strict=True):
+            full = full.join(r, a)
+        return full.select(*(f"i{a}" for a in axes), *axes, column)
+    if math.prod(sizes) > max(SMALL, MOST_EMPTY * df.count()):
+        raise ValueError(f"{math.prod(sizes)} cells for scattered rows; ask for a sparse raster")
+    numbers = df.sparkSession.range(math.prod(sizes))
+    full = numbers.select(*(F.floor(F.col("id") / math.prod(sizes[:k]) % sizes[k]).cast("long").alias(f"i{a}") for k, a in enumerate(axes)))
+    for a, r in zip(axes, ranks, strict=True):
+        full = full.join(r, f"i{a}")
     return full.join(cells, list(axes), "left").select(*(f"i{a}" for a in axes), *axes, column)
 
 
 def derasterize(raster: DataFrame, column: str, geometry: DataFrame, axes: tuple[str, ...] = ("x", "y"), name: str = "favorability") -> DataFrame:
     """`column` of a raster on the lattice of another layer's coordinates, aligned by index."""
-    coordinates = rasterize(geometry.withColumn("_none", F.lit(0)), "_none", axes).drop("_none")
+    coordinates = rasterize(geometry.select(*axes, F.lit(0).alias("_none")), "_none", axes).drop("_none")
     keys = [f"i{a}" for a in axes]
     return coordinates.join(raster.select(*keys, F.col(column).alias(name)), keys, "left")
 

@@ -1,119 +1,356 @@
-"""Joins of targets with what may lie nearest, or within a distance.
+"""Joins of targets with what lies nearest, or within a distance.
 
-Features are boxes in a grid of buckets.  A prefix-sum search over the occupied buckets gives for each bucket how far its
-nearest features can be at most, so an equi-join of buckets brings each target together with a superset of its nearest
-features, exactly and without pairing all with all.  Only counts of buckets, at most BUCKETS ** 2, reach the driver.
+Features are put in order along a Z-curve and cut into leaves of LEAF rows, so that a leaf never holds more, however the
+features cluster.  Only the bounds of the leaves, MOST_LEAVES of them at most, are sent to the tasks.  Targets go along
+the same curve in groups; a group picks the leaves that matter to it by their bounds and meets them in an equi-join.
+
+A search for the nearest takes two rounds: the leaf that seems nearest gives each target a distance, and the leaves that
+may hold something as near, few as a rule, are searched in the second.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from favora.functions.tables import store
+
+LEAF = 256
+MOST_LEAVES = 200_000
+GROUP = 1024
+#: For rounding in the distances of segments.
+SLACK = 1 + 1e-9
+#: Parts of equal numbers of features into which each axis is cut before the curve is laid.
+PARTS = 256
+_BITS = {2: 31, 3: 20}
 
-BUCKETS = 128
-PER_BUCKET = 8
 
+class _Tree(NamedTuple):
+    """The leaves of the features (leaf, items), their numbers and bounds, and the axes."""
 
-def _box(features: DataFrame) -> tuple[Column, Column, Column, Column]:
-    if "x0" in features.columns:
-        return F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1")
-    if "xmin" in features.columns:
-        return F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")
-    return F.col("x"), F.col("y"), F.col("x"), F.col("y")
+    leaves: DataFrame
+    ids: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    axes: tuple[str, ...]
+    cuts: list[np.ndarray]
 
 
-class _Frame:
-    """Square buckets over the bounds of features and targets."""
+def _ends(features: DataFrame, axes: tuple[str, ...]) -> list[tuple[Column, Column]]:
+    """First and last coordinate of each axis."""
+    out = []
+    for a in axes:
+        names = (f"{a}0", f"{a}1") if f"{a}0" in features.columns else (f"{a}min", f"{a}max") if f"{a}min" in features.columns else (a, a)
+        out.append(tuple(F.col(n).cast("double") for n in names))
+    return out
 
-    def __init__(self, features: DataFrame, targets: DataFrame, side: float | None = None):
-        box = _box(features)
-        row = features.agg(F.min(box[0]), F.min(box[1]), F.max(box[2]), F.max(box[3]), F.count("*")).first()
-        self.count = row[4]
-        if not self.count:
-            return
-        other = targets.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-        x0, y0 = (min(v for v in (row[i], other[i]) if v is not None) for i in (0, 1))
-        x1, y1 = (max(v for v in (row[i], other[i]) if v is not None) for i in (2, 3))
-        self.x, self.y = x0, y0
-        span = max(x1 - x0, y1 - y0) or 1.0
-        n = min(BUCKETS, max(1, int((self.count / PER_BUCKET) ** 0.5)))
-        self.side = max(span / n, side or 0.0)
-        self.nx, self.ny = (max(1, min(BUCKETS, int(d / self.side) + 1)) for d in (x1 - x0, y1 - y0))
 
-    def bucket(self, x: Column, y: Column) -> tuple[Column, Column]:
-        one = lambda v, low, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - low) / self.side).cast("int")))
-        return one(x, self.x, self.nx), one(y, self.y, self.ny)
+def _kind(features: DataFrame) -> str:
+    return "segment" if "x0" in features.columns else "box" if "xmin" in features.columns else "point"
 
-    def spread(self, features: DataFrame) -> DataFrame:
-        """Each feature in all buckets that its box touches (fx, fy)."""
-        lo, hi = (self.bucket(*b) for b in (_box(features)[:2], _box(features)[2:]))
-        return features.withColumn("fx", F.explode(F.sequence(lo[0], hi[0]))).withColumn("fy", F.explode(F.sequence(lo[1], hi[1])))
 
+def _curve(at: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Places of points along a Z-curve, which is laid over ranks: `cuts` has for each axis the bounds of its parts.
+
+    So neither an outlier nor a cluster leaves most points in one place.
+    """
+    d = at.shape[1]
+    bits = _BITS[d]
+    code = np.zeros(len(at), np.int64)
+    for k, edges in enumerate(cuts):
+        part = np.clip(np.searchsorted(edges, at[:, k], "right") - 1, 0, len(edges) - 2)
+        wide = edges[part + 1] - edges[part]
+        inside = np.clip(np.divide(at[:, k] - edges[part], wide, out=np.zeros(len(at)), where=wide > 0), 0, 1 - 1e-12)
+        v = np.floor((part + inside) * ((1 << bits) / (len(edges) - 1))).astype(np.int64)
+        for i in range(bits):
+            code |= (v >> i & 1) << (i * d + k)
+    return code
 
-def nearest_candidates(targets: DataFrame, features: DataFrame, plane: str | None = None) -> DataFrame | None:
-    """Rows of targets (x, y) with features (columns of both) that hold the nearest of every target; None without features.
 
-    A feature that touches several buckets can come more than once.  With `plane`, a column of the features of few values,
-    each target meets the nearest of every plane.
+def _ordered(df: DataFrame, columns: list[list[str]], cuts: list[np.ndarray]) -> DataFrame:
+    """`df` in ranges of the curve, sorted; equal places are told apart by the rest of the row.
+
+    columns: for each axis the columns whose mean is the coordinate.
     """
-    f = _Frame(features, targets)
-    if not f.count:
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.column_stack([np.mean([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in of], axis=0) for of in columns])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_curve(at, cuts))], names=[*batch.schema.names, "_code"])
+
+    plain = [F.col(c) for c, t in df.dtypes if not t.startswith(("array", "struct", "map"))]
+    placed = df.mapInArrow(task, T.StructType([*df.schema.fields, T.StructField("_code", T.LongType())])).withColumn("_hash", F.xxhash64(*plain))
+    return placed.repartitionByRange("_code", "_hash").sortWithinPartitions("_code", "_hash").select(df.columns)
+
+
+def _rows(batch: pa.RecordBatch) -> pa.StructArray:
+    return pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+
+
+def _matrix(rows: pa.StructArray, names: list[str]) -> np.ndarray:
+    return np.column_stack([rows.field(n).to_numpy(zero_copy_only=False) for n in names])
+
+
+def _lists(parts: list[pa.StructArray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32()), pa.concat_arrays(parts))
+
+
+def _tree(features: DataFrame, axes: tuple[str, ...], least: int = 0) -> _Tree | None:
+    """The leaves of `features`, of LEAF or `least` rows at most, or more where there would be too many; None without features."""
+    d = len(axes)
+    columns = [c for k, ends in enumerate(_ends(features, axes)) for c in (ends[0].alias(f"_a{k}"), ends[1].alias(f"_b{k}"))]
+    given = features.select("*", *columns)
+    given = given.where(" and ".join(f"_a{k} is not null and _b{k} is not null" for k in range(d)))
+    row = given.agg(F.count("*"), *(F.percentile_approx((F.col(f"_a{k}") + F.col(f"_b{k}")) / 2, [i / PARTS for i in range(PARTS + 1)], 4 * PARTS) for k in range(d))).first()
+    if not row[0]:
         return None
-    spread = f.spread(features if plane else features.withColumn("_plane", F.lit(0)))
-    key = plane or "_plane"
-    kind = dict(spread.dtypes)[key]
-    used: dict = {}
-    for r in spread.groupBy(key, "fx", "fy").count().collect():
-        used.setdefault(r[0], np.zeros((f.nx, f.ny), bool))[r.fx, r.fy] = True
-    spark = targets.sparkSession
-    rows = [(p, x, y, r) for p, u in used.items() for x, y, r in _reach(u)]
-    full = [(p, int(x), int(y)) for p, u in used.items() for x, y in zip(*np.nonzero(u), strict=True)]
-    cells = spark.createDataFrame(rows, f"{key} {kind}, tx int, ty int, r int")
-    occupied = spark.createDataFrame(full, f"{key} {kind}, fx int, fy int")
-    clamp = lambda c, n: F.sequence(F.greatest(F.col(c) - F.col("r"), F.lit(0)), F.least(F.col(c) + F.col("r"), F.lit(n - 1)))
-    pairs = cells.withColumn("fx", F.explode(clamp("tx", f.nx))).withColumn("fy", F.explode(clamp("ty", f.ny))).drop("r").join(occupied, [key, "fx", "fy"], "left_semi")
-    tx, ty = f.bucket(F.col("x"), F.col("y"))
-    placed = targets.withColumn("tx", tx).withColumn("ty", ty)
-    out = placed.join(pairs, ["tx", "ty"]).join(_apart(spread, targets), [key, "fx", "fy"]).drop("tx", "ty", "fx", "fy")
-    return out if plane else out.drop("_plane")
-
-
-def _reach(used: np.ndarray) -> list[tuple[int, int, int]]:
-    """(x, y, r): how many buckets away the nearest features of targets in each bucket can be at most."""
-    nx, ny = used.shape
-    sums = np.pad(used.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-    bx, by = np.meshgrid(np.arange(nx), np.arange(ny), indexing="ij")
-
-    def within(r: np.ndarray) -> np.ndarray:
-        x0, x1, y0, y1 = np.maximum(bx - r, 0), np.minimum(bx + r + 1, nx), np.maximum(by - r, 0), np.minimum(by + r + 1, ny)
-        return sums[x1, y1] - sums[x0, y1] - sums[x1, y0] + sums[x0, y0] > 0
-
-    lo, hi = np.full(used.shape, -1), np.full(used.shape, max(nx, ny))
-    while (hi - lo > 1).any():
-        mid = (lo + hi) // 2
-        good, going = within(np.maximum(mid, 0)), hi - lo > 1
-        lo, hi = np.where(going & ~good, mid, lo), np.where(going & good, mid, hi)
-    # Within r buckets there is a feature no further than the diagonal of r + 1 buckets.
-    reach = np.ceil(np.sqrt(2.0) * (hi + 1)).astype(int)
-    return [(int(x), int(y), int(r)) for x, y, r in zip(bx.ravel(), by.ravel(), reach.ravel(), strict=True)]
-
-
-def _apart(features: DataFrame, targets: DataFrame) -> DataFrame:
-    """The features with f_ before the names that the targets have too."""
-    for c in features.columns:
-        if c in targets.columns:
-            features = features.withColumnRenamed(c, f"f_{c}")
-    return features
+    cuts = [np.array(x) for x in row[1:]]
+    size = max(LEAF, least, -(-row[0] // MOST_LEAVES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            rows = _rows(batch)
+            parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+            if not parts:
+                continue
+            ends = [[_matrix(p, [f"_{e}{k}" for k in range(d)]) for e in "ab"] for p in parts]
+            least = np.array([np.minimum(a, b).min(axis=0) for a, b in ends])
+            most = np.array([np.maximum(a, b).max(axis=0) for a, b in ends])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(parts))), *(pa.array(x[:, k]) for k in range(d) for x in (least, most)), _lists(parts)], names=["leaf", *(f"{e}{k}" for k in range(d) for e in ("low", "high")), "items"])
+            n += len(parts)
+
+    fields = [T.StructField("leaf", T.LongType()), *(T.StructField(f"{e}{k}", T.DoubleType()) for k in range(d) for e in ("low", "high")), T.StructField("items", T.ArrayType(given.schema))]
+    leaves = store(_ordered(given, [[f"_a{k}", f"_b{k}"] for k in range(d)], cuts).mapInArrow(task, T.StructType(fields)), "leaves")
+    bounds = leaves.drop("items").toArrow()
+    column = lambda n: bounds.column(n).to_numpy()
+    return _Tree(leaves.select("leaf", F.col("items").alias("leaf_items")), column("leaf"), np.column_stack([column(f"low{k}") for k in range(d)]), np.column_stack([column(f"high{k}") for k in range(d)]), axes, cuts)
+
+
+def _gap(low: np.ndarray, high: np.ndarray, tree_low: np.ndarray, tree_high: np.ndarray) -> np.ndarray:
+    """Squared least distances between boxes (rows) and leaves (columns)."""
+    out = np.zeros((len(low), len(tree_low)))
+    for k in range(low.shape[1]):
+        out += np.maximum(0, np.maximum(tree_low[None, :, k] - high[:, None, k], low[:, None, k] - tree_high[None, :, k])) ** 2
+    return out
+
+
+def _reach(low: np.ndarray, high: np.ndarray, tree_low: np.ndarray, tree_high: np.ndarray) -> np.ndarray:
+    """Squared greatest distances between boxes and leaves."""
+    out = np.zeros((len(low), len(tree_low)))
+    for k in range(low.shape[1]):
+        out += np.maximum(tree_high[None, :, k] - low[:, None, k], high[:, None, k] - tree_low[None, :, k]) ** 2
+    return out
+
+
+def _distances(p: np.ndarray, a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
+    """Distances of points (rows) and features (columns); of boxes the least."""
+    d = p.shape[1]
+    if kind == "box":
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        near = np.stack([np.clip(p[:, None, k], low[None, :, k], high[None, :, k]) for k in range(d)])
+    elif kind == "segment":
+        step = b - a
+        square = (step**2).sum(axis=1)
+        along = sum((p[:, None, k] - a[None, :, k]) * step[None, :, k] for k in range(d))
+        t = np.clip(np.divide(along, square[None], out=np.zeros_like(along), where=square[None] > 0), 0, 1)
+        near = np.stack([a[None, :, k] + t * step[None, :, k] for k in range(d)])
+    else:
+        near = np.stack([np.broadcast_to(a[None, :, k], (len(p), len(a))) for k in range(d)])
+    return np.sqrt(sum((p[:, None, k] - near[k]) ** 2 for k in range(d)))
+
+
+def _kth(gap: np.ndarray, k: int) -> np.ndarray:
+    """The k-th least number of each row; infinite where there are fewer."""
+    return np.partition(gap, k - 1, axis=1)[:, k - 1] if gap.shape[1] >= k else np.full(len(gap), np.inf)
+
+
+def _groups(targets: DataFrame, tree: _Tree, pick: str, distance: float = 0.0) -> DataFrame:
+    """(leaf, items): groups of targets with the leaves that they ask first ("nearest"), or all within `distance`."""
+    d = len(tree.axes)
+    sent = targets.sparkSession.sparkContext.broadcast((tree.ids, tree.low, tree.high))
+    given = targets.select("*", *(F.col(a).cast("double").alias(f"_p{k}") for k, a in enumerate(tree.axes))).where(" and ".join(f"_p{k} is not null" for k in range(d)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, low, high = sent.value
+        for batch in batches:
+            rows = _rows(batch)
+            every = _matrix(rows, [f"_p{k}" for k in range(d)])
+            for lo in range(0, len(rows), GROUP):
+                p = every[lo : lo + GROUP]
+                box = p.min(axis=0)[None], p.max(axis=0)[None]
+                gap = _gap(*box, low, high)[0]
+                if pick == "nearest":
+                    some = np.flatnonzero(gap <= _reach(*box, low, high)[0].min() * SLACK)
+                    # Where a leaf promises something near for sure; large leaves around an outlier don't.
+                    chosen = some[(_reach(p, p, low[some], high[some]) + 1e-9 * _gap(p, p, low[some], high[some])).argmin(axis=1)]
+                    asked = [(leaf, np.flatnonzero(chosen == leaf)) for leaf in np.unique(chosen)]
+                else:
+                    some = np.flatnonzero(gap <= distance**2 * SLACK)
+                    near = _gap(p, p, low[some], high[some]) <= distance**2 * SLACK
+                    asked = [(leaf, np.flatnonzero(near[:, j])) for j, leaf in enumerate(some) if near[:, j].any()]
+                for leaf, of in asked:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[leaf])]), _lists([rows.take(pa.array(lo + of))])], names=["leaf", "items"])
+
+    schema = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("items", T.ArrayType(given.schema))])
+    return _ordered(given, [[f"_p{k}"] for k in range(d)], tree.cuts).mapInArrow(task, schema)
+
+
+def _met(groups: DataFrame, tree: _Tree, kind: str, mode: str, limit: float = 0.0, k: int = 1) -> DataFrame:
+    """(found, leaf, items) of groups of targets in the leaves that they ask.
+
+    found: pairs (t, f).  mode "nearest": the k nearest features of each target, and in (leaf, items) the targets again, with
+    the leaves that may hold something as near; "again": the same, but no further than the items' `_best`; "within": those
+    within `limit`; "cross": those of boxes that touch the target's box.
+    """
+    d = len(tree.axes)
+    sent = groups.sparkSession.sparkContext.broadcast((tree.ids, tree.low, tree.high)) if mode == "nearest" else None
+    target, feature = groups.schema["items"].dataType.elementType, tree.leaves.schema["leaf_items"].dataType.elementType
+    again = T.StructType([*target.fields, T.StructField("_best", T.DoubleType())])
+    pair = T.StructType([T.StructField("t", target), T.StructField("f", feature)])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            leaf_of, items_of, leaves_of = (batch.column(names.index(n)) for n in ("leaf", "items", "leaf_items"))
+            for i in range(batch.num_rows):
+                t, f = items_of[i].values, leaves_of[i].values
+                a, b = (_matrix(f, [f"_{e}{k}" for k in range(d)]) for e in "ab")
+                if mode == "cross":
+                    ta, tb = (_matrix(t, [f"_{e}{k}" for k in range(d)]) for e in "ab")
+                    hit = (_gap(np.minimum(ta, tb), np.maximum(ta, tb), np.minimum(a, b), np.maximum(a, b)) == 0)
+                else:
+                    p = _matrix(t, [f"_p{k}" for k in range(d)])
+                    gap = _distances(p, a, b, kind)
+                    best = _kth(gap, k) if mode == "nearest" else np.full(len(t), limit)
+                    if mode == "again":
+                        best = np.minimum(_kth(gap, k), t.field("_best").to_numpy() * SLACK)
+                    hit = gap <= best[:, None] * (SLACK if mode == "within" else 1)
+                rows, columns = np.nonzero(hit)
+                found = pa.StructArray.from_arrays([t.take(pa.array(rows)), f.take(pa.array(columns))], names=["t", "f"])
+                out = [(None, None, found)]
+                if mode == "nearest":
+                    ids, low, high = sent.value
+                    # Leaves that may be as near, by the bounds of the group first.
+                    some = np.flatnonzero(_gap(p.min(axis=0)[None], p.max(axis=0)[None], low, high)[0] <= best.max() ** 2 * SLACK)
+                    some = some[ids[some] != leaf_of[i].as_py()]
+                    near = _gap(p, p, low[some], high[some]) <= (best**2)[:, None] * SLACK
+                    for j in np.flatnonzero(near.any(axis=0)):
+                        of = np.flatnonzero(near[:, j])
+                        taken = t.take(pa.array(of))
+                        rest = pa.StructArray.from_arrays([*taken.flatten(), pa.array(best[of])], names=again.names)
+                        out.append((int(ids[some[j]]), rest, found[:0]))
+                nothing = pa.StructArray.from_arrays([*t[:0].flatten(), pa.array([], pa.float64())], names=again.names) if mode == "nearest" else None
+                arrays = [_lists([x[2] for x in out])]
+                if mode == "nearest":
+                    arrays += [pa.array([x[0] for x in out], pa.int64()), _lists([nothing if x[1] is None else x[1] for x in out])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["found", "leaf", "items"][: len(arrays)])
+
+    fields = [T.StructField("found", T.ArrayType(pair))]
+    if mode == "nearest":
+        fields += [T.StructField("leaf", T.LongType()), T.StructField("items", T.ArrayType(again))]
+    return groups.join(tree.leaves, "leaf").select("leaf", "items", "leaf_items").mapInArrow(task, T.StructType(fields))
+
+
+def _pairs(found: DataFrame, targets: list[str], features: list[str]) -> DataFrame:
+    """The pairs as rows: the targets' columns and the features', with f_ before names that both have."""
+    one = found.select(F.explode("found").alias("m"))
+    return one.select(*(F.col("m.t")[c].alias(c) for c in targets), *(F.col("m.f")[c].alias(f"f_{c}" if c in targets else c) for c in features))
+
+
+def nearest_candidates(targets: DataFrame, features: DataFrame, axes: tuple[str, ...] = ("x", "y"), k: int = 1) -> DataFrame | None:
+    """Rows of targets with features (columns of both) that hold the k nearest of every target; None without features.
+
+    Features are points (x, y[, z]) or segments (x0, y0, x1, y1).  Besides the nearest, all features at the same distance
+    come, and some others.
+    """
+    tree = _tree(features, axes, 4 * k)
+    if tree is None:
+        return None
+    kind = _kind(features)
+    first = store(_met(_groups(targets, tree, "nearest"), tree, kind, "nearest", k=k), "near")
+    second = _met(first.where("leaf is not null").select("leaf", "items"), tree, kind, "again", k=k)
+    one = _pairs(first.where("leaf is null"), targets.columns, features.columns)
+    return one.unionByName(_pairs(second, targets.columns, features.columns))
 
 
 def within_candidates(targets: DataFrame, features: DataFrame, distance: float) -> DataFrame | None:
-    """Rows of targets (x, y) with the features whose boxes may lie within `distance`; None without features."""
-    f = _Frame(features, targets, distance)
-    if not f.count:
+    """Rows of targets (x, y) with the features whose boxes lie within `distance`; None without features."""
+    tree = _tree(features, ("x", "y"))
+    if tree is None:
         return None
-    lo = F.floor((F.col("x") - distance - f.x) / f.side), F.floor((F.col("y") - distance - f.y) / f.side)
-    hi = F.floor((F.col("x") + distance - f.x) / f.side), F.floor((F.col("y") + distance - f.y) / f.side)
-    span = lambda a, b, n: F.when((b >= 0) & (a <= n - 1), F.sequence(F.greatest(a, F.lit(0)).cast("int"), F.least(b, F.lit(n - 1)).cast("int")))
-    placed = targets.withColumn("fx", F.explode(span(lo[0], hi[0], f.nx))).withColumn("fy", F.explode(span(lo[1], hi[1], f.ny)))
-    return placed.join(_apart(f.spread(features), targets), ["fx", "fy"]).drop("fx", "fy")
+    return _pairs(_met(_groups(targets, tree, "within", distance), tree, "box", "within", distance), targets.columns, features.columns)
+
+
+class Index(NamedTuple):
+    """Points in leaves, for searches with rules of one's own."""
+
+    tree: _Tree
+
+    def search(self, targets: DataFrame, leaves_of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], pairs_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], columns: list[str]) -> DataFrame:
+        """Rows (t, f) of targets and features.
+
+        leaves_of(targets, low, high) tells which leaves (columns) matter to which targets (rows), by the leaves' bounds;
+        pairs_of(targets, features) gives the places of the pairs.  Targets are rows of their `columns`, features of their
+        coordinates.
+        """
+        d = len(self.tree.axes)
+        sent = targets.sparkSession.sparkContext.broadcast((self.tree.ids, self.tree.low, self.tree.high))
+        item = T.ArrayType(targets.schema)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, low, high = sent.value
+            for batch in batches:
+                rows = _rows(batch)
+                step = max(1, min(GROUP, (1 << 22) // max(1, len(ids))))
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    wanted = leaves_of(_matrix(part, columns), low, high)
+                    for j in np.flatnonzero(wanted.any(axis=0)):
+                        yield pa.RecordBatch.from_arrays([pa.array([int(ids[j])]), _lists([part.take(pa.array(np.flatnonzero(wanted[:, j])))])], names=["leaf", "items"])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    t, f = batch.column(0)[i].values, batch.column(1)[i].values
+                    rows, of = pairs_of(_matrix(t, columns), _matrix(f, [f"_a{k}" for k in range(d)]))
+                    yield pa.RecordBatch.from_arrays([t.take(pa.array(rows)), f.take(pa.array(of))], names=["t", "f"])
+
+        asked = targets.mapInArrow(ask, T.StructType([T.StructField("leaf", T.LongType()), T.StructField("items", item)]))
+        both = asked.join(self.tree.leaves, "leaf").select("items", "leaf_items")
+        feature = self.tree.leaves.schema["leaf_items"].dataType.elementType
+        return both.mapInArrow(meet, T.StructType([T.StructField("t", targets.schema), T.StructField("f", feature)]))
+
+
+def index(points: DataFrame, axes: tuple[str, ...]) -> Index | None:
+    """The points' leaves; None without points."""
+    tree = _tree(points, axes)
+    return None if tree is None else Index(tree)
+
+
+def touching(features: DataFrame) -> DataFrame | None:
+    """Pairs of features whose boxes touch, each in both orders, and each with itself; None without features."""
+    tree = _tree(features, ("x", "y"))
+    if tree is None:
+        return None
+    sent = features.sparkSession.sparkContext.broadcast((tree.ids, tree.low, tree.high))
+    item = tree.leaves.schema["leaf_items"].dataType
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, low, high = sent.value
+        for batch in batches:
+            for i, leaf in enumerate(batch.column(0).to_pylist()):
+                me = np.flatnonzero(ids == leaf)
+                others = np.flatnonzero(_gap(low[me], high[me], low, high)[0] == 0)
+                for part in np.array_split(others, -(-len(others) // 64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part]), _lists([batch.column(1)[i].values] * len(part))], names=["leaf", "items"])
+
+    asked = tree.leaves.mapInArrow(task, T.StructType([T.StructField("leaf", T.LongType()), T.StructField("items", item)]))
+    return _pairs(_met(asked, tree, "box", "cross"), features.columns, features.columns)

@@ -351,11 +351,25 @@ def i1_interpolate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {G2} select ix, iy, round(2 * x - 3 * y + 5, 4) as value_interpolated from g")
 def i1_interpolate_linear_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A planar field, which linear interpolation gives back."""
-    points = view(spark, sf_dir, "fx_points2d").where("gid <= 150").select("x", "y").union(spark.createDataFrame([(-1.0, -2.0), (1001.5, -1.0), (-2.0, 1001.0), (1001.0, 1002.0)], "x double, y double"))
+    points = view(spark, sf_dir, "fx_points2d").select("x", "y").union(spark.createDataFrame([(-1.0, -2.0), (1001.5, -1.0), (-2.0, 1001.0), (1001.0, 1002.0)], "x double, y double"))
     out = interpolate.linear(grid2(spark), points.withColumn("value", 2 * F.col("x") - 3 * F.col("y") + 5))
     return out.select("ix", "iy", F.round("value_interpolated", 4).alias("value_interpolated"))
 
 
+@query()
+def i1_interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's own values on the triangulation of all its points."""
+    out = interpolate.linear(grid2(spark), view(spark, sf_dir, "fx_points2d"))
+    return out.select("ix", "iy", r6("value_interpolated", "value_interpolated"))
+
+
+@query()
+def i2_interpolate_3d_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in 3D."""
+    out = interpolate.linear(grid3(spark), view(spark, sf_dir, "fx_points3d"))
+    return out.select("ix", "iy", "iz", r6("value_interpolated", "value_interpolated"))
+
+
 NEAR3 = f"with {G3} select ix, iy, iz, arg_min(value, row(sqrt(power(g.x - p.x, 2) + power(g.y - p.y, 2) + power(g.z - p.z, 2)), gid)) as value_interpolated from g, fx_points3d p group by all"
 
 
@@ -374,7 +388,7 @@ def i3_fast_interpolate_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def i4_kriging_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordinary kriging in 3D."""
-    return interpolate.kriging(grid3(spark), view(spark, sf_dir, "fx_points3d").where("gid <= 600")).select("ix", "iy", "iz", r6("value_interpolated", "value_interpolated"))
+    return interpolate.kriging(grid3(spark), view(spark, sf_dir, "fx_points3d")).select("ix", "iy", "iz", r6("value_interpolated", "value_interpolated"))
 
 
 @query("""

@@ -1,12 +1,13 @@
 """Statistics, geometry, files and models outside the registered queries."""
 
+import itertools
 import math
 import random
 
 import numpy as np
 import pytest
 from favora.functions import crs, geometry, stats, transforms
-from favora.operators import gp, interpolate, near
+from favora.operators import distance, gp, grid, interpolate, near
 from favora.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -33,6 +34,169 @@ def test_nearest_candidates_hold_the_nearest(spark):
     assert {x.ix: round(x.d, 9) for x in got} == {k: round(v, 9) for k, v in best.items()}
 
 
+def to_segment(p, a, b):
+    step = np.subtract(b, a)
+    t = np.clip(np.dot(np.subtract(p, a), step) / max(np.dot(step, step), 1e-300), 0, 1)
+    return float(np.linalg.norm(np.subtract(p, a) - t * step))
+
+
+def test_nearest_among_clusters_and_outliers(spark, monkeypatch):
+    """Candidates stay few where almost all features sit in one place, far from the targets."""
+    monkeypatch.setattr(near, "LEAF", 64)
+    r = np.random.default_rng(3)
+    n = 20000
+    points = np.concatenate([r.normal(0, 1e-3, (n, 2)), [[1e6, 1e6]], np.zeros((500, 2))])
+    targets = np.concatenate([r.uniform(-50, 50, (60, 2)), r.normal(0, 1e-3, (60, 2)), [[1e6, 9e5]]])
+    f = spark.createDataFrame([(i, *p) for i, p in enumerate(points.tolist())], "o long, x double, y double")
+    t = spark.createDataFrame([(i, *p) for i, p in enumerate(targets.tolist())], "ix long, x double, y double")
+    found = near.nearest_candidates(t, f.groupBy("x", "y").agg(F.min("o").alias("o")))
+    got = found.groupBy("ix").agg(F.count("*").alias("n"), F.min(F.hypot(F.col("x") - F.col("f_x"), F.col("y") - F.col("f_y"))).alias("d")).collect()
+    gaps = np.sqrt(((targets[:, None] - points[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert {x.ix: x.d for x in got} == {i: pytest.approx(g) for i, g in enumerate(gaps)}
+    # One feature of each leaf that is searched, of more than 300.
+    assert max(x.n for x in got) <= 40
+
+
+def test_nearest_segments_boxes_and_k(spark, monkeypatch):
+    monkeypatch.setattr(near, "LEAF", 7)
+    monkeypatch.setattr(near, "GROUP", 16)
+    r = np.random.default_rng(4)
+    targets = r.integers(0, 60, (150, 3)).astype(float)
+    t = spark.createDataFrame([(i, *p) for i, p in enumerate(targets.tolist())], "ix long, x double, y double, z double")
+    ends = r.integers(0, 60, (90, 4)).astype(float)
+    ends[:10, 2:] = ends[:10, :2]
+    lines = spark.createDataFrame([(i, *p) for i, p in enumerate(ends.tolist())], "gid long, x0 double, y0 double, x1 double, y1 double")
+    got = distance.distance_from_lines(t.drop("z"), lines).collect()
+    assert {x.ix: x.distance for x in got} == {i: pytest.approx(min(to_segment(p[:2], e[:2], e[2:]) for e in ends), abs=1e-9) for i, p in enumerate(targets)}
+    within = {(x.ix, x.gid) for x in near.within_candidates(t, lines, 5.0).collect()}
+    low, high = np.minimum(ends[:, :2], ends[:, 2:]), np.maximum(ends[:, :2], ends[:, 2:])
+    gap = np.sqrt((np.maximum(0, np.maximum(low[None] - targets[:, None, :2], targets[:, None, :2] - high[None])) ** 2).sum(axis=2))
+    assert within == {(int(i), int(j)) for i, j in zip(*np.nonzero(gap <= 5.0), strict=True)}
+    touch = sorted((x.gid, x.f_gid) for x in near.touching(lines).collect())
+    both = (low[:, None] <= high[None]).all(axis=2) & (low[None] <= high[:, None]).all(axis=2)
+    assert touch == sorted((int(i), int(j)) for i, j in zip(*np.nonzero(both), strict=True))
+    points = r.integers(0, 60, (200, 3)).astype(float)
+    f = spark.createDataFrame([(i, *p) for i, p in enumerate(points.tolist())], "o long, x double, y double, z double")
+    for k in (1, 5, 40, 200):
+        found = {}
+        for x in near.nearest_candidates(t, f, ("x", "y", "z"), k).select("ix", "o").collect():
+            found.setdefault(x.ix, set()).add(x.o)
+        for i, p in enumerate(targets):
+            d = ((points - p) ** 2).sum(axis=1)
+            assert set(np.flatnonzero(d < np.sort(d)[k - 1]).tolist()) <= found[i]
+            assert len(found[i]) >= k
+    assert near.nearest_candidates(t, f.limit(0)) is None
+    assert near.nearest_candidates(t.limit(0), f).count() == 0
+
+
+def test_influence_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK", 30)
+    monkeypatch.setattr(distance, "NODES", 20)
+    r = np.random.default_rng(5)
+    points, w = r.integers(0, 12, (200, 2)).astype(float), r.random(200)
+    nodes = r.integers(0, 25, (70, 2)) / 2
+    given = spark.createDataFrame([(i, *p, float(x)) for i, (p, x) in enumerate(zip(points.tolist(), w, strict=True))], "gid long, x double, y double, w double")
+    at = spark.createDataFrame([(i, 0, *p) for i, p in enumerate(nodes.tolist())], "ix long, iy long, x double, y double")
+    d = np.sqrt(((nodes[:, None] - points[None]) ** 2).sum(axis=2))
+    s = w * np.exp(-d / 3)
+    order = np.lexsort((np.broadcast_to(np.arange(200), d.shape), d.round(12)))[:, :9]
+    expected = {"sum": s.sum(axis=1), "mean": s.mean(axis=1), "max": s.max(axis=1), "knearest": np.take_along_axis(s, order, 1).sum(axis=1)}
+    for mode, values in expected.items():
+        got = {x.ix: x.weighted_point_score for x in distance.influence(at, given, 3.0, mode, 9).collect()}
+        assert got == {i: pytest.approx(v) for i, v in enumerate(values)}
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_ranks_of_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(grid, "SMALL", small)
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1000 / 8).alias("x"))
+    got = grid.ranked(df.union(df), "x", ["k"]).collect()
+    assert len(got) == 3000
+    for k in range(3):
+        of = sorted((r.x, r.ix) for r in got if r.k == k)
+        assert [i for _, i in of] == list(range(1000))
+
+
+def test_ranks_of_three_million_coordinates(spark):
+    df = spark.range(3_000_000).select((F.col("id") * 7 % 3_000_017 / 4).alias("x"))
+    got = grid.ranked(df, "x").agg(F.count("*"), F.count_distinct("ix"), F.min("ix"), F.max("ix"), F.count_if(F.col("x") < 0)).first()
+    assert tuple(got)[:4] == (3_000_000, 3_000_000, 0, 2_999_999)
+    table = grid.ranked(df, "x")
+    assert table.where("ix in (0, 1000000, 2999999)").join(df.agg(F.min("x").alias("x")), "x").count() == 1
+    with pytest.raises(ValueError, match="sparse"):
+        grid.rasterize(df.select("x", F.col("x").alias("y"), F.col("x").alias("v")).where("x % 97 = 0").limit(200_000), "v")
+
+
+def brute_delaunay(points, values, node):
+    """Value of the simplex around a node whose circumsphere is empty, trying all."""
+    d = len(node)
+    best = None
+    for some in itertools.combinations(range(len(points)), d + 1):
+        at = points[list(some)]
+        matrix = np.vstack([at.T, np.ones(d + 1)])
+        if abs(np.linalg.det(matrix)) < 1e-12:
+            continue
+        w = np.linalg.solve(matrix, np.append(node, 1))
+        if w.min() < -1e-9:
+            continue
+        centre = np.linalg.solve(2 * (at[1:] - at[0]), (at[1:] ** 2).sum(axis=1) - (at[0] ** 2).sum())
+        radius = ((at[0] - centre) ** 2).sum()
+        if (((points - centre) ** 2).sum(axis=1) >= radius * (1 - 1e-9)).all():
+            best = float(w @ values[list(some)])
+    return best
+
+
+@pytest.mark.parametrize(("axes", "n"), [("xy", 40), ("xyz", 16)])
+def test_linear_interpolation(spark, monkeypatch, axes, n):
+    """Few neighbours at first, so that most simplices are found by added points."""
+    monkeypatch.setattr(interpolate, "NEIGHBOURS", 4)
+    monkeypatch.setattr(interpolate, "MORE", 2)
+    monkeypatch.setattr(near, "LEAF", 8)
+    r = np.random.default_rng(6)
+    points, values = r.normal(0, 1, (n, len(axes))), r.normal(0, 1, n)
+    nodes = np.concatenate([r.uniform(-2, 2, (60, len(axes))), points[:3]])
+    kinds = ", ".join(f"{a} double" for a in axes)
+    given = spark.createDataFrame([(*p, float(v)) for p, v in zip(points.tolist(), values, strict=True)] + [(*points[0].tolist(), float(values[0])), (*points[1].tolist(), None)], f"{kinds}, value double")
+    at = spark.createDataFrame([(i, *p) for i, p in enumerate(nodes.tolist())], f"ix long, {kinds}")
+    got = {x.ix: x.value_interpolated for x in interpolate.linear(at, given).collect()}
+    expected = {i: brute_delaunay(points, values, p) for i, p in enumerate(nodes)}
+    assert any(v is None for v in expected.values())
+    for i, v in expected.items():
+        assert got[i] == (None if v is None else pytest.approx(v, abs=1e-5)), i
+    line = given.limit(5).withColumn("y", F.lit(0.0)).withColumns({a: F.lit(0.0) for a in axes[2:]})
+    assert {x.value_interpolated for x in interpolate.linear(at.where("ix < 60"), line).collect()} == {None}
+    assert {x.value_interpolated for x in interpolate.linear(at, given.limit(0)).collect()} == {None}
+
+
+def test_kriging_of_many_points(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    points = r.uniform(0, 10, (600, 2))
+    values = np.sin(points[:, 0]) + 0.3 * points[:, 1]
+    given = spark.createDataFrame([(*p, float(v)) for p, v in zip(points.tolist(), values, strict=True)], "x double, y double, value double")
+    nodes = np.concatenate([r.uniform(0, 10, (80, 2)), points[:2]])
+    at = spark.createDataFrame([(i, *p) for i, p in enumerate(nodes.tolist())], "ix long, x double, y double")
+    whole = {x.ix: x.value_interpolated for x in interpolate.kriging(at, given).collect()}
+    exact = interpolate.fit_variogram(points, values)
+    monkeypatch.setattr(interpolate, "WHOLE", 10)
+    monkeypatch.setattr(near, "LEAF", 16)
+    seen = []
+    plain = interpolate._far_variogram
+    monkeypatch.setattr(interpolate, "_far_variogram", lambda *a: seen.append(plain(*a)) or seen[0])
+    got = {x.ix: x.value_interpolated for x in interpolate.kriging(at, given).collect()}
+    assert seen[0][0] == pytest.approx(exact[0], rel=0.25)
+    assert got[80] == pytest.approx(values[0]) and got[81] == pytest.approx(values[1])
+    # By hand from the nearest points.
+    slope, nugget = seen[0]
+    for i in range(0, 80, 9):
+        d = np.sqrt(((points - nodes[i]) ** 2).sum(axis=1))
+        some = np.argsort(d)[: interpolate.KRIGED]
+        gap = np.sqrt(((points[some][:, None] - points[some][None]) ** 2).sum(axis=2))
+        matrix = np.block([[np.where(gap > 0, slope * gap + nugget, 0), np.ones((len(some), 1))], [np.ones((1, len(some))), np.zeros((1, 1))]])
+        w = np.linalg.solve(matrix, np.append(slope * d[some] + nugget, 1.0))[:-1]
+        assert got[i] == pytest.approx(float(w @ values[some]), abs=1e-6)
+        assert got[i] == pytest.approx(whole[i], abs=0.15)
+
+
 def test_unknown_methods_raise(spark):
     df = spark.createDataFrame([(1.0,)], "v double")
     for f in (transforms.transform_layer, transforms.normalize_layer):
