@@ -1,16 +1,19 @@
-"""Gaussian-process extrapolation of a level: statistics and metrics as aggregations, kernels and fit in NumPy.
+"""Gaussian-process extrapolation of a level: statistics and metrics as aggregations, kernels and fit from sums.
 
-A sparse posterior over inducing points is fitted on the driver to at most MOST_TRAINED training rows (chosen by hash;
-with more, the fit is to that sample and says so in `n_used`); prediction runs in the tasks with the small fitted model.
+A sparse posterior over inducing points needs of the training rows only the sums of k kᵀ and k y over them, k being a row's
+covariances with the inducing points.  Up to LOCAL rows these are added up on the driver; more rows are added up in the
+tasks, all of them, for each step of the search.  Prediction runs in the tasks with the small fitted model.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from pathlib import Path
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from favora.functions.tables import store
 from favora.operators.clean import prepare_slice
 from favora.operators.grid import grid_from_tidy
 from favora.operators.interpolate import backfill_nearest, join_predictions
 
-MOST_TRAINED = 5_000
+LOCAL = 5_000
+#: Steps of the search, on the driver and with sums from the tasks.
+ROUNDS, FAR_ROUNDS = 25, 8
 JITTER = 1e-8
 
 
@@ -120,17 +126,53 @@ class Model:
         return self.mean + k @ self.alpha, np.sqrt(np.maximum(prior - ((k @ self.core) * k).sum(axis=1), 0) + self.noise)
 
 
-def _posterior(parts: list[Part], noise: float, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    m, n = len(z), len(x)
+class Sums(NamedTuple):
+    """Of the training rows, with the inducing points z: the sums of k kᵀ, of k y and of y y, and the number of rows."""
+
+    kk: np.ndarray
+    ky: np.ndarray
+    yy: float
+    n: int
+
+
+def local_sums(parts: list[Part], x: np.ndarray, y: np.ndarray, z: np.ndarray) -> Sums:
+    """Sums over arrays."""
+    k = covariance(parts, z, x)
+    return Sums(k @ k.T, k @ y, float(y @ y), len(x))
+
+
+def row_sums(rows: DataFrame, parts: list[Part], mean: float, z: np.ndarray) -> Sums:
+    """Sums over the rows (x, y, value) in the tasks; a matrix of the size of z for each task reaches the driver's sum."""
+    m = len(z)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kk, ky, yy, n = np.zeros((m, m)), np.zeros(m), 0.0, 0
+        for batch in batches:
+            x, y = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]), batch.column(2).to_numpy(zero_copy_only=False) - mean
+            for lo in range(0, len(x), 2048):
+                part = local_sums(parts, x[lo : lo + 2048], y[lo : lo + 2048], z)
+                kk, ky, yy, n = kk + part.kk, ky + part.ky, yy + part.yy, n + part.n
+        if n:
+            flat = np.concatenate([kk.ravel(), ky, [yy, n]])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat))), pa.array(flat)], names=["at", "v"])
+
+    found = rows.select("x", "y", "value").mapInArrow(task, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(m * m + m + 2)
+    flat[found.column("at").to_numpy()] = found.column("v").to_numpy()
+    return Sums(flat[: m * m].reshape(m, m), flat[m * m : -2], float(flat[-2]), int(round(flat[-1])))
+
+
+def _posterior(parts: list[Part], noise: float, sums: Sums, z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    m, n = len(z), sums.n
     kmm = covariance(parts, z, z, same=True) + JITTER * np.eye(m)
-    kmn = covariance(parts, z, x)
     l = np.linalg.cholesky(kmm)
-    a = np.linalg.solve(l, kmn) / math.sqrt(noise)
-    lb = np.linalg.cholesky(np.eye(m) + a @ a.T)
-    c = np.linalg.solve(lb, a @ y) / math.sqrt(noise)
-    trace = n * sum(p.variance for p in parts if p.kind != "white") - noise * (a * a).sum()
-    score = -0.5 * n * math.log(2 * math.pi * noise) - np.log(np.diag(lb)).sum() - 0.5 * (y @ y) / noise + 0.5 * c @ c - 0.5 * max(trace, 0) / noise
-    inner = np.linalg.inv(lb @ np.eye(m)) @ np.linalg.inv(l)
+    inverse = np.linalg.inv(l)
+    aa = inverse @ sums.kk @ inverse.T
+    lb = np.linalg.cholesky(np.eye(m) + (aa + aa.T) / 2 / noise)
+    c = np.linalg.solve(lb, inverse @ sums.ky) / noise
+    trace = n * sum(p.variance for p in parts if p.kind != "white") - float(np.trace(aa))
+    score = -0.5 * n * math.log(2 * math.pi * noise) - np.log(np.diag(lb)).sum() - 0.5 * sums.yy / noise + 0.5 * c @ c - 0.5 * max(trace, 0) / noise
+    inner = np.linalg.inv(lb) @ inverse
     return float(score), inner.T @ c, np.linalg.inv(kmm) - inner.T @ inner
 
 
@@ -143,13 +185,35 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 10) -> np.ndarray
     return centres
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_inducing: int = 300, rounds: int = 25, **kernel: bool) -> Model:
-    """A model of bounded parameters, by coordinate search on a variational bound of the likelihood in log space."""
-    var = float(np.var(y, ddof=1)) if len(y) > 1 else 1.0
-    radius = max(float(np.ptp(x, axis=0).max()) / 2, 1e-6)
+def row_kmeans(rows: DataFrame, k: int, seed: int = 0, rounds: int = 5) -> np.ndarray:
+    """The same over the rows (x, y) in the tasks; the first centres are the rows of the least hashes."""
+    first = rows.select("x", "y").distinct().orderBy(F.xxhash64(F.lit(seed), "x", "y")).limit(k).toPandas()
+    centres = first[["x", "y"]].to_numpy(float)
+
+    def sums(centres: np.ndarray) -> pa.Table:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(centres), 3))
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                for lo in range(0, len(x), 4096):
+                    part = x[lo : lo + 4096]
+                    of = ((part[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+                    total += np.column_stack([np.bincount(of, weights=w, minlength=len(centres)) for w in (part[:, 0], part[:, 1], np.ones(len(part)))])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(centres))), *(pa.array(total[:, j]) for j in range(3))], names=["at", "x", "y", "n"])
+
+        return rows.select("x", "y").mapInArrow(task, "at long, x double, y double, n double").groupBy("at").agg(*(F.sum(c).alias(c) for c in "xyn")).toArrow().sort_by("at")
+
+    for _ in range(rounds):
+        found = sums(centres)
+        n = found.column("n").to_numpy()
+        some = np.flatnonzero(n > 0)
+        centres[some] = np.column_stack([found.column(c).to_numpy()[some] / n[some] for c in "xy"])
+    return centres
+
+
+def _search(var: float, radius: float, mean: float, z: np.ndarray, sums: Callable[[list[Part]], Sums], rounds: int, restarts: int, **kernel: bool) -> Model:
+    """The model of the greatest variational bound, by coordinate search in log space; later starts are drawn in the bounds."""
     parts, lik = combined_kernel(var, radius, **kernel), likelihood_params(max(var, 1e-6))
-    z = kmeans(x, min(n_inducing, max(20, len(x) // 10), len(x)))
-    mean = float(y.mean())
 
     def made(v: np.ndarray) -> tuple[list[Part], float]:
         out, i = [], 1
@@ -168,25 +232,75 @@ def fit(x: np.ndarray, y: np.ndarray, n_inducing: int = 300, rounds: int = 25, *
             start, bounds = [*start, p.variance], [*bounds, p.bounds]
         if p.scales and p.scale_bounds[0] < p.scale_bounds[1]:
             start, bounds = [*start, *p.scales], [*bounds, p.scale_bounds, p.scale_bounds]
-    v, limits = np.log(start), np.log(np.array(bounds))
-    step = np.full(len(v), 0.5)
-    best = _posterior(*made(v), x, y - mean, z)[0]
-    for _ in range(rounds):
-        for i in range(len(v)):
-            for sign in (1, -1):
-                w = v.copy()
-                w[i] = np.clip(v[i] + sign * step[i], *limits[i])
-                score = _posterior(*made(w), x, y - mean, z)[0]
-                if score > best:
-                    v, best, step[i] = w, score, step[i] * 1.3
-                    break
-            else:
-                step[i] /= 2
-        if step.max() < 0.02:
-            break
-    found, noise = made(v)
-    score, alpha, core = _posterior(found, noise, x, y - mean, z)
-    return Model(found, noise, bounds[0], z, alpha, core, mean, score, len(x))
+    limits = np.log(np.array(bounds))
+    kept: dict[tuple, Sums] = {}
+
+    def score(v: np.ndarray) -> float:
+        # The noise isn't part of the sums.
+        found, noise = made(v)
+        key = tuple(v[1:])
+        if key not in kept:
+            kept.clear()
+            kept[key] = sums(found)
+        return _posterior(found, noise, kept[key], z)[0]
+
+    r = np.random.default_rng(0)
+    top = None
+    for again in range(1 + restarts):
+        v = np.log(start) if not again else r.uniform(limits[:, 0], limits[:, 1])
+        step = np.full(len(v), 0.5)
+        best = score(v)
+        for _ in range(rounds):
+            for i in range(len(v)):
+                for sign in (1, -1):
+                    w = v.copy()
+                    w[i] = np.clip(v[i] + sign * step[i], *limits[i])
+                    if (now := score(w)) > best:
+                        v, best, step[i] = w, now, step[i] * 1.3
+                        break
+                else:
+                    step[i] /= 2
+            if step.max() < 0.02:
+                break
+        if top is None or best > top[0]:
+            top = best, v
+    found, noise = made(top[1])
+    used = sums(found)
+    value, alpha, core = _posterior(found, noise, used, z)
+    return Model(found, noise, bounds[0], z, alpha, core, mean, value, used.n)
+
+
+def fit(x: np.ndarray, y: np.ndarray, n_inducing: int = 300, rounds: int = ROUNDS, restarts: int = 0, **kernel: bool) -> Model:
+    """A model of arrays, of bounded parameters."""
+    var = float(np.var(y, ddof=1)) if len(y) > 1 else 1.0
+    z = kmeans(x, min(n_inducing, max(20, len(x) // 10), len(x)))
+    mean = float(y.mean())
+    radius = max(float(np.ptp(x, axis=0).max()) / 2, 1e-6)
+    return _search(var, radius, mean, z, lambda parts: local_sums(parts, x, y - mean, z), rounds, restarts, **kernel)
+
+
+def fit_rows(rows: DataFrame, n_inducing: int = 300, restarts: int = 0, **kernel: bool) -> Model:
+    """A model of all rows (x, y, value), however many; ValueError without any."""
+    n, var, mean, *box = rows.agg(F.count("*"), F.var_samp("value"), F.avg("value"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not n:
+        raise ValueError("no rows to learn from")
+    if n <= LOCAL:
+        given = rows.orderBy("x", "y", "value").toPandas()
+        return fit(given[["x", "y"]].to_numpy(float), given["value"].to_numpy(float), n_inducing, restarts=restarts, **kernel)
+    rows = store(rows.select("x", "y", "value"), "training")
+    z = row_kmeans(rows, min(n_inducing, max(20, n // 10)))
+    radius = max(box[1] - box[0], box[3] - box[2]) / 2 or 1e-6
+    return _search(var, radius, mean, z, lambda parts: row_sums(rows, parts, mean, z), FAR_ROUNDS, restarts, **kernel)
+
+
+def noise_bounds(model: Model) -> tuple[float, float]:
+    """The bounds of the fitted noise variance."""
+    return model.noise_bounds
+
+
+def n_parameters(model: Model) -> int:
+    """Free parameters of the fit."""
+    return 1 + sum((p.bounds[0] < p.bounds[1]) + len(p.scales) * (p.scale_bounds[0] < p.scale_bounds[1]) for p in model.parts)
 
 
 def save_model(model: Model, path: str) -> None:
@@ -226,10 +340,14 @@ def predict(cells: DataFrame, model: Model, shift: tuple[float, float] = (0.0, 1
     return cells.mapInArrow(task, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", prediction double, sigma double")
 
 
-def assess(df: DataFrame, y: str = "y", prediction: str = "prediction", sigma: str = "sigma") -> DataFrame:
-    """One row: n, rmse, r2, mae and the share of values within two sigma."""
+def assess(df: DataFrame, y: str = "y", prediction: str = "prediction", sigma: str = "sigma", model: Model | None = None) -> DataFrame:
+    """One row: n, rmse, r2, mae and the share of values within two sigma; with a model its log_likelihood, aic and bic."""
     e = F.col(y) - F.col(prediction)
-    return df.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(y) * F.count("*"))).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.avg((F.abs(e) <= 2 * F.col(sigma)).cast("double")).alias("coverage"))
+    out = df.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(y) * F.count("*"))).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.avg((F.abs(e) <= 2 * F.col(sigma)).cast("double")).alias("coverage"))
+    if model is None:
+        return out
+    aic, bic = information_criteria(model.log_likelihood, n_parameters(model), model.n_used)
+    return out.withColumns({"log_likelihood": F.lit(model.log_likelihood), "aic": F.lit(aic), "bic": F.lit(bic)})
 
 
 def information_criteria(log_likelihood: float, n_params: int, n: int) -> tuple[float, float]:
@@ -258,8 +376,80 @@ def _chi2_tail(x: float, k: int) -> float:
     return min(1.0, max(0.0, 1 - total * math.exp(-h + a * math.log(h) - math.lgamma(a))))
 
 
+def _beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_tail(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log(1 - x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    f, c, d = 1.0, 1.0, 0.0
+    for i in range(400):
+        m = i // 2
+        term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / max(1 + term * d, 1e-300) if 1 + term * d > 0 else 1 / (1 + term * d or 1e-300)
+        c = 1 + term / c or 1e-300
+        f *= c * d
+        if abs(1 - c * d) < 1e-13 and i:
+            break
+    return min(1.0, max(0.0, front * (f - 1)))
+
+
+def f_tail(x: float, d1: float, d2: float) -> float:
+    """Upper tail of the F distribution."""
+    return 1 - _beta_tail(d1 * x / (d1 * x + d2), d1 / 2, d2 / 2) if x > 0 else 1.0
+
+
+def shapiro_wilk(r: np.ndarray) -> tuple[float, float]:
+    """W and its p-value by Royston's approximation (AS R94), for 4 values or more."""
+    x, n = np.sort(r), len(r)
+    normal = NormalDist()
+    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    square, u = float(m @ m), 1 / math.sqrt(n)
+    # The polynomials of the algorithm, fixed values.
+    last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / math.sqrt(square)], u)
+    a = m / math.sqrt(square)
+    if n > 5:
+        next_ = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(square)], u)
+        a = m / math.sqrt((square - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * next_**2))
+        a[[1, -2]] = -next_, next_
+    else:
+        a = m / math.sqrt((square - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+    a[[0, -1]] = -last, last
+    spread = float(((x - x.mean()) ** 2).sum())
+    if spread <= 0:
+        return 1.0, 1.0
+    w = min(1 - 1e-15, float(a @ x) ** 2 / spread)
+    if n <= 11:
+        gamma = 0.459 * n - 2.273
+        mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+        inner = gamma - math.log(1 - w)
+        z = (-math.log(inner) - mu) / sigma if inner > 0 else 40.0
+    else:
+        mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], math.log(n)), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], math.log(n)))
+        z = (math.log(1 - w) - mu) / sigma
+    return w, 1 - normal.cdf(z)
+
+
+def dagostino(skew: float, kurt: float, n: int) -> float:
+    """p-value of D'Agostino and Pearson's test, for 8 values or more."""
+    y = skew * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = math.sqrt(2 * (beta - 1)) - 1
+    alpha = math.sqrt(2 / (w2 - 1))
+    z1 = math.asinh(y / alpha) / math.sqrt(0.5 * math.log(w2))
+    mean, var = 3 * (n - 1) / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    x = (kurt - mean) / math.sqrt(var)
+    third = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / third * (2 / third + math.sqrt(1 + 4 / third**2))
+    base = 1 + x * math.sqrt(2 / (a - 4))
+    z2 = (1 - 2 / (9 * a) - math.copysign(abs((1 - 2 / a) / base) ** (1 / 3), base) if base else 0.0) / math.sqrt(2 / (9 * a))
+    return _chi2_tail(z1 * z1 + z2 * z2, 2)
+
+
 def residual_statistics(r: np.ndarray, lags: int = 10) -> dict[str, float]:
-    """p-values of Jarque-Bera (normal), of a variance ratio of halves by absolute deviations, and of Ljung-Box (white)."""
+    """p-values of tests on residuals, in their order: Shapiro-Wilk, D'Agostino and Jarque-Bera (normal), Levene by medians
+    of the two halves (even variance), and Ljung-Box (white)."""
     n = len(r)
     c = r - r.mean()
     s2 = float((c**2).mean()) or 1e-300
@@ -268,7 +458,8 @@ def residual_statistics(r: np.ndarray, lags: int = 10) -> dict[str, float]:
     groups = [np.abs(g - np.median(g)) for g in np.array_split(r, 2)]
     within = sum(((g - g.mean()) ** 2).sum() for g in groups) / max(1, n - 2)
     between = sum(len(g) * (g.mean() - np.concatenate(groups).mean()) ** 2 for g in groups)
-    return {"jarque_bera": _chi2_tail(n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), 2), "levene": _chi2_tail(float(between / max(within, 1e-300)), 1), "ljung_box": _chi2_tail(n * (n + 2) * sum(a * a / (n - k) for k, a in enumerate(auto, 1)), len(auto))}
+    out = {"shapiro_wilk": shapiro_wilk(r)[1]} | ({"dagostino": dagostino(skew, kurt, n)} if n >= 8 else {})
+    return out | {"jarque_bera": _chi2_tail(n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), 2), "levene": f_tail(float(between / max(within, 1e-300)), 1, max(1, n - 2)), "ljung_box": _chi2_tail(n * (n + 2) * sum(a * a / (n - k) for k, a in enumerate(auto, 1)), len(auto))}
 
 
 def bootstrap_residuals(df: DataFrame, column: str, n_boot: int = 100, sample_size: int = 500, alpha: float = 0.05) -> DataFrame:
@@ -292,18 +483,20 @@ def bootstrap_residuals(df: DataFrame, column: str, n_boot: int = 100, sample_si
 def extrapolate(df: DataFrame, column: str, z: float | None = None, tolerance: float = 0.01, test_size: float = 0.8, seed: int = 0) -> DataFrame:
     """`df` with value_extrapolated: known values as they are, missing ones from a model of the rest.
 
-    With `z` (0 too) only that level is used and filled, from the nearest predicted cell; else rows take the prediction at
-    their rounded coordinates.
+    The model learns from all training cells.  With `z` (0 too) only that level is used and filled, from the nearest
+    predicted cell; else rows take the prediction at their rounded coordinates.  ValueError without training cells.
     """
     given = df if z is None else prepare_slice(df.withColumn("value", F.col(column)), "value", z, tolerance)
     tidy = grid_from_tidy(given.withColumn("value", F.col(column) if z is None else F.col("value")))
     known = split(tidy.where("value is not null"), test_size, seed)
-    train = known.where("not test").orderBy(F.xxhash64(F.lit(seed), "x", "y")).limit(MOST_TRAINED).select("x", "y", "value").toPandas()
-    m, s = train["value"].mean(), train["value"].std(ddof=0) or 1.0
-    at, spread = train[["x", "y"]].mean(), train[["x", "y"]].std(ddof=0).replace(0, 1.0)
-    model = fit(((train[["x", "y"]] - at) / spread).to_numpy(), ((train["value"] - m) / s).to_numpy())
-    cells = tidy.select("ix", "iy", ((F.col("x") - float(at.x)) / float(spread.x)).alias("x"), ((F.col("y") - float(at.y)) / float(spread.y)).alias("y"))
-    filled = predict(cells, model, (float(m), float(s))).select("ix", "iy", "prediction").join(tidy, ["ix", "iy"]).select("ix", "iy", "x", "y", F.coalesce("value", "prediction").alias("v"))
+    train = known.where("not test").select("x", "y", "value")
+    row = train.agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y", "value") for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    if row.m_value is None:
+        raise ValueError("no rows to learn from")
+    scale = {c: (float(row[f"m_{c}"]), float(row[f"s_{c}"] or 1.0)) for c in ("x", "y", "value")}
+    model = fit_rows(train.select(*(((F.col(c) - m) / s).alias(c) for c, (m, s) in scale.items())))
+    cells = tidy.select("ix", "iy", *(((F.col(c) - scale[c][0]) / scale[c][1]).alias(c) for c in ("x", "y")))
+    filled = predict(cells, model, scale["value"]).select("ix", "iy", "prediction").join(tidy, ["ix", "iy"]).select("ix", "iy", "x", "y", F.coalesce("value", "prediction").alias("v"))
     if z is not None:
         out = backfill_nearest(df.withColumn("value_extrapolated", F.col(column)), filled, "value_extrapolated", z, tolerance)
         return out

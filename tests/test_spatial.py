@@ -277,3 +277,57 @@ def test_tif(spark, tmp_path):
     (tmp_path / "r.tif").write_bytes(body)
     got = sorted(tuple(x) for x in readers.read_tif(spark, str(tmp_path / "r.tif")).collect())
     assert got == [(0.5, 0.5, 3.0), (0.5, 1.5, 1.0), (1.5, 0.5, -9.0), (1.5, 1.5, 2.0)]
+
+
+def test_model_of_many_rows_equals_the_local_one(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.uniform(-2, 2, (400, 2))
+    y = np.sin(x[:, 0]) * np.cos(x[:, 1]) + 0.05 * r.normal(size=400)
+    rows = spark.createDataFrame([(*a, float(b)) for a, b in zip(x.tolist(), y, strict=True)], "x double, y double, value double")
+    z = gp.kmeans(x, 20)
+    parts = gp.combined_kernel(float(y.var()), 2.0)
+    one, two = gp.local_sums(parts, x, y - 0.25, z), gp.row_sums(rows.repartition(5), parts, 0.25, z)
+    assert two.n == 400
+    for a, b in zip(one, two, strict=True):
+        assert np.allclose(a, b)
+    monkeypatch.setattr(gp, "LOCAL", 100)
+    monkeypatch.setattr(gp, "FAR_ROUNDS", 2)
+    model = gp.fit_rows(rows, n_inducing=20)
+    assert model.n_used == 400
+    assert np.sqrt(((model.predict(x)[0] - y) ** 2).mean()) < 0.15
+    assert gp.noise_bounds(model)[0] <= model.noise <= gp.noise_bounds(model)[1]
+    assert set(gp.limits_hit(model)) <= {"noise", *(f"{p.kind}.{n}" for p in model.parts for n in ("variance", "lengthscale"))}
+    row = gp.assess(gp.predict(rows, model).withColumn("v", F.col("value")), "v", model=model).first()
+    k = gp.n_parameters(model)
+    assert row.aic == pytest.approx(2 * k - 2 * row.log_likelihood) and row.bic == pytest.approx(k * math.log(400) - 2 * row.log_likelihood)
+    assert gp.report({"rmse": 0.2, "r2": 0.5, "coverage": 0.5}) and not gp.report({"rmse": 0.01, "r2": 0.9, "coverage": 0.95})
+
+
+def test_kernels():
+    a, b = np.array([[0.0, 0.0]]), np.array([[3.0, 4.0]])
+    rbf, matern = gp.Part("rbf", 2.0, (1, 3), (5.0, 5.0)), gp.Part("matern32", 2.0, (1, 3), (5.0, 5.0))
+    assert gp.covariance([rbf], a, b)[0, 0] == pytest.approx(2 * math.exp(-0.5))
+    assert gp.covariance([matern], a, b)[0, 0] == pytest.approx(2 * (1 + math.sqrt(3)) * math.exp(-math.sqrt(3)))
+    both = gp.covariance([rbf, matern, gp.Part("bias", 1.0, (1, 1)), gp.Part("white", 0.5, (0.5, 0.5))], a, a, same=True)
+    assert both[0, 0] == pytest.approx(2 + 2 + 1 + 0.5)
+
+
+def test_residual_tests_hold_their_level():
+    """Under the null hypothesis p-values are even on (0, 1), and far from it they are small."""
+    r = np.random.default_rng(9)
+    for n in (9, 40, 300):
+        found = [gp.residual_statistics(r.normal(size=n)) for _ in range(400)]
+        for test in found[0]:
+            p = np.array([f[test] for f in found])
+            share = (p < 0.05).mean()
+            assert 0.0 <= share <= 0.12, (test, n, share)
+            if n == 300:
+                assert 0.4 < np.median(p) < 0.6, (test, np.median(p))
+    skewed = gp.residual_statistics(r.exponential(size=300))
+    assert max(skewed[t] for t in ("shapiro_wilk", "dagostino", "jarque_bera")) < 1e-6
+    walk = gp.residual_statistics(np.cumsum(r.normal(size=300)))
+    assert walk["ljung_box"] < 1e-6
+    assert gp.residual_statistics(np.concatenate([r.normal(size=150), 5 * r.normal(size=150)]))["levene"] < 1e-6
+    # Tabulated values: F(1, 10) at 4.965 and chi-squared with 3 degrees of freedom at 7.815 are exceeded in one of 20.
+    assert gp.f_tail(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-4)
+    assert gp._chi2_tail(7.8147, 3) == pytest.approx(0.05, abs=1e-4)
