@@ -50,6 +50,34 @@ def segment_intersection(a: tuple[Column, Column, Column, Column], b: tuple[Colu
     return F.coalesce(point, middle)
 
 
+def clip_ring(ring: Column, xmin: Column | float, ymin: Column | float, xmax: Column | float, ymax: Column | float) -> Column:
+    """A ring's part inside a box, as an open ring, ARRAY<STRUCT<x, y>>; cut at one side after another."""
+    number = lambda v: (F.lit(float(v)) if isinstance(v, (int, float)) else v.cast("double"))
+    sides = F.array(*(F.struct(F.lit(axis).alias("axis"), F.lit(sign).alias("sign"), number(bound).alias("bound")) for axis, sign, bound in (("x", 1.0, xmin), ("x", -1.0, xmax), ("y", 1.0, ymin), ("y", -1.0, ymax))))
+    plain = F.transform(ring, lambda v: F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y")))
+    n = F.size(plain)
+    # The last corner of a closed ring is the first one again.
+    opened = F.when((n > 1) & (F.element_at(plain, 1) == F.element_at(plain, -1)), F.slice(plain, 1, n - 1)).otherwise(plain)
+
+    def cut(corners: Column, s: Column) -> Column:
+        def edge(i: Column) -> Column:
+            a, b = F.get(corners, i), F.get(corners, (i + 1) % F.size(corners))
+            over = lambda v: s["sign"] * (F.when(s["axis"] == "x", v["x"]).otherwise(v["y"]) - s["bound"])
+            t = F.try_divide(over(a), over(a) - over(b))
+            meet = F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+            none = F.slice(F.array(a), 1, 0)
+            return F.concat(F.when(over(a) >= 0, F.array(a)).otherwise(none), F.when((over(a) >= 0) != (over(b) >= 0), F.array(meet)).otherwise(none))
+
+        return F.when(F.size(corners) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(corners) - 1, F.lit(0))), edge))).otherwise(corners)
+
+    return F.aggregate(sides, opened, cut)
+
+
+def closed(ring: Column) -> Column:
+    """An open ring with its first corner at the end again."""
+    return F.concat(ring, F.slice(ring, 1, 1))
+
+
 def ring_area(ring: Column) -> Column:
     """Signed area of a closed ring, ARRAY<STRUCT<x, y>>."""
     n = F.size(ring)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from favora.functions.geometry import clip_ring, closed, ring_area
 from favora.functions.stats import quantile
 from favora.operators.grid import Extent
 
@@ -71,6 +72,17 @@ def clip_segments(df: DataFrame, e: Extent) -> DataFrame:
     return cut.withColumns(points).drop("_a", "_b")
 
 
+def clip_polygons(df: DataFrame, e: Extent) -> DataFrame:
+    """Polygons (rings: ARRAY<ARRAY<STRUCT<x, y>>>, the first the shell, others holes) cut at the extent.
+
+    Rings come back closed; polygons that only touch the extent or lie outside are dropped, and so are such holes.  A shell
+    that the extent cuts into several parts stays one ring, joined along the border.
+    """
+    cut = df.withColumn("_cut", F.transform("rings", lambda r: closed(clip_ring(r, e.xmin, e.ymin, e.xmax, e.ymax))))
+    has_area = lambda r: F.abs(ring_area(r)) > 0
+    return cut.where(has_area(F.get("_cut", F.lit(0)))).withColumn("rings", F.filter("_cut", has_area)).drop("_cut")
+
+
 def keep_inside(df: DataFrame, e: Extent) -> DataFrame:
     """Boxes (xmin, ymin, xmax, ymax[, zmin, zmax]) kept whole if inside in XY and overlapping in Z."""
     inside = (F.col("xmin") >= e.xmin) & (F.col("xmax") <= e.xmax) & (F.col("ymin") >= e.ymin) & (F.col("ymax") <= e.ymax)

@@ -5,14 +5,12 @@ Polygons are edge tables (gid, x0, y0, x1, y1); containment is strict, points on
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from favora.functions.geometry import segment_distance
+from favora.functions.geometry import clip_ring, closed, ring_area, segment_distance
 from favora.operators.distance import inside
 from favora.operators.near import within_candidates
 
@@ -71,29 +69,6 @@ def mark_buffer_areas(grid: DataFrame, edges: DataFrame, distance: float, polygo
     return out.withColumn("classification", value).drop("_in", "_near")
 
 
-def clip_ring(ring: np.ndarray, xmin: float, ymin: float, xmax: float, ymax: float) -> np.ndarray:
-    """A ring's part inside a box, cut at one side after another."""
-    for axis, bound, sign in ((0, xmin, 1), (0, xmax, -1), (1, ymin, 1), (1, ymax, -1)):
-        if not len(ring):
-            return ring
-        after = np.roll(ring, -1, axis=0)
-        a, b = sign * (ring[:, axis] - bound), sign * (after[:, axis] - bound)
-        out = []
-        for p, q, u, v in zip(ring, after, a, b, strict=True):
-            if u >= 0:
-                out.append(p)
-            if (u >= 0) != (v >= 0):
-                out.append(p + (q - p) * (u / (u - v)))
-        ring = np.array(out).reshape(-1, 2)
-    return ring
-
-
-def area(ring: np.ndarray) -> float:
-    """Area of a ring of either direction."""
-    x, y = (ring - ring[0]).T if len(ring) else (np.empty(0), np.empty(0))
-    return abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
-
-
 def polygons_to_points(cells: DataFrame, polygons: DataFrame, width: float, height: float) -> DataFrame:
     """`cells` (centres ix, iy, x, y of boxes width by height) with `value`, the area-weighted mean of the polygons' values.
 
@@ -106,16 +81,11 @@ def polygons_to_points(cells: DataFrame, polygons: DataFrame, width: float, heig
     near = within_candidates(cells, boxed, 0.0)
     if near is None:
         return cells.withColumn("value", F.lit(0.0))
-    near = near.where("x > xmin and x < xmax and y > ymin and y < ymax").dropDuplicates(["ix", "iy", "gid"])
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            areas = []
-            for x, y, rings in zip(*(batch.column(c).to_pylist() for c in (2, 3, 5)), strict=True):
-                cut = [area(clip_ring(np.array([(v["x"], v["y"]) for v in r]), x - width / 2, y - height / 2, x + width / 2, y + height / 2)) for r in rings]
-                areas.append(cut[0] - sum(cut[1:]) if cut else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(areas, pa.float64())], names=["ix", "iy", "v", "a"])
-
-    parts = near.select(F.col("ix").cast("long"), F.col("iy").cast("long"), "x", "y", F.col("value").cast("double").alias("v"), "rings").mapInArrow(task, "ix long, iy long, v double, a double")
+    near = near.where("x > xmin and x < xmax and y > ymin and y < ymax")
+    box = (F.col("x") - width / 2, F.col("y") - height / 2, F.col("x") + width / 2, F.col("y") + height / 2)
+    areas = F.transform("rings", lambda r: F.abs(ring_area(closed(clip_ring(r, *box)))))
+    # The first ring is the shell, the others are holes.
+    size = F.coalesce(F.get(areas, F.lit(0)) * 2 - F.aggregate(areas, F.lit(0.0), lambda s, a: s + a), F.lit(0.0))
+    parts = near.select("ix", "iy", F.col("value").cast("double").alias("v"), size.alias("a"))
     means = parts.groupBy("ix", "iy").agg(F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("a")), F.sum("a")), F.lit(0.0)).alias("value"))
     return cells.join(means, ["ix", "iy"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from favora.operators.clean import clip_polygons, clip_segments
+from favora.operators.grid import Extent
+
 
 def convert_3d_to_2d(points: DataFrame, column: str) -> DataFrame:
     """(x, y, column, z_min): sums over the points of one place; ValueError without z."""
@@ -27,16 +30,33 @@ def down_dip_offset(z_top: float, z_bottom: float, strike: float, dip: float | N
     return reach * math.cos(azimuth), reach * math.sin(azimuth)
 
 
-def extrude_lines(lines: DataFrame, z_top: float, z_bottom: float, strike: float = 0.0, dip: float | None = None) -> DataFrame:
+def _wall(top: Column, z_top: float, z_bottom: float, dx: float, dy: float) -> Column:
+    """The corners of a trace at the top, then those of its shifted copy at the bottom backwards."""
+    upper = F.transform(top, lambda v: F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y"), F.lit(float(z_top)).alias("z")))
+    lower = F.transform(F.reverse(top), lambda v: F.struct((v["x"] + dx).cast("double").alias("x"), (v["y"] + dy).cast("double").alias("y"), F.lit(float(z_bottom)).alias("z")))
+    return F.concat(upper, lower, F.slice(upper, 1, 1))
+
+
+def extrude_lines(lines: DataFrame, z_top: float, z_bottom: float, strike: float = 0.0, dip: float | None = None, extent: Extent | None = None) -> DataFrame:
     """(gid, ring) of segments (gid, x0, y0, x1, y1) as walls: the top edge, then the shifted bottom edge backwards.
 
-    Azimuths count from the x axis as x = sin, y = cos of the compass direction.
+    With an extent the segments are cut at it first.  Azimuths count from the x axis as x = sin, y = cos of the compass
+    direction.
+    """
+    dy, dx = down_dip_offset(z_top, z_bottom, strike, dip)
+    cut = clip_segments(lines, extent) if extent else lines
+    top = F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in "01"))
+    return cut.select("gid", _wall(top, z_top, z_bottom, dx, dy).alias("ring"))
+
+
+def extrude_polygons(polygons: DataFrame, z_top: float, z_bottom: float, strike: float = 0.0, dip: float | None = None, extent: Extent | None = None) -> DataFrame:
+    """(gid, rings) of polygons (gid, rings) as prisms: each ring at the top, then its shifted copy at the bottom backwards.
+
+    The first ring is the shell, others are holes.  With an extent the polygons are cut at it first.
     """
-    cos_, sin_ = down_dip_offset(z_top, z_bottom, strike, dip)
-    dx, dy = sin_, cos_
-    top = F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), F.lit(float(z_top)).alias("z")) for i in "01"))
-    bottom = F.transform(F.reverse(top), lambda v: F.struct((v["x"] + dx).alias("x"), (v["y"] + dy).alias("y"), F.lit(float(z_bottom)).alias("z")))
-    return lines.select("gid", F.concat(top, bottom, F.slice(top, 1, 1)).alias("ring"))
+    dy, dx = down_dip_offset(z_top, z_bottom, strike, dip)
+    cut = clip_polygons(polygons, extent) if extent else polygons
+    return cut.select("gid", F.transform("rings", lambda r: _wall(r, z_top, z_bottom, dx, dy)).alias("rings"))
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:

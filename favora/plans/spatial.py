@@ -158,6 +158,32 @@ def c9_set_extent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("gid", *(r6(c, c) for c in ("x0", "y0", "x1", "y1")))
 
 
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rectangles as polygons with a hole half their size."""
+    corner = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    ring = lambda a, b, c, d: F.array(corner(a, b), corner(c, b), corner(c, d), corner(a, d), corner(a, b))
+    hole = ring(*(f"{e} + ({o} - {e}) / 4" for e, o in (("xmin", "xmax"), ("ymin", "ymax"), ("xmax", "xmin"), ("ymax", "ymin"))))
+    return view(spark, sf_dir, "fx_rects").select("gid", F.array(ring("xmin", "ymin", "xmax", "ymax"), hole).alias("rings"))
+
+
+#: Rectangles and their holes, cut at a box; polygons outside are dropped, and holes outside.
+CUT = """
+b as (select gid, 0 as i, xmin as a, ymin as b, xmax as c, ymax as d from fx_rects
+  union all select gid, 1, xmin + (xmax - xmin) / 4, ymin + (ymax - ymin) / 4, xmax - (xmax - xmin) / 4, ymax - (ymax - ymin) / 4 from fx_rects),
+k as (select gid, i, greatest(a, 160) as a, greatest(b, 90) as b, least(c, 700) as c, least(d, 650) as d from b where a < 700 and c > 160 and b < 650 and d > 90)"""
+BOX = Extent(160.0, 90.0, 700.0, 650.0)
+
+
+@query(f"with {CUT} select gid, count(*) as n, round(sum(case when i = 0 then 1 else -1 end * (c - a) * (d - b)), 6) as area, max(case when i = 0 then a end) as xmin, max(case when i = 0 then d end) as ymax from k group by gid having max(case when i = 0 then 1 else 0 end) = 1")
+def c9_set_extent_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons with holes cut at a box."""
+    cut = clean.clip_polygons(_rings(spark, sf_dir), BOX)
+    areas = F.transform("rings", lambda r: F.abs(geometry.ring_area(r)))
+    size = F.get(areas, F.lit(0)) * 2 - F.aggregate(areas, F.lit(0.0), lambda s, a: s + a)
+    shell = F.get("rings", F.lit(0))
+    return cut.select("gid", F.size("rings").cast("long").alias("n"), r6(size, "area"), F.array_min(F.transform(shell, lambda v: v["x"])).alias("xmin"), F.array_max(F.transform(shell, lambda v: v["y"])).alias("ymax"))
+
+
 @query("select gid, x, y, z from fx_points3d where x between 100 and 300 and y between 50 and 400 and z between -500 and -200")
 def c10_set_extent_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in a box in 3D."""
@@ -587,6 +613,17 @@ def a6_extrude_2d_to_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("gid", F.size("ring").alias("n"), r6(F.expr("ring[2].x"), "x2"), r6(F.expr("ring[2].y"), "y2"), F.expr("ring[2].z").alias("z2"))
 
 
+@query(f"""
+with {CUT}, s as (select gid, i, x, y, z from (select gid, i, unnest([a, c, c, a, a]) as x, unnest([b, b, d, d, b]) as y, 0.0 as z from k where gid in (select gid from k where i = 0))
+  union all select gid, i, x + 500 / tan(radians(60)) * sin(radians(120)), y + 500 / tan(radians(60)) * cos(radians(120)), -500.0 from (select gid, i, unnest([a, c, c, a, a]) as x, unnest([b, b, d, d, b]) as y from k where gid in (select gid from k where i = 0)))
+select gid, count(*) as n, round(sum(z), 6) as z, round(max(x), 6) as xmax, round(min(y), 6) as ymin from s group by gid""")
+def a6_extrude_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons with holes, cut at a box, as dipping prisms; each ring without the corner that closes it."""
+    out = structure.extrude_polygons(_rings(spark, sf_dir), 0.0, -500.0, 30.0, 60.0, BOX)
+    corners = out.select("gid", F.explode("rings").alias("r")).select("gid", F.explode(F.slice("r", 1, F.size("r") - 1)).alias("v"))
+    return corners.groupBy("gid").agg(F.count("*").alias("n"), r6(F.sum("v.z"), "z"), r6(F.max("v.x"), "xmax"), r6(F.min("v.y"), "ymin"))
+
+
 @query()
 def a7_fault_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convex hulls of faults."""
