@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from favora.functions.crs import reproject
 from favora.sources import readers
 
 #: In the order in which they are looked for; later files override earlier ones.
@@ -49,11 +49,11 @@ def gather_data(spark: SparkSession, folder: str, project: Project, suffixes: tu
             print(f"unknown file type {suffix} is left out")
     for suffix in (s for s in SUFFIXES if s in suffixes):
         for key, meta in project.layers():
-            path = Path(folder, key[0], key[1], f"{key[2]}{suffix}")
-            if not path.exists():
+            path = f"{folder}/{key[0]}/{key[1]}/{key[2]}{suffix}"
+            if not readers.exists(spark, path):
                 continue
             at = [meta.get(c) for c in ("x_col", "y_col", "z_col")]
-            df = readers.read_shapefile(spark, str(path)) if suffix == ".shp" else readers.read_csv(spark, str(path), meta.get("crs", 4326), *at) if suffix == ".csv" else readers.read_tec(spark, str(path), *at)
+            df = readers.read_shapefile(spark, path) if suffix == ".shp" else readers.read_csv(spark, path, meta.get("crs", 4326), *at) if suffix == ".csv" else readers.read_tec(spark, path, *at)
             project = project.with_data(key, df)
     return project
 
@@ -61,23 +61,28 @@ def gather_data(spark: SparkSession, folder: str, project: Project, suffixes: tu
 def gather_processed_data(spark: SparkSession, folder: str, project: Project, crs: str | int) -> Project:
     """Files `layer_processed.csv` with a WKT geometry as models (x, y, z and the columns)."""
     for key, _ in project.layers():
-        path = Path(folder, key[0], key[1], f"{key[2]}_processed.csv")
-        if path.exists():
-            df = readers.read_csv(spark, str(path), crs, geometry_col="geometry")
+        path = f"{folder}/{key[0]}/{key[1]}/{key[2]}_processed.csv"
+        if readers.exists(spark, path):
+            df = readers.read_csv(spark, path, crs, geometry_col="geometry")
             v = F.expr("geometry.parts[0][0][0]")
             project = project.with_model(key, df.withColumns({"x": v["x"], "y": v["y"], "z": v["z"]}))
     return project
 
 
-def gather_exclusion_areas(spark: SparkSession, folder: str, layers: list[str]) -> dict[str, DataFrame]:
-    """Edges (gid, x0, y0, x1, y1) of the polygons with a positive DN in `folder/exclusion/layer.shp`."""
+def gather_exclusion_areas(spark: SparkSession, folder: str, layers: list[str], crs: str | int | None = None, target_crs: str | int | None = None) -> dict[str, DataFrame]:
+    """Edges (gid, x0, y0, x1, y1) of the polygons with a positive DN in `folder/exclusion/layer.shp`, from `crs` to `target_crs`."""
     out = {}
     for name in layers:
-        shapes = readers.read_shapefile(spark, str(Path(folder, "exclusion", f"{name}.shp")))
+        shapes = readers.read_shapefile(spark, f"{folder}/exclusion/{name}.shp")
         good = positive_marks(shapes.withColumn("DN", F.expr("try_cast(attributes['DN'] as double)")))
         ring = good.select("gid", F.explode("parts").alias("r"))
         sides = ring.select("gid", F.explode(F.arrays_zip(F.expr("slice(r, 1, size(r) - 1)").alias("a"), F.expr("slice(r, 2, size(r) - 1)").alias("b"))).alias("s"))
-        out[name] = sides.select("gid", F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1"))
+        edges = sides.select("gid", F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1"))
+        if crs is not None and target_crs is not None:
+            for x, y in (("x0", "y0"), ("x1", "y1")):
+                moved = reproject(edges.withColumnsRenamed({x: "x", y: "y"}), crs, target_crs)
+                edges = moved.withColumnsRenamed({"x": x, "y": y})
+        out[name] = edges.select("gid", "x0", "y0", "x1", "y1")
     return out
 
 
