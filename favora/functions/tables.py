@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a folder in the warehouse if Spark runs in one process, else ValueError."""
@@ -20,5 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for paths in _open[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that store() writes inside the block, at its end.
+
+    Results are read from such tables when they are asked for, so what is needed later must be written elsewhere inside the
+    block.  Without such a block stored tables stay until the shared folder is emptied.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _open.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from favora.functions.tables import store
 from favora.operators.clean import clip_polygons, clip_segments
 from favora.operators.grid import Extent
 
@@ -99,7 +100,7 @@ def fault_surfaces(points: DataFrame, fault: str = "fault_id") -> DataFrame:
 
 
 def fault_traces_top(points: DataFrame, fault: str = "fault_id") -> DataFrame:
-    """(fault, n, trace): all points of a fault by falling z (equal z by gid) as a 2D line."""
+    """(fault, n, trace): all points of a fault by falling z (equal z by gid) as a 2D line, which is one value."""
     order = F.struct((-F.col("z")).alias("o"), "gid", "x", "y")
     grouped = points.groupBy(F.col(fault).alias("fault")).agg(F.array_sort(F.collect_list(order)).alias("p"))
     return grouped.select("fault", F.size("p").cast("long").alias("n"), F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("trace"))
@@ -125,7 +126,16 @@ def well_path(rows: DataFrame, sort_by: str | None = None, seq: str = "seq", key
     if given.limit(2).count() < 2:
         raise ValueError("a well path needs two points")
     order = [c for c in (sort_by, seq) if c]
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     here = F.struct("x", "y", "z")
-    kept = given.withColumn("_last", F.lag(here).over(w)).where(~here.eqNullSafe(F.col("_last"))).drop("_last")
-    return kept.withColumn("seq", F.row_number().over(w).cast("long"))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        kept = given.withColumn("_last", F.lag(here).over(w)).where(~here.eqNullSafe(F.col("_last"))).drop("_last")
+        return kept.withColumn("seq", F.row_number().over(w).cast("long"))
+    # Sorted ranges, each with the last point of the one before; one row for each range.
+    parts = store(given.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "path")
+    w, ranges = Window.partitionBy("_p").orderBy(*order), Window.orderBy("_p")
+    ends = parts.groupBy("_p").agg(F.max_by(here, F.struct(*order)).alias("_end")).select("_p", F.lag("_end").over(ranges).alias("_end"))
+    last = F.coalesce(F.lag(here).over(w), F.col("_end"))
+    kept = store(parts.join(F.broadcast(ends), "_p").withColumn("_last", last).where(~here.eqNullSafe(F.col("_last"))).drop("_last", "_end"), "path")
+    before = kept.groupBy("_p").count().select("_p", (F.sum("count").over(ranges) - F.col("count")).alias("_before"))
+    return kept.join(F.broadcast(before), "_p").withColumn("seq", (F.row_number().over(w) + F.col("_before")).cast("long")).drop("_p", "_before")

@@ -418,14 +418,12 @@ def i4_kriging_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with c as (select row_number() over (order by x, y) as gid, x, y, 0.0 as z, a from fx_lattice),
-f as (select row_number() over (order by x) - 1 as ix, x, y, a as v from fx_lattice where a is not null)
+with c as (select cast(x * 100 + y as bigint) as gid, x, y, 0.0 as z, a from fx_lattice),
+f as (select x, y, a as v from fx_lattice where a is not null)
 select c.gid, round(coalesce(c.a, arg_min(f.v, row(sqrt(power(c.x - f.x, 2) + power(c.y - f.y, 2)), f.y, f.x))), 6) as a from c left join f on c.a is null group by c.gid, c.a""")
 def i5_backfill_at_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holes filled from the nearest cell."""
-    from pyspark.sql import Window
-
-    cells = view(spark, sf_dir, "fx_lattice").select(F.row_number().over(Window.orderBy("x", "y")).cast("long").alias("gid"), "x", "y", F.lit(0.0).alias("z"), "a")
+    cells = view(spark, sf_dir, "fx_lattice").select((F.col("x") * 100 + F.col("y")).cast("long").alias("gid"), "x", "y", F.lit(0.0).alias("z"), "a")
     known = cells.where("a is not null").select(F.col("x").alias("ix"), F.col("y").alias("iy"), "x", "y", F.col("a").alias("v"))
     return interpolate.backfill_nearest(cells, known, "a", 0.0).select("gid", r6("a", "a"))
 

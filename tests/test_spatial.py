@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 from favora.functions import crs, geometry, stats, transforms
-from favora.operators import distance, gp, grid, interpolate, near
+from favora.operators import distance, gp, grid, interpolate, near, structure
 from favora.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -331,3 +331,37 @@ def test_residual_tests_hold_their_level():
     # Tabulated values: F(1, 10) at 4.965 and chi-squared with 3 degrees of freedom at 7.815 are exceeded in one of 20.
     assert gp.f_tail(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-4)
     assert gp._chi2_tail(7.8147, 3) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_well_paths_over_ranges(spark):
+    r = random.Random(10)
+    rows = [(i, float(r.randrange(3)), 0.0, float(-(i // 7))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, x double, y double, z double").repartition(5)
+    kept = [row for k, row in enumerate(rows) if not k or row[1:] != rows[k - 1][1:]]
+    got = structure.well_path(df).orderBy("seq").collect()
+    assert [(x.seq, x.x, x.y, x.z) for x in got] == [(i + 1, *row[1:]) for i, row in enumerate(kept)]
+    both = df.withColumn("well", F.col("seq") % 2)
+    split = structure.well_path(both, keys=["well"]).where("well = 1").orderBy("seq").collect()
+    odd = [row for row in rows if row[0] % 2]
+    assert [(x.x, x.z) for x in split] == [(row[1], row[3]) for k, row in enumerate(odd) if not k or row[1:] != odd[k - 1][1:]]
+    with pytest.raises(ValueError, match="two points"):
+        structure.well_path(df.limit(1))
+
+
+def test_fault_surfaces(spark):
+    r = np.random.default_rng(11)
+    points = {k: r.integers(0, 20, (n, 2)).astype(float) for k, n in ((1, 200), (2, 9), (3, 2))}
+    points[4] = np.array([[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]])
+    df = spark.createDataFrame([(k, *p, 1.0) for k, ps in points.items() for p in ps.tolist()], "fault_id int, x double, y double, z double")
+    got = {x.fault: x for x in structure.fault_surfaces(df).collect()}
+    assert set(got) == {1, 2}
+    for k in got:
+        # A corner is a point that some direction has furthest out, alone.
+        angles = np.linspace(0, 2 * np.pi, 20001)
+        far = (np.unique(points[k], axis=0) @ np.array([np.cos(angles), np.sin(angles)])).argmax(axis=0)
+        corners = np.unique(points[k], axis=0)[np.unique(far)]
+        assert {tuple(v) for v in got[k].hull} == {tuple(c) for c in corners.tolist()}
+        centre = corners.mean(axis=0)
+        round_ = corners[np.argsort(np.arctan2(*(corners - centre).T[::-1]))]
+        x, y = round_.T
+        assert got[k].area == pytest.approx(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
