@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from favora.llm.shared import read, store
+from favora.functions.tables import store
+from favora.llm.shared import read
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 

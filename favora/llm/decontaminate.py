@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import mix, pieces, read, store, word_hashes, word_spans
+from favora.functions.tables import store
+from favora.llm.shared import mix, pieces, read, word_hashes, word_spans
 
 WINDOW = 24
 STRIDE = 8

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import pieces, read, store
+from favora.functions.tables import store
+from favora.llm.shared import pieces, read
 from favora.llm.url_filter import host_and_path
 
 BUCKETS = 1 << 16

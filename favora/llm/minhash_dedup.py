@@ -8,7 +8,7 @@ What remains is confirmed on the full sets, so the links returned are exact.
 
 Groups never meet in one task: equal sets are first folded into one class; in a bucket the classes are compared with its
 most connected one, then with another.  Classes that are still in other components than most of a bucket are compared with
-all of that component and with each other, in tasks of two blocks of PAIR_BLOCK sets at most; pairs are never listed.
+all of that component and with each other, in tasks of two blocks of bounded size; pairs are never listed.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import components, mix, pieces, read, shingles, store
+from favora.functions.tables import store
+from favora.llm.shared import components, mix, pieces, read, shingles
 
 PERMUTATIONS = 160
 ROWS = 5
 BANDS = 32
-PAIR_BLOCK = 400
+#: Sets of a block, and their elements: a task holds two blocks.
+PAIR_BLOCK = 200
+PAIR_ELEMENTS = 200_000
 SKETCH_LONGS = 2 * PERMUTATIONS // 16
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
@@ -129,8 +132,9 @@ def _linked(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> Itera
 
 
 def _confirm_blocks(sides: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links (a, b) of the `few` documents of each group `main` of `sides` (main, doc, few) with all of the group."""
-    sizes = sides.groupBy("main").agg(F.ceil(F.count_if("few") / PAIR_BLOCK).alias("rows"), F.ceil(F.count("*") / PAIR_BLOCK).alias("cols")).where("rows > 0")
+    """The links (a, b) of the `few` documents of each group `main` of `sides` (main, doc, few, n) with all of the group."""
+    blocks = lambda count, n: F.greatest(F.ceil(count / PAIR_BLOCK), F.ceil(n / PAIR_ELEMENTS))
+    sizes = sides.groupBy("main").agg(blocks(F.count_if("few"), F.sum(F.when(F.col("few"), F.col("n")).otherwise(0))).alias("rows"), blocks(F.count("*"), F.sum("n")).alias("cols")).where("rows > 0")
     full = sides.join(sizes, "main").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
     row, col = (F.pmod(F.xxhash64("doc"), F.col(x)) for x in ("rows", "cols"))
     asks = full.where("few").select("main", row.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "doc", "text")
@@ -195,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = store(links.union(confirm(pairs, texts, words, percent)), "links")
 
     named, mixed = _undecided(buckets, links)
-    sides = named.join(mixed, "band").groupBy("main", "doc").agg(F.bool_or(F.col("component") != F.col("main")).alias("few"))
+    sides = named.join(mixed, "band").groupBy("main", "doc").agg(F.bool_or(F.col("component") != F.col("main")).alias("few"), F.first("n").alias("n"))
     links = store(links.union(_confirm_blocks(store(sides, "sides"), texts, words, percent)), "links")
     of = components(links)
     member = classes.join(of.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component"))

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import pieces, read, store, word_hashes, word_spans
+from favora.functions.tables import store
+from favora.llm.shared import pieces, read, word_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 10

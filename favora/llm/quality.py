@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import mix, pieces, read, store, word_hashes, word_spans
+from favora.functions.tables import store
+from favora.llm.shared import mix, pieces, read, word_hashes, word_spans
 
 FEATURES = ("log_words", "log_word_bytes", "upper", "symbols", "bars", "shouts", "digits", "beyond_ascii", "stops", "lines", "distinct", "distinct_pairs", "repeats", "top_share", "wordless")
 SHRINKAGE = 0.15

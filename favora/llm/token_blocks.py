@@ -6,6 +6,7 @@ the width that holds PERCENTILE of the values, and the values that need more are
 the page, high part).  `block_start` says at which byte of `packed` each block starts, so any block can be decoded alone.
 
     shard int, page int            place in ascending order
+    first_id, last_id long         the page's least and greatest doc_id; Parquet's statistics of them lead to a document
     doc_ids, doc_tokens array      the page's documents and their number of ids
     ids_before long                ids of the shard's pages before this one
     block_min, block_width, block_start array
@@ -29,15 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import Words, pieces, read, shared_dir, word_spans
+from favora.functions.tables import shared_dir
+from favora.llm.shared import Words, pieces, read, word_spans
 
 BLOCK = 256
 PERCENTILE = 90
 END = 1
 MARK = "|"
 TOGETHER = 500
-SCHEMA = "shard int, page int, ids_before long, doc_ids array<long>, doc_tokens array<int>, block_min array<int>, block_width array<int>, block_start array<long>, exc_at array<int>, exc_high array<int>, packed binary"
-_ARROW = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("ids_before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((x, pa.list_(pa.int32())) for x in ("doc_tokens", "block_min", "block_width")), ("block_start", pa.list_(pa.int64())), ("exc_at", pa.list_(pa.int32())), ("exc_high", pa.list_(pa.int32())), ("packed", pa.binary())])
+SCHEMA = "shard int, page int, first_id long, last_id long, ids_before long, doc_ids array<long>, doc_tokens array<int>, block_min array<int>, block_width array<int>, block_start array<long>, exc_at array<int>, exc_high array<int>, packed binary"
+_ARROW = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("ids_before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((x, pa.list_(pa.int32())) for x in ("doc_tokens", "block_min", "block_width")), ("block_start", pa.list_(pa.int64())), ("exc_at", pa.list_(pa.int32())), ("exc_high", pa.list_(pa.int32())), ("packed", pa.binary())])
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -165,7 +167,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
         encoder, shard, page, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         for rows, data, offsets in pieces(batches, 1):
             ids, upto = encoder.encode(data, offsets)
-            out = {"shard": shard, "page": page, "ids_before": before, "doc_ids": rows.column(0).to_pylist(), "doc_tokens": np.diff(upto)} | pack(ids)
+            found = rows.column(0).to_pylist()
+            known = [i for i in found if i is not None]
+            out = {"shard": shard, "page": page, "first_id": min(known, default=None), "last_id": max(known, default=None), "ids_before": before, "doc_ids": found, "doc_tokens": np.diff(upto)} | pack(ids)
             page, before = page + 1, before + len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([out[f.name]], f.type) for f in _ARROW], schema=_ARROW)
 
@@ -175,10 +179,11 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
     ordered.mapInArrow(task, SCHEMA).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, digest: bool = False, doc_id: int | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document, decoded from the files; start counts the ids of all before it.
 
-    With `digest`, ids_crc32 (the CRC-32 of the ids as little-endian unsigned 32-bit integers) comes instead of ids.
+    With `digest`, ids_crc32 (the CRC-32 of the ids as little-endian unsigned 32-bit integers) comes instead of ids.  With
+    `doc_id` only the pages that may hold it are read, and its rows given.
     """
     pages = spark.read.schema(SCHEMA).parquet(path)
     # One number for each shard.
@@ -202,7 +207,9 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                     last = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([r["doc_ids"].values, pa.array(start), pa.array(n), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return pages.mapInArrow(task, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
+    wanted = pages if doc_id is None else pages.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    out = wanted.mapInArrow(task, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
+    return out if doc_id is None else out.where(F.col("doc_id") == doc_id)
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

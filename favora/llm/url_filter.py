@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.llm.shared import read, store
+from favora.functions.tables import store
+from favora.llm.shared import read
 
 #: (verdict, host, path): a rule fits its host and all subdomains, if the URL's path starts with its path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))

@@ -219,6 +219,9 @@ def test_token_files(spark, tmp_path):
         assert (got[i].start, got[i].n_tokens, got[i].ids) == (start, len(ids), ids)
         assert sums[i] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+    for i in (7, 901):
+        one = token_blocks.read_ids(spark, str(tmp_path / "t"), doc_id=i).collect()
+        assert [(x.doc_id, x.start, x.ids) for x in one] == [(i, got[i].start, got[i].ids)]
     token_blocks.write_ids(docs(spark, []), path, str(tmp_path / "none"))
     assert token_blocks.read_ids(spark, str(tmp_path / "none")).count() == 0
 
