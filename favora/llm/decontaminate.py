@@ -38,7 +38,7 @@ from favora.llm.shared import mix, pieces, read, word_hashes, word_spans
 WINDOW = 24
 STRIDE = 8
 FEATURES = 1 << 18
-RANK = 512
+RANK = 256
 OVERSAMPLING = 16
 POWER_STEPS = 2
 COSINE = 0.63
@@ -133,18 +133,21 @@ def _times(passages: DataFrame, idf: np.ndarray, basis: Basis | None, rank: int)
             one, which = np.unique(f, return_inverse=True)
             out = np.zeros((len(one), rank))
             np.add.at(out, which, back)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(one % 64), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), rank).cast(pa.list_(pa.float64()))], names=["f", "slice", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(one % 64), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel().astype(np.float32)), rank).cast(pa.list_(pa.float32()))], names=["f", "slice", "v"])
 
     def total(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         one, which = np.unique(table.column("f").to_numpy(), return_inverse=True)
         out = np.zeros((len(one), rank))
         np.add.at(out, which, np.asarray(table.column("v").combine_chunks().flatten()).reshape(-1, rank))
-        return pa.table({"f": one, "v": pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), rank).cast(pa.list_(pa.float64()))})
+        return pa.table({"f": one, "v": pa.FixedSizeListArray.from_arrays(pa.array(out.ravel().astype(np.float32)), rank).cast(pa.list_(pa.float32()))})
 
-    # At most FEATURES rows of `rank` numbers.
-    sums = passages.select("features").mapInArrow(task, "f long, slice long, v array<double>").groupBy("slice").applyInArrow(total, "f long, v array<double>").toArrow().sort_by("f").combine_chunks()
-    return Basis(sums.column("f").to_numpy(), np.asarray(sums.column("v").combine_chunks().flatten()).reshape(-1, rank) if len(sums) else np.empty((0, rank)))
+    # At most FEATURES rows of `rank` numbers, in single precision on their way.
+    sums = passages.select("features").mapInArrow(task, "f long, slice long, v array<float>").groupBy("slice").applyInArrow(total, "f long, v array<float>").toArrow()
+    features = sums.column("f").to_numpy()
+    order = np.argsort(features)
+    rows = np.concatenate([np.asarray(c.flatten()) for c in sums.column("v").chunks]).reshape(-1, rank) if len(sums) else np.empty((0, rank), np.float32)
+    return Basis(features[order], rows[order])
 
 
 def latent_basis(passages: DataFrame, idf: np.ndarray) -> Basis:
@@ -153,7 +156,7 @@ def latent_basis(passages: DataFrame, idf: np.ndarray) -> Basis:
     basis: Basis | None = None
     for _ in range(POWER_STEPS + 1):
         image = _times(passages, idf, basis, rank)
-        basis = Basis(image.features, np.linalg.qr(image.rows)[0] if len(image.features) >= rank else np.eye(len(image.features), rank))
+        basis = Basis(image.features, np.linalg.qr(image.rows.astype(float))[0] if len(image.features) >= rank else np.eye(len(image.features), rank))
     # The rotation that diagonalises V' A' A V orders the directions by singular value.
     image = _times(passages, idf, basis, rank)
     values, turn = np.linalg.eigh(basis.rows.T @ image.rows)
