@@ -5,15 +5,19 @@ Computed doubles are rounded to 6 digits on both sides, as the order of sums dif
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from favora.functions import crs, geometry, stats, transforms
+from favora.functions.tables import shared_dir
 from favora.operators import clean, combine, density, distance, exclude, grid, interpolate, structure
 from favora.operators.grid import Extent
 from favora.plans.fixtures import view, with_views
+from favora.sources import catalog, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -428,6 +432,14 @@ def i5_backfill_at_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolate.backfill_nearest(cells, known, "a", 0.0).select("gid", r6("a", "a"))
 
 
+@query(f"""
+with {G2}, n as (select ix, iy, value, sqrt(power(g.x - p.x, 2) + power(g.y - p.y, 2)) as d, row_number() over (partition by ix, iy order by sqrt(power(g.x - p.x, 2) + power(g.y - p.y, 2)), gid) as k from g, fx_points2d p)
+select ix, iy, round(coalesce(avg(value) filter (where d = 0), sum(value / (d * d)) filter (where d > 0) / sum(1 / (d * d)) filter (where d > 0)), 6) as value_interpolated from n where k <= 12 group by ix, iy""")
+def i7_inverse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means weighted by inverse square distances."""
+    return interpolate.inverse_distance(grid2(spark), view(spark, sf_dir, "fx_points2d")).select("ix", "iy", r6("value_interpolated", "value_interpolated"))
+
+
 @query("select p.gid, p.x, p.y, b.value as value_extrapolated from fx_points2d p left join (select x, y, min(gid) as gid, min(value) as value from fx_points2d where gid % 2 = 0 group by x, y) b on p.x = b.x and p.y = b.y")
 def i6_update_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions joined by rounded coordinates."""
@@ -875,3 +887,57 @@ def x17_x18_extrapolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holes of a lattice filled by a fitted model."""
     given = view(spark, sf_dir, "fx_lattice").select("x", "y", "a")
     return gp.extrapolate(given, "a", test_size=0.2).select("x", "y", r6("value_extrapolated", "value_extrapolated"))
+
+
+# Files: what is written is read back
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which single-file formats need as a path of the driver."""
+    return f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select gid, x, y, -x as z, grp::varchar as grp from fx_points2d")
+def s1_k2_shapefile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with Z and attributes through a shapefile."""
+    given = view(spark, sf_dir, "fx_points2d").select("x", "y", (-F.col("x")).alias("z"), "gid", "grp")
+    path = f"{_scratch(spark, 'points')}.shp"
+    writers.write_point_shapefile(given, path, 4326)
+    v = F.expr("parts[0][0]")
+    return readers.read_shapefile(spark, path).select(F.expr("cast(attributes['gid'] as bigint)").alias("gid"), v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), F.expr("attributes['grp']").alias("grp"))
+
+
+@query("select gid, xmin, ymax, 5 as corners from fx_rects")
+def s1_k2_geopackage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons through a GeoPackage."""
+    rects = view(spark, sf_dir, "fx_rects")
+    text = F.format_string("POLYGON ((%s %s, %s %s, %s %s, %s %s, %s %s))", *(F.col(c).cast("string") for c in ("xmin", "ymin", "xmax", "ymin", "xmax", "ymax", "xmin", "ymax", "xmin", "ymin")))
+    path = f"{_scratch(spark, 'rects')}.gpkg"
+    writers.write_gpkg(rects.select("gid", geometry.from_wkt(text, 4326).alias("geometry")), path)
+    ring = F.get("parts", F.lit(0))
+    return readers.read_gpkg(spark, path).select(F.expr("cast(attributes['gid'] as bigint)").alias("gid"), F.array_min(F.transform(ring, lambda v: v["x"])).alias("xmin"), F.array_max(F.transform(ring, lambda v: v["y"])).alias("ymax"), F.size(ring).alias("corners"))
+
+
+@query("select gid, x, y, round(value, 2) as value from fx_points2d")
+def s8_k3_processed_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer written as CSV with WKT and gathered again as a project's model."""
+    folder = _scratch(spark, "project")
+    given = view(spark, sf_dir, "fx_points2d").select("gid", "x", "y", "value")
+    writers.write_csv(given, f"{folder}/c/k/l_processed.csv", 4326)
+    project = catalog.Project({"criteria": {"c": {"components": {"k": {"layers": {"l": {}}}}}}})
+    model = catalog.gather_processed_data(spark, folder, project, 4326).models["c", "k", "l"]
+    return model.select(F.col("gid").cast("long").alias("gid"), "x", "y", F.round("value", 2).alias("value"))
+
+
+@query("select seq, x, y, z, value from fx_well")
+def s5_s7_tecplot_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Tecplot file that a project finds, with numbers as doubles."""
+    folder = _scratch(spark, "project")
+    rows = view(spark, sf_dir, "fx_well").orderBy("seq")
+    path = Path(folder, "c", "k", "l.tec")
+    writers.ensure_directory_exists(str(path))
+    with path.open("w") as f:
+        f.write('TITLE = "well"\nVARIABLES = "seq" "x" "y" "z" "value"\nZONE\n')
+        f.writelines(" ".join(map(repr, r)) + "\n" for r in rows.select("seq", "x", "y", "z", "value").toLocalIterator())
+    project = catalog.gather_data(spark, folder, catalog.Project({"criteria": {"c": {"components": {"k": {"layers": {"l": {"x_col": "x", "y_col": "y"}}}}}}}))
+    return project.data["c", "k", "l"].select(F.col("seq").cast("long").alias("seq"), "x", "y", "z", "value")
