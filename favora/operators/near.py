@@ -116,16 +116,24 @@ def _tree(features: DataFrame, axes: tuple[str, ...], least: int = 0) -> _Tree |
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            rows = _rows(batch)
+        held: list[pa.StructArray] = []
+
+        def cut(rows: pa.StructArray, n: int) -> pa.RecordBatch:
             parts = [rows[i : i + size] for i in range(0, len(rows), size)]
-            if not parts:
-                continue
             ends = [[_matrix(p, [f"_{e}{k}" for k in range(d)]) for e in "ab"] for p in parts]
-            least = np.array([np.minimum(a, b).min(axis=0) for a, b in ends])
-            most = np.array([np.maximum(a, b).max(axis=0) for a, b in ends])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(parts))), *(pa.array(x[:, k]) for k in range(d) for x in (least, most)), _lists(parts)], names=["leaf", *(f"{e}{k}" for k in range(d) for e in ("low", "high")), "items"])
-            n += len(parts)
+            first = np.array([np.minimum(a, b).min(axis=0) for a, b in ends])
+            last = np.array([np.maximum(a, b).max(axis=0) for a, b in ends])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(parts))), *(pa.array(x[:, k]) for k in range(d) for x in (first, last)), _lists(parts)], names=["leaf", *(f"{e}{k}" for k in range(d) for e in ("low", "high")), "items"])
+
+        for batch in batches:
+            held.append(_rows(batch))
+            if sum(map(len, held)) >= size:
+                rows = pa.concat_arrays(held)
+                whole = len(rows) // size * size
+                yield cut(rows[:whole], n)
+                n, held = n + whole // size, [rows[whole:]]
+        if any(len(x) for x in held):
+            yield cut(pa.concat_arrays(held), n)
 
     fields = [T.StructField("leaf", T.LongType()), *(T.StructField(f"{e}{k}", T.DoubleType()) for k in range(d) for e in ("low", "high")), T.StructField("items", T.ArrayType(given.schema))]
     leaves = store(_ordered(given, [[f"_a{k}", f"_b{k}"] for k in range(d)], cuts).mapInArrow(task, T.StructType(fields)), "leaves")
