@@ -352,6 +352,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
+    """Pipeline stage: documents that hold a benchmark item go.
+
+    Rows without a doc_id stay; of rows that share one all go if one does.  Null and empty texts hold nothing, and an empty
+    benchmark leaves all rows.
+    """
     gone = find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

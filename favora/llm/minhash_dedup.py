@@ -213,6 +213,23 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (five-word shingles) the smallest doc_id stays."""
+    """Pipeline stage: of each group of near-duplicates (five-word shingles) the smallest doc_id stays.
+
+    Rows without a doc_id and documents without words all stay; rows that share a doc_id stay or go together, by the one
+    with the least text.  An empty table gives an empty one.
+    """
     gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+OP6_SQL = r"""
+with recursive d as (select doc_id, min(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+')) as w from documents where doc_id is not null group by doc_id),
+s as (select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) when len(w) = 1 then w else [] end) as sh from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c.n >= 80 * (x.n + y.n - c.n)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, o) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on r.o = e.a),
+m as (select doc_id, min(o) as component_id from r group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from m left join n using (doc_id)
+"""

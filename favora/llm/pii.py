@@ -334,7 +334,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: findings are replaced in the text, and n_chars follows; all documents stay."""
+    """Pipeline stage: findings are replaced in the text, and n_chars follows; all documents stay.
+
+    That holds for rows without a doc_id and for rows that share one too; null texts stay null.
+    """
     dirty = find(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key"), F.col("found").alias("_pii_found")).dropDuplicates(["_pii_id", "_pii_key"])
     both = docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_pii_id")) & (F.xxhash64("text") == F.col("_pii_key")), "left")
     clean = both.withColumn("text", F.when(F.col("_pii_found").isNotNull(), sanitised("text", "_pii_found")).otherwise(F.col("text")))

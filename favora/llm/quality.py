@@ -210,6 +210,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted 0 go.  Rows with a null doc_id stay."""
+    """Pipeline stage: documents predicted 0 go.
+
+    Rows without a doc_id stay; of rows that share one all go if one does.  Null and empty texts are scored like others.
+    Without labels of both classes, and of an empty table, all rows stay.
+    """
     gone = quality_scores(docs, read(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

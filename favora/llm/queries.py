@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from favora.llm.chat_trees import OP9_SQL, op9_chat_trees
 from favora.llm.decontaminate import op2_decontaminate
 from favora.llm.language_id import op8_language_id
-from favora.llm.minhash_dedup import op6_minhash_dedup
+from favora.llm.minhash_dedup import OP6_SQL, op6_minhash_dedup
 from favora.llm.pii import op1_pii
 from favora.llm.quality import op10_quality_classifier
 from favora.llm.sentencepiece_unigram import op7_sentencepiece
@@ -32,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_topk_search": OP4_SQL,
+    "op6_minhash_dedup": OP6_SQL,
     "op9_chat_trees": OP9_SQL,
 }

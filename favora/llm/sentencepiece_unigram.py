@@ -328,5 +328,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: (doc_id, text, n_pieces, ids) with the text as decoded."""
+    """Pipeline stage, the last: (doc_id, text, n_pieces, ids) with the text as decoded; null texts come back empty.
+
+    Each row gives a row, also without a doc_id or with one that others have.
+    """
     return encode_documents(docs, _model()).select("doc_id", F.col("decoded").alias("text"), F.size("ids").alias("n_pieces"), "ids")

@@ -28,7 +28,8 @@ def test_search_equals_sql(spark, monkeypatch):
     rows[200] = (200, rows[300][1].upper())
     rows = [x for i, x in enumerate(rows) if x != rows[100] or i == 1000]
     df, con, pdf = frame(spark, rows, "doc_id long, text string", "documents")
-    got = topk_search.top_k(df, df.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")).collect()
+    more = {"rank": F.lit("x"), "score": F.lit(None).cast("double"), "shard": F.lit(1), "terms": F.lit("y")}
+    got = topk_search.top_k(df.withColumns({**more, "query_id": F.lit(0)}), df.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text").withColumns({**more, "doc_id": F.lit(1)})).collect()
     expected = con.execute(topk_search.OP4_SQL).fetchall()
     assert sorted(tuple(x) for x in got) == sorted(expected)
     assert topk_search.top_k(df.limit(0), df.limit(0).select(F.col("doc_id").alias("query_id"), "text")).count() == 0

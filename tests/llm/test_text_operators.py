@@ -139,6 +139,22 @@ def test_near_duplicates(spark, monkeypatch, k):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_near_duplicates_equal_sql(spark):
+    import duckdb
+
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(r.choice(words) for _ in range(40)) for _ in range(8)]
+    rows = [(i, " ".join(w if r.random() > 0.02 else r.choice(words) for w in r.choice(base).split())) for i in range(120)] + [(500, None), (501, ""), (502, "One"), (503, "one"), (504, "a\x0bB"), (505, "a b")]
+    pdf = docs(spark, rows).toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.execute("create view documents as select * from pdf")
+    expected = con.execute(minhash_dedup.OP6_SQL).fetchall()
+    got = [tuple(x) for x in minhash_dedup.near_duplicates(docs(spark, rows), 2).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(got) == sorted(expected)
+    assert len({x[2] for x in got}) < len(rows) - 20
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
