@@ -15,7 +15,7 @@ from favora.llm.quality import op10_quality_classifier
 from favora.llm.sentencepiece_unigram import op7_sentencepiece
 from favora.llm.token_blocks import op3_token_blocks
 from favora.llm.topk_search import OP4_SQL, op4_topk_search
-from favora.llm.url_filter import op5_url_filter
+from favora.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_topk_search": OP4_SQL,
+    "op5_url_filter": OP5_SQL,
     "op6_minhash_dedup": OP6_SQL,
     "op9_chat_trees": OP9_SQL,
 }

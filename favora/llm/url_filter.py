@@ -24,6 +24,7 @@ MOST_RULES = 1000
 ALPHABET = "^abcdefghijklmnopqrstuvwxyz0/.-"
 SYMBOLS = 32
 ORDER = 3
+DIGITS = 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,7 +87,8 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", host.alias("host"), path.alias("path"), symbols(F.col("url")).alias("codes"))
     ruled = named.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("row", F.monotonically_increasing_id())
-    tested = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(5)) == 0
+    # A fifth of the pages, by a hash that SQL has as well.
+    tested = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 7), 16, 10).cast("long") % 5 == 0
     learning = ruled.where(F.col("r").isNotNull() & ~F.coalesce(tested, F.lit(True)))
     runs = learning.select(F.explode(grams(F.col("codes"))).alias("code"), (F.col("r.verdict") == "allow").cast("long").alias("a"))
     counts = store(runs.groupBy("code").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b")), "url-grams")
@@ -97,7 +99,7 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     table = F.broadcast(store(ratios(counts), "url-ratios"))
     keys = [F.col(c) for c in ("page_id", "host", "path")] + [F.col("r.rule").alias("rule"), F.col("r.verdict").alias("given")]
     runs = ruled.select("row", *keys, F.explode(grams(F.col("codes"))).alias("code"))
-    scored = runs.join(table, "code").groupBy("row", "page_id", "host", "path", "rule", "given").agg(F.avg("v").alias("score"))
+    scored = runs.join(table, "code").groupBy("row", "page_id", "host", "path", "rule", "given").agg(F.round(F.avg("v"), DIGITS).alias("score"))
     scored = store(scored.drop("row"), "url-scores")
     bins = scored.where(F.col("given").isNotNull() & tested).groupBy(F.round(F.col("score") * 50).alias("bin")).agg(F.sum((F.col("given") == "allow").cast("long")).alias("a"), F.count("*").alias("n"))
     cut = threshold([(r.bin, r.a, r.n - r.a) for r in bins.collect()]) / 50
@@ -117,3 +119,41 @@ def threshold(bins: list[tuple[float, int, int]]) -> float:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: all `pages`."""
     return judge(read(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """DuckDB SQL of the registered query, for tables with URLs of both classes."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    steps, ratios = [], []
+    for n in range(ORDER + 1):
+        size = SYMBOLS ** (n + 1)
+        below = [f"1.0 / {SYMBOLS}" if not n else f"p{n - 1}.p{k}" for k in "ab"]
+        join = "" if not n else f" left join p{n - 1} on p{n - 1}.g = w.g"
+        steps.append(f"s{n} as (select code % {size} as code, sum(a) as a, sum(b) as b from counts group by 1)")
+        steps.append(f"t{n} as (select code // {SYMBOLS} as context, sum(a) as na, sum(b) as nb, count(*) filter (where a > 0) as ta, count(*) filter (where b > 0) as tb from s{n} group by 1)")
+        values = ", ".join(f"case when coalesce(t.n{k}, 0) = 0 then {b} else (coalesce(s.{k}, 0) + t.t{k} * {b}) / (t.n{k} + t.t{k}) end as p{k}" for k, b in zip("ab", below, strict=True))
+        steps.append(f"p{n} as (select w.g, {values} from wanted w left join s{n} s on s.code = w.g % {size} left join t{n} t on t.context = (w.g % {size}) // {SYMBOLS}{join})")
+    ratios = f"v as (select g, ln(pa) - ln(pb) as v from p{ORDER})"
+    code = " + ".join(f"c[i + {j}] * {SYMBOLS ** (ORDER - j)}" for j in range(ORDER + 1))
+    return f"""
+with rules(verdict, h, p) as (values {rules}),
+u as (select row_number() over () as r, page_id, coalesce(url, '') as url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+n as (select r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+  '{"^" * ORDER}' || regexp_replace(regexp_replace(translate(url, '{_UPPER}', '{_LOWER}'), '[0-9]', '0', 'g'), '[^a-z0/.-]', '?', 'g') || '^' as text,
+  ('0x' || substr(md5(page_id::varchar), 1, 7))::bigint % 5 = 0 as tested from u),
+f as (select n.r, max(row(length(h), length(p), h || p, rules.verdict)) as m from n join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by n.r),
+k as (select n.*, f.m[3] as rule, f.m[4] as given, list_transform(string_split(text, ''), lambda x: case when x = '?' then {SYMBOLS - 1} else strpos('{ALPHABET}', x) - 1 end) as c from n left join f using (r)),
+g as (select r, page_id, host, path, rule, given, tested, unnest(list_transform(range(1, len(c) - {ORDER - 1}), lambda i: {code})) as g from k),
+counts as (select g as code, count(*) filter (where given = 'allow') as a, count(*) filter (where given = 'block') as b from g where given is not null and not tested group by g),
+wanted as (select distinct g from g),
+{", ".join(steps)}, {ratios},
+scored as (select r, page_id, host, path, rule, given, tested, round(avg(v), {DIGITS}) as score from g join v using (g) group by all),
+bins as (select round(score * 50) as bin, count(*) filter (where given = 'allow') as a, count(*) filter (where given = 'block') as b from scored where given is not null and tested group by 1),
+cuts as (select 0.0 as cut union all select (bin + lead(bin) over (order by bin)) / 2 from bins qualify lead(bin) over (order by bin) is not null),
+wrong as (select cut, sum(case when bin < cut then a else 0 end) / greatest(1, sum(a)) + sum(case when bin >= cut then b else 0 end) / greatest(1, sum(b)) as w from cuts, bins group by cut),
+best as (select cut / 50 as cut from wrong order by round(w, 12), abs(cut), cut <> 0, cut limit 1)
+select page_id, host, path, rule, coalesce(given, case when score >= coalesce((select cut from best), 0) then 'allow' else 'block' end) as verdict, score from scored
+"""
+
+
+OP5_SQL = _sql()
