@@ -634,7 +634,13 @@ def a6_extrude_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corners.groupBy("gid").agg(F.count("*").alias("n"), r6(F.sum("v.z"), "z"), r6(F.max("v.x"), "xmax"), r6(F.min("v.y"), "ymin"))
 
 
-@query()
+@query("""
+with pts as (select distinct fault_id as f, x, y from fx_points3d),
+e as (select f, x, min(y) as y from pts group by f, x union select f, x, max(y) from pts group by f, x),
+s as (select a.f, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from e a join e b on a.f = b.f and (a.x <> b.x or a.y <> b.y)),
+h as (select * from s where not exists (select 1 from e r where r.f = s.f and ((bx - ax) * (r.y - ay) - (by_ - ay) * (r.x - ax) < 0
+  or ((bx - ax) * (r.y - ay) - (by_ - ay) * (r.x - ax) = 0 and (r.x - ax) * (r.x - bx) + (r.y - ay) * (r.y - by_) > 0))))
+select f as fault, count(*) as n_corners, round(sum(ax * by_ - bx * ay) / 2, 6) as area from h group by f having count(*) >= 3""")
 def a7_fault_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convex hulls of faults."""
     return structure.fault_surfaces(view(spark, sf_dir, "fx_points3d")).select("fault", "n_corners", r6("area", "area"))
@@ -847,10 +853,10 @@ def x1_standardize_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gp.standardise(given.where("gid % 5 = 0"), given).select("gid", r6("x", "x"), r6("y", "y"))
 
 
-@query()
+@query("select gid, ('0x' || substr(md5('1|' || x || '|' || y), 1, 7))::bigint < 214748364 as test from fx_points2d")
 def x2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded split."""
-    return gp.split(view(spark, sf_dir, "fx_points2d"), 0.8, 1).groupBy("test").agg(F.count("*").alias("n"))
+    return gp.split(view(spark, sf_dir, "fx_points2d"), 0.8, 1).select("gid", "test")
 
 
 @query("select round(var_samp(value), 4) as v, round(0.01 * var_samp(value), 4) as init, round(0.1 * var_samp(value), 4) as upper from fx_points2d")
