@@ -30,6 +30,7 @@ BANDS = 32
 #: Sets of a block, and their elements: a task holds two blocks.
 PAIR_BLOCK = 200
 PAIR_ELEMENTS = 200_000
+SLOTS = 1 << 40
 SKETCH_LONGS = 2 * PERMUTATIONS // 16
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
@@ -137,8 +138,11 @@ def _confirm_blocks(sides: DataFrame, texts: DataFrame, words: int, percent: int
     sizes = sides.groupBy("main").agg(blocks(F.count_if("few"), F.sum(F.when(F.col("few"), F.col("n")).otherwise(0))).alias("rows"), blocks(F.count("*"), F.sum("n")).alias("cols")).where("rows > 0")
     full = sides.join(sizes, "main").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
     row, col = (F.pmod(F.xxhash64("doc"), F.col(x)) for x in ("rows", "cols"))
-    asks = full.where("few").select("main", row.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "doc", "text")
-    asked = full.select("main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), col.alias("j"), F.lit(1).alias("side"), "doc", "text")
+    asks = full.where("few").select("main", row.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "doc", "text", "cols")
+    asked = full.select("main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), col.alias("j"), F.lit(1).alias("side"), "doc", "text", "cols")
+    # The pairs of blocks of a group take slots side by side, which ranges of even size deal out.
+    slot = F.pmod(F.pmod(F.xxhash64("main"), F.lit(SLOTS)) + F.col("i") * F.col("cols") + F.col("j"), F.lit(SLOTS))
+    dealt = asks.union(asked).withColumn("slot", slot).drop("cols")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, docs, sets = None, ([], []), ([], [])
@@ -158,7 +162,7 @@ def _confirm_blocks(sides: DataFrame, texts: DataFrame, words: int, percent: int
                 sets[side].append(of)
         yield found()
 
-    return asks.union(asked).repartition("main", "i", "j").sortWithinPartitions("main", "i", "j").mapInArrow(task, "a long, b long")
+    return dealt.repartitionByRange("slot").sortWithinPartitions("slot", "main", "i", "j").mapInArrow(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
