@@ -34,7 +34,7 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer words are searched one by one.
 LOCKSTEP = 60
-ROUNDS = 1
+ROUNDS = 2
 _seen: dict[str, Words] = {}
 
 
