@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from favora.functions.geometry import clip_ring, closed, ring_area
 from favora.functions.stats import quantile
+from favora.operators.cut import cut_polygons
 from favora.operators.grid import Extent
 
 FEET = 3.28084
@@ -73,14 +73,13 @@ def clip_segments(df: DataFrame, e: Extent) -> DataFrame:
 
 
 def clip_polygons(df: DataFrame, e: Extent) -> DataFrame:
-    """Polygons (rings: ARRAY<ARRAY<STRUCT<x, y>>>, the first the shell, others holes) cut at the extent.
+    """Polygons (rings: ARRAY<ARRAY<STRUCT<x, y>>>, the first the shell, others holes) cut at the extent, with `part`.
 
-    Rings come back closed; polygons that only touch the extent or lie outside are dropped, and so are such holes.  A shell
-    that the extent cuts into several parts stays one ring, joined along the border.
+    A row for each part, numbered from 0: a shell that the extent cuts into several parts gives as many rows, and a hole that
+    reaches the border becomes part of its shell's border.  Rings come back closed; polygons that only touch the extent or
+    lie outside are dropped.
     """
-    cut = df.withColumn("_cut", F.transform("rings", lambda r: closed(clip_ring(r, e.xmin, e.ymin, e.xmax, e.ymax))))
-    has_area = lambda r: F.abs(ring_area(r)) > 0
-    return cut.where(has_area(F.get("_cut", F.lit(0)))).withColumn("rings", F.filter("_cut", has_area)).drop("_cut")
+    return cut_polygons(df, e.xmin, e.ymin, e.xmax, e.ymax)
 
 
 def keep_inside(df: DataFrame, e: Extent) -> DataFrame:

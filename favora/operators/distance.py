@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from favora.functions.geometry import crosses, on_segment, point_distance, segment_distance, segment_intersection
 from favora.functions.tables import store
+from favora.operators.farfield import far_sums
 from favora.operators.near import nearest_candidates, touching, within_candidates
 
 #: Points and nodes that a task multiplies at once.
@@ -191,12 +192,14 @@ def _packed(df: DataFrame, size: int, name: str) -> DataFrame:
     return df.mapInArrow(task, T.StructType([T.StructField(name, T.LongType()), T.StructField("items", T.ArrayType(df.schema))]))
 
 
-def influence(grid: DataFrame, weighted: DataFrame, alpha: float, mode: str = "sum", k: int | None = None) -> DataFrame:
+def influence(grid: DataFrame, weighted: DataFrame, alpha: float, mode: str = "sum", k: int | None = None, tolerance: float = 0.0) -> DataFrame:
     """`grid` with weighted_point_score of w * exp(-d / alpha) over all points (x, y[, z], w).
 
     mode: sum, mean, max, or knearest (the sum over the k nearest points, of equally near ones by their order in gid, or
-    else by their coordinates).  Sums over all points have no bound to prune by: packs of nodes meet packs of points in
-    lanes, an equi-join, and each pair of packs is summed in a task as arrays.
+    else by their coordinates).  With a tolerance, sum and mean go through the tree of farfield.far_sums(), whose error is
+    at most tolerance times the sum of |w|, and whose work for a node grows with the logarithm of the points.  The exact
+    setting, 0, has no bound to prune by: packs of nodes meet packs of points in lanes, an equi-join, and each pair of packs
+    is summed in a task as arrays.
     """
     if mode not in ("sum", "mean", "max", "knearest"):
         raise ValueError(f"unknown mode: {mode}")
@@ -217,6 +220,9 @@ def influence(grid: DataFrame, weighted: DataFrame, alpha: float, mode: str = "s
         found = near.withColumn("d", d).withColumn("place", place).where(F.col("place") <= min(k, total))
         best = found.groupBy(*keys).agg(F.sum(F.col("w") * F.exp(-F.col("d") / alpha)).alias("weighted_point_score"))
         return grid.join(best, keys, "left")
+    if tolerance > 0 and mode != "max":
+        found = far_sums(nodes, points, tuple(axes), keys, alpha, tolerance)
+        return grid.join(found.select(*keys, (F.col("s") / (total if mode == "mean" else 1)).alias("weighted_point_score")), keys, "left")
     packs = store(_packed(points.select(*(F.col(c).cast("double") for c in (*axes, "w"))), BLOCK, "pack"), "points")
     lanes = max(1, min(packs.count(), 4 * grid.sparkSession.sparkContext.defaultParallelism))
     some = _packed(nodes, NODES, "nodes").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
@@ -244,7 +250,7 @@ def influence(grid: DataFrame, weighted: DataFrame, alpha: float, mode: str = "s
     return grid.join(found.groupBy(*keys).agg(value.alias("weighted_point_score")), keys)
 
 
-def weighted_distance_from_points(grid: DataFrame, points: DataFrame, column: str | None = "value", alpha: float = 1000, weight_min: float = 1, weight_max: float = 2, mode: str = "sum", k_nearest: int | None = None) -> DataFrame:
+def weighted_distance_from_points(grid: DataFrame, points: DataFrame, column: str | None = "value", alpha: float = 1000, weight_min: float = 1, weight_max: float = 2, mode: str = "sum", k_nearest: int | None = None, tolerance: float = 0.0) -> DataFrame:
     """influence() of points weighted by a column, in 2D or 3D."""
     _need(points, "x", "y")
-    return influence(grid, point_weights(points, column, weight_min, weight_max), alpha, mode, k_nearest)
+    return influence(grid, point_weights(points, column, weight_min, weight_max), alpha, mode, k_nearest, tolerance)

@@ -53,7 +53,7 @@ def extrude_lines(lines: DataFrame, z_top: float, z_bottom: float, strike: float
 def extrude_polygons(polygons: DataFrame, z_top: float, z_bottom: float, strike: float = 0.0, dip: float | None = None, extent: Extent | None = None) -> DataFrame:
     """(gid, rings) of polygons (gid, rings) as prisms: each ring at the top, then its shifted copy at the bottom backwards.
 
-    The first ring is the shell, others are holes.  With an extent the polygons are cut at it first.
+    The first ring is the shell, others are holes.  With an extent the polygons are cut at it first, each part a row.
     """
     dy, dx = down_dip_offset(z_top, z_bottom, strike, dip)
     cut = clip_polygons(polygons, extent) if extent else polygons

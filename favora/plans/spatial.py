@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from favora.functions import crs, geometry, stats, transforms
 from favora.functions.tables import shared_dir
-from favora.operators import clean, combine, density, distance, exclude, grid, interpolate, structure
+from favora.operators import clean, combine, cubic, density, distance, exclude, grid, interpolate, structure
 from favora.operators.grid import Extent
 from favora.plans.fixtures import view, with_views
 from favora.sources import catalog, readers, writers
@@ -178,9 +178,9 @@ k as (select gid, i, greatest(a, 160) as a, greatest(b, 90) as b, least(c, 700)
 BOX = Extent(160.0, 90.0, 700.0, 650.0)
 
 
-@query(f"with {CUT} select gid, count(*) as n, round(sum(case when i = 0 then 1 else -1 end * (c - a) * (d - b)), 6) as area, max(case when i = 0 then a end) as xmin, max(case when i = 0 then d end) as ymax from k group by gid having max(case when i = 0 then 1 else 0 end) = 1")
+@query(f"with {CUT} select gid, count_if(i = 0 or (a > 160 and c < 700 and b > 90 and d < 650)) as n, round(sum(case when i = 0 then 1 else -1 end * (c - a) * (d - b)), 6) as area, max(case when i = 0 then a end) as xmin, max(case when i = 0 then d end) as ymax from k group by gid having max(case when i = 0 then 1 else 0 end) = 1")
 def c9_set_extent_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygons with holes cut at a box."""
+    """Polygons with holes cut at a box; a hole that reaches the border is no ring of its own."""
     cut = clean.clip_polygons(_rings(spark, sf_dir), BOX)
     areas = F.transform("rings", lambda r: F.abs(geometry.ring_area(r)))
     size = F.get(areas, F.lit(0)) * 2 - F.aggregate(areas, F.lit(0.0), lambda s, a: s + a)
@@ -188,6 +188,27 @@ def c9_set_extent_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("gid", F.size("rings").cast("long").alias("n"), r6(size, "area"), F.array_min(F.transform(shell, lambda v: v["x"])).alias("xmin"), F.array_max(F.transform(shell, lambda v: v["y"])).alias("ymax"))
 
 
+#: Rectangles with a notch from above into a third of their width, down to 20 above their lower side.
+NOTCH = 250.0
+
+
+@query(f"""
+with u as (select gid, xmin as a, xmin + (xmax - xmin) / 3 as b, xmax - (xmax - xmin) / 3 as c, xmax as d, ymin as lo, ymax as hi from fx_rects),
+p as (select gid, a as x0, b as x1, greatest(lo + 20, {NOTCH}) as y0, hi as y1, lo from u where hi > {NOTCH} union all select gid, c, d, greatest(lo + 20, {NOTCH}), hi, lo from u where hi > {NOTCH}),
+w as (select gid, row_number() over (partition by gid order by x0) - 1 as part, x0, x1, y0, y1, lo from p where lo + 20 < {NOTCH}
+  union all select gid, 0, a, d, lo, hi, lo from u where lo + 20 >= {NOTCH})
+select gid, part::int as part, round(x0, 6) as xmin, round(x1, 6) as xmax, round(case when lo + 20 < {NOTCH} then (x1 - x0) * (y1 - y0) else (x1 - x0) * (y1 - y0) - (x1 - x0) / 3 * (y1 - y0 - 20) end, 6) as area from w""")
+def c9_set_extent_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notched polygons, of which a box leaves both arms as parts."""
+    corner = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    one, two, low = "xmin + (xmax - xmin) / 3", "xmax - (xmax - xmin) / 3", "ymin + 20"
+    ring = F.array(*(corner(*c) for c in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), (two, "ymax"), (two, low), (one, low), (one, "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))))
+    given = view(spark, sf_dir, "fx_rects").select("gid", F.array(ring).alias("rings"))
+    cut = clean.clip_polygons(given, Extent(-1e6, NOTCH, 1e6, 1e6))
+    xs = F.transform(F.get("rings", F.lit(0)), lambda v: v["x"])
+    return cut.select("gid", "part", r6(F.array_min(xs), "xmin"), r6(F.array_max(xs), "xmax"), r6(F.abs(geometry.ring_area(F.get("rings", F.lit(0)))), "area"))
+
+
 @query("select gid, x, y, z from fx_points3d where x between 100 and 300 and y between 50 and 400 and z between -500 and -200")
 def c10_set_extent_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in a box in 3D."""
@@ -393,6 +414,22 @@ def i1_interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ix", "iy", r6("value_interpolated", "value_interpolated"))
 
 
+@query()
+def i1_interpolate_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's own values by cubic patches on all its points."""
+    out = cubic.cubic(grid2(spark), view(spark, sf_dir, "fx_points2d"))
+    return out.select("ix", "iy", r6("value_interpolated", "value_interpolated"))
+
+
+@query(f"with {G2}, e as (select min(x) as a, max(x) as b, min(y) as c, max(y) as d from fx_points2d) select ix, iy, round(1 + 0.002 * x * x - 0.001 * x * y + 0.003 * y * y, 4) as value_interpolated from g, e where x between 100 and 900 and y between 100 and 900")
+def i1_interpolate_cubic_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quadratic field at the table's points, which fitted gradients give back; nodes well inside."""
+    x, y = F.col("x"), F.col("y")
+    points = view(spark, sf_dir, "fx_points2d").withColumn("value", 1 + 0.002 * x * x - 0.001 * x * y + 0.003 * y * y)
+    out = cubic.cubic(grid2(spark).where("x between 100 and 900 and y between 100 and 900"), points, gradients="fit")
+    return out.select("ix", "iy", F.round("value_interpolated", 4).alias("value_interpolated"))
+
+
 @query()
 def i2_interpolate_3d_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in 3D."""
@@ -544,6 +581,13 @@ def d9_unweighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.weighted_distance_from_points(grid2(spark), view(spark, sf_dir, "fx_points2d"), None, 200).select("ix", "iy", r6("weighted_point_score", "weighted_point_score"))
 
 
+@query(f"with {G2}, {W} select ix, iy, round(sum(w * exp(-sqrt(power(g.x - w.x, 2) + power(g.y - w.y, 2)) / 50)), 2) as weighted_point_score from g, w group by ix, iy")
+def d9_weighted_distance_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the tree of far points, within 1e-9 of the weights' sum."""
+    out = distance.weighted_distance_from_points(grid2(spark), view(spark, sf_dir, "fx_points2d"), alpha=50, tolerance=1e-9)
+    return out.select("ix", "iy", F.round("weighted_point_score", 2).alias("weighted_point_score"))
+
+
 D3 = "sqrt(power(g.x - w.x, 2) + power(g.y - w.y, 2) + power(g.z - w.z, 2))"
 
 
@@ -624,9 +668,10 @@ def a6_extrude_2d_to_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with {CUT}, s as (select gid, i, x, y, z from (select gid, i, unnest([a, c, c, a, a]) as x, unnest([b, b, d, d, b]) as y, 0.0 as z from k where gid in (select gid from k where i = 0))
-  union all select gid, i, x + 500 / tan(radians(60)) * sin(radians(120)), y + 500 / tan(radians(60)) * cos(radians(120)), -500.0 from (select gid, i, unnest([a, c, c, a, a]) as x, unnest([b, b, d, d, b]) as y from k where gid in (select gid from k where i = 0)))
-select gid, count(*) as n, round(sum(z), 6) as z, round(max(x), 6) as xmax, round(min(y), 6) as ymin from s group by gid""")
+with {CUT}, o as (select 500 / tan(radians(60)) * sin(radians(120)) as dx, 500 / tan(radians(60)) * cos(radians(120)) as dy),
+h as (select gid, (a = 160)::int + (c = 700)::int + (b = 90)::int + (d = 650)::int as sides from k where i = 1),
+m as (select k.gid, k.b, k.c, case sides when 0 then 10 when 1 then 9 when 2 then 7 else 5 end as corners from k left join h using (gid) where k.i = 0)
+select gid, 2 * corners as n, round(-500.0 * corners, 6) as z, round(greatest(c, c + dx), 6) as xmax, round(least(b, b + dy), 6) as ymin from m, o""")
 def a6_extrude_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons with holes, cut at a box, as dipping prisms; each ring without the corner that closes it."""
     out = structure.extrude_polygons(_rings(spark, sf_dir), 0.0, -500.0, 30.0, 60.0, BOX)
