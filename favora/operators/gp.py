@@ -1,15 +1,16 @@
 """Gaussian-process extrapolation of a level: statistics and metrics as aggregations, kernels and fit from sums.
 
 A sparse posterior over inducing points needs of the training rows only the sums of k kᵀ and k y over them, k being a row's
-covariances with the inducing points.  Up to LOCAL rows these are added up on the driver; more rows are added up in the
-tasks, all of them, for each step of the search.  Prediction runs in the tasks with the small fitted model.
+covariances with the inducing points; the bound's gradient needs one more sum, of a row's weights times the derivatives of
+its covariances.  Up to LOCAL rows both are added up on the driver; more rows are added up in the tasks, all of them, for each
+step of the same bounded quasi-Newton ascent.  Prediction runs in the tasks with the small fitted model.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from pathlib import Path
 from statistics import NormalDist
@@ -18,7 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from favora.functions.tables import store
@@ -27,8 +28,8 @@ from favora.operators.grid import grid_from_tidy
 from favora.operators.interpolate import backfill_nearest, join_predictions
 
 LOCAL = 5_000
-#: Steps of the search, on the driver and with sums from the tasks.
-ROUNDS, FAR_ROUNDS = 25, 8
+#: Steps of the ascent at most, and the gain below which it ends.
+ROUNDS, GAIN = 60, 1e-6
 JITTER = 1e-8
 
 
@@ -163,7 +164,68 @@ def row_sums(rows: DataFrame, parts: list[Part], mean: float, z: np.ndarray) ->
     return Sums(flat[: m * m].reshape(m, m), flat[m * m : -2], float(flat[-2]), int(round(flat[-1])))
 
 
-def _posterior(parts: list[Part], noise: float, sums: Sums, z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+class Weights(NamedTuple):
+    """How the bound changes with kk, ky, the inducing points' covariances and the noise variance, and the noise itself."""
+
+    kk: np.ndarray
+    ky: np.ndarray
+    kmm: np.ndarray
+    noise: float
+
+
+def slopes(parts: list[Part], a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """The derivatives of covariance(parts, a, b) by the logarithms of its free parameters, in the order of free_bounds()."""
+    out = []
+    for p in parts:
+        square = [((a[:, None, k] - b[None, :, k]) / s) ** 2 for k, s in enumerate(p.scales)]
+        r = np.sqrt(sum(square)) if p.scales else None
+        if p.bounds[0] < p.bounds[1]:
+            out.append(covariance([p], a, b, same=a is b))
+        if p.scales and p.scale_bounds[0] < p.scale_bounds[1]:
+            each = 3 * p.variance * np.exp(-math.sqrt(3) * r) if p.kind == "matern32" else p.variance * np.exp(-r * r / 2)
+            out += [each * q for q in square]
+    return out
+
+
+def free_bounds(parts: list[Part]) -> list[tuple[float, float, float]]:
+    """(start, lower, upper) of each free parameter: a kernel's variance, then its scales."""
+    out = []
+    for p in parts:
+        if p.bounds[0] < p.bounds[1]:
+            out.append((p.variance, *p.bounds))
+        if p.scales and p.scale_bounds[0] < p.scale_bounds[1]:
+            out += [(s, *p.scale_bounds) for s in p.scales]
+    return out
+
+
+def local_slopes(parts: list[Part], x: np.ndarray, y: np.ndarray, z: np.ndarray, w: Weights) -> np.ndarray:
+    """What the rows' covariances add to the bound's gradient."""
+    k = covariance(parts, z, x)
+    weight = 2 * w.kk @ k + np.outer(w.ky, y)
+    return np.array([float((weight * s).sum()) for s in slopes(parts, z, x)])
+
+
+def row_slopes(rows: DataFrame, parts: list[Part], mean: float, z: np.ndarray, w: Weights) -> np.ndarray:
+    """The same over the rows (x, y, value) in the tasks; a few numbers for each task reach the driver's sum."""
+    n = len(free_bounds(parts))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(n)
+        for batch in batches:
+            x, y = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]), batch.column(2).to_numpy(zero_copy_only=False) - mean
+            for lo in range(0, len(x), 2048):
+                out += local_slopes(parts, x[lo : lo + 2048], y[lo : lo + 2048], z, w)
+        yield pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(out)], names=["at", "v"])
+
+    found = rows.select("x", "y", "value").mapInArrow(task, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(n)
+    for r in found:
+        out[r.at] = r.v
+    return out
+
+
+def _posterior(parts: list[Part], noise: float, sums: Sums, z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, Weights]:
+    """The variational bound, weights of the mean, the matrix of the variance, and how the bound changes with what it is made of."""
     m, n = len(z), sums.n
     kmm = covariance(parts, z, z, same=True) + JITTER * np.eye(m)
     l = np.linalg.cholesky(kmm)
@@ -171,10 +233,17 @@ def _posterior(parts: list[Part], noise: float, sums: Sums, z: np.ndarray) -> tu
     aa = inverse @ sums.kk @ inverse.T
     lb = np.linalg.cholesky(np.eye(m) + (aa + aa.T) / 2 / noise)
     c = np.linalg.solve(lb, inverse @ sums.ky) / noise
-    trace = n * sum(p.variance for p in parts if p.kind != "white") - float(np.trace(aa))
-    score = -0.5 * n * math.log(2 * math.pi * noise) - np.log(np.diag(lb)).sum() - 0.5 * sums.yy / noise + 0.5 * c @ c - 0.5 * max(trace, 0) / noise
+    rest = n * sum(p.variance for p in parts if p.kind != "white") - float(np.trace(aa))
+    score = -0.5 * n * math.log(2 * math.pi * noise) - np.log(np.diag(lb)).sum() - 0.5 * sums.yy / noise + 0.5 * c @ c - 0.5 * max(rest, 0) / noise
     inner = np.linalg.inv(lb) @ inverse
-    return float(score), inner.T @ c, np.linalg.inv(kmm) - inner.T @ inner
+    # The inverses of kmm and of kmm + kk / noise, and the latter times ky.
+    whole, both = inverse.T @ inverse, inner.T @ inner
+    u = both @ sums.ky
+    open_ = float(rest > 0)
+    by_noise = -0.5 * n / noise + 0.5 * float((both * sums.kk).sum()) / noise**2 + 0.5 * sums.yy / noise**2 + 0.5 * float(u @ sums.kk @ u) / noise**4 - float(sums.ky @ u) / noise**3 + 0.5 * open_ * rest / noise**2
+    by_kk = -0.5 * both / noise - 0.5 * np.outer(u, u) / noise**3 + 0.5 * open_ * whole / noise
+    by_kmm = -0.5 * both + 0.5 * whole - 0.5 * np.outer(u, u) / noise**2 - 0.5 * open_ * whole @ sums.kk @ whole / noise
+    return float(score), inner.T @ c, whole - both, Weights(by_kk, u / noise**2, by_kmm, by_noise)
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 10) -> np.ndarray:
@@ -212,9 +281,57 @@ def row_kmeans(rows: DataFrame, k: int, seed: int = 0, rounds: int = 5) -> np.nd
     return centres
 
 
-def _search(var: float, radius: float, mean: float, z: np.ndarray, sums: Callable[[list[Part]], Sums], rounds: int, restarts: int, **kernel: bool) -> Model:
-    """The model of the greatest variational bound, by coordinate search in log space; later starts are drawn in the bounds."""
+def ascend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """The place of a greatest value within bounds, by projected quasi-Newton steps (BFGS); value() gives the gradient too."""
+    x = np.clip(start, low, high)
+    now, g = value(x)
+    h = np.eye(len(x))
+    for _ in range(rounds):
+        # At a bound that the gradient pushes against, a parameter stays.
+        free = ~(((x <= low) & (g < 0)) | ((x >= high) & (g > 0)))
+        if not free.any() or np.abs(g[free]).max() < GAIN:
+            break
+        d = np.zeros(len(x))
+        d[free] = h[np.ix_(free, free)] @ g[free]
+        if d @ g <= 0:
+            h, d = np.eye(len(x)), np.where(free, g, 0)
+        d *= min(1.0, 1.5 / np.abs(d).max())
+        step, found = 1.0, None
+        for _ in range(20):
+            y = np.clip(x + step * d, low, high)
+            try:
+                then, gy = value(y)
+            except np.linalg.LinAlgError:
+                then = -np.inf
+            if then >= now + 1e-4 * g @ (y - x) and then > now:
+                found = y, then, gy
+                break
+            step /= 3
+        if found is None:
+            if np.array_equal(h, np.eye(len(x))):
+                break
+            h = np.eye(len(x))
+            continue
+        y, then, gy = found
+        s, t = y - x, g - gy
+        gain, x, now, g = then - now, y, then, gy
+        if s @ t > 1e-12:
+            rho = 1 / (s @ t)
+            v = np.eye(len(x)) - rho * np.outer(s, t)
+            h = v @ h @ v.T + rho * np.outer(s, s)
+        if gain < GAIN * max(1.0, abs(now)):
+            break
+    return x, now
+
+
+def _search(var: float, radius: float, mean: float, z: np.ndarray, sums: Callable[[list[Part]], Sums], inclines: Callable[[list[Part], Weights], np.ndarray], restarts: int, **kernel: bool) -> Model:
+    """The model of the greatest variational bound with the noise's Gamma prior, by ascend() over the logarithms of the
+    parameters; later starts are drawn in the bounds."""
     parts, lik = combined_kernel(var, radius, **kernel), likelihood_params(max(var, 1e-6))
+    shape, rate = lik["prior"]
+    free = free_bounds(parts)
+    bounds = [(min(1e-5, lik["init"]), max(lik["bounds"][1], lik["init"])), *((lo, hi) for _, lo, hi in free)]
+    limits = np.log(np.array(bounds))
 
     def made(v: np.ndarray) -> tuple[list[Part], float]:
         out, i = [], 1
@@ -227,71 +344,58 @@ def _search(var: float, radius: float, mean: float, z: np.ndarray, sums: Callabl
             out.append(Part(p.kind, variance, p.bounds, scales, p.scale_bounds))
         return out, float(np.exp(v[0]))
 
-    start, bounds = [lik["init"]], [(min(1e-5, lik["init"]), max(lik["bounds"][1], lik["init"]))]
-    for p in parts:
-        if p.bounds[0] < p.bounds[1]:
-            start, bounds = [*start, p.variance], [*bounds, p.bounds]
-        if p.scales and p.scale_bounds[0] < p.scale_bounds[1]:
-            start, bounds = [*start, *p.scales], [*bounds, p.scale_bounds, p.scale_bounds]
-    limits = np.log(np.array(bounds))
-    kept: dict[tuple, Sums] = {}
-
-    def score(v: np.ndarray) -> float:
-        # The noise isn't part of the sums.
+    def value(v: np.ndarray) -> tuple[float, np.ndarray]:
         found, noise = made(v)
-        key = tuple(v[1:])
-        if key not in kept:
-            kept.clear()
-            kept[key] = sums(found)
-        return _posterior(found, noise, kept[key], z)[0]
+        used = sums(found)
+        score, _, _, w = _posterior(found, noise, used, z)
+        g = inclines(found, w) + np.array([float((w.kmm * k).sum()) for k in slopes(found, z, z)])
+        # The rows' prior variances are part of the bound's trace.
+        of = 0
+        for p in found:
+            if p.bounds[0] < p.bounds[1]:
+                g[of] -= 0.5 * used.n * p.variance / noise * (p.kind != "white")
+                of += 1
+            of += len(p.scales) * (p.scale_bounds[0] < p.scale_bounds[1])
+        prior, by_prior = (shape - 1) * math.log(noise) - rate * noise, (shape - 1) - rate * noise
+        return score + prior, np.append(w.noise * noise + by_prior, g)
 
     r = np.random.default_rng(0)
     top = None
     for again in range(1 + restarts):
-        v = np.log(start) if not again else r.uniform(limits[:, 0], limits[:, 1])
-        step = np.full(len(v), 0.5)
-        best = score(v)
-        for _ in range(rounds):
-            for i in range(len(v)):
-                for sign in (1, -1):
-                    w = v.copy()
-                    w[i] = np.clip(v[i] + sign * step[i], *limits[i])
-                    if (now := score(w)) > best:
-                        v, best, step[i] = w, now, step[i] * 1.3
-                        break
-                else:
-                    step[i] /= 2
-            if step.max() < 0.02:
-                break
+        start = np.log([lik["init"], *(x for x, _, _ in free)]) if not again else r.uniform(limits[:, 0], limits[:, 1])
+        v, best = ascend(value, start, limits[:, 0], limits[:, 1])
         if top is None or best > top[0]:
             top = best, v
     found, noise = made(top[1])
     used = sums(found)
-    value, alpha, core = _posterior(found, noise, used, z)
-    return Model(found, noise, bounds[0], z, alpha, core, mean, value, used.n)
+    score, alpha, core, _ = _posterior(found, noise, used, z)
+    return Model(found, noise, bounds[0], z, alpha, core, mean, score, used.n)
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_inducing: int = 300, rounds: int = ROUNDS, restarts: int = 0, **kernel: bool) -> Model:
-    """A model of arrays, of bounded parameters."""
+def fit(x: np.ndarray, y: np.ndarray, n_inducing: int = 300, restarts: int = 0, z: np.ndarray | None = None, **kernel: bool) -> Model:
+    """A model of arrays, of bounded parameters; z: inducing points, else the centres of kmeans()."""
     var = float(np.var(y, ddof=1)) if len(y) > 1 else 1.0
-    z = kmeans(x, min(n_inducing, max(20, len(x) // 10), len(x)))
+    z = kmeans(x, min(n_inducing, max(20, len(x) // 10), len(x))) if z is None else z
     mean = float(y.mean())
     radius = max(float(np.ptp(x, axis=0).max()) / 2, 1e-6)
-    return _search(var, radius, mean, z, lambda parts: local_sums(parts, x, y - mean, z), rounds, restarts, **kernel)
+    return _search(var, radius, mean, z, lambda parts: local_sums(parts, x, y - mean, z), lambda parts, w: local_slopes(parts, x, y - mean, z, w), restarts, **kernel)
+
 
+def fit_rows(rows: DataFrame, n_inducing: int = 300, restarts: int = 0, local: int = LOCAL, **kernel: bool) -> Model:
+    """A model of all rows (x, y, value), however many; ValueError without any.
 
-def fit_rows(rows: DataFrame, n_inducing: int = 300, restarts: int = 0, **kernel: bool) -> Model:
-    """A model of all rows (x, y, value), however many; ValueError without any."""
+    Up to `local` rows are added up on the driver, more in the tasks; inducing points, ascent and result are the same.
+    """
+    rows = store(rows.select("x", "y", "value"), "training")
     n, var, mean, *box = rows.agg(F.count("*"), F.var_samp("value"), F.avg("value"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not n:
         raise ValueError("no rows to learn from")
-    if n <= LOCAL:
+    z = row_kmeans(rows, min(n_inducing, max(20, n // 10), n))
+    if n <= local:
         given = rows.orderBy("x", "y", "value").toPandas()
-        return fit(given[["x", "y"]].to_numpy(float), given["value"].to_numpy(float), n_inducing, restarts=restarts, **kernel)
-    rows = store(rows.select("x", "y", "value"), "training")
-    z = row_kmeans(rows, min(n_inducing, max(20, n // 10)))
+        return fit(given[["x", "y"]].to_numpy(float), given["value"].to_numpy(float), restarts=restarts, z=z, **kernel)
     radius = max(box[1] - box[0], box[3] - box[2]) / 2 or 1e-6
-    return _search(var, radius, mean, z, lambda parts: row_sums(rows, parts, mean, z), FAR_ROUNDS, restarts, **kernel)
+    return _search(var, radius, mean, z, lambda parts: row_sums(rows, parts, mean, z), lambda parts, w: row_slopes(rows, parts, mean, z, w), restarts, **kernel)
 
 
 def noise_bounds(model: Model) -> tuple[float, float]:
@@ -452,6 +556,8 @@ def residual_statistics(r: np.ndarray, lags: int = 10) -> dict[str, float]:
     """p-values of tests on residuals, in their order: Shapiro-Wilk, D'Agostino and Jarque-Bera (normal), Levene by medians
     of the two halves (even variance), and Ljung-Box (white)."""
     n = len(r)
+    if not np.ptp(r):
+        return dict.fromkeys(["shapiro_wilk", *(["dagostino"] if n >= 8 else []), "jarque_bera", "levene", "ljung_box"], 1.0)
     c = r - r.mean()
     s2 = float((c**2).mean()) or 1e-300
     skew, kurt = float((c**3).mean()) / s2**1.5, float((c**4).mean()) / s2**2
@@ -463,21 +569,44 @@ def residual_statistics(r: np.ndarray, lags: int = 10) -> dict[str, float]:
     return out | {"jarque_bera": _chi2_tail(n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), 2), "levene": f_tail(float(between / max(within, 1e-300)), 1, max(1, n - 2)), "ljung_box": _chi2_tail(n * (n + 2) * sum(a * a / (n - k) for k, a in enumerate(auto, 1)), len(auto))}
 
 
-def bootstrap_residuals(df: DataFrame, column: str, n_boot: int = 100, sample_size: int = 500, alpha: float = 0.05) -> DataFrame:
-    """(test, mean_p, median_p, rejected) over n_boot samples without replacement.
+def resamples(df: DataFrame, column: str, n_boot: int = 100, sample_size: int = 500, keys: Sequence[str] | None = None) -> DataFrame:
+    """(sample, keys, r): for each of n_boot samples the sample_size rows of the least MD5 of the sample's number and the keys.
 
-    Each sample holds the rows of the least seeded hashes, about sample_size of them; each is tested in a task of its own.
+    keys: columns that tell rows apart; gid if there is one, else all columns.  Of rows with equal keys those of the least r
+    count first, so the samples depend on the rows alone and not on their partitions.  Rows without a value don't count; a
+    table of fewer rows is each sample.  Only rows near the front of a sample's order leave their task.
+    """
+    keys = list(keys or (["gid"] if "gid" in df.columns else df.columns))
+    given = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("r"))
+    n = given.count()
+    size = min(n, sample_size)
+    named = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    number = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", i.cast("string"), named)), 1, 13), 16, 10).cast("long")
+    share = min(1.0, (size + 10 * math.sqrt(size) + 50) / max(n, 1))
+    while True:
+        edge = 1 << 52 if share >= 1 else int(share * (1 << 52))
+        order = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda i: F.struct(i.alias("sample"), number(i).alias("h"))), lambda s: s["h"] < edge)  # noqa: B023
+        close = given.select(*keys, "r", F.explode(order).alias("s")).select("s.*", *keys, "r")
+        ranked = close.withColumn("_n", F.row_number().over(Window.partitionBy("sample").orderBy("h", "r"))).where(F.col("_n") <= size)
+        drawn = store(ranked.select("sample", *keys, "r"), "samples")
+        if share >= 1 or not size or drawn.count() == size * n_boot:
+            return drawn
+        share = min(1.0, 2 * share)
+
+
+def bootstrap_residuals(df: DataFrame, column: str, n_boot: int = 100, sample_size: int = 500, alpha: float = 0.05, keys: Sequence[str] | None = None) -> DataFrame:
+    """(test, mean_p, median_p, rejected) over n_boot resamples() of exactly sample_size rows, each in the order of its keys.
+
+    Each sample is tested in a task of its own.  Values without any spread pass all tests with 1; samples of less than four
+    rows have no tests.
     """
-    n = max(1, df.count())
-    share = min(1.0, 1.0 * sample_size / n)
-    v = F.col(column).cast("double")
-    drawn = df.where(v.isNotNull()).select(v.alias("r"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda i: F.pmod(F.xxhash64(i, F.col(column), F.lit("b")), F.lit(1_000_000)) < int(share * 1_000_000))).alias("sample"))
+    keys = list(keys or (["gid"] if "gid" in df.columns else df.columns))
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = residual_statistics(pdf["r"].sort_index().to_numpy()) if len(pdf) > 3 else {}
+        found = residual_statistics(pdf.sort_values([*keys, "r"], kind="stable")["r"].to_numpy()) if len(pdf) > 3 else {}
         return pd.DataFrame({"test": list(found), "p": list(found.values())})
 
-    tests = drawn.groupBy("sample").applyInPandas(test, "test string, p double")
+    tests = resamples(df, column, n_boot, sample_size, keys).groupBy("sample").applyInPandas(test, "test string, p double")
     return tests.groupBy("test").agg(F.avg("p").alias("mean_p"), F.median("p").alias("median_p"), F.avg((F.col("p") < alpha).cast("double")).alias("rejected"))
 
 

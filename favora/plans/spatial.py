@@ -927,6 +927,12 @@ def x14_assess_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gp.assess(given).select("n", *(r6(c, c) for c in ("rmse", "r2", "mae", "coverage")))
 
 
+@query("select sample, gid, value as r from (select b.sample::int as sample, gid, value, row_number() over (partition by sample order by ('0x' || substr(md5(sample || '|' || gid), 1, 13))::bigint, value) as k from fx_points2d, (select unnest(range(10)) as sample) b) where k <= 200")
+def x15_resamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ten resamples."""
+    return gp.resamples(view(spark, sf_dir, "fx_points2d"), "value", n_boot=10, sample_size=200).select("sample", "gid", "r")
+
+
 @query()
 def x15_bootstrap_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests on resampled residuals."""
