@@ -19,10 +19,50 @@ def clean_unnamed_columns(df: DataFrame) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.startswith("Unnamed:")))
 
 
-def convert_z(df: DataFrame, z_meas: str, target: str, z: str = "z") -> DataFrame:
-    """z from metres to feet above sea level or back; other pairs of units change nothing."""
+#: The vertical system whose heights are those over the ellipsoid.
+ELLIPSOIDAL = "epsg:4979"
+
+
+def convert_z(df: DataFrame, z_meas: str, target: str, z: str = "z", undulations: DataFrame | None = None) -> DataFrame:
+    """z from metres to feet above sea level or back, or from one vertical system (`epsg:...`, metres) to another.
+
+    undulations: (system, x, y, n), for each system a lattice of its zero level's heights n over the ellipsoid; z changes by
+    the difference of both systems' bilinear n at the point (x, y), and is NULL outside a lattice.  ELLIPSOIDAL needs no rows.
+    Equal systems change nothing; others without rows raise ValueError.  Other pairs of units change nothing.
+    """
     factor = {("m-msl", "ft-msl"): FEET, ("ft-msl", "m-msl"): 1 / FEET}.get((z_meas, target))
-    return df if factor is None else df.withColumn(z, F.col(z) * factor if factor > 1 else F.col(z) / FEET)
+    if factor is not None:
+        return df.withColumn(z, F.col(z) * factor if factor > 1 else F.col(z) / FEET)
+    one, two = z_meas.lower(), target.lower()
+    if not (one.startswith("epsg:") and two.startswith("epsg:")) or one == two:
+        return df
+    out = df
+    for system, sign in ((one, 1), (two, -1)):
+        if system == ELLIPSOIDAL:
+            continue
+        nodes = None if undulations is None else undulations.where(F.lower("system") == system)
+        if nodes is None or not nodes.limit(1).count():
+            raise ValueError(f"no undulations of {system}")
+        out = _with_undulation(out, nodes).withColumn(z, F.col(z) + sign * F.col("_n")).drop("_n")
+    return out
+
+
+def _with_undulation(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`df` with _n, bilinear between the four nodes (x, y, n) of its cell; NULL beyond the lattice."""
+    a, b, nx, c, d, ny = nodes.agg(F.min("x"), F.max("x"), F.count_distinct("x"), F.min("y"), F.max("y"), F.count_distinct("y")).first()
+    if nx < 2 or ny < 2:
+        raise ValueError("undulations need a lattice of two by two nodes or more")
+    dx, dy = (b - a) / (nx - 1), (d - c) / (ny - 1)
+    place = lambda v, low, step: (F.col(v) - low) / step
+    corners = F.array(*(F.struct((F.round(place("x", a, dx)).cast("long") - i).alias("_i"), (F.round(place("y", c, dy)).cast("long") - j).alias("_j"), F.lit(2 * j + i).alias("k")) for i in (0, 1) for j in (0, 1)))
+    cells = nodes.select(F.explode(corners).alias("p"), "n").groupBy("p._i", "p._j").agg(*(F.max(F.when(F.col("p.k") == k, F.col("n"))).alias(f"_n{k}") for k in range(4)))
+    # The last node belongs to the last cell.
+    cell = lambda v, low, step, n: F.least(F.floor(place(v, low, step)).cast("long"), F.lit(n - 2))
+    inside = F.col("x").between(a, b) & F.col("y").between(c, d)
+    placed = df.withColumns({"_i": F.when(inside, cell("x", a, dx, nx)), "_j": F.when(inside, cell("y", c, dy, ny))})
+    u, v = place("x", a, dx) - F.col("_i"), place("y", c, dy) - F.col("_j")
+    n = (1 - v) * ((1 - u) * F.col("_n0") + u * F.col("_n1")) + v * ((1 - u) * F.col("_n2") + u * F.col("_n3"))
+    return placed.join(cells, ["_i", "_j"], "left").withColumn("_n", n).drop("_i", "_j", *(f"_n{k}" for k in range(4)))
 
 
 def winsorise(df: DataFrame, column: str, q: float = 0.9) -> DataFrame:

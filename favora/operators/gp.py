@@ -29,7 +29,7 @@ from favora.operators.interpolate import backfill_nearest, join_predictions
 
 LOCAL = 5_000
 #: Steps of the ascent at most, and the gain below which it ends.
-ROUNDS, GAIN = 60, 1e-6
+ROUNDS, GAIN = 100, 1e-7
 JITTER = 1e-8
 
 
@@ -285,7 +285,7 @@ def ascend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.nd
     """The place of a greatest value within bounds, by projected quasi-Newton steps (BFGS); value() gives the gradient too."""
     x = np.clip(start, low, high)
     now, g = value(x)
-    h = np.eye(len(x))
+    h, fresh = np.eye(len(x)), True
     for _ in range(rounds):
         # At a bound that the gradient pushes against, a parameter stays.
         free = ~(((x <= low) & (g < 0)) | ((x >= high) & (g > 0)))
@@ -294,33 +294,40 @@ def ascend(value: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.nd
         d = np.zeros(len(x))
         d[free] = h[np.ix_(free, free)] @ g[free]
         if d @ g <= 0:
-            h, d = np.eye(len(x)), np.where(free, g, 0)
-        d *= min(1.0, 1.5 / np.abs(d).max())
+            h, fresh, d = np.eye(len(x)), True, np.where(free, g, 0)
+        d *= min(1.0, 1.0 / np.abs(d).max())
         step, found = 1.0, None
-        for _ in range(20):
+        for _ in range(25):
             y = np.clip(x + step * d, low, high)
             try:
                 then, gy = value(y)
             except np.linalg.LinAlgError:
                 then = -np.inf
-            if then >= now + 1e-4 * g @ (y - x) and then > now:
+            if then > now and then >= now + 1e-4 * (g @ (y - x)):
                 found = y, then, gy
                 break
-            step /= 3
-        if found is None:
-            if np.array_equal(h, np.eye(len(x))):
-                break
-            h = np.eye(len(x))
+            step /= 2.5
+        gain = found[1] - now if found else 0.0
+        if gain < GAIN * max(1.0, abs(now)) and fresh:
+            # The gradient itself leads no further.
+            if found:
+                x, now = found[:2]
+            break
+        if found:
+            y, then, gy = found
+            s, t = y - x, g - gy
+            x, now, g = y, then, gy
+        if gain < GAIN * max(1.0, abs(now)):
+            h, fresh = np.eye(len(x)), True
             continue
-        y, then, gy = found
-        s, t = y - x, g - gy
-        gain, x, now, g = then - now, y, then, gy
-        if s @ t > 1e-12:
+        if s @ t > 1e-10 * math.sqrt((s @ s) * (t @ t)):
+            if fresh:
+                h = np.eye(len(x)) * ((s @ t) / (t @ t))
             rho = 1 / (s @ t)
             v = np.eye(len(x)) - rho * np.outer(s, t)
-            h = v @ h @ v.T + rho * np.outer(s, s)
-        if gain < GAIN * max(1.0, abs(now)):
-            break
+            h, fresh = v @ h @ v.T + rho * np.outer(s, s), False
+        else:
+            h, fresh = np.eye(len(x)), True
     return x, now
 
 

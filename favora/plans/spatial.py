@@ -12,9 +12,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from favora.functions import crs, geometry, stats, transforms
+from favora.functions import crs, geometry, sqlfuncs, stats, transforms
 from favora.functions.tables import shared_dir
-from favora.operators import clean, combine, cubic, density, distance, exclude, grid, interpolate, structure
+from favora.operators import clean, combine, cubic, density, distance, exclude, grid, interpolate, lines, structure
 from favora.operators.grid import Extent
 from favora.plans.fixtures import view, with_views
 from favora.sources import catalog, readers, writers
@@ -109,6 +109,18 @@ def c3_convert_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.convert_z(view(spark, sf_dir, "fx_points3d"), "m-msl", "ft-msl").select("gid", r6("z", "z"))
 
 
+UNDULATION = "-20 + 0.01 * x + 0.02 * y + 0.00001 * x * y"
+
+
+@query(f"select gid, round(z + ({UNDULATION}) - 5, 6) as z from fx_points3d")
+def c3_convert_vertical_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights over one zero level to heights over another; the levels' lattices are bilinear fields over the layer."""
+    given = view(spark, sf_dir, "fx_points3d")
+    nodes = grid.lattice(spark, clean.extent(given), 6, 9)
+    levels = nodes.select(F.lit("epsg:5703").alias("system"), "x", "y", F.expr(UNDULATION).alias("n")).unionAll(nodes.select(F.lit("epsg:3855"), "x", "y", F.lit(5.0)))
+    return clean.convert_z(given, "epsg:5703", "EPSG:3855", undulations=levels).select("gid", r6("z", "z"))
+
+
 WINSOR = "select gid, round(case when value > q then q else value end, 6) as value from fx_points2d, (select quantile_cont(value, {0}) as q from fx_points2d)"
 
 
@@ -258,6 +270,20 @@ def p_colour_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.colour_range([given.select(F.col("a").alias("v")), given.select(F.col("b").alias("v"))], "v")
 
 
+@query("""
+with p as (select seq, x, y, z, value from fx_well where seq % 2 = 1), n as (select *, row_number() over (order by seq) as k, count(*) over () as total from p),
+e as (select bool_or(k = 1 and (x, y, z) < (select (x, y, z) from n where k = total)) as ahead from n)
+select case when ahead then k else total + 1 - k end::bigint as seq, x, y, z, v.value from n, e left join (select row_number() over (order by seq) as j, value from fx_well where seq <= 40) v on v.j = case when ahead then n.k else total + 1 - n.k end""")
+def p_well_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a well in any order and direction as one line again, with values padded by NULL."""
+    path = view(spark, sf_dir, "fx_well").where("seq % 2 = 1")
+    ahead = path.select((F.col("seq") - 2).alias("seq"), *(F.col(c).alias(f"{c}1") for c in "xyz"))
+    pairs = path.join(ahead, "seq").select("seq", *(F.col(c).alias(f"{c}0") for c in "xyz"), "x1", "y1", "z1")
+    turned = pairs.where("seq % 4 = 1").unionAll(pairs.where("seq % 4 = 3").select("seq", "x1", "y1", "z1", "x0", "y0", "z0")).orderBy(F.xxhash64("seq"))
+    values = view(spark, sf_dir, "fx_well").where("seq <= 40").select("seq", "value")
+    return lines.padded_values(lines.merge_lines(turned), values).select("seq", "x", "y", "z", "value")
+
+
 # Geometry text
 
 
@@ -330,16 +356,32 @@ def j7_calculate_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Grids
 
 
-@query(f"with {G2} select ix, iy, x, y from g")
+#: Lattices on the bounds of a layer.
+BOUNDS = "e as (select min(x) as a, max(x) as b, min(y) as c, max(y) as d from fx_points2d)"
+LAYER_NODES = f"with {BOUNDS} select i % 21 as ix, i // 21 as iy, round(a + (i % 21) * ((b - a) / 20), 6) as x, round(c + (i // 21) * ((d - c) / 20), 6) as y from e, range(441) t(i)"
+
+
+@query(LAYER_NODES)
 def g1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes from bound to bound."""
-    return grid2(spark)
+    """Nodes from bound to bound of a layer."""
+    nodes = grid.lattice(spark, clean.extent(view(spark, sf_dir, "fx_points2d")), N, N)
+    return nodes.select("ix", "iy", r6("x", "x"), r6("y", "y"))
+
+
+@query(LAYER_NODES)
+def g1_lattice_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function, joined laterally with a layer's bounds and the rows' numbers."""
+    sqlfuncs.register(spark)
+    bounds = view(spark, sf_dir, "fx_points2d").agg(F.min("x").alias("a"), F.min("y").alias("c"), F.max("x").alias("b"), F.max("y").alias("d"))
+    nodes = spark.sql("select l.* from {bounds} e, range(21) r, lateral fv_lattice_row(e.a, e.c, e.b, e.d, 21, 21, cast(r.id as int)) l", bounds=bounds)
+    return nodes.select("ix", "iy", r6("x", "x"), r6("y", "y"))
 
 
-@query("select i % 7 as ix, i // 7 as iy, round((i % 7 + 0.5) * (1000.0::double / 7), 6) as x, round((i // 7 + 0.5) * 200.0, 6) as y from range(35) t(i)")
+@query(f"with {BOUNDS} select i % 7 as ix, i // 7 as iy, round(a + (i % 7 + 0.5) * ((b - a) / 7), 6) as x, round(c + (i // 7 + 0.5) * ((d - c) / 5), 6) as y from e, range(35) t(i)")
 def g2_cell_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres of cells."""
-    return grid.centres(spark, FULL, 7, 5).select("ix", "iy", r6("x", "x"), r6("y", "y"))
+    """Centres of cells inside a layer's bounds."""
+    cells = grid.centres(spark, clean.extent(view(spark, sf_dir, "fx_points2d")), 7, 5)
+    return cells.select("ix", "iy", r6("x", "x"), r6("y", "y"))
 
 
 FULL_LATTICE = "xs as (select x, row_number() over (order by x) - 1 as ix from (select distinct x from {0})), ys as (select y, row_number() over (order by y) - 1 as iy from (select distinct y from {0}))"
@@ -486,11 +528,17 @@ def i6_update_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolate.join_predictions(given, moved).select("gid", "x", "y", "value_extrapolated")
 
 
-@query("select i % 500 as ix, i // 500 as iy, round(2 * ((i % 500) * (1000.0::double / 499)) + (i // 500) * (1000.0::double / 499), 4) as value_interpolated from range(250000) t(i)")
+@query("""
+with c as (select x, avg(a) as v from fx_lattice group by x), e as (select min(x) as a, max(x) as b, min(y) as lo, max(y) as hi from fx_lattice),
+n as (select i % 150 as ix, i // 150 as iy, case when i % 150 = 149 then b else a + (i % 150) * ((b - a) / 149) end as x from e, range(22500) t(i)),
+m as (select *, least(floor(x), (select b - 1 from e)) as f from n)
+select ix, iy, round(l.v + (m.x - f) * (h.v - l.v), 4) as value_interpolated from m join c l on l.x = f join c h on h.x = f + 1""")
 def i8_raster_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plane resampled to 500 by 500."""
-    corners = spark.createDataFrame([(0.0, 0.0), (1000.0, 0.0), (0.0, 1000.0), (1000.0, 1000.0), (400.0, 300.0)], "x double, y double").withColumn("value", 2 * F.col("x") + F.col("y"))
-    out = interpolate.linear(grid.lattice(spark, FULL, 500, 500), corners)
+    """A layer, its values averaged along y, resampled to 150 by 150."""
+    given = view(spark, sf_dir, "fx_lattice")
+    layer = given.select("x", "y").join(given.groupBy("x").agg(F.avg("a").alias("value")), "x")
+    e = clean.extent(layer)
+    out = interpolate.linear(grid.lattice(spark, e, 150, 150), layer)
     return out.select("ix", "iy", F.round("value_interpolated", 4).alias("value_interpolated"))
 
 
@@ -787,11 +835,13 @@ def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.select("x", "y", F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(w).alias("w"), v.alias("v")) for i, w, v in ((0, 0.4, F.col("a") / 400000), (1, 0.6, F.col("b") / 200))))).alias("s")).select("x", "y", "s.*")
 
 
-@query("select p, round(ln(p / (1 - p)), 9) as w0 from (select (i + 1) / 10.0::double as p from range(9) t(i))")
+@query("select grp, round(ln(p / (1 - p)), 9) as w0 from (select grp, count(*) / (select count(*) from fx_points2d)::double as p from fx_points2d group by grp)")
 def v3_get_w0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prior logits."""
-    rows = [((i + 1) / 10, round(combine.prior_logit((i + 1) / 10), 9)) for i in range(9)]
-    return spark.createDataFrame(rows, "p double, w0 double")
+    """Logits of the shares that groups of a layer have, as priors."""
+    sqlfuncs.register(spark)
+    given = view(spark, sf_dir, "fx_points2d")
+    shares = given.groupBy("grp").agg(F.count("*").alias("n")).crossJoin(F.broadcast(given.agg(F.count("*").alias("total"))))
+    return shares.select("grp", F.round(F.expr("fv_prior_logit(n / total)"), 9).alias("w0"))
 
 
 @query(f"with {STACK} select x, y, round(1 / (1 + exp(-ln(0.4 / 0.6) - coalesce(sum(w * v), 0))), 9) as pr from k group by x, y")
