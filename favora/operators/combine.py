@@ -153,11 +153,12 @@ def _scaled(df: DataFrame, by: Sequence[str], norm_to: float) -> DataFrame:
     return df.withColumn("pr_norm", value).drop("_lo", "_hi")
 
 
-def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: str = "minmax", component_veto: bool = False, criteria_veto: bool = True, norm_to: float = 5.0, nan_mode: str = "propagate_shared") -> Favorability:
+def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: str = "minmax", component_veto: bool = False, criteria_veto: bool = True, norm_to: float = 5.0, nan_mode: str = "propagate_shared", check_coords: bool = False) -> Favorability:
     """Layers to components by the voter, components to criteria and criteria to the project by the modified veto.
 
     Layers are aligned by lattice index; raises ValueError for a layer without rows, and if their lattices differ in
-    shape.  Coordinates are those of the last layer.  `pr` is raw and `pr_norm` is scaled to norm_to.
+    shape, or with check_coords in coordinates.  Coordinates are those of the last layer.  `pr` is raw and `pr_norm` is
+    scaled to norm_to.
     """
     axes = ("x", "y") if project_dimension([x.model for x in layers]) == 2 else ("x", "y", "z")
     cell = [f"i{a}" for a in axes]
@@ -180,6 +181,8 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
     for a in axes:
         indexed = indexed.join(ranked(given, a, ["ord"]), ["ord", a])
     indexed = store(indexed, "rasters")
+    if check_coords and any(indexed.select(f"i{a}", a).distinct().count() != n for a, n in zip(axes, sizes, strict=True)):
+        raise ValueError("Layer coordinates differ")
     table = spark.createDataFrame([(i, *x) for i, x in enumerate(named)], "ord int, criteria string, component string, w double, method string")
     nodes = spark.range(math.prod(sizes)).select(*(F.floor(F.col("id") / math.prod(sizes[:k]) % sizes[k]).cast("long").alias(c) for k, c in enumerate(cell)))
     full = nodes.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(len(layers) - 1))))

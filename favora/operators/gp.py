@@ -452,6 +452,16 @@ def predict(cells: DataFrame, model: Model, shift: tuple[float, float] = (0.0, 1
     return cells.mapInArrow(task, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", prediction double, sigma double")
 
 
+def prediction_grid(cells: DataFrame, model: Model, shift: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """predict() on the full lattice of the cells' coordinates (ix, iy, x, y), in long form: what a pivot of y by x holds.
+
+    Of several cells at one place the mean counts; places without a cell are NULL.
+    """
+    found = predict(cells.select("x", "y"), model, shift).groupBy("x", "y").agg(F.avg("prediction").alias("prediction"), F.avg("sigma").alias("sigma"))
+    lattice = grid_from_tidy(found.select("x", "y", F.col("prediction").alias("value"))).withColumnRenamed("value", "prediction")
+    return lattice.join(found.select("x", "y", "sigma"), ["x", "y"], "left").select("ix", "iy", "x", "y", "prediction", "sigma")
+
+
 def assess(df: DataFrame, y: str = "y", prediction: str = "prediction", sigma: str = "sigma", model: Model | None = None) -> DataFrame:
     """One row: n, rmse, r2, mae and the share of values within two sigma; with a model its log_likelihood, aic and bic."""
     e = F.col(y) - F.col(prediction)

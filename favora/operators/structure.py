@@ -14,6 +14,9 @@ from favora.functions.tables import store
 from favora.operators.clean import clip_polygons, clip_segments
 from favora.operators.grid import Extent
 
+#: Rows of a sorted range in which traces are numbered.
+CHUNK = 1_000_000
+
 
 def convert_3d_to_2d(points: DataFrame, column: str) -> DataFrame:
     """(x, y, column, z_min): sums over the points of one place; ValueError without z."""
@@ -116,6 +119,41 @@ def fault_traces_bottom(points: DataFrame, tolerance: float = 1e6, fault: str =
     return grouped.select("fault", F.size("trace").cast("long").alias("n"), "trace")
 
 
+def _numbered(points: DataFrame, order: list[Column]) -> DataFrame:
+    """(fault, seq, x, y): the points of each fault numbered from 1 by `order`, however many one fault has.
+
+    Sorted ranges of about CHUNK rows are written once, which cut a large fault into many; inside a range places are counted,
+    and the counts of the fault's ranges before are added.
+    """
+    named = [c.alias(f"_o{k}") for k, c in enumerate(order)]
+    given = points.select("fault", "x", "y", *named)
+    keys = [f"_o{k}" for k in range(len(order))]
+    ranges = max(1, -(-given.count() // CHUNK))
+    parts = store(given.repartitionByRange(ranges, "fault", *keys).withColumn("_p", F.spark_partition_id()), "traces")
+    counts = parts.groupBy("fault", "_p").count()
+    before = counts.select("fault", "_p", (F.sum("count").over(Window.partitionBy("fault").orderBy("_p")) - F.col("count")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("fault", "_p").orderBy(*keys))
+    joined = parts.withColumn("_n", place).withColumn("_k", F.col("fault")).join(before.withColumnRenamed("fault", "_f"), (F.col("_k").eqNullSafe(F.col("_f"))) & (parts["_p"] == before["_p"]))
+    return joined.select("fault", (F.col("_n") + F.col("_before")).cast("long").alias("seq"), "x", "y")
+
+
+def trace_rows_top(points: DataFrame, fault: str = "fault_id") -> DataFrame:
+    """fault_traces_top() as rows (fault, seq, x, y), for faults of any size."""
+    given = points.select(F.col(fault).alias("fault"), "x", "y", "z", "gid")
+    return _numbered(given, [-F.col("z"), F.col("gid"), F.col("x"), F.col("y")])
+
+
+def trace_rows_bottom(points: DataFrame, tolerance: float = 1e6, fault: str = "fault_id") -> DataFrame:
+    """fault_traces_bottom() as rows (fault, seq, x, y), for faults of any size; ValueError where no fault has two points."""
+    least = points.agg(F.min("z")).first()[0]
+    near = points.where(F.abs(F.col("z") - F.lit(least)) <= tolerance).select(F.col(fault).alias("fault"), "x", "y", "z")
+    many = near.groupBy("fault").count().where("count > 1").select(F.col("fault").alias("_f"))
+    if not many.limit(1).count():
+        raise ValueError("no fault has points near the bottom")
+    kept = near.join(many, F.col("fault").eqNullSafe(F.col("_f")), "left_semi")
+    return _numbered(kept, [F.col("x"), F.col("y"), F.col("z")])
+
+
 def well_path(rows: DataFrame, sort_by: str | None = None, seq: str = "seq", keys: Sequence[str] = (), dropna_any: bool = True) -> DataFrame:
     """Rows of a path in order, numbered anew, without incomplete points and without consecutive equal ones.
 

@@ -765,6 +765,18 @@ def a10_fault_traces_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(structure.fault_traces_bottom(view(spark, sf_dir, "fx_points3d")))
 
 
+@query("select fault_id as fault, row_number() over (partition by fault_id order by z desc, gid) as seq, x, y from fx_points3d")
+def a8_fault_trace_rows_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fault lines from the top as rows."""
+    return structure.trace_rows_top(view(spark, sf_dir, "fx_points3d"))
+
+
+@query("select fault_id as fault, row_number() over (partition by fault_id order by x, y, z) as seq, x, y from fx_points3d where abs(z + 700) <= 150 and fault_id in (select fault_id from fx_points3d where abs(z + 700) <= 150 group by fault_id having count(*) > 1)")
+def a9_fault_trace_rows_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fault lines near the bottom as rows."""
+    return structure.trace_rows_bottom(view(spark, sf_dir, "fx_points3d"), 150.0)
+
+
 # Transformations and normalisations
 
 

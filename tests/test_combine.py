@@ -69,3 +69,8 @@ def test_shared_hole_stays_a_hole_and_shapes_must_match(spark):
     wide = spark.createDataFrame([(float(x), float(y), 1.0) for x in range(3) for y in range(2)], "x double, y double, value double")
     with pytest.raises(ValueError, match="shape mismatch"):
         combine.do_voter_veto([Layer("c", "k", "a", layer), Layer("c", "k", "b", wide)], weights)
+    moved = layer.withColumn("x", layer["x"] + 0.5)
+    both = [Layer("c", "k", "a", layer, weight=0.5), Layer("c", "k", "b", moved, weight=0.5)]
+    assert combine.do_voter_veto(both, weights).final.count() == 4
+    with pytest.raises(ValueError, match="coordinates differ"):
+        combine.do_voter_veto(both, weights, check_coords=True)

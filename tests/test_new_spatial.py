@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 from favora.functions import sqlfuncs
-from favora.operators import clean, cubic, cut, distance, farfield, gp, grid, interpolate, kriging, lines
+from favora.operators import clean, cubic, cut, distance, farfield, gp, grid, interpolate, kriging, lines, structure
 from favora.operators.grid import Extent
 from pyspark.sql import functions as F
 
@@ -259,6 +259,31 @@ def test_gp_is_the_same_on_both_sides(spark):
     assert abs(one.log_likelihood - two.log_likelihood) < 1e-3 and np.abs(one.predict(at)[0] - two.predict(at)[0]).max() < 1e-4
 
 
+def test_prediction_grid(spark):
+    r = np.random.default_rng(12)
+    x = r.uniform(-1, 1, (60, 2))
+    model = gp.fit(x, x[:, 0], n_inducing=20)
+    cells = points(spark, np.array([[0.0, 0.0], [0.5, 0.0], [0.0, 0.5], [0.0, 0.5]]), np.zeros(4))
+    got = {(c.ix, c.iy): (c.prediction, c.sigma) for c in gp.prediction_grid(cells, model, (2.0, 3.0)).collect()}
+    mean, sigma = model.predict(np.array([[0.0, 0.0], [0.5, 0.0], [0.0, 0.5]]))
+    assert got[1, 1] == (None, None) and len(got) == 4
+    assert [got[k] for k in ((0, 0), (1, 0), (0, 1))] == [pytest.approx((2 + 3 * m, 3 * s)) for m, s in zip(mean, sigma, strict=True)]
+
+
+def test_fault_traces_as_rows_equal_arrays(spark, monkeypatch):
+    monkeypatch.setattr(structure, "CHUNK", 7)
+    r = random.Random(13)
+    rows = [(i, r.randrange(3), float(r.randrange(9)), float(r.randrange(9)), -float(r.randrange(5))) for i in range(200)]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 1.0, -9.0), (901, 1, 1.0, None, -2.0)], "gid long, fault_id long, x double, y double, z double")
+    for traces, arrays in ((structure.trace_rows_top(df), structure.fault_traces_top(df)), (structure.trace_rows_bottom(df, 1.0), structure.fault_traces_bottom(df, 1.0))):
+        got = {}
+        for v in traces.orderBy("fault", "seq").collect():
+            got.setdefault(v.fault, []).append((v.seq, v.x, v.y))
+        expected = {t.fault: [(i, v.x, v.y) for i, v in enumerate(t.trace, 1)] for t in arrays.collect()}
+        assert got == expected
+    assert structure.trace_rows_top(df.limit(0)).count() == 0
+
+
 def test_resamples_are_exact_and_stable(spark):
     r = np.random.default_rng(10)
     df = points(spark, r.normal(size=(3000, 2)), r.normal(size=3000))

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 from favora.functions import crs, geometry, stats, transforms
-from favora.operators import distance, gp, grid, interpolate, near, structure
+from favora.operators import distance, gp, grid, interpolate, kriging, near, structure
 from favora.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -168,7 +168,8 @@ def test_linear_interpolation(spark, monkeypatch, axes, n):
     assert {x.value_interpolated for x in interpolate.linear(at, given.limit(0)).collect()} == {None}
 
 
-def test_kriging_of_many_points(spark, monkeypatch):
+def test_kriging_of_many_points(spark):
+    """More points than one system takes are solved in the tasks, with the same variogram and the same result."""
     r = np.random.default_rng(7)
     points = r.uniform(0, 10, (600, 2))
     values = np.sin(points[:, 0]) + 0.3 * points[:, 1]
@@ -176,25 +177,11 @@ def test_kriging_of_many_points(spark, monkeypatch):
     nodes = np.concatenate([r.uniform(0, 10, (80, 2)), points[:2]])
     at = spark.createDataFrame([(i, *p) for i, p in enumerate(nodes.tolist())], "ix long, x double, y double")
     whole = {x.ix: x.value_interpolated for x in interpolate.kriging(at, given).collect()}
-    exact = interpolate.fit_variogram(points, values)
-    monkeypatch.setattr(interpolate, "WHOLE", 10)
-    monkeypatch.setattr(near, "LEAF", 16)
-    seen = []
-    plain = interpolate._far_variogram
-    monkeypatch.setattr(interpolate, "_far_variogram", lambda *a: seen.append(plain(*a)) or seen[0])
-    got = {x.ix: x.value_interpolated for x in interpolate.kriging(at, given).collect()}
-    assert seen[0][0] == pytest.approx(exact[0], rel=0.25)
+    got = {x.ix: x.value_interpolated for x in interpolate.kriging(at, given, whole=10).collect()}
+    packs = kriging.packed(given.withColumnRenamed("value", "v"), ("x", "y"))
+    assert kriging.variogram(packs, 2)[:2] == pytest.approx(kriging.fit_variogram(points, values), rel=1e-6)
     assert got[80] == pytest.approx(values[0]) and got[81] == pytest.approx(values[1])
-    # By hand from the nearest points.
-    slope, nugget = seen[0]
-    for i in range(0, 80, 9):
-        d = np.sqrt(((points - nodes[i]) ** 2).sum(axis=1))
-        some = np.argsort(d)[: interpolate.KRIGED]
-        gap = np.sqrt(((points[some][:, None] - points[some][None]) ** 2).sum(axis=2))
-        matrix = np.block([[np.where(gap > 0, slope * gap + nugget, 0), np.ones((len(some), 1))], [np.ones((1, len(some))), np.zeros((1, 1))]])
-        w = np.linalg.solve(matrix, np.append(slope * d[some] + nugget, 1.0))[:-1]
-        assert got[i] == pytest.approx(float(w @ values[some]), abs=1e-6)
-        assert got[i] == pytest.approx(whole[i], abs=0.15)
+    assert all(got[i] == pytest.approx(v, abs=1e-6) for i, v in whole.items())
 
 
 def test_unknown_methods_raise(spark):
@@ -279,7 +266,7 @@ def test_tif(spark, tmp_path):
     assert got == [(0.5, 0.5, 3.0), (0.5, 1.5, 1.0), (1.5, 0.5, -9.0), (1.5, 1.5, 2.0)]
 
 
-def test_model_of_many_rows_equals_the_local_one(spark, monkeypatch):
+def test_model_of_many_rows_equals_the_local_one(spark):
     r = np.random.default_rng(8)
     x = r.uniform(-2, 2, (400, 2))
     y = np.sin(x[:, 0]) * np.cos(x[:, 1]) + 0.05 * r.normal(size=400)
@@ -290,9 +277,7 @@ def test_model_of_many_rows_equals_the_local_one(spark, monkeypatch):
     assert two.n == 400
     for a, b in zip(one, two, strict=True):
         assert np.allclose(a, b)
-    monkeypatch.setattr(gp, "LOCAL", 100)
-    monkeypatch.setattr(gp, "FAR_ROUNDS", 2)
-    model = gp.fit_rows(rows, n_inducing=20)
+    model = gp.fit_rows(rows, n_inducing=20, local=100)
     assert model.n_used == 400
     assert np.sqrt(((model.predict(x)[0] - y) ** 2).mean()) < 0.15
     assert gp.noise_bounds(model)[0] <= model.noise <= gp.noise_bounds(model)[1]
