@@ -4,6 +4,8 @@ Features are put in order along a Z-curve and cut into leaves of LEAF rows, so t
 features cluster.  Only the bounds of the leaves, MOST_LEAVES of them at most, are sent to the tasks.  Targets go along
 the same curve in groups; a group picks the leaves that matter to it by their bounds and meets them in an equi-join.
 
+A few features, by counted rows and bytes, are sent to the tasks as they are instead, and each target meets all of them.
+
 A search for the nearest takes two rounds: the leaf that seems nearest gives each target a distance, and the leaves that
 may hold something as near, few as a rule, are searched in the second.
 """
@@ -25,6 +27,8 @@ from favora.functions.tables import store
 LEAF = 256
 MOST_LEAVES = 200_000
 GROUP = 1024
+#: Up to so many features are sent to the tasks; or FEW_MORE, if there are no more targets.  Their size is bounded too.
+FEW, FEW_MORE, FEW_BYTES = 4_096, 20_000, 16 << 20
 #: For rounding in the distances of segments.
 SLACK = 1 + 1e-9
 #: Parts of equal numbers of features into which each axis is cut before the curve is laid.
@@ -273,12 +277,51 @@ def _pairs(found: DataFrame, targets: list[str], features: list[str]) -> DataFra
     return one.select(*(F.col("m.t")[c].alias(c) for c in targets), *(F.col("m.f")[c].alias(f"f_{c}" if c in targets else c) for c in features))
 
 
+def _few(targets: DataFrame, features: DataFrame, axes: tuple[str, ...]) -> pa.Table | None:
+    """The features with their first and last coordinates, if they are few enough to be sent to the tasks."""
+    columns = [c for k, ends in enumerate(_ends(features, axes)) for c in (ends[0].alias(f"_a{k}"), ends[1].alias(f"_b{k}"))]
+    given = features.select("*", *columns).where(" and ".join(f"_a{k} is not null and _b{k} is not null" for k in range(len(axes))))
+    nested = any(t.startswith(("array", "map", "struct")) for _, t in features.dtypes)
+    most = FEW if nested else FEW_MORE
+    found = given.limit(most + 1).toArrow()
+    if found.num_rows > most or found.nbytes > FEW_BYTES or (found.num_rows > FEW and targets.limit(FEW_MORE + 1).count() > FEW_MORE):
+        return None
+    return found.combine_chunks()
+
+
+def _with_few(targets: DataFrame, features: DataFrame, few: pa.Table, axes: tuple[str, ...], kind: str, k: int | None, limit: float = 0.0) -> DataFrame:
+    """_pairs() of each target with its k nearest of a few features, or with all within `limit`."""
+    d = len(axes)
+    sent = targets.sparkSession.sparkContext.broadcast(few)
+    names = targets.columns
+    given = targets.select("*", *(F.col(a).cast("double").alias(f"_p{k}") for k, a in enumerate(axes))).where(" and ".join(f"_p{k} is not null" for k in range(d)))
+    shape = T.StructType([*targets.schema.fields, *(T.StructField(f"f_{f.name}" if f.name in names else f.name, f.dataType) for f in features.schema.fields)])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        a, b = (np.column_stack([table.column(f"_{e}{i}").to_numpy() for i in range(d)]) for e in "ab")
+        others = [table.column(c).combine_chunks() for c in range(table.num_columns - 2 * d)]
+        step = max(1, min(GROUP, (1 << 22) // max(1, len(a))))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                p = np.column_stack([batch.column(len(names) + i).to_numpy(zero_copy_only=False) for i in range(d)])
+                gap = _distances(p, a, b, kind)
+                best = np.full(len(p), limit * SLACK) if k is None else _kth(gap, k)
+                rows, at = (pa.array(x) for x in np.nonzero(gap <= best[:, None]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(names))), *(c.take(at) for c in others)], names=shape.names)
+
+    return given.mapInArrow(task, shape)
+
+
 def nearest_candidates(targets: DataFrame, features: DataFrame, axes: tuple[str, ...] = ("x", "y"), k: int = 1) -> DataFrame | None:
     """Rows of targets with features (columns of both) that hold the k nearest of every target; None without features.
 
     Features are points (x, y[, z]) or segments (x0, y0, x1, y1).  Besides the nearest, all features at the same distance
     come, and some others.
     """
+    if (few := _few(targets, features, axes)) is not None:
+        return _with_few(targets, features, few, axes, _kind(features), k) if few.num_rows else None
     tree = _tree(features, axes, 4 * k)
     if tree is None:
         return None
@@ -291,6 +334,8 @@ def nearest_candidates(targets: DataFrame, features: DataFrame, axes: tuple[str,
 
 def within_candidates(targets: DataFrame, features: DataFrame, distance: float) -> DataFrame | None:
     """Rows of targets (x, y) with the features whose boxes lie within `distance`; None without features."""
+    if (few := _few(targets, features, ("x", "y"))) is not None:
+        return _with_few(targets, features, few, ("x", "y"), "box", None, distance) if few.num_rows else None
     tree = _tree(features, ("x", "y"))
     if tree is None:
         return None

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 from favora.functions import sqlfuncs
-from favora.operators import clean, cubic, cut, distance, farfield, gp, grid, interpolate, kriging, lines, structure
+from favora.operators import clean, cubic, cut, distance, farfield, gp, grid, interpolate, kriging, lines, near, structure
 from favora.operators.grid import Extent
 from pyspark.sql import functions as F
 
@@ -176,6 +176,30 @@ def test_work_for_a_node_grows_slowly():
     assert steps[-1] <= 1.3 * max(steps[0], steps[1]) and asked[-1] < 4**7 / 20
 
 
+def test_few_features_equal_the_tree(spark, monkeypatch):
+    r = np.random.default_rng(14)
+    targets = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(r.integers(0, 20, (300, 2)))] + [(900, None, 1.0)], "id long, x double, y double")
+    at = r.integers(0, 20, (40, 4)).astype(float)
+    dots = spark.createDataFrame([(i, *p[:2].tolist(), [1.0, 2.0]) for i, p in enumerate(at)] + [(99, None, 1.0, None)], "id long, x double, y double, more array<double>")
+    segments = spark.createDataFrame([(i, *p.tolist()) for i, p in enumerate(at)], "gid long, x0 double, y0 double, x1 double, y1 double")
+    boxes = segments.selectExpr("gid", "least(x0, x1) as xmin", "least(y0, y1) as ymin", "greatest(x0, x1) as xmax", "greatest(y0, y1) as ymax")
+
+    def nearest(features, f_gap):
+        found = near.nearest_candidates(targets, features)
+        gap = found.withColumn("d", f_gap)
+        best = gap.join(gap.groupBy("id").agg(F.min("d").alias("best")), "id").where("d <= best")
+        return sorted(map(str, best.drop("more").distinct().collect()))
+
+    to_dot = F.sqrt((F.col("x") - F.col("f_x")) ** 2 + (F.col("y") - F.col("f_y")) ** 2)
+    to_segment = distance.segment_distance(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")))
+    one = nearest(dots, to_dot), nearest(segments, F.round(to_segment, 9)), sorted(map(str, near.within_candidates(targets, boxes, 1.5).collect()))
+    assert near.nearest_candidates(targets, dots.limit(0)) is None and near.within_candidates(targets, boxes.limit(0), 1.0) is None
+    monkeypatch.setattr(near, "FEW", -1)
+    monkeypatch.setattr(near, "FEW_MORE", -1)
+    two = nearest(dots, to_dot), nearest(segments, F.round(to_segment, 9)), sorted(map(str, near.within_candidates(targets, boxes, 1.5).collect()))
+    assert one == two
+
+
 def star(r, n, cx, cy, size):
     angles = [2 * math.pi * (i + r.uniform(0, 0.8)) / n for i in range(n)]
     return [(cx + f * math.cos(a), cy + f * math.sin(a)) for a in angles for f in [size * r.uniform(0.2, 1)]]

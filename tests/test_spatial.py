@@ -12,6 +12,13 @@ from favora.sources import readers, writers
 from pyspark.sql import functions as F
 
 
+@pytest.fixture(autouse=True)
+def by_tree(monkeypatch):
+    """These tables are few; the tests are of the tree."""
+    monkeypatch.setattr(near, "FEW", -1)
+    monkeypatch.setattr(near, "FEW_MORE", -1)
+
+
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.37, 0.5, 0.9, 1.0])
 def test_exact_quantile_by_bracket(spark, monkeypatch, q):
     monkeypatch.setattr(stats, "SMALL", 0)
