@@ -298,7 +298,7 @@ def test_fault_traces_as_rows_equal_arrays(spark, monkeypatch):
     monkeypatch.setattr(structure, "CHUNK", 7)
     r = random.Random(13)
     rows = [(i, r.randrange(3), float(r.randrange(9)), float(r.randrange(9)), -float(r.randrange(5))) for i in range(200)]
-    df = spark.createDataFrame([*rows, (900, None, 1.0, 1.0, -9.0), (901, 1, 1.0, None, -2.0)], "gid long, fault_id long, x double, y double, z double")
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 1.0, -4.0), (901, 1, 1.0, None, -2.0)], "gid long, fault_id long, x double, y double, z double")
     for traces, arrays in ((structure.trace_rows_top(df), structure.fault_traces_top(df)), (structure.trace_rows_bottom(df, 1.0), structure.fault_traces_bottom(df, 1.0))):
         got = {}
         for v in traces.orderBy("fault", "seq").collect():
