@@ -97,6 +97,61 @@ def c1_set_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crs.reproject(given, 4326, "EPSG:3857").select("gid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+E2 = crs.SYSTEMS[5070].e2
+
+
+def _m(p: str) -> str:
+    """SQL of a parallel's radius."""
+    return f"(cos(radians({p})) / sqrt(1 - {E2} * sin(radians({p})) * sin(radians({p}))))"
+
+
+def _t(p: str) -> str:
+    """SQL of the conformal colatitude's half tangent."""
+    s = f"{E2**0.5} * sin(radians({p}))"
+    return f"(tan(pi() / 4 - radians({p}) / 2) / pow((1 - {s}) / (1 + {s}), {E2**0.5} / 2))"
+
+
+def _area(p: str) -> str:
+    """SQL of the area from the equator to a parallel."""
+    s = f"sin(radians({p}))"
+    return f"({1 - E2} * ({s} / (1 - {E2} * {s} * {s}) - ln((1 - {E2**0.5} * {s}) / (1 + {E2**0.5} * {s})) / {2 * E2**0.5}))"
+
+
+DEGREES = "select gid, x * 0.06 - 125 as lon, y * 0.03 + 24 as lat from fx_points2d"
+
+
+def _degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "fx_points2d").select("gid", (F.col("x") * 0.06 - 125).alias("x"), (F.col("y") * 0.03 + 24).alias("y"))
+
+
+@query(f"""with k as (select (ln({_m("49")}) - ln({_m("77")})) / (ln({_t("49")}) - ln({_t("77")})) as n),
+c as (select n, 6378137 * {_m("49")} / (n * pow({_t("49")}, n)) as r from k), given as ({DEGREES})
+select gid, round(r * pow({_t("lat")}, n) * sin(n * radians(lon + 95)), 2) as x,
+       round(r * pow({_t("49")}, n) - r * pow({_t("lat")}, n) * cos(n * radians(lon + 95)), 2) as y from given, c""")
+def c1_set_crs_conformal_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees to Lambert's conformal cone of Canada's atlas."""
+    return crs.reproject(_degrees(spark, sf_dir), 4269, 3978).select("gid", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query(f"""with k as (select ({_m("29.5")} * {_m("29.5")} - {_m("45.5")} * {_m("45.5")}) / ({_area("45.5")} - {_area("29.5")}) as n),
+c as (select n, {_m("29.5")} * {_m("29.5")} + n * {_area("29.5")} as c from k), given as ({DEGREES})
+select gid, round(6378137 * sqrt(c - n * {_area("lat")}) / n * sin(n * radians(lon + 96)), 2) as x,
+       round(6378137 * sqrt(c - n * {_area("23")}) / n - 6378137 * sqrt(c - n * {_area("lat")}) / n * cos(n * radians(lon + 96)), 2) as y from given, c""")
+def c1_set_crs_equal_area_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees to Albers' equal-area cone of the conterminous United States."""
+    return crs.reproject(_degrees(spark, sf_dir), 4269, 5070).select("gid", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query(f"select gid, round(lon, 9) as x, round(lat, 9) as y from ({DEGREES})")
+def c1_set_crs_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees through a cone, an azimuthal projection, the pole's plane and a zone, each from the one before, back to degrees."""
+    moved = _degrees(spark, sf_dir)
+    chain = [4269, 3978, 3035, 3413, 26915, 5070, 4269]
+    for one, two in zip(chain, chain[1:], strict=False):
+        moved = crs.reproject(moved, one, two)
+    return moved.select("gid", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
 @query("select gid, x, y from fx_points2d")
 def c2_clean_unnamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns without a name dropped."""
