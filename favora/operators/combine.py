@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from favora.functions.stats import exact_quantile, medians_and_mads
@@ -38,7 +38,7 @@ def dimension(df: DataFrame) -> int:
 
 def project_dimension(layers: Sequence[DataFrame | None]) -> int:
     """The common dimension of the layers that have rows; ValueError if they differ or there is none."""
-    found = {dimension(x) for x in layers if x is not None and x.limit(1).count()}
+    found = {dimension(x) if "z" in x.columns else 2 for x in layers if x is not None and x.limit(1).count()}
     if not found:
         raise ValueError("no layer with geometry")
     if len(found) > 1:
@@ -87,28 +87,40 @@ def modified_veto(cells: DataFrame, keys: Sequence[str], by: Sequence[str] = (),
     With `vetoing` an item of 0 sets the sum to 0 at its place, and later items add to it again; `strict` makes any 0
     final.  The maxima for the scale are taken for each group of `by`, or over all cells.
     """
-    folded = cells.groupBy(*keys).agg(F.collect_list(F.struct("ord", "w", "v")).alias("_i")).select(*keys, _fold(F.col("_i"), vetoing, strict).alias("_s"), product(F.col("_i")).alias("_p"))
+    return _rescaled(_folded(cells, keys, vetoing, strict), by).select(*keys, "pr")
+
+
+def _folded(cells: DataFrame, keys: Sequence[str], vetoing: bool, strict: bool = False, *more: Column) -> DataFrame:
+    """(keys, _s, _p) and further aggregates: each cell's weighted sum and product."""
+    items = cells.groupBy(*keys).agg(F.collect_list(F.struct("ord", "w", "v")).alias("_i"), *more)
+    return items.select(*(c for c in items.columns if c != "_i"), _fold(F.col("_i"), vetoing, strict).alias("_s"), product(F.col("_i")).alias("_p"))
+
+
+def _rescaled(folded: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`folded` with pr: sums scaled to the greatest product, of each group of `by` or of all."""
     if by:
         tops = folded.groupBy(*by).agg(F.max("_s").alias("_ms"), F.max("_p").alias("_mp"))
         folded = folded.join(tops, list(by))
         high, most = F.col("_ms"), F.col("_mp")
     else:
         high, most = (F.lit(x).cast("double") for x in folded.agg(F.max("_s"), F.max("_p")).first())
-    return folded.select(*keys, F.when(high > 0, F.try_divide(F.col("_s"), high) * most).otherwise(F.col("_s")).alias("pr"))
+    return folded.withColumn("pr", F.when(high > 0, F.try_divide(F.col("_s"), high) * most).otherwise(F.col("_s")))
 
 
 def prepare(cells: DataFrame, item: Sequence[str], cell: Sequence[str], mode: str = "propagate_shared") -> DataFrame:
     """`cells` (item, cell, v) with missing values filled by the item's median where another item has data, and `masked`.
 
-    masked: all items are missing (propagate_shared) or any is (propagate_any).  ValueError for another mode.
+    masked: all items are missing (propagate_shared) or any is (propagate_any).  ValueError for another mode.  Rows without a
+    full cell key are left out.  A cell's rows, one an item, are brought together once; grouping by `cell` needs no second
+    shuffle.
     """
     if mode not in NAN_MODES:
         raise ValueError(f"unknown nan_mode: {mode}")
     names = list(cells.columns)
     med = exact_quantile(cells, "v", 0.5, item).withColumnRenamed("quantile", "_med")
-    counts = cells.groupBy(*cell).agg(F.count("v").alias("_have"), F.count("*").alias("_all"))
+    whole = Window.partitionBy(*cell)
     masked = F.col("_have") == 0 if mode == "propagate_shared" else F.col("_have") < F.col("_all")
-    joined = cells.join(med, list(item), "left").join(counts, list(cell))
+    joined = cells.where(functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cell))).join(med, list(item), "left").withColumns({"_have": F.count("v").over(whole), "_all": F.count("*").over(whole)})
     filled = F.coalesce("v", F.when(F.col("_have") > 0, F.coalesce("_med", F.lit(0.0))))
     return joined.select(*(c for c in names if c != "v"), filled.alias("v"), masked.alias("masked"))
 
@@ -170,8 +182,8 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
     given = store(functools.reduce(DataFrame.unionAll, parts), "layers")
     spark = given.sparkSession
     # One row for each layer, whatever the size of its lattice.
-    counts = functools.reduce(lambda a, b: a.join(b, "ord"), (given.where(F.col(a).isNotNull()).select("ord", a).distinct().groupBy("ord").agg(F.count("*").alias(f"n{a}")) for a in axes))
-    shapes = {r.ord: tuple(r[f"n{a}"] for a in axes) for r in counts.collect()}
+    counts = given.groupBy("ord").agg(*(F.count_distinct(a).alias(f"n{a}") for a in axes))
+    shapes = {r.ord: shape for r in counts.collect() if all(shape := tuple(r[f"n{a}"] for a in axes))}
     if len(shapes) < len(layers):
         raise ValueError("cannot rasterize an empty layer")
     if len(set(shapes.values())) > 1:
@@ -215,10 +227,10 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
     components = components.join(table, ["criteria", "component"]).select("criteria", "component", *cell, F.when(~F.col("masked"), logistic(F.col("w0"), weighted_sum(F.col("_i")))).alias("pr"), "k_ord", "k_w")
     components = store(components, "components")
     ready = prepare(components.select("criteria", F.col("k_ord").alias("ord"), F.col("k_w").alias("w"), *cell, F.col("pr").alias("v")), ["criteria", "ord"], ["criteria", *cell], nan_mode)
-    criteria = store(_masked_veto(ready, ["criteria", *cell], ["criteria"], component_veto), "criteria")
+    criteria = _masked_veto(ready, ["criteria", *cell], ["criteria"], component_veto)
     table = rows.sparkSession.createDataFrame([(c, i, float(w)) for i, (c, w) in enumerate(weights.criteria.items())], "criteria string, ord int, w double")
     ready = prepare(criteria.join(table, "criteria").select("ord", "w", *cell, F.col("pr").alias("v")), ["ord"], cell, nan_mode)
-    final = store(_masked_veto(ready, cell, [], criteria_veto), "final")
+    final = _masked_veto(ready, cell, [], criteria_veto)
 
     def placed(df: DataFrame, by: list[str]) -> DataFrame:
         df = _scaled(df, by, norm_to)
@@ -230,5 +242,6 @@ def do_voter_veto(layers: Sequence[Layer], weights: Weights, normalize_method: s
 
 
 def _masked_veto(ready: DataFrame, keys: Sequence[str], by: Sequence[str], vetoing: bool) -> DataFrame:
-    masks = ready.groupBy(*keys).agg(F.bool_or("masked").alias("masked"))
-    return modified_veto(ready, keys, by, vetoing).join(masks, list(keys)).select(*keys, F.when(~F.col("masked"), F.col("pr")).alias("pr"))
+    """(keys, pr): the modified veto, NULL in masked cells.  Folded cells are stored, as their maxima are needed first."""
+    folded = store(_folded(ready, keys, vetoing, False, F.bool_or("masked").alias("masked")), "folded")
+    return _rescaled(folded, by).select(*keys, F.when(~F.col("masked"), F.col("pr")).alias("pr"))
