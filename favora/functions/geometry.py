@@ -32,8 +32,8 @@ def crosses(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Colu
     return ((y0 > py) != (y1 > py)) & F.coalesce(px < x0 + F.try_divide((py - y0) * (x1 - x0), y1 - y0), F.lit(False))
 
 
-def segment_intersection(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
-    """STRUCT<x, y> of the point common to two segments, or the middle of a common stretch; null if there is none."""
+def segment_intersection(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column], overlaps: bool = True) -> Column:
+    """STRUCT<x, y> of the point common to two segments, or (with `overlaps`) the middle of a common stretch; null if there is none."""
     ax, ay, bx, by = a
     cx, cy, dx, dy = b
     rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
@@ -41,6 +41,8 @@ def segment_intersection(a: tuple[Column, Column, Column, Column], b: tuple[Colu
     t = F.try_divide((cx - ax) * sy - (cy - ay) * sx, den)
     u = F.try_divide((cx - ax) * ry - (cy - ay) * rx, den)
     point = F.when((den != 0) & t.between(0, 1) & u.between(0, 1), F.struct((ax + t * rx).alias("x"), (ay + t * ry).alias("y")))
+    if not overlaps:
+        return point
     # On one line: the stretch between parameters of the first segment.
     rr = rx * rx + ry * ry
     t0, t1 = F.try_divide((cx - ax) * rx + (cy - ay) * ry, rr), F.try_divide((dx - ax) * rx + (dy - ay) * ry, rr)

@@ -123,8 +123,8 @@ def distance_from_solids(grid: DataFrame, edges: DataFrame, solids: DataFrame, l
     return grid.join(source, "iz").join(planar, ["x", "y", "level"]).withColumn("distance", F.col("d") + F.col("gap")).drop("level", "gap", "d")
 
 
-def intersections(segments: DataFrame, all_points: bool = False) -> DataFrame:
-    """(a, b, x, y): points where lines (gid, x0, y0, x1, y1) meet, each pair once; overlaps give their middle.
+def intersections(segments: DataFrame, all_points: bool = False, overlaps: bool = True) -> DataFrame:
+    """(a, b, x, y): points where lines (gid, x0, y0, x1, y1) meet, each pair once; overlaps give their middle, unless told not to.
 
     Pairs of lines that meet in several points are left out, unless `all_points`.  Only segments whose boxes touch are compared.
     """
@@ -133,7 +133,7 @@ def intersections(segments: DataFrame, all_points: bool = False) -> DataFrame:
     if near is None:
         return one.select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     near = near.withColumnsRenamed({"f_gid": "g2", **{f"f_{c}": f"{c}_2" for c in ("x0", "y0", "x1", "y1")}})
-    meet = segment_intersection(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"{c}_2") for c in ("x0", "y0", "x1", "y1")))
+    meet = segment_intersection(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"{c}_2") for c in ("x0", "y0", "x1", "y1")), overlaps)
     found = near.where("gid < g2").select(F.col("gid").alias("a"), F.col("g2").alias("b"), meet.alias("p")).where("p is not null")
     found = found.select("a", "b", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
     if all_points:
@@ -141,23 +141,23 @@ def intersections(segments: DataFrame, all_points: bool = False) -> DataFrame:
     return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")).where("n = 1").drop("n")
 
 
-def line_and_intersection_distances(grid: DataFrame, segments: DataFrame) -> DataFrame:
+def line_and_intersection_distances(grid: DataFrame, segments: DataFrame, overlaps: bool = True) -> DataFrame:
     """`grid` with d_line and d_int, the distances of the nearest line and the nearest intersection; infinite without any."""
     line = _least(grid, segments.select("x0", "y0", "x1", "y1"), _to_segment(), "d_line")
-    meets = store(intersections(segments).select("x", "y"), "meets")
+    meets = store(intersections(segments, overlaps=overlaps).select("x", "y"), "meets")
     return _least(line, meets, point_distance(F.col("x"), F.col("y"), F.col("f_x"), F.col("f_y")), "d_int")
 
 
-def distance_from_lines_with_intersections(grid: DataFrame, segments: DataFrame, weight_line: float = 1.0, weight_intersection: float = 0.5) -> DataFrame:
+def distance_from_lines_with_intersections(grid: DataFrame, segments: DataFrame, weight_line: float = 1.0, weight_intersection: float = 0.5, overlaps: bool = True) -> DataFrame:
     """`grid` with `distance`: the weighted sum of both distances."""
-    both = line_and_intersection_distances(grid, segments)
+    both = line_and_intersection_distances(grid, segments, overlaps)
     return both.withColumn("distance", weight_line * F.col("d_line") + weight_intersection * F.col("d_int")).drop("d_line", "d_int")
 
 
-def process_faults(grid: DataFrame, segments: DataFrame, alpha_fault: float = 1000, alpha_intersection: float = 500, weight_fault: float = 0.7, weight_intersection: float = 0.3, use_intersections: bool = True) -> DataFrame:
+def process_faults(grid: DataFrame, segments: DataFrame, alpha_fault: float = 1000, alpha_intersection: float = 500, weight_fault: float = 0.7, weight_intersection: float = 0.3, use_intersections: bool = True, overlaps: bool = True) -> DataFrame:
     """`grid` with `distance` from faults and `fault score`: decayed influence of faults and their intersections."""
     if use_intersections:
-        both = line_and_intersection_distances(grid, segments).withColumnRenamed("d_line", "distance")
+        both = line_and_intersection_distances(grid, segments, overlaps).withColumnRenamed("d_line", "distance")
         meets = F.when(F.col("d_int") == INF, F.lit(0.0)).otherwise(F.exp(-F.col("d_int") / alpha_intersection))
     else:
         both, meets = distance_from_lines(grid, segments), F.lit(0.0)
