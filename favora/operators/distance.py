@@ -141,10 +141,26 @@ def intersections(segments: DataFrame, all_points: bool = False, overlaps: bool
     return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")).where("n = 1").drop("n")
 
 
+def _two_of_each(segments: DataFrame, overlaps: bool) -> DataFrame:
+    """`segments` of the first and the last line (gid) of those with the same segments: all places where lines meet are
+    places where these do.  Without overlaps copies of one segment don't meet, and the first is enough.
+
+    Lines are told apart by the number of their segments and two sums of 64-bit hashes.
+    """
+    one = segments.select("gid", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).dropna().distinct()
+    total = lambda seed: F.sum(F.xxhash64("x0", "y0", "x1", "y1", F.lit(seed)).cast("decimal(20,0)"))
+    lines = one.groupBy("gid").agg(F.count("*").alias("_n"), total(1).alias("_h1"), total(2).alias("_h2"))
+    kept = lines.groupBy("_n", "_h1", "_h2").agg(F.min("gid").alias("a"), F.max("gid").alias("b")).withColumn("g", F.when((F.col("a") == F.col("b")) | F.lit(not overlaps) & (F.col("_n") == 1), F.array("a")).otherwise(F.array("a", "b"))).select(F.explode("g").alias("gid"))
+    return one.join(kept, "gid", "left_semi")
+
+
 def line_and_intersection_distances(grid: DataFrame, segments: DataFrame, overlaps: bool = True) -> DataFrame:
-    """`grid` with d_line and d_int, the distances of the nearest line and the nearest intersection; infinite without any."""
+    """`grid` with d_line and d_int, the distances of the nearest line and the nearest intersection; infinite without any.
+
+    Copies of a line meet others where it does, so two lines of each kind stand for all.
+    """
     line = _least(grid, segments.select("x0", "y0", "x1", "y1"), _to_segment(), "d_line")
-    meets = store(intersections(segments, overlaps=overlaps).select("x", "y"), "meets")
+    meets = store(intersections(store(_two_of_each(segments, overlaps), "lines"), overlaps=overlaps).select("x", "y").distinct(), "meets")
     return _least(line, meets, point_distance(F.col("x"), F.col("y"), F.col("f_x"), F.col("f_y")), "d_int")
 
 
