@@ -208,8 +208,12 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(h, n): how often the corpus holds the terms whose hash is on the filter; each task adds up its own first."""
+def _sums(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(h, n): how often each task's texts hold the terms whose hash is on the filter.
+
+    Most terms stand in the texts of every task, so the sums are as many as terms and tasks: the tasks follow the cluster, as
+    tasks that follow the input would make them grow with the product of both.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +246,13 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         one, n = added()
         yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    return docs.select("text").mapInArrow(task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    few = docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(task, "h long, n long")
+
+
+def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(h, n): how often the corpus holds the terms whose hash is on the filter; each task adds up its own first."""
+    return _sums(docs, bits).groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
