@@ -6,12 +6,14 @@ packs of nodes in an equi-join and are summed there as arrays, so that no pairs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from favora.functions.geometry import crosses, on_segment, point_distance, segment_distance, segment_intersection
 from favora.functions.tables import store
@@ -23,6 +25,8 @@ BLOCK = 20_000
 NODES = 8_192
 CHUNK = 1 << 21
 INF = float("inf")
+#: Copies of a line in a row, and pairs of lines that a task lists.
+MEMBERS, LISTED = 256, 1 << 22
 
 
 def _keys(grid: DataFrame) -> list[str]:
@@ -123,34 +127,90 @@ def distance_from_solids(grid: DataFrame, edges: DataFrame, solids: DataFrame, l
     return grid.join(source, "iz").join(planar, ["x", "y", "level"]).withColumn("distance", F.col("d") + F.col("gap")).drop("level", "gap", "d")
 
 
-def intersections(segments: DataFrame, all_points: bool = False, overlaps: bool = True) -> DataFrame:
-    """(a, b, x, y): points where lines (gid, x0, y0, x1, y1) meet, each pair once; overlaps give their middle, unless told not to.
+def _signed(one: DataFrame) -> DataFrame:
+    """(gid, _n, _h1, _h2) of lines with distinct segments: lines with the same segments have the same.
 
-    Pairs of lines that meet in several points are left out, unless `all_points`.  Only segments whose boxes touch are compared.
+    Lines are told apart by the number of their segments and two sums of 64-bit hashes.
     """
-    one = segments.select("gid", "x0", "y0", "x1", "y1")
-    near = touching(one)
+    ends = [F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *ends).cast("decimal(20,0)"))
+    return one.groupBy("gid").agg(F.count("*").alias("_n"), total(1).alias("_h1"), total(2).alias("_h2"))
+
+
+def _meets(lines: DataFrame, all_points: bool, overlaps: bool) -> DataFrame:
+    """(a, a_last, b, b_last, x, y): points of lines (gid, last, x0, y0, x1, y1) with those whose last number is greater than gid."""
+    near = touching(lines)
     if near is None:
-        return one.select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    near = near.withColumnsRenamed({"f_gid": "g2", **{f"f_{c}": f"{c}_2" for c in ("x0", "y0", "x1", "y1")}})
+        return lines.select(F.col("gid").alias("a"), F.col("last").alias("a_last"), F.col("gid").alias("b"), F.col("last").alias("b_last"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    near = near.withColumnsRenamed({f"f_{c}": f"{c}_2" for c in lines.columns})
     meet = segment_intersection(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"{c}_2") for c in ("x0", "y0", "x1", "y1")), overlaps)
-    found = near.where("gid < g2").select(F.col("gid").alias("a"), F.col("g2").alias("b"), meet.alias("p")).where("p is not null")
-    found = found.select("a", "b", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
+    pair = ["a", "a_last", "b", "b_last"]
+    found = near.where("gid < last_2").select(F.col("gid").alias("a"), F.col("last").alias("a_last"), F.col("gid_2").alias("b"), F.col("last_2").alias("b_last"), meet.alias("p")).where("p is not null")
+    found = found.select(*pair, F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
     if all_points:
         return found
-    return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")).where("n = 1").drop("n")
+    return found.groupBy(*pair).agg(F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")).where("n = 1").drop("n")
 
 
-def _two_of_each(segments: DataFrame, overlaps: bool) -> DataFrame:
-    """`segments` of the first and the last line (gid) of those with the same segments: all places where lines meet are
-    places where these do.  Without overlaps copies of one segment don't meet, and the first is enough.
+def _members(lines: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(kind, low, high, n, gids): the lines (gid, _kind) of each kind (gid, _kind), MEMBERS or fewer in a row, in order.
 
-    Lines are told apart by the number of their segments and two sums of 64-bit hashes.
+    Sorted ranges are cut where the kind changes, so a kind of many lines lies in many tasks.
+    """
+    gid = lines.schema["gid"].dataType
+    shape = T.StructType([T.StructField("_kind", T.StringType()), T.StructField("low", gid), T.StructField("high", gid), T.StructField("n", T.LongType()), T.StructField("gids", T.ArrayType(gid))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, gids = batch.column(0), batch.column(1)
+            new = np.flatnonzero(np.append(True, pc.not_equal(kind[1:], kind[:-1]).to_numpy(zero_copy_only=False)))
+            begin = np.concatenate([np.arange(lo, hi, MEMBERS) for lo, hi in zip(new, np.append(new[1:], len(kind)), strict=True)])
+            end = np.append(begin[1:], len(kind))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(kind)), pa.int32()), gids)
+            yield pa.RecordBatch.from_arrays([kind.take(pa.array(begin)), gids.take(pa.array(begin)), gids.take(pa.array(end - 1)), pa.array(end - begin), lists], names=shape.names)
+
+    cut = lines.select("_kind", "gid").repartitionByRange("_kind", "gid").sortWithinPartitions("_kind", "gid").mapInArrow(task, shape)
+    return cut.join(kinds.select(F.col("gid").alias("kind"), "_kind"), "_kind").select("kind", "low", "high", "n", "gids")
+
+
+def intersections(segments: DataFrame, all_points: bool = False, overlaps: bool = True, copies: bool = True, shown: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(a, b, x, y): points where lines (gid, x0, y0, x1, y1) meet, each pair once; overlaps give their middle, unless told not to.
+
+    Pairs of lines that meet in several points are left out, unless `all_points`.  Only segments whose boxes touch are compared,
+    and of lines with the same segments the first stands for all: the pairs of all its copies are listed at the end, from packs
+    of them that are dealt out evenly.  Without `copies` all lines are compared, for layers that are known to have few.
+    shown: what is done with x and y, once for all copies.
     """
+    shape = ["a", "b", shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y")]
+    one = segments.select("gid", "x0", "y0", "x1", "y1")
+    if not copies:
+        return _meets(one.withColumn("last", F.col("gid")), all_points, overlaps).select(*shape)
+    one = one.dropna().distinct()
+    lines = store(_signed(one).select("gid", F.concat_ws(" ", "_n", "_h1", "_h2").alias("_kind")), "lines")
+    kinds = store(lines.groupBy("_kind").agg(F.min("gid").alias("gid"), F.max("gid").alias("last")), "kinds")
+    meets = store(_meets(store(one.join(kinds.select("gid", "last"), "gid"), "lines"), all_points, overlaps), "meets")
+    single = (F.col("a") == F.col("a_last")) & (F.col("b") == F.col("b_last"))
+    out, many = meets.where(single).select(*shape), meets.where(~single).select(*shape)
+    if not many.limit(1).count():
+        return out
+    packs = store(_members(lines, kinds), "members")
+    # The point of a pair depends in its last digits on which line comes first, so kinds meet in both orders.
+    sides = [packs.select(F.col("kind").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in packs.columns[1:])) for s in "ab"]
+    pairs = many.join(sides[0], "a").join(sides[1], "b").where("a_low < b_high")
+    total = pairs.agg(F.sum(F.col("a_n") * F.col("b_n"))).first()[0] or 0
+    tasks = max(segments.sparkSession.sparkContext.defaultParallelism, -(-total // LISTED))
+    dealt = pairs.select("a_gids", "b_gids", "x", "y").repartition(tasks)
+    listed = dealt.select(F.explode("a_gids").alias("a"), "b_gids", "x", "y").select("a", F.explode("b_gids").alias("b"), "x", "y").where("a < b")
+    return out.unionByName(listed)
+
+
+def _two_of_each(segments: DataFrame, overlaps: bool) -> DataFrame:
+    """`segments` of the first and the last line (gid) of those with the same segments: all places where lines meet are
+    places where these do.  Without overlaps copies of one segment don't meet, and the first is enough."""
     one = segments.select("gid", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).dropna().distinct()
-    total = lambda seed: F.sum(F.xxhash64("x0", "y0", "x1", "y1", F.lit(seed)).cast("decimal(20,0)"))
-    lines = one.groupBy("gid").agg(F.count("*").alias("_n"), total(1).alias("_h1"), total(2).alias("_h2"))
-    kept = lines.groupBy("_n", "_h1", "_h2").agg(F.min("gid").alias("a"), F.max("gid").alias("b")).withColumn("g", F.when((F.col("a") == F.col("b")) | F.lit(not overlaps) & (F.col("_n") == 1), F.array("a")).otherwise(F.array("a", "b"))).select(F.explode("g").alias("gid"))
+    kept = _signed(one).groupBy("_n", "_h1", "_h2").agg(F.min("gid").alias("a"), F.max("gid").alias("b")).withColumn("g", F.when((F.col("a") == F.col("b")) | F.lit(not overlaps) & (F.col("_n") == 1), F.array("a")).otherwise(F.array("a", "b"))).select(F.explode("g").alias("gid"))
     return one.join(kept, "gid", "left_semi")
 
 
@@ -160,7 +220,7 @@ def line_and_intersection_distances(grid: DataFrame, segments: DataFrame, overla
     Copies of a line meet others where it does, so two lines of each kind stand for all.
     """
     line = _least(grid, segments.select("x0", "y0", "x1", "y1"), _to_segment(), "d_line")
-    meets = store(intersections(store(_two_of_each(segments, overlaps), "lines"), overlaps=overlaps).select("x", "y").distinct(), "meets")
+    meets = store(intersections(store(_two_of_each(segments, overlaps), "lines"), overlaps=overlaps, copies=False).select("x", "y").distinct(), "meets")
     return _least(line, meets, point_distance(F.col("x"), F.col("y"), F.col("f_x"), F.col("f_y")), "d_int")
 
 
@@ -194,7 +254,6 @@ def point_weights(points: DataFrame, column: str | None, low: float = 1.0, high:
 def _packed(df: DataFrame, size: int, name: str) -> DataFrame:
     """(name, items): the rows of `df` in packs of `size` at most, numbered; nothing is shuffled."""
     from pyspark import TaskContext
-    from pyspark.sql import types as T
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 33
